@@ -1,0 +1,78 @@
+"""Lint of instruction documents (root, doc_seq, file, text)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+
+MAX_LINES, MAX_BYTES, MIN_PARAGRAPH, EXCERPT = 300, 24 * 1024, 100, 160
+# What a line must not hold. Look-arounds are ASCII word bounds.
+A, Z = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+SECRET = r"""(?i)(api[_-]?key|password|secret|token|cookie|private[_-]?key)\s*[:=]\s*['"]?[A-Za-z0-9_./+=-]{12,}"""
+PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+DATE, UUID, RANDOM_ID = r"20[0-9]{2}[-/][0-9]{2}[-/][0-9]{2}", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[a-f0-9]{24,64}"
+
+
+def collapse(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, R.UNICODE_SPACE + "+", " "))
+
+
+def excerpt(text: Column) -> Column:
+    flat = collapse(text)
+    return F.when(F.length(flat) > EXCERPT, F.concat(flat.substr(1, EXCERPT), F.lit("..."))).otherwise(flat)
+
+
+def _finding(df: DataFrame, rule: str, line: Column, shown: Column) -> DataFrame:
+    return df.select("root", "file", F.lit(rule).alias("rule"), line.cast("int").alias("line"), shown.alias("excerpt"))
+
+
+def too_long(docs: DataFrame) -> DataFrame:
+    lines = F.size(F.split("text", "\n"))
+    return _finding(docs.where((lines > MAX_LINES) | (F.octet_length("text") > MAX_BYTES)), "file_too_long", F.lit(0), F.lit(""))
+
+
+def missing_scope(docs: DataFrame) -> DataFrame:
+    low = F.lower("text")
+    found = F.lit(False)
+    for w in R.SCOPE_WORDS:
+        found = found | F.contains(low, F.lit(w))
+    return _finding(docs.where(~found), "missing_scope", F.lit(0), F.lit(""))
+
+
+def bad_lines(docs: DataFrame) -> DataFrame:
+    lines = docs.select("root", "file", F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("l", F.regexp_replace("raw", "\r$", ""))
+    word = lambda p: F.col("l").rlike(f"{A}(?:{p}){Z}")
+    rule = F.when(F.col("l").rlike(PRIVATE_KEY) | F.col("l").rlike(SECRET), "secret_pattern").when(word(DATE) | word(UUID) | F.contains("l", F.lit("/tmp/")) | F.contains(F.lower("l"), F.lit("current sprint")), "dynamic_info").when(word(RANDOM_ID) & ~F.contains("l", F.lit("sha256")), "dynamic_info")
+    out = lines.withColumn("rule", rule).where("rule IS NOT NULL")
+    return out.select("root", "file", "rule", (F.col("i") + 1).alias("line"), excerpt(F.col("l")).alias("excerpt"))
+
+
+def duplicate_paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """Every long paragraph after the first of its text in a root, with the file that has the first.
+
+    Paragraphs travel as digests; the first of a digest is an aggregate, so a paragraph that
+    many documents share is combined before the shuffle and joined back as ordinary rows.
+    """
+    breaks = separator.count("\n")
+    parts = F.split("text", separator, -1)
+    lines = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + breaks)
+    starts = F.transform(parts, lambda p, i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(1), lambda a, x: a + x)) if breaks > 1 else F.transform(parts, lambda p, i: i + 1)
+    each = docs.select("root", "doc_seq", "file", F.explode(F.arrays_zip(parts.alias("p"), starts.alias("s"))).alias("x")).select("root", "doc_seq", "file", F.col("x.p").alias("part"), F.col("x.s").alias("line"))
+    norm = collapse(F.lower("part"))
+    long = each.where(F.length(norm) >= MIN_PARAGRAPH).select("root", "doc_seq", "file", "line", F.sha2(norm, 256).alias("digest"), excerpt(F.col("part")).alias("excerpt"))
+    first = long.groupBy("root", "digest").agg(F.min(F.struct("doc_seq", "line", "file")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    again = long.join(first, ["root", "digest"]).where((F.col("doc_seq") != F.col("f.doc_seq")) | (F.col("line") != F.col("f.line")))
+    return again.select("root", "file", F.lit("duplicate_paragraph").alias("rule"), "line", "excerpt", F.col("f.file").alias("first_file"))
+
+
+def findings(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
+    every = too_long(docs).unionByName(missing_scope(docs)).unionByName(bad_lines(docs)).unionByName(duplicate_paragraphs(docs, separator).drop("first_file"))
+    severity = F.create_map(*[F.lit(x) for p in R.SEVERITIES.items() for x in p])
+    return every.withColumn("severity", severity[F.col("rule")])
+
+
+def lint_report(found: DataFrame) -> DataFrame:
+    n = lambda s: F.count_if(F.col("severity") == s)
+    return found.groupBy("root").agg(n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"))

@@ -101,7 +101,7 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, op, ttl_ms, at_ms, seq: events as reads and writes of a result cache."""
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     op = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "signup", "delete").otherwise("set")
-    return e.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), ((F.col("event_id") % 5) * 3600000).alias("ttl_ms"), F.expr("unix_millis(cast(ts as timestamp))").alias("at_ms"), F.col("event_id").alias("seq"))
+    return e.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), ((F.col("event_id") % 5) * 3600000).alias("ttl_ms"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000").alias("at_ms"), F.col("event_id").alias("seq"))
 
 
-CACHE_SQL = """log AS (SELECT 'k' || user_id AS key, CASE event_type WHEN 'view' THEN 'get' WHEN 'signup' THEN 'delete' ELSE 'set' END AS op, (event_id % 5) * 3600000 AS ttl_ms, epoch_ms(ts) AS at_ms, event_id AS seq FROM events WHERE event_type <> 'error')"""
+CACHE_SQL = """log AS (SELECT 'k' || user_id AS key, CASE event_type WHEN 'view' THEN 'get' WHEN 'signup' THEN 'delete' ELSE 'set' END AS op, (event_id % 5) * 3600000 AS ttl_ms, epoch_us(ts) // 1000000 * 1000 AS at_ms, event_id AS seq FROM events WHERE event_type <> 'error')"""
