@@ -83,7 +83,8 @@ def stream_offsets(sized: DataFrame, sources: DataFrame, seed: int = 7) -> DataF
     sums = hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("skey", "bucket", "before"), ["skey", "bucket"])
+    spread = hashed.repartition("skey", "bucket")  # else the window would reuse a partitioning by source alone
+    out = spread.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("skey", "bucket", "before"), ["skey", "bucket"])
     return out.withColumn("offset", (F.col("before") + F.col("inner")).cast("long")).drop("inner", "before", "bucket", "bits", "h", "n_docs")
 
 
