@@ -44,7 +44,11 @@ def lane_sums(text: Column) -> Column:
             return F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_KEEP)))
 
         digests = F.transform(ps, lambda p: F.sha2(p, 256))
-        packed = [let(F.transform(digests, lambda d, s=s: F.xxhash64(F.lit(s), d)), lambda hs: F.array(*[one(hs, k) for k in range(GUARDED)])) for s in SEEDS]
+
+        def seeded(ds: Column, seed: int) -> Column:
+            return F.transform(ds, lambda d: F.xxhash64(F.lit(seed), d))
+
+        packed = [let(seeded(digests, s), lambda hs: F.array(*[one(hs, k) for k in range(GUARDED)])) for s in SEEDS]
         return F.concat(F.array((F.size(ps) % (1 << LANE_BITS)).cast("long")), *packed)
 
     return let(parts, sums)
