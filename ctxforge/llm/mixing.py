@@ -75,17 +75,20 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.select("position", "skey", "rank", epoch.alias("epoch"), block.alias("block"), (block * block_words).alias("lo"), F.least((block + 1) * block_words, end).alias("hi"))
 
 
-def stream_offsets(sized: DataFrame, sources: DataFrame, seed: int = 7) -> DataFrame:
-    """Where each document starts in its source's shuffled stream: sums per hash bucket, then within buckets."""
-    hashed = sized.join(sources.select("skey", "source_size", "target", "n_docs"), "skey").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / BUCKET_DOCS))).cast("int")
-    hashed = hashed.withColumn("bits", bits).withColumn("bucket", F.expr("IF(bits > 0, shiftrightunsigned(h, 64 - bits), 0L)"))
+def stream_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
+    """Where each document starts in its source's shuffled stream: sums per hash bucket, then within buckets.
+
+    Buckets are cut by the number of all documents, so rows need no join by source: a source with a
+    third of all rows spreads over as many tasks as its share of buckets.
+    """
+    total = F.broadcast(sized.agg(F.count("*").alias("n")))  # one row
+    hashed = sized.crossJoin(total).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    hashed = hashed.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET_DOCS))).cast("int")).withColumn("bucket", F.expr("IF(bits > 0, shiftrightunsigned(h, 64 - bits), 0L)"))
     sums = hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    spread = hashed.repartition("skey", "bucket")  # else the window would reuse a partitioning by source alone
-    out = spread.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("skey", "bucket", "before"), ["skey", "bucket"])
-    return out.withColumn("offset", (F.col("before") + F.col("inner")).cast("long")).drop("inner", "before", "bucket", "bits", "h", "n_docs")
+    out = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("skey", "bucket", "before"), ["skey", "bucket"])
+    return out.select("doc_id", "source", "skey", "size", (F.col("before") + F.col("inner")).cast("long").alias("offset"))
 
 
 def sized_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,13 +109,13 @@ def taken_pieces(placed: DataFrame, plan: DataFrame, block_words: int = BLOCK_WO
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     sized = materialize(sized_rows(docs, text_col))
     plan = plan_slots(source_targets(sized), block_words)
-    placed = stream_offsets(sized, plan)
+    placed = stream_offsets(sized)
     taken = taken_pieces(placed, plan, block_words).groupBy("doc_id", "skey", "offset", "size").agg(F.sum("words").alias("taken"))
     a, t = placed.where("size > 0"), taken.select(F.col("doc_id").alias("d"), F.col("skey").alias("k"), F.col("offset").alias("o"), "taken")
     some = a.join(t, (F.col("skey") == F.col("k")) & (F.col("offset") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    cols = ["doc_id", "size", "source_size", "target"]
-    none = placed.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"), "source")
-    return some.select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source").unionByName(none)
+    cols = ["doc_id", "source", "skey", "size"]
+    every = some.select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(placed.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken")))
+    return every.join(plan.select("skey", "source_size", "target"), "skey").select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -135,7 +138,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     ids = keyed.select(F.struct("doc_id", "_row", "_twin").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_skey").alias("skey"), word_count(text_of()).alias("size"))
     sized = materialize(ids)
     plan = plan_slots(source_targets(sized), block_words)
-    pieces = taken_pieces(stream_offsets(sized, plan), plan, block_words).where("words > 0")
+    pieces = taken_pieces(stream_offsets(sized), plan, block_words).where("words > 0")
     pieces = pieces.select(F.col("doc_id._row").alias("_row"), F.col("doc_id._twin").alias("_twin"), F.col("doc_id.doc_id").alias("_id"), F.col("size").alias("_size"), F.col("words").alias("_words"))
     rows = keyed.join(pieces, (keyed["_row"] == pieces["_row"]) & (keyed["_twin"] == pieces["_twin"]) & keyed["doc_id"].eqNullSafe(pieces["_id"]))
     text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
