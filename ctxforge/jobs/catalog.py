@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import cache, index, lint, retrieval, scan, symbols, usage
+from ..operators import cache, commands, index, lint, retrieval, scan, symbols, usage, zones
 from ..sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,9 +202,6 @@ def a3(spark, d):
 
 # --- symbols and index --------------------------------------------------------------------------
 
-_SYMBOLS_SQL = f"""{SCANNED}, num AS (SELECT root, path, (regexp_extract(path, '([0-9]+)[^0-9]*$', 1)) AS d, regexp_extract(path, '^[^0-9]*') AS s FROM kept)"""
-
-
 @query("y1_extract_symbols")
 def y1(spark, d):
     return symbols.extract_symbols(index.kept(scanned(spark, d)))
@@ -507,3 +504,113 @@ def k3(spark, d):
     log = A.cache_log(spark, d)
     snap = cache.snapshot(log)
     return cache.cache_stats(snap, cache.cache_compact(snap, NOW_MS, 100), cache.cache_replay(log), NOW_MS)
+
+
+# --- commands -----------------------------------------------------------------------------------
+
+SCRIPTS = (("dev", "vite"), ("build", "vite build"), ("test", "vitest run"), ("lint", "eslint ."), ("type-check", "vue-tsc"), ("build-release-apk", "gradlew assemble"), ("preview", "vite preview"))
+
+
+def _manifests(spark, d):
+    """Repositories m0 to m49 with manifests, locks, wrappers and tests by residues of the parts' keys."""
+    p = A.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("n"), (F.col("p_partkey") % len(SCRIPTS)).alias("s"), "p_partkey")
+    names, bodies = (F.array(*[F.lit(x[i]) for x in SCRIPTS]) for i in (0, 1))
+    scripts = p.groupBy("n").agg(F.array_sort(F.collect_set("s")).alias("s"))  # seven values at most
+    entry = F.transform("s", lambda s: F.concat(F.lit('"'), F.get(names, s.cast("int")), F.lit('": "'), F.get(bodies, s.cast("int")), F.lit('"')))
+    n = F.col("n")
+    pkg = F.when(n == 7, F.lit("{broken")).otherwise(F.concat(F.lit('{"packageManager": "'), F.when(n % 3 == 0, "yarn@4").otherwise(""), F.lit('", "scripts": {'), F.array_join(entry, ", "), F.lit("}}")))
+    pom = F.when(n == 8, F.lit("<project><build>")).otherwise(F.lit("<project xmlns=\"http://maven.apache.org/POM/4.0.0\"><build><plugins><plugin><artifactId>a</artifactId></plugin><plugin><artifactId>spring-boot-maven-plugin</artifactId></plugin></plugins></build></project>"))
+    gradle = F.concat(F.lit("plugins { id 'java' }\n  task hello"), n.cast("string"), F.lit(" {}\ntasks.register(\"extra\") {}\n"), F.when(n % 2 == 0, "id 'org.springframework.boot'").otherwise(""))
+    f = lambda on, path, text: F.when(on, F.struct(F.lit(path).alias("path"), text.alias("content")))
+    rows = F.array_compact(F.array(f(n % 2 == 0, "package.json", pkg), f(n % 5 == 0, "pnpm-lock.yaml", F.lit("")), f(n % 4 == 1, "pom.xml", pom), f(n == 8, "pom.xml", pom), f(n % 4 == 3, "build.gradle", gradle), f(n % 6 == 1, "src/test/A.java", F.lit("")), f(n % 10 == 1, "mvnw", F.lit("")), f(n % 10 == 3, "gradlew", F.lit(""))))
+    return scripts.select(F.concat(F.lit("m"), n.cast("string")).alias("root"), F.explode(rows).alias("x")).select("root", "x.path", "x.content")
+
+
+_MAN = """b AS (SELECT n, 'm' || n AS root, CASE WHEN n % 5 = 0 THEN 'pnpm' WHEN n % 3 = 0 AND n % 2 = 0 THEN 'yarn' ELSE 'npm' END AS pm FROM (SELECT DISTINCT p_partkey % 50 AS n FROM part)),
+managers AS (SELECT root, pm FROM b WHERE n % 2 = 0 OR n % 5 = 0 OR n % 4 IN (1, 3) OR n % 6 = 1 OR n % 10 IN (1, 3)),
+names AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{n}', '{b}', '{c}')" for i, ((n, b), c) in enumerate(zip(SCRIPTS, ("dev", "build", "test", "lint", "type-check", "run", "run"), strict=True))) + """) t(s, name, raw, category)),
+scripts AS (SELECT DISTINCT 'm' || p_partkey % 50 AS root, name, category, 'package.json' AS source, CASE pm WHEN 'yarn' THEN 'yarn ' WHEN 'pnpm' THEN 'pnpm run ' ELSE 'npm run ' END || name AS invocation, raw
+ FROM part JOIN names ON s = p_partkey % 7 JOIN b ON b.n = p_partkey % 50 WHERE p_partkey % 50 % 2 = 0 AND p_partkey % 50 <> 7),
+mv AS (SELECT n, root, CASE WHEN n % 10 = 1 THEN './mvnw' ELSE 'mvn' END AS t FROM b WHERE n % 4 = 1 OR n = 8),
+maven AS (SELECT root, 'package' AS name, 'build' AS category, 'pom.xml' AS source, t || ' -DskipTests package' AS invocation, 'mvn package' AS raw FROM mv
+ UNION ALL SELECT root, 'test', 'test', 'pom.xml', t || ' test', 'mvn test' FROM mv WHERE n % 6 = 1
+ UNION ALL SELECT root, 'spring-boot:run', 'dev', 'pom.xml', t || ' spring-boot:run', 'spring-boot-maven-plugin' FROM mv WHERE n <> 8),
+gr AS (SELECT n, root, CASE WHEN n % 10 = 3 THEN './gradlew' ELSE 'gradle' END AS t FROM b WHERE n % 4 = 3),
+gradle AS (SELECT root, 'build' AS name, 'build' AS category, 'build.gradle' AS source, t || ' build' AS invocation, 'gradle build' AS raw FROM gr
+ UNION ALL SELECT root, 'test', 'test', 'build.gradle', t || ' test', 'gradle test' FROM gr WHERE n % 6 = 1
+ UNION ALL SELECT root, 'bootRun', 'dev', 'build.gradle', t || ' bootRun', 'spring-boot gradle plugin' FROM gr WHERE n % 2 = 0
+ UNION ALL SELECT root, 'hello' || n, 'run', 'build.gradle', t || ' hello' || n, 'declared gradle task' FROM gr
+ UNION ALL SELECT root, 'extra', 'run', 'build.gradle', t || ' extra', 'declared gradle task' FROM gr)"""
+
+
+@query("c1_package_manager", f"WITH {_MAN} SELECT * FROM managers")
+def c1(spark, d):
+    return commands.package_managers(_manifests(spark, d))
+
+
+@query("c2_script_commands", f"WITH {_MAN} SELECT * FROM scripts")
+def c2(spark, d):
+    return commands.script_commands(_manifests(spark, d))
+
+
+@query("c3_maven_commands", f"WITH {_MAN} SELECT * FROM maven")
+def c3(spark, d):
+    return commands.maven_commands(_manifests(spark, d))
+
+
+@query("c4_gradle_commands", f"WITH {_MAN} SELECT * FROM gradle")
+def c4(spark, d):
+    return commands.gradle_commands(_manifests(spark, d))
+
+
+@query("c5_discover_commands", f"""WITH {_MAN}, e AS (SELECT * FROM scripts UNION ALL SELECT * FROM maven UNION ALL SELECT * FROM gradle)
+SELECT *, row_number() OVER (PARTITION BY root ORDER BY source, CASE category WHEN 'build' THEN 0 WHEN 'test' THEN 1 WHEN 'lint' THEN 2 WHEN 'type-check' THEN 3 WHEN 'dev' THEN 4 ELSE 5 END, name) AS place FROM e""")
+def c5(spark, d):
+    return commands.discover_commands(_manifests(spark, d))
+
+
+# --- zones, full text, similarity, weekly report -----------------------------------------------
+
+
+def _pages(spark, d):
+    return A.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+
+
+@query("t8_extract_zones", """WITH z AS (SELECT page_id AS doc_id, html AS t, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS c, string_split(html, '<li>') AS parts FROM pages),
+u AS (SELECT doc_id, t, unnest(c) AS content, generate_subscripts(c, 1) AS i, parts FROM z)
+SELECT doc_id, i - 1 AS zone_no, content, (strlen(array_to_string(parts[1:i], '<li>')) + 4)::INT AS content_start, (strlen(array_to_string(parts[1:i], '<li>')) + 4 + strlen(content))::INT AS content_end FROM u""")
+def t8(spark, d):
+    return zones.extract_zones(_pages(spark, d), "<li>", "</li>")
+
+
+@query("t8_zone_errors", r"""WITH r AS (SELECT page_id AS doc_id, regexp_replace(html, '(?s)<p>.*?</p>', chr(10), 'g') AS x FROM pages)
+SELECT * FROM (SELECT doc_id, CASE WHEN contains(x, '</p>') THEN 'orphan_end' WHEN contains(x, '<p>') THEN 'missing_end' END AS error FROM r) WHERE error IS NOT NULL""")
+def t8_errors(spark, d):
+    return zones.zone_errors(_pages(spark, d), "<p>", "</p>")
+
+
+@query("r3_recall_fulltext", f"""WITH {_RECALL_SQL}, ft AS (SELECT root, path, unnest({terms_sql("strip_accents(path || ' ' || sample)")}) AS term FROM kept),
+fq AS (SELECT query_id, root, unnest({terms_sql('strip_accents(query)')}) AS term FROM parsed), fh AS (SELECT DISTINCT query_id, root, path FROM fq JOIN ft USING (root, term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS i FROM fh) SELECT query_id, root, path FROM r WHERE i <= 64""")
+def r3(spark, d):
+    return retrieval.recall_fulltext(retrieval.parse_queries(A.queries(spark, d)), index.kept(scanned(spark, d)))
+
+
+@query("r10_file_similarity", f"""WITH {_TOP_SQL}, t AS (SELECT query_id, path, kind, {terms_sql("path || ' ' || sample")} AS w, string_split(regexp_replace(path, '/?[^/]*$', ''), '/') AS s, contains(path, '/') AS deep FROM top WHERE rank <= 3),
+p AS (SELECT a.query_id, a.path AS path_a, b.path AS path_b, (a.kind = b.kind)::INT AS k, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n, greatest(CASE WHEN a.deep THEN len(a.s) ELSE 0 END, CASE WHEN b.deep THEN len(b.s) ELSE 0 END) AS m,
+ coalesce(list_max(list_filter(range(0, least(len(a.s), len(b.s)) + 1), lambda x: a.s[1:x] = b.s[1:x])), 0) AS c FROM t a JOIN t b ON a.query_id = b.query_id AND a.path < b.path)
+SELECT query_id, path_a, path_b, round(0.5 * CASE WHEN m = 0 THEN 0 ELSE c / m END + 0.3 * k + 0.2 * i / (n - i), 6) AS similarity FROM p""")
+def r10(spark, d):
+    return retrieval.similar_pairs(retrieval.top_by_relevance(_scored(spark, d)).where("rank <= 3"))
+
+
+@query("u4_weekly_report", f"""WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='')}) SELECT 'usage' AS section, 'calls' AS metric, calls::DOUBLE AS value FROM r UNION ALL SELECT 'usage', 'cache_hits', cache_hits FROM r UNION ALL SELECT 'usage', 'cache_misses', cache_misses FROM r
+ UNION ALL SELECT 'savings', 'net', saved - sent FROM r UNION ALL SELECT 'savings', 'baseline', saved + sent FROM r UNION ALL SELECT 'savings', 'within_budget', (CASE WHEN saved > 0 THEN sent / saved <= 0.05 ELSE sent = 0 END)::INT FROM r
+ UNION ALL SELECT 'index', 'files', (SELECT count(*) FROM documents)""")
+def u4(spark, d):
+    return usage.weekly_rows(usage.saved_vs_overhead(usage.usage_report(A.usage_events(spark, d))), A.table(spark, d, "documents").agg(F.count("*").alias("files")))
+
+
+@query("s5_json_report", f"WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='root,')} GROUP BY root) SELECT root, '{{\"calls\":' || calls || ',\"cache_hits\":' || cache_hits || ',\"saved\":' || saved || '}}' AS report FROM r")
+def s5(spark, d):
+    return usage.usage_report(A.usage_events(spark, d), "root").select("root", F.to_json(F.struct("calls", "cache_hits", "saved")).alias("report"))

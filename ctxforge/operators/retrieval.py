@@ -144,3 +144,29 @@ def hit_rate(results: DataFrame, expected: DataFrame) -> DataFrame:
     """grp (null: all), queries, hit_rate: whether a query's results hold an expected path; expected: query_id, grp, path."""
     hits = expected.join(results.select("query_id", "path", "rank"), ["query_id", "path"], "left").groupBy("query_id", "grp").agg(F.min("rank").alias("first_rank"))
     return hits.rollup("grp").agg(F.count("*").alias("queries"), F.avg(F.col("first_rank").isNotNull().cast("double")).alias("hit_rate"))
+
+
+# Accented Latin letters and what they are without accents.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def fold_accents(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
+def recall_fulltext(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """query_id, root, path: files whose path or sample has a term, accents aside; per query the first RECALL_FACTOR * top_k by path."""
+    words = files.select("root", "path", F.explode(T.tokenize(fold_accents(F.concat_ws(" ", "path", "sample")))).alias("term"))
+    asked = parsed.select("query_id", "root", "top_k", F.explode(T.tokenize(fold_accents(F.col("query")))).alias("term"))
+    hits = asked.join(words, ["root", "term"]).select("query_id", "root", "path", "top_k").distinct()
+    w = Window.partitionBy("query_id").orderBy("path")
+    return hits.withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("top_k") * R.RECALL_FACTOR).select("query_id", "root", "path")
+
+
+def similar_pairs(top: DataFrame) -> DataFrame:
+    """query_id, path_a, path_b, similarity of the few top files of each query."""
+    t = top.select("query_id", "path", "kind", T.tokenize(F.concat_ws(" ", "path", "sample")).alias("words"))
+    a, b = t.alias("a"), t.alias("b")
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.path") < F.col("b.path")))
+    return pairs.select(F.col("a.query_id").alias("query_id"), F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.round(file_similarity("a", "b"), 6).alias("similarity"))

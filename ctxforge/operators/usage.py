@@ -40,3 +40,9 @@ def saved_vs_overhead(report: DataFrame) -> DataFrame:
         "overhead_ratio": F.when(saved > 0, over / saved).otherwise(0.0),
         "within_budget": F.when(saved > 0, over / saved <= R.OVERHEAD_BUDGET).otherwise(over == 0),
     })
+
+
+def weekly_rows(report: DataFrame, index_stats: DataFrame) -> DataFrame:
+    """section, metric, value: one long table of one-row reports. Totals are of all time."""
+    usage_rows = report.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(m).cast("int").cast("double").alias("value") if m == "within_budget" else F.col(m).cast("double").alias("value")) for s, m in (("usage", "calls"), ("usage", "cache_hits"), ("usage", "cache_misses"), ("savings", "net"), ("savings", "baseline"), ("savings", "within_budget"))])).alias("x")).select("x.*")
+    return usage_rows.unionByName(index_stats.select(F.lit("index").alias("section"), F.lit("files").alias("metric"), F.col("files").cast("double").alias("value")))

@@ -1,0 +1,157 @@
+"""Every query against its SQL, and values worked out by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ctxforge.functions import text as T
+from ctxforge.jobs.catalog import ORACLES, QUERIES
+from ctxforge.operators import cache, commands, index, lint, retrieval, scan, symbols, usage, zones
+from tests.oracle import SF, check
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    if name in ORACLES:
+        check(df, ORACLES[name])
+    else:
+        assert df.count() > 0
+
+
+def values(spark, column, rows):
+    return [r[0] for r in spark.createDataFrame([(r,) for r in rows], "x string").select(column(F.col("x"))).collect()]
+
+
+def test_token_estimate(spark):
+    assert values(spark, T.token_estimate, ["", "abcd", "abcde", "你好", "ab 你é", None, "　 "]) == [0, 1, 2, 3, 4, 0, 0]
+
+
+def test_paths(spark):
+    assert values(spark, T.normalize_path, ["./a//b/../c", "a\\b", ".", "", "../x", "/a/./b/"]) == ["a/c", "a/b", "", "", "../x", "/a/b"]
+    assert values(spark, T.ancestors, ["a/b/c.ts", "x.ts"]) == [["", "a", "a/b"], [""]]
+
+
+def test_tokenize(spark):
+    assert values(spark, T.tokenize, ["Use useX, use 路由 a b"]) == [["use", "usex", "路由"]]
+
+
+def test_glob():
+    import re
+
+    cases = [("src/**", "src/a/b.ts", True), ("src/**", "src", True), ("src/**", "lib/a", False), ("*.md", "docs/a.md", True), ("docs", "x/docs/y.md", True), ("a/*.ts", "a/b.ts", True), ("a/*.ts", "a/b/c.ts", False), ("b/c.ts", "a/b/c.ts", True)]
+    for g, path, want in cases:
+        assert bool(re.search(scan.glob_regex(g), path)) == want, (g, path)
+
+
+def test_kinds_and_roles(spark):
+    from ctxforge.functions import rules as R
+
+    want = {
+        "Application.java": ("config", "app-entry"), "go.sum": ("config", "configuration"), "a.svg": ("binary", ""), "README": ("documentation", "documentation"), "yarn.lock": ("lockfile", ""), "router/x.ts": ("source", ""),
+        "src/router/x.ts": ("source", "route-definition"), "a.d.ts": ("source", "generated-noisy"), "x.min.js": ("build_artifact", ""), "android/app/b.gradle.kts": ("config", "configuration"), ".ai-docs/x.md": ("ai_cache", ""), "odd.zzz": ("unknown", ""),
+    }
+    df = scan.classify(spark.createDataFrame([(p,) for p in want], "path string")).select("path", "kind", F.expr(R.ROLE_CASE).alias("role"))
+    assert {r.path: (r.kind, r.role) for r in df.collect()} == want
+
+
+def test_scan_edges(spark):
+    rows = [("r", ".gitignore", "skip/\n*.gen\n"), ("r", "skip/a.ts", "x"), ("r", "a.gen", "x"), ("r", "b.ts", "a\x00b"), ("r", "c.ts", None), ("r", "d.ts", "ok"), ("r", "node_modules/x/y.js", "x")]
+    got = {r.path: (r.skip_reason, r.pruned_folder) for r in scan.scan(spark.createDataFrame([(*r, 0) for r in rows], "root string, path string, content string, mtime long")).collect()}
+    assert got == {".gitignore": (None, None), "skip/a.ts": (None, "skip"), "a.gen": ("gitignore", None), "b.ts": ("binary", None), "c.ts": ("read_error", None), "d.ts": (None, None), "node_modules/x/y.js": (None, "node_modules")}
+
+
+def test_symbols():
+    got = list(symbols.symbols_of("src/stores/cart.ts", "x\nexport const s = defineStore('cart', {})\nexport function useCart() {}"))
+    assert got == [("cart", "store", 2), ("useCart", "composable", 3)]
+    got = list(symbols.symbols_of("A.java", '@RestController\npublic class OrderController {\n@GetMapping("")\n@PostMapping(value = "/x")'))
+    assert got == [("OrderController", "controller", 2), ("/", "endpoint", 3), ("/x", "endpoint", 4)]
+    assert list(symbols.symbols_of("src/router.ts", "")) == [("router", "route", 1)] and list(symbols.symbols_of("a.py", "class A")) == []
+
+
+def test_symbol_points_follow_term_order(spark):
+    d = spark.createDataFrame([(["use", "usecart"],), (["usecart", "use"],)], "t array<string>").withColumn("s", F.array(F.struct(F.lit("useCart").alias("name"), F.lit("hook").alias("kind"), F.lit(50).alias("weight"))))
+    assert [r[0] for r in d.select(retrieval.symbol_points(F.col("s"), F.col("t"), F.array(F.lit("none")))).collect()] == [45.0, 30.0]
+
+
+def test_sync_is_idempotent(spark):
+    cur = spark.createDataFrame([("r", "a", 1, 1, "h", True), ("r", "b", 2, 2, "i", True), ("r", "c", 3, 9, "j", True), ("r", "e", 1, 1, None, False)], "root string, path string, size_bytes long, mtime long, hash string, readable boolean")
+    old = spark.createDataFrame([("r", "a", 1, 1, "h"), ("r", "c", 3, 3, "j"), ("r", "d", 1, 1, "k"), ("r", "e", 1, 1, "z")], "root string, path string, size_bytes long, mtime long, hash string")
+    diff = index.sync_diff(cur, old)
+    assert {r.path: r.action for r in diff.collect()} == {"a": "unchanged", "b": "upsert", "c": "touched", "d": "delete", "e": "read_error"}
+    new = index.apply_sync(old, cur, diff)
+    assert {r.action for r in index.sync_diff(cur, new).collect()} == {"unchanged", "read_error"}
+
+
+def test_write_index_twice(spark, tmp_path):
+    d = spark.createDataFrame([("r", "a", "x", 1), ("r", "a", "x", 1), ("s", "b", "y", 1)], "root string, path string, term string, count int")
+    for _ in range(2):
+        index.write_index(d, f"{tmp_path}/i")
+    assert spark.read.parquet(f"{tmp_path}/i").count() == 2
+
+
+def test_mmr(spark):
+    rows = [("q", f"p{i}/x.ts", "source", float(100 - i), ["a", "b", str(i)], 5, "a b " + str(i)) for i in range(12)]
+    s = spark.createDataFrame(rows, "query_id string, path string, kind string, rel double, terms array<string>, top_k int, sample string")
+    got = sorted(retrieval.mmr(s).collect(), key=lambda r: r["rank"])
+    assert got[0].path == "p0/x.ts" and len(got) == 5 and len({r.path for r in got}) == 5
+
+
+def test_p95_and_ratio(spark):
+    e = spark.createDataFrame([("latency", v, 0, 0, 0, 0, 0, 0) for v in (10, 30, 0)], "kind string, latency_ms long, token_estimate long, saved long, avoided long, sent long, adjusted long, ignored long")
+    assert usage.p95_latency(e).first()[0] == 30
+    r = spark.createDataFrame([(1000, 40), (300, 120), (0, 0), (0, 50)], "saved long, sent long")
+    assert [x.within_budget for x in usage.saved_vs_overhead(r).collect()] == [True, False, True, False]
+
+
+def test_append_usage(spark, tmp_path):
+    e = spark.createDataFrame([("call", "", "2024-01-01 00:00:00"), ("", "t", "2024-01-01 00:00:00"), (None, "t", "2024-01-02 00:00:00")], "kind string, tool string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    usage.append_usage(e, f"{tmp_path}/u")
+    assert [(r.kind, r.tool) for r in spark.read.parquet(f"{tmp_path}/u").collect()] == [("call", "unknown")]
+
+
+def test_lint_lines(spark):
+    text = "api_key = abcdefghijklmnop\nsee 2024-01-02 now\nid deadbeefdeadbeefdeadbeef\nsha256 deadbeefdeadbeefdeadbeef\nfine x2024-01-02\n-----BEGIN RSA PRIVATE KEY-----"
+    d = spark.createDataFrame([("r", 1, "f", text)], "root string, doc_seq long, file string, text string")
+    assert {(r.line, r.rule) for r in lint.bad_lines(d).collect()} == {(1, "secret_pattern"), (2, "dynamic_info"), (3, "dynamic_info"), (6, "secret_pattern")}
+
+
+def test_paragraph_lines(spark):
+    p = "word " * 30
+    d = spark.createDataFrame([("r", 1, "a", f"x\ny\n\n{p}\n\n{p.upper()}"), ("r", 2, "b", p)], "root string, doc_seq long, file string, text string")
+    assert {(r.file, r.line, r.first_file) for r in lint.duplicate_paragraphs(d).collect()} == {("a", 6, "a"), ("b", 1, "a")}
+
+
+def test_cache_ttl(spark):
+    log = spark.createDataFrame([("k", "set", 10, 0, 1), ("k", "get", 0, 5, 2), ("k", "get", 0, 10, 3), ("k", "set", 0, 11, 4), ("k", "get", 0, 999, 5), ("k", "delete", 0, 1000, 6), ("k", "get", 0, 1001, 7)], "key string, op string, ttl_ms long, at_ms long, seq long")
+    assert [r.hit for r in sorted(cache.cache_replay(log).collect(), key=lambda r: r.seq)] == [True, False, True, False]
+
+
+def test_cache_key(spark):
+    d = spark.createDataFrame([("t", {"a": "1", "b": "2"}, None), ("t", {"b": "2", "a": "1"}, ""), ("a:b", {}, "v1"), ("", {}, "v1")], "tool string, args map<string,string>, v string")
+    keys = [r[0] for r in d.select(T.cache_key(F.col("tool"), F.col("args"), F.col("v"))).collect()]
+    assert keys[0] == keys[1] and keys[0].endswith(":v1") and keys[2] is None and keys[3] is None
+
+
+def test_zones(spark):
+    d = spark.createDataFrame([(1, "é<a>one</a>x<a>two</a>"), (2, "no zones"), (3, "<a>open"), (4, "</a> orphan <a>"), (5, "<a>x <a> y</a>")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in zones.extract_zones(d, "<a>", "</a>").collect())
+    assert got == [(1, 0, "one", 5, 8), (1, 1, "two", 16, 19), (5, 0, "x <a> y", 3, 10)]
+    assert {r.doc_id: r.error for r in zones.zone_errors(d, "<a>", "</a>").collect()} == {3: "missing_end", 4: "orphan_end"}
+
+
+def test_no_invented_test_command(spark):
+    f = spark.createDataFrame([("r", "build.gradle", "task foo {}\ntasks.register('foo')"), ("s", "package.json", "{bad")], "root string, path string, content string")
+    assert sorted((r.root, r.name) for r in commands.discover_commands(f).collect()) == [("r", "build"), ("r", "foo")]
+
+
+def test_entry_without_llm(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/ctxforge", f"{tmp_path}/ctxforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [k for k in e.queries() if k.startswith('op')])"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.returncode == 0 and out.stdout.strip().endswith("[]"), out.stderr
