@@ -155,3 +155,15 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [k for k in e.queries() if k.startswith('op')])"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0 and out.stdout.strip().endswith("[]"), out.stderr
+
+
+def test_read_tree(spark, tmp_path):
+    from ctxforge.sources.tree import read_tree
+
+    (tmp_path / "t/src").mkdir(parents=True)
+    (tmp_path / "t/src/a.ts").write_bytes(b"export const x = 1")
+    (tmp_path / "t/b.bin").write_bytes(b"a\x00b")
+    (tmp_path / "t/big.txt").write_bytes(b"x" * 70000 + "你".encode() * 10)
+    got = {r.path: r for r in scan.scan(read_tree(spark, f"file://{tmp_path}/t", "r")).collect()}
+    assert set(got) == {"src/a.ts", "b.bin", "big.txt"} and got["src/a.ts"].skip_reason is None and got["b.bin"].skip_reason == "binary"
+    assert len(got["big.txt"].sample.encode()) == 8192 and got["big.txt"].token_estimate == -(-(8192 - 30) // 4) + 15
