@@ -168,6 +168,11 @@ _PROFILES = f"""{NAMED}, sig AS (SELECT root, bool_or(b = 'angular.json') AS ang
 prof AS (SELECT * FROM (SELECT root, '' AS dir, {R.PROFILE_CASE} AS profile FROM sig) WHERE profile IS NOT NULL)"""
 
 
+@query("f2_profile_signals", f"WITH {_PROFILES} SELECT root, '' AS dir, angular, package, jvm_build, vite, vue, jsx, java, spring FROM sig")
+def f2(spark, d):
+    return scan.profile_signals(A.files(spark, d))
+
+
 @query("f3_classify_profile", f"WITH {_PROFILES} SELECT * FROM prof")
 def f3(spark, d):
     return scan.profiles(A.files(spark, d))

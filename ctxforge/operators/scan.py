@@ -105,15 +105,19 @@ def skipped_summary(scanned: DataFrame) -> DataFrame:
     return counts.join(firsts, ["root", "reason"])
 
 
-def profiles(files: DataFrame) -> DataFrame:
-    """root, dir, profile: every project folder and the framework that the files below it show."""
+def profile_signals(files: DataFrame) -> DataFrame:
+    """root, dir and what the files below each project folder show: a join on ancestor folders, then a combined aggregate."""
     named = with_names(files.select("root", "path", "content"))
     b, ext = F.col("b"), F.col("ext")
     roots = named.where(b.isin("angular.json", "package.json", "pom.xml", "build.gradle", "settings.gradle") | b.startswith("vite.config.")).select("root", T.folder(F.col("p")).alias("dir")).distinct()
     flags = {"angular": b == "angular.json", "package": b == "package.json", "jvm_build": b.isin("pom.xml", "build.gradle", "settings.gradle"), "vite": b.startswith("vite.config."), "vue": ext == ".vue", "jsx": ext.isin(".tsx", ".jsx"), "java": ext.isin(".java", ".kt"), "spring": ext.isin(".java", ".kt") & F.contains("content", F.lit("@SpringBootApplication"))}
     each = named.select("root", F.explode(T.ancestors(F.col("p"))).alias("dir"), *[c.alias(n) for n, c in flags.items()]).join(roots, ["root", "dir"])
-    sig = each.groupBy("root", "dir").agg(*[F.bool_or(n).alias(n) for n in flags])
-    return sig.select("root", "dir", F.expr(R.PROFILE_CASE).alias("profile")).where("profile IS NOT NULL")
+    return each.groupBy("root", "dir").agg(*[F.bool_or(n).alias(n) for n in flags])
+
+
+def profiles(files: DataFrame) -> DataFrame:
+    """root, dir, profile: every project folder and the framework that the files below it show."""
+    return profile_signals(files).select("root", "dir", F.expr(R.PROFILE_CASE).alias("profile")).where("profile IS NOT NULL")
 
 
 def profile_of_files(files: DataFrame, found: DataFrame) -> DataFrame:
