@@ -45,15 +45,18 @@ def listed(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+_TEXT_KINDS = f"""WHEN b = 'readme' OR b LIKE 'readme.%' OR ext IN ({listed(DOC_EXT)}) THEN 'documentation'
+ WHEN b IN ({listed(CONFIG_NAMES)}) OR b LIKE 'vite.config.%' OR b LIKE 'next.config.%' OR b LIKE 'application.%' OR b LIKE 'application-%' OR ext IN ({listed(CONFIG_EXT)}) THEN 'config'
+ WHEN ext IN ({listed(SOURCE_EXT)}) THEN 'source' ELSE 'unknown' END"""
 #: Class of a file by lp (lower-case path... of the root), b (lower-case base name), ext (lower-case extension), p (path).
 KIND_CASE = f"""CASE WHEN b LIKE '%.lock' OR b IN ({listed(LOCKFILES)}) THEN 'lockfile'
  WHEN p = '.claude/settings.local.json' OR p = '.opencode/skills' OR p LIKE '.opencode/skills/%' OR p = '.ai-docs' OR p LIKE '.ai-docs/%' THEN 'ai_cache'
  WHEN ext IN ({listed(BINARY_EXT)}) THEN 'binary'
  WHEN b LIKE '%.min.js' OR b LIKE '%.min.css' OR ext IN ('.map', '.class') THEN 'build_artifact'
  WHEN (p = 'android' OR p LIKE 'android/%') AND (b IN ('androidmanifest.xml', 'build.gradle', 'settings.gradle') OR b LIKE '%.gradle.kts' OR ext IN ({listed(ANDROID_EXT)})) THEN 'config'
- WHEN b = 'readme' OR b LIKE 'readme.%' OR ext IN ({listed(DOC_EXT)}) THEN 'documentation'
- WHEN b IN ({listed(CONFIG_NAMES)}) OR b LIKE 'vite.config.%' OR b LIKE 'next.config.%' OR b LIKE 'application.%' OR b LIKE 'application-%' OR ext IN ({listed(CONFIG_EXT)}) THEN 'config'
- WHEN ext IN ({listed(SOURCE_EXT)}) THEN 'source' ELSE 'unknown' END"""
+ {_TEXT_KINDS}"""
+#: Kind of a file that an option or an ignore rule skips before its class is looked at.
+TEXT_KIND_CASE = f"CASE {_TEXT_KINDS}"
 #: Weight of a file of a kind; android is whether the android rule decided.
 WEIGHT_CASE = f"""CASE kind WHEN 'lockfile' THEN 5 WHEN 'source' THEN 90 WHEN 'documentation' THEN 50 WHEN 'unknown' THEN 20
  WHEN 'config' THEN CASE WHEN (p = 'android' OR p LIKE 'android/%') AND (b IN ('androidmanifest.xml', 'build.gradle', 'settings.gradle') OR b LIKE '%.gradle.kts' OR ext IN ({listed(ANDROID_EXT)})) THEN 40 ELSE 80 END ELSE 0 END"""

@@ -87,8 +87,12 @@ def detect_intent(query: Column, part: int) -> Column:
     return F.array_distinct(F.concat(*each))
 
 
+#: How many results a query gets if it doesn't say, and at most.
+DEFAULT_TOP_K, MAX_TOP_K = 8, 20
+
+
 def clamp_topk(k: Column) -> Column:
-    return F.least(F.greatest(F.coalesce(k, F.lit(8)), F.lit(1)), F.lit(20))
+    return F.least(F.greatest(F.coalesce(k, F.lit(DEFAULT_TOP_K)), F.lit(1)), F.lit(MAX_TOP_K))
 
 
 def cache_key(tool: Column, args: Column, schema: Column) -> Column:

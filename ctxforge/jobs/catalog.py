@@ -105,6 +105,17 @@ def p6(spark, d):
     return scanned(spark, d).select("root", "path", F.coalesce("pruned_reason", "skip_reason").alias("reason"))
 
 
+_EARLY = "'user_exclude', 'include_mismatch', 'gitignore'"
+
+
+@query("p6_scan_options", f"""WITH {SCANNED}, o AS (SELECT s.root, s.path, n.b, n.ext, s.kind, s.weight, CASE WHEN ends_with(s.path, '.xml') THEN 'user_exclude'
+ WHEN NOT (starts_with(s.path, 'src/') OR starts_with(s.path, 'docs/')) THEN 'include_mismatch' ELSE s.skip_reason END AS reason FROM scanned s JOIN named n ON n.root = s.root AND n.p = s.path WHERE pruned_folder IS NULL AND NOT starts_with(s.path, 'types/'))
+SELECT root, path, reason, CASE WHEN reason IN ({_EARLY}) THEN {R.TEXT_KIND_CASE} ELSE kind END AS kind, CASE WHEN reason IN ({_EARLY}) THEN 0 ELSE weight END AS weight FROM o""")
+def p6_options(spark, d):
+    out = scan.scan(A.files(spark, d), include=("src/**", "docs"), exclude=("types", "*.xml"))
+    return out.where("pruned_folder IS NULL").select("root", "path", F.col("skip_reason").alias("reason"), "kind", "weight")
+
+
 @query("p7_assign_role", f"WITH {NAMED} SELECT root, path, role FROM classed")
 def p7(spark, d):
     return scan.classify(A.files(spark, d)).select("root", "path", F.expr(R.ROLE_CASE).alias("role"))
@@ -398,7 +409,7 @@ SELECT grp, count(*) AS queries, avg((r IS NOT NULL)::INT::DOUBLE) AS hit_rate F
 def r14(spark, d):
     _, files = _terms_index(spark, d)
     q = A.queries(spark, d)
-    expected = files.select("root", "path").join(q, "root").groupBy("query_id", F.col("root").alias("grp")).agg(F.min("path").alias("path"))
+    expected = q.join(files.groupBy("root").agg(F.min("path").alias("path")), "root").select("query_id", F.col("root").alias("grp"), "path")
     return retrieval.hit_rate(retrieval.top_by_relevance(_scored(spark, d)), expected)
 
 

@@ -64,15 +64,21 @@ def score(parsed: DataFrame, candidates: DataFrame, summary: DataFrame, symbols:
     return c.withColumn("rel", F.when(noisy, 0.0).otherwise(F.greatest(rel, F.lit(0.0)))).where("rel > 0").select("query_id", "root", "path", "kind", "weight", "role", "token_estimate", "sample", "terms", "top_k", "rel")
 
 
-def normalized(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id")
-    lo, hi = F.min("rel").over(w), F.max("rel").over(w)
-    return scored.withColumn("rel_norm", F.when(hi - lo <= 0, 1.0).otherwise((F.col("rel") - lo) / (hi - lo)))
+def normalized(scored: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rel_norm: relevance as a share of the query's range over scored, for these rows or all.
+
+    The range is an aggregate, so a query's candidates needn't meet in a task.
+    """
+    ends = scored.groupBy("query_id").agg(F.min("rel").alias("lo"), F.max("rel").alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    out = (scored if rows is None else rows).join(ends, "query_id")
+    return out.withColumn("rel_norm", F.when(span <= 0, 1.0).otherwise((F.col("rel") - F.col("lo")) / span)).drop("lo", "hi")
 
 
 def top_by_relevance(scored: DataFrame) -> DataFrame:
+    """The best top_k of each query. The fixed bound beside it lets each task cut its own rows before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "path")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k"))
+    return scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= T.MAX_TOP_K) & (F.col("rank") <= F.col("top_k")))
 
 
 def file_similarity(a: str, b: str) -> Column:
@@ -87,18 +93,30 @@ def file_similarity(a: str, b: str) -> Column:
     return R.SIM_DIR * F.when(most == 0, 0.0).otherwise(run / most) + R.SIM_KIND * (F.col(f"{a}.kind") == F.col(f"{b}.kind")).cast("double") + R.SIM_TERMS * jac
 
 
-def mmr(scored: DataFrame) -> DataFrame:
-    """query_id, path, rel, rank: a greedy pick of relevant and unlike files.
+def shortlist(scored: DataFrame) -> DataFrame:
+    """The best RECALL_FACTOR * top_k candidates of each query, with rel_norm over all of them.
 
-    Only the best RECALL_FACTOR * top_k of a query take part, so a query's group is small by construction.
+    Each task cuts its own rows to the fixed bound before the shuffle.
     """
     w = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "path")
-    best = normalized(scored).withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("top_k") * R.RECALL_FACTOR)
-    best = best.select("query_id", "path", "kind", "rel", "rel_norm", "top_k", T.tokenize(F.concat_ws(" ", "path", "sample")).alias("words"))
+    i = F.col("i")
+    best = scored.withColumn("i", F.row_number().over(w)).where((i <= T.MAX_TOP_K * R.RECALL_FACTOR) & (i <= F.col("top_k") * R.RECALL_FACTOR))
+    return normalized(scored, best.drop("i"))
+
+
+def mmr(scored: DataFrame) -> DataFrame:
+    """A greedy pick of relevant and unlike files among the shortlist of scored candidates: query_id, path, rank."""
+    return diverse(shortlist(scored)).select("query_id", "path", "rank")
+
+
+def diverse(best: DataFrame) -> DataFrame:
+    """Shortlisted rows that the greedy pick takes, and their rank. A query's group is small by construction."""
+    best = best.withColumn("words", T.tokenize(F.concat_ws(" ", "path", "sample"))).drop("sample", "terms")
+    keep = [c for c in best.columns if c not in ("words", "rel_norm", "top_k")]
+    schema = ", ".join(f"{c} {best.schema[c].dataType.simpleString()}" for c in keep) + ", rank int"
 
     def pick(pdf):
         import numpy as np
-        import pandas as pd
 
         pdf = pdf.sort_values(["rel", "path"], ascending=[False, True], kind="stable").reset_index(drop=True)
         words, dirs = [set(x) for x in pdf["words"]], [p.split("/")[:-1] for p in pdf["path"]]
@@ -119,17 +137,21 @@ def mmr(scored: DataFrame) -> DataFrame:
             free[i] = False
             out.append(i)
             near = np.maximum(near, [like(i, j) if free[j] else 0.0 for j in range(len(pdf))])
-        return pd.DataFrame({"query_id": pdf["query_id"][0], "path": pdf["path"][out].to_numpy(), "rank": range(1, len(out) + 1)})
+        return pdf.loc[out, keep].assign(rank=range(1, len(out) + 1))
 
-    return best.groupBy("query_id").applyInPandas(pick, "query_id string, path string, rank int")
+    return best.groupBy("query_id").applyInPandas(pick, schema)
 
 
-def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame, diverse: bool = True) -> DataFrame:
-    """query_id, rank, path, kind, weight, score, token_estimate, snippet."""
+def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame) -> DataFrame:
+    """query_id, rank, path, kind, weight, score, token_estimate, snippet.
+
+    Texts are read to score candidates and are dropped; only those of the shortlist are joined again.
+    """
     parsed = parse_queries(queries)
     scored = score(parsed, recall_all(parsed, recall(parsed, keywords), summary), summary, symbols)
-    ranked = scored.join(mmr(scored), ["query_id", "path"]) if diverse else top_by_relevance(scored)
-    return ranked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", T.snippet(F.col("sample"), F.col("path"), F.col("terms")).alias("snippet"))
+    best = shortlist(scored.drop("sample", "terms", "role")).join(summary.select("root", "path", "sample"), ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
+    picked = diverse(best.withColumn("snippet", T.snippet(F.col("sample"), F.col("path"), F.col("terms"))))
+    return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", "snippet")
 
 
 def retrieval_usage(results: DataFrame, queries: DataFrame, totals: DataFrame) -> DataFrame:

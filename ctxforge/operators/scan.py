@@ -50,40 +50,56 @@ def ignore_rules(files: DataFrame, names=((".gitignore", "gitignore"), (".contex
 
 
 def rule_regex(pattern: Column) -> Column:
-    """The same translation as glob_regex for patterns in a column, without ** or inner slashes' suffixes."""
-    quoted = F.regexp_replace(pattern, r"([.^$+(){}|\[\]\\])", r"\\$1")
-    body = F.replace(F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\x01")), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("\x01"), F.lit(".*"))
-    return F.when(F.contains(pattern, F.lit("/")), F.concat(F.lit("^(?:"), body, F.lit(")(?:/.*)?$"))).otherwise(F.concat(F.lit("^(?:.*/)?(?:"), body, F.lit(")(?:/.*)?$")))
+    """The same translation as glob_regex for patterns in a column."""
+    pattern = F.regexp_replace(pattern, r"^(\./|/)", "")
+    quote = lambda c: F.regexp_replace(c, r"([.^$+(){}|\[\]\\])", r"\\$1")
+    plain = lambda c: F.replace(F.replace(quote(c), F.lit("*"), F.lit("[*]")), F.lit("?"), F.lit("[?]"))
+    body = F.replace(F.replace(F.replace(F.replace(quote(pattern), F.lit("**"), F.lit("\x01")), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("\x01"), F.lit(".*"))
+    more = (
+        F.when(pattern.endswith("/**"), F.concat(plain(F.regexp_replace(pattern, r"/\*\*$", "")), F.lit("(/.*)?")))
+        .when(F.contains(pattern, F.lit("**")), body).when(F.contains(pattern, F.lit("/")), F.concat(body, F.lit("|.*/"), plain(pattern)))
+        .otherwise(F.concat(F.lit("(.*/)?"), body, F.lit("(/.*)?")))
+    )
+    return F.concat(F.lit("^(?:"), plain(pattern), F.lit("(/.*)?|"), more, F.lit(")$"))
 
 
-def pruned_folder(path: Column, ignore: Column | None = None) -> Column:
-    """The shallowest folder above a path that built-in lists prune, as (folder, reason); null without one."""
-    last = lambda d: F.regexp_extract(d, r"[^/]*$", 0)
-    reason = lambda d: F.when(d.isin(".opencode/skills", ".ai-docs"), "ai_cache").when(last(d).isin(*R.ARTIFACT_DIRS), "build_artifact").when(last(d).isin(*R.IDE_DIRS), "ide_config")
-    found = F.filter(F.transform(T.ancestors(path), lambda d: F.struct(d.alias("folder"), reason(d).alias("reason"))), lambda x: x["reason"].isNotNull())
-    return F.get(found, F.lit(0))
+def builtin_reason(folder: Column) -> Column:
+    """Why the built-in lists prune a folder; null if they don't."""
+    last = F.regexp_extract(folder, r"[^/]*$", 0)
+    return F.when(folder.isin(".opencode/skills", ".ai-docs"), "ai_cache").when(last.isin(*R.ARTIFACT_DIRS), "build_artifact").when(last.isin(*R.IDE_DIRS), "ide_config")
 
 
-def scan(files: DataFrame) -> DataFrame:
+def any_glob(path: Column, patterns) -> Column:
+    regexes = [r for r in map(glob_regex, patterns) if r]
+    return path.rlike("|".join(regexes)) if regexes else F.lit(False)
+
+
+def scan(files: DataFrame, include=(), exclude=()) -> DataFrame:
     """Every file with kind, weight, role, sample, token_estimate, skip_reason (null if kept) and pruned folder.
 
     Rules are few per repository, so they are matched after a join on root; the shallowest pruned
-    folder wins, ignore rules before the built-in lists at equal depth.
+    folder wins; at equal depth the exclude patterns come before ignore rules, those before the
+    built-in lists. A file is skipped by the first of: exclude, no match in a given include list,
+    ignore rules, its class, its content. The first three leave it its kind as text and no weight.
     """
     rules = ignore_rules(files).select("root", "seq", "source", rule_regex(F.col("pattern")).alias("regex")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "source", "regex"))).alias("rules"))
     out = classify(files).join(rules, "root", "left")
     none = F.array().cast("array<struct<seq:int,source:string,regex:string>>")
-    first = lambda p: F.get(F.filter(F.coalesce("rules", none), lambda r: F.expr("1 = 1") & F.regexp_like(p, r["regex"])), F.lit(0))["source"]
+    first = lambda p: F.get(F.filter(F.coalesce("rules", none), lambda r: F.regexp_like(p, r["regex"])), F.lit(0))["source"]
+    excluded = lambda p: F.when(any_glob(p, exclude), "user_exclude")
     folders = F.filter(T.ancestors(F.col("p")), lambda d: d != "")
-    ignored = F.get(F.filter(F.transform(folders, lambda d: F.struct(d.alias("folder"), first(d).alias("reason"))), lambda x: x["reason"].isNotNull()), F.lit(0))
-    out = out.withColumn("ignored", ignored).withColumn("builtin", pruned_folder(F.col("p")))
-    by_rule = F.col("ignored").isNotNull() & (F.col("builtin").isNull() | (F.length("ignored.folder") <= F.length("builtin.folder")))
-    out = out.withColumn("pruned", F.when(by_rule, F.col("ignored")).otherwise(F.col("builtin")))
-    text = T.sample(F.col("content"))
-    reason = F.coalesce(first(F.col("p")), F.col("class_skip"), F.when(F.col("content").isNull(), "read_error"), F.when(T.is_binary(F.col("content")), "binary"))
-    out = out.withColumn("skip_reason", F.when(F.col("pruned").isNull(), reason)).withColumn("sample", F.when(F.col("pruned").isNull() & F.col("skip_reason").isNull(), text))
-    out = out.withColumn("role", F.expr(R.ROLE_CASE)).withColumn("token_estimate", T.token_estimate(F.col("sample"))).withColumn("size_bytes", F.octet_length("content").cast("long"))
-    return out.select("root", F.col("p").alias("path"), "mtime", "kind", "weight", "role", "size_bytes", "token_estimate", "skip_reason", F.col("pruned.folder").alias("pruned_folder"), F.col("pruned.reason").alias("pruned_reason"), "sample", "content")
+    judged = F.transform(folders, lambda d: F.struct(d.alias("folder"), F.coalesce(excluded(d), first(d), builtin_reason(d)).alias("reason")))
+    out = out.withColumn("pruned", F.get(F.filter(judged, lambda x: x["reason"].isNotNull()), F.lit(0)))
+    alive = F.col("pruned").isNull()
+    p = F.col("p")
+    early = F.coalesce(excluded(p), F.when(~any_glob(p, include), "include_mismatch") if include else F.lit(None).cast("string"), first(p))
+    late = F.coalesce("class_skip", F.when(F.col("content").isNull(), "read_error"), F.when(T.is_binary(F.col("content")), "binary"))
+    out = out.withColumn("early", F.when(alive, early)).withColumn("skip_reason", F.when(alive, F.coalesce("early", late)))
+    out = out.withColumn("sample", F.when(alive & F.col("skip_reason").isNull(), T.sample(F.col("content")))).withColumn("role", F.expr(R.ROLE_CASE))
+    kind = F.when(F.col("early").isNotNull(), F.expr(R.TEXT_KIND_CASE)).when(F.col("skip_reason") == "binary", "binary").otherwise(F.col("kind"))
+    weight = F.when(F.col("early").isNotNull() | F.col("skip_reason").isin("binary", "read_error"), 0).otherwise(F.col("weight"))
+    out = out.withColumn("token_estimate", T.token_estimate(F.col("sample"))).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    return out.select("root", p.alias("path"), "mtime", kind.alias("kind"), weight.alias("weight"), "role", "size_bytes", "token_estimate", "skip_reason", F.col("pruned.folder").alias("pruned_folder"), F.col("pruned.reason").alias("pruned_reason"), "sample", "content")
 
 
 def scan_totals(scanned: DataFrame) -> DataFrame:

@@ -43,6 +43,29 @@ def test_glob():
         assert bool(re.search(scan.glob_regex(g), path)) == want, (g, path)
 
 
+def test_rules_in_columns_match_globs(spark):
+    import itertools
+
+    globs = ["src/**", "*.md", "docs", "a/*.ts", "b/c.ts", "a/**/x?.ts", "**/*.gen", "./lib", "a+b/(c)", "x?.ts"]
+    paths = ["src", "src/a/b.ts", "docs/a.md", "x/docs/y.md", "a/b.ts", "a/b/c.ts", "a/q/x1.ts", "p/q.gen", "q.gen", "lib/z", "a+b/(c)", "a+b/(c)/d", "x1.ts", "x12.ts"]
+    d = spark.createDataFrame(list(itertools.product(globs, paths)), "g string, p string")
+    got = d.select("g", "p", F.regexp_like("p", scan.rule_regex(F.col("g"))).alias("hit")).collect()
+    import re
+
+    assert [(r.g, r.p) for r in got if r.hit != bool(re.search(scan.glob_regex(r.g), r.p))] == []
+    assert {r.p for r in got if r.hit and r.g == "a/**/x?.ts"} == {"a/q/x1.ts"}
+
+
+def test_scan_options(spark):
+    rows = [("r", ".gitignore", "gone\n"), ("r", "src/a.ts", "x"), ("r", "src/gone", "x"), ("r", "src/old/b.ts", "x"), ("r", "yarn.lock", "x"), ("r", "src/b.md", "x"), ("r", "c.md", "x")]
+    files = spark.createDataFrame([(*r, 0) for r in rows], "root string, path string, content string, mtime long")
+    got = {r.path: (r.skip_reason or r.pruned_reason, r.kind, r.weight) for r in scan.scan(files, include=["src/**"], exclude=["src/b.*", "old"]).collect()}
+    assert got == {
+        ".gitignore": ("include_mismatch", "config", 0), "src/a.ts": (None, "source", 90), "src/gone": ("gitignore", "unknown", 0), "src/old/b.ts": ("user_exclude", "source", 90),
+        "yarn.lock": ("include_mismatch", "unknown", 0), "src/b.md": ("user_exclude", "documentation", 0), "c.md": ("include_mismatch", "documentation", 0),
+    }
+
+
 def test_kinds_and_roles(spark):
     from ctxforge.functions import rules as R
 
