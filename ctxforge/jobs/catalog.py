@@ -218,17 +218,48 @@ def a3(spark, d):
 
 # --- symbols and index --------------------------------------------------------------------------
 
-@query("y1_extract_symbols")
-def y1(spark, d):
+
+def _found_sql() -> str:
+    """The rules of symbols line by line; a declaration that runs over several lines isn't seen this way."""
+    ext = lambda *e: f"ext IN ({R.listed(e)})"
+    script = ext(".vue", *symbols.SCRIPT_EXT, *symbols.JSX_EXT)
+    jsx, jvm = ext(*symbols.JSX_EXT), ext(*symbols.JVM_EXT)
+    has = lambda x: f"regexp_matches(head, '{x}')"
+    found = [(symbols.STORE, "'store'", script), (symbols.SLICE, "'store'", script), (symbols.USES, f"CASE WHEN {jsx} THEN 'hook' ELSE 'composable' END", script)]
+    found += [(p, "'route'", f"{script} AND router") for p in (symbols.ROUTE_PATH, symbols.ROUTE_TAG)]
+    found += [(p, "'api-method'", f"{script} AND (contains(lp, '/service') OR contains(lp, '/api'))") for p in (symbols.FUNCTIONS, symbols.CONSTANTS)]
+    found += [(symbols.SCRIPT_CLASS, f"'{k}'", f"{script} AND {has(m)}") for m, k in symbols.DECORATED]
+    found += [(p, "'component'", jsx) for p in (symbols.COMPONENT_FN, symbols.COMPONENT_VAR)]
+    annotated = "CASE " + " ".join(f"WHEN {has(p)} THEN '{k}'" for p, k in symbols.ANNOTATED) + " END"
+    found += [(symbols.JVM_CLASS, annotated, f"{jvm} AND {annotated} IS NOT NULL"), (symbols.JVM_REPOSITORY, "'repository'", jvm), (symbols.MAPPING, "'endpoint'", jvm)]
+    each = [f"SELECT root, path, unnest(regexp_extract_all(s, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS name, {k} AS kind, line FROM hl WHERE {on}" for p, k, on in found]
+    each += [f"SELECT root, path, base, 'component', 1 FROM hd WHERE ext = '.vue'", f"SELECT root, path, base, 'route', 1 FROM hd WHERE {script} AND router"]  # noqa: F541
+    return f"""hp AS (SELECT root, path, lower(path) AS lp, regexp_extract(lower(path), '\\.[^./]*$') AS ext, regexp_replace(regexp_extract(lower(path), '[^/]*$'), '\\.[^.]*$', '') AS base, left(content, {R.HEAD_BYTES}) AS head FROM kept),
+hd AS (SELECT *, {has(symbols.ROUTER)} OR contains(lp, '/router') OR contains(lp, '/routes') OR contains(lp, '-routing.module') OR base = 'router' AS router FROM hp WHERE {script} OR {jvm}),
+hl AS (SELECT *, unnest(string_split(head, chr(10))) AS s, generate_subscripts(string_split(head, chr(10)), 1)::INT AS line FROM hd),
+found AS (SELECT root, path, CASE WHEN name = '' AND kind = 'endpoint' THEN '/' ELSE name END AS name, kind, line FROM ({" UNION ALL ".join(each)})),
+syms AS (SELECT root, path, name, kind, min(line) AS line, CASE kind {" ".join(f"WHEN '{k}' THEN {w}" for k, w in R.SYMBOL_WEIGHTS.items())} ELSE 40 END AS weight FROM found WHERE name <> '' GROUP BY ALL),
+sterms AS (SELECT DISTINCT root, path, unnest({terms_sql('name')}) AS term FROM syms)"""
+
+
+_SYMBOLS = f"{SCANNED}, {_found_sql()}"
+
+
+def _found(spark, d):
     return symbols.extract_symbols(index.kept(scanned(spark, d)))
 
 
-@query("y2_dedupe_symbols")
+@query("y1_extract_symbols", f"WITH {_SYMBOLS} SELECT * FROM found")
+def y1(spark, d):
+    return _found(spark, d).drop("seq")
+
+
+@query("y2_dedupe_symbols", f"WITH {_SYMBOLS} SELECT * FROM syms")
 def y2(spark, d):
-    return symbols.dedupe_symbols(y1(spark, d))
+    return symbols.dedupe_symbols(_found(spark, d))
 
 
-@query("y3_symbol_terms")
+@query("y3_symbol_terms", f"WITH {_SYMBOLS} SELECT * FROM sterms")
 def y3(spark, d):
     return symbols.symbol_terms(y2(spark, d))
 
@@ -238,7 +269,11 @@ def i1_base(spark, d):
     return index.base_terms(scanned(spark, d))
 
 
-@query("i1_build_keywords")
+_KEYWORDS = f"""{_SYMBOLS}, base AS (SELECT root, path, unnest({terms_sql("path || ' ' || kind || ' ' || sample")}) AS term FROM kept),
+keywords AS (SELECT root, path, term, 0 AS from_symbol, 1 AS count FROM base UNION ALL SELECT root, path, term, 1, 1 FROM sterms ANTI JOIN base USING (root, path, term))"""
+
+
+@query("i1_build_keywords", f"WITH {_KEYWORDS} SELECT * FROM keywords")
 def i1(spark, d):
     s = scanned(spark, d)
     return index.build_keywords(s, symbols.symbol_terms(symbols.dedupe_symbols(symbols.extract_symbols(index.kept(s)))))
@@ -364,7 +399,14 @@ def r8(spark, d):
     return _scored(spark, d).select("query_id", "root", "path", F.round("rel", 3).alias("rel"))
 
 
-@query("r6_symbol_score")
+_SYMBOL_POINTS_SQL = f"""{_SCORE_SQL}, {_found_sql()},
+each_sym AS (SELECT p.query_id, s.root, s.path, s.weight, list_contains({_parts(1)}, s.kind) AS wanted, coalesce(list_position(terms, lower(name)), 0) AS exact,
+  coalesce(list_position(list_transform(terms, lambda t: contains(lower(name), t) AND t <> lower(name)), true), 0) AS part FROM cand p JOIN parsed USING (query_id, root) JOIN syms s ON s.root = p.root AND s.path = p.path),
+sym_points AS (SELECT query_id, path, least(sum(CASE WHEN exact > 0 THEN 30.0 ELSE 0 END + CASE WHEN part > 0 AND (exact = 0 OR part < exact) THEN 15.0 ELSE 0 END + CASE WHEN wanted THEN weight * 0.25 ELSE 0 END)::DOUBLE, 60) AS pts FROM each_sym GROUP BY ALL),
+full_rel AS (SELECT scored.*, CASE WHEN noisy THEN 0 ELSE greatest(lex + boost - size_pen + coalesce(pts, 0), 0) END::DOUBLE AS full_score FROM scored LEFT JOIN sym_points USING (query_id, path))"""
+
+
+@query("r6_symbol_score", f"WITH {_SYMBOL_POINTS_SQL} SELECT query_id, root, path, round(full_score, 3) AS rel FROM full_rel WHERE full_score > 0")
 def r6(spark, d):
     return _scored(spark, d, True).select("query_id", "root", "path", F.round("rel", 3).alias("rel"))
 
