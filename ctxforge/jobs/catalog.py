@@ -11,6 +11,8 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import cache, commands, index, lint, retrieval, scan, symbols, usage, zones
 from ..sources import adapters as A
+from ..sources.scratch import scratch_dir
+from ..sources.tree import read_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +69,16 @@ def scanned(spark, d):
 # --- sources and scan ---------------------------------------------------------------------------
 
 
+@query("s1_read_tree", r"SELECT source AS root, sum(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS lines FROM documents GROUP BY source")
+def s1(spark, d):
+    """The documents written as files below a folder for each source, read back as a tree."""
+    path = scratch_dir(spark)
+    A.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1000).text(path)
+    lines = F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    tree = read_tree(spark, path, "corpus").where(F.col("path").startswith("source="))
+    return tree.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("root")).agg(F.sum(lines).cast("long").alias("lines"))
+
+
 @query("s2_sample_text", f"WITH {A.FILES_SQL} SELECT root, path, CASE WHEN strlen(content) > {R.LARGE_BYTES} THEN right(content, {R.TAIL_BYTES}) ELSE content END AS sample FROM files")
 def s2(spark, d):
     return A.files(spark, d).select("root", "path", T.sample(F.col("content")).alias("sample"))
@@ -330,6 +342,13 @@ def i5(spark, d):
     return index.recent_changes(ev).select("root", "path", "change_type", "rank")
 
 
+@query("s3_write_index", f"WITH {_KEYWORDS} SELECT * FROM keywords")
+def s3(spark, d):
+    path = scratch_dir(spark)
+    index.write_index(i1(spark, d), path)
+    return spark.read.parquet(path).drop("root_bucket")
+
+
 # --- retrieval ----------------------------------------------------------------------------------
 
 
@@ -514,6 +533,22 @@ def l5(spark, d):
     return lint.lint_report(lint.findings(_lint_docs(spark, d), "\n"))
 
 
+_SEVERITY = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in R.SEVERITIES.items()) + " END"
+_FOUND = f"""{_LINES}, {_DUPS}, f AS (SELECT * FROM bad WHERE rule IS NOT NULL UNION ALL BY NAME SELECT * EXCLUDE (first_file) FROM dups UNION ALL BY NAME {_LONG} UNION ALL BY NAME {_SCOPE}
+ UNION ALL BY NAME SELECT root, file, 'read_error' AS rule, 0 AS line, '' AS excerpt FROM targets WHERE text IS NULL)"""
+
+
+@query("l5_findings", f"WITH {A.INSTRUCTION_SQL}, {_FOUND} SELECT root, file, rule, line, excerpt, {_SEVERITY} AS severity FROM f")
+def l5_findings(spark, d):
+    return lint.sorted_findings(lint.findings(lint.target_documents(A.instruction_files(spark, d)), "\n"))
+
+
+@query("l5_lint_summary", f"""WITH {A.INSTRUCTION_SQL}, {_FOUND}, g AS (SELECT root, count(*) FILTER (WHERE v = 'HIGH') AS high, count(*) FILTER (WHERE v = 'MEDIUM') AS medium, count(*) FILTER (WHERE v = 'LOW') AS low FROM (SELECT root, {_SEVERITY} AS v FROM f) GROUP BY root)
+SELECT root, files_read, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low FROM (SELECT root, count(text) AS files_read FROM targets GROUP BY root) LEFT JOIN g USING (root)""")
+def l5_summary(spark, d):
+    return lint.lint_summary(lint.target_documents(A.instruction_files(spark, d)), "\n")
+
+
 # --- usage and cache ----------------------------------------------------------------------------
 
 _REPORT = """SELECT {k} count(*) FILTER (WHERE kind = 'call') AS calls, count(*) FILTER (WHERE kind = 'cache_hit') AS cache_hits, count(*) FILTER (WHERE kind = 'cache_miss') AS cache_misses,
@@ -662,11 +697,25 @@ def r10(spark, d):
     return retrieval.similar_pairs(retrieval.top_by_relevance(_scored(spark, d)).where("rank <= 3"))
 
 
-@query("u4_weekly_report", f"""WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='')}) SELECT 'usage' AS section, 'calls' AS metric, calls::DOUBLE AS value FROM r UNION ALL SELECT 'usage', 'cache_hits', cache_hits FROM r UNION ALL SELECT 'usage', 'cache_misses', cache_misses FROM r
- UNION ALL SELECT 'savings', 'net', saved - sent FROM r UNION ALL SELECT 'savings', 'baseline', saved + sent FROM r UNION ALL SELECT 'savings', 'within_budget', (CASE WHEN saved > 0 THEN sent / saved <= 0.05 ELSE sent = 0 END)::INT FROM r
- UNION ALL SELECT 'index', 'files', (SELECT count(*) FROM documents)""")
+def _rows_sql(table: str, section: str, *metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT root, '{section}' AS section, '{m}' AS metric, ({m})::DOUBLE AS value FROM {table}" for m in metrics)
+
+
+@query("u4_weekly_report", f"""WITH {_DIFF_SQL}, {A.USAGE_SQL}, {A.INSTRUCTION_SQL}, {_FOUND},
+stats AS (SELECT root, count(*) AS files, coalesce(sum(token_estimate), 0) AS tokens FROM cur GROUP BY root),
+sync AS (SELECT root, count(*) FILTER (WHERE action = 'upsert') AS updated, count(*) FILTER (WHERE action IN ('unchanged', 'touched')) AS unchanged, count(*) FILTER (WHERE action = 'delete') AS deleted, 0 AS read_errors FROM diff GROUP BY root),
+latest AS (SELECT root, action, path, row_number() OVER (PARTITION BY root ORDER BY coalesce(mtime, 0) // 5000 DESC, path DESC) AS rank FROM diff WHERE action IN ('upsert', 'delete')),
+rep AS ({_REPORT.format(k='root,')} GROUP BY root), save AS (SELECT root, saved - sent AS net, saved + sent AS baseline, CASE WHEN saved + sent > 0 THEN saved / (saved + sent) ELSE 0 END AS reduction_ratio,
+ CASE WHEN saved > 0 THEN sent / saved ELSE 0 END AS overhead_ratio, (CASE WHEN saved > 0 THEN sent / saved <= {R.OVERHEAD_BUDGET} ELSE sent = 0 END)::INT AS within_budget FROM rep),
+ms AS (SELECT root, latency_ms, row_number() OVER (PARTITION BY root ORDER BY latency_ms) AS i, count(*) OVER (PARTITION BY root) AS n FROM usage WHERE kind = 'latency' AND latency_ms > 0),
+lat AS (SELECT root, coalesce(min(latency_ms) FILTER (WHERE i >= ceil(0.95 * n)), 0) AS p95_ms FROM (SELECT DISTINCT root FROM usage) LEFT JOIN ms USING (root) GROUP BY root),
+lint AS (SELECT root, count(*) FILTER (WHERE v = 'HIGH') AS high, count(*) FILTER (WHERE v = 'MEDIUM') AS medium, count(*) FILTER (WHERE v = 'LOW') AS low FROM (SELECT t.root, {_SEVERITY} AS v FROM (SELECT DISTINCT root FROM targets) t LEFT JOIN f USING (root)) GROUP BY root)
+{_rows_sql("stats", "index", "files", "tokens")} UNION ALL {_rows_sql("sync", "sync", "updated", "unchanged", "deleted", "read_errors")} UNION ALL SELECT root, 'changes', action || ' ' || path, rank FROM latest WHERE rank <= 10
+ UNION ALL {_rows_sql("rep", "usage", "calls", "cache_hits", "cache_misses", "token_estimate", "saved")} UNION ALL {_rows_sql("lat", "usage", "p95_ms")}
+ UNION ALL {_rows_sql("save", "savings", "net", "baseline", "reduction_ratio", "overhead_ratio", "within_budget")} UNION ALL {_rows_sql("lint", "lint", "high", "medium", "low")}""")
 def u4(spark, d):
-    return usage.weekly_rows(usage.saved_vs_overhead(usage.usage_report(A.usage_events(spark, d))), A.table(spark, d, "documents").agg(F.count("*").alias("files")))
+    events = A.usage_events(spark, d)
+    return usage.weekly_report(a3(spark, d), i4(spark, d), i5(spark, d), usage.usage_report(events, "root"), usage.p95_latency(events, "root"), l5_summary(spark, d))
 
 
 @query("s5_json_report", f"WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='root,')} GROUP BY root) SELECT root, '{{\"calls\":' || calls || ',\"cache_hits\":' || cache_hits || ',\"saved\":' || saved || '}}' AS report FROM r")

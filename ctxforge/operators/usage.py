@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,21 @@ def saved_vs_overhead(report: DataFrame) -> DataFrame:
     })
 
 
-def weekly_rows(report: DataFrame, index_stats: DataFrame) -> DataFrame:
-    """section, metric, value: one long table of one-row reports. Totals are of all time."""
-    usage_rows = report.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(m).cast("int").cast("double").alias("value") if m == "within_budget" else F.col(m).cast("double").alias("value")) for s, m in (("usage", "calls"), ("usage", "cache_hits"), ("usage", "cache_misses"), ("savings", "net"), ("savings", "baseline"), ("savings", "within_budget"))])).alias("x")).select("x.*")
-    return usage_rows.unionByName(index_stats.select(F.lit("index").alias("section"), F.lit("files").alias("metric"), F.col("files").cast("double").alias("value")))
+def report_rows(df: DataFrame, section: str, *metrics: str) -> DataFrame:
+    """root, section, metric, value: a wide report as long rows."""
+    each = [F.struct(F.lit(m).alias("metric"), (F.col(m).cast("int") if df.schema[m].dataType.typeName() == "boolean" else F.col(m)).cast("double").alias("value")) for m in metrics]
+    return df.select("root", F.lit(section).alias("section"), F.explode(F.array(*each)).alias("x")).select("root", "section", "x.*")
+
+
+def weekly_report(stats: DataFrame, sync: DataFrame, changes: DataFrame, report: DataFrame, latency: DataFrame, lint: DataFrame) -> DataFrame:
+    """One long table of all reports by root; totals are of all time. A change is a metric, its rank the value."""
+    parts = [
+        report_rows(stats, "index", "files", "tokens"),
+        report_rows(sync, "sync", "updated", "unchanged", "deleted", "read_errors"),
+        changes.select("root", F.lit("changes").alias("section"), F.concat_ws(" ", "change_type", "path").alias("metric"), F.col("rank").cast("double").alias("value")),
+        report_rows(report, "usage", "calls", "cache_hits", "cache_misses", "token_estimate", "saved"),
+        report_rows(latency, "usage", "p95_ms"),
+        report_rows(saved_vs_overhead(report), "savings", "net", "baseline", "reduction_ratio", "overhead_ratio", "within_budget"),
+        report_rows(lint, "lint", "high", "medium", "low"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

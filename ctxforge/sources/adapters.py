@@ -59,6 +59,20 @@ files AS (SELECT root, {PATH_CASE} AS path, doc_id * 1000 AS mtime, {HEAD_CASE}
  UNION ALL SELECT root, '.gitignore', 0, 'scratch/' || chr(10) || '*.tmp' || chr(10) || '# note' || chr(10) || '!keep.tmp' || chr(10) FROM fr)"""
 
 
+INSTRUCTION_CASE = "CASE m % 6 WHEN 0 THEN 'AGENTS.md' WHEN 1 THEN 'CLAUDE.md' WHEN 2 THEN 'GEMINI.md' WHEN 3 THEN '.github/copilot-instructions.md' ELSE 'notes/n' || m || '.md' END"
+
+
+def instruction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root, path, content: six documents in a row as files of a repository, four of them instructions; every 50th is unreadable."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text", "source", "doc_id div 20 AS m")
+    return docs.selectExpr("concat(source, '/', m div 6) AS root", f"{INSTRUCTION_CASE} AS path", "CASE WHEN doc_id % 50 <> 0 THEN text END AS content")
+
+
+INSTRUCTION_SQL = f"""im AS (SELECT doc_id, coalesce(text, '') AS text, source, doc_id // 20 AS m FROM documents),
+ifiles AS (SELECT source || '/' || (m // 6) AS root, {INSTRUCTION_CASE} AS path, m % 6 AS doc_seq, CASE WHEN doc_id % 50 <> 0 THEN text END AS text FROM im),
+targets AS (SELECT root, doc_seq, path AS file, text FROM ifiles WHERE doc_seq < 4), ld AS (SELECT * FROM targets WHERE text IS NOT NULL)"""
+
+
 INTENT_WORDS = ("router", "component", "store", "service api", "controller")
 
 

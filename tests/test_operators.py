@@ -1,5 +1,7 @@
 """Every query against its SQL, and values worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,6 @@ def test_tokenize(spark):
 
 
 def test_glob():
-    import re
 
     cases = [("src/**", "src/a/b.ts", True), ("src/**", "src", True), ("src/**", "lib/a", False), ("*.md", "docs/a.md", True), ("docs", "x/docs/y.md", True), ("a/*.ts", "a/b.ts", True), ("a/*.ts", "a/b/c.ts", False), ("b/c.ts", "a/b/c.ts", True)]
     for g, path, want in cases:
@@ -50,7 +51,6 @@ def test_rules_in_columns_match_globs(spark):
     paths = ["src", "src/a/b.ts", "docs/a.md", "x/docs/y.md", "a/b.ts", "a/b/c.ts", "a/q/x1.ts", "p/q.gen", "q.gen", "lib/z", "a+b/(c)", "a+b/(c)/d", "x1.ts", "x12.ts"]
     d = spark.createDataFrame(list(itertools.product(globs, paths)), "g string, p string")
     got = d.select("g", "p", F.regexp_like("p", scan.rule_regex(F.col("g"))).alias("hit")).collect()
-    import re
 
     assert [(r.g, r.p) for r in got if r.hit != bool(re.search(scan.glob_regex(r.g), r.p))] == []
     assert {r.p for r in got if r.hit and r.g == "a/**/x?.ts"} == {"a/q/x1.ts"}
@@ -119,6 +119,41 @@ def test_mmr(spark):
     assert got[0].path == "p0/x.ts" and len(got) == 5 and len({r.path for r in got}) == 5
 
 
+def test_diverse_results_by_brute_force(spark):
+    """The greedy pick by its definition, over the scored candidates of every query."""
+    from ctxforge.jobs.catalog import _scored
+
+    by = {}
+    for r in _scored(spark, SF).collect():
+        words = {w for w in re.split(r"[\W_]+", (r.path + " " + r["sample"]).lower()) if len(w) > 1}
+        by.setdefault(r.query_id, []).append((r.rel, r.path, r.kind, words, r.top_k))
+
+    def alike(x, y):
+        a, b = x[1].split("/")[:-1], y[1].split("/")[:-1]
+        n = next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+        return 0.5 * (n / max(len(a), len(b)) if a or b else 0) + 0.3 * (x[2] == y[2]) + 0.2 * len(x[3] & y[3]) / max(1, len(x[3] | y[3]))
+
+    want = set()
+    for q, rows in by.items():
+        lo, hi, k = min(r[0] for r in rows), max(r[0] for r in rows), rows[0][4]
+        left, taken = sorted(rows, key=lambda r: (-r[0], r[1]))[: 8 * k], []
+        while left and len(taken) < k:
+            norm = {r[1]: (r[0] - lo) / (hi - lo) if hi > lo else 1.0 for r in left}
+            best = max(left, key=lambda r: round(0.7 * norm[r[1]] - 0.3 * max([alike(r, t) for t in taken], default=0), 12))
+            left.remove(best)
+            taken.append(best)
+            want.add((q, len(taken), best[1]))
+    assert {(r.query_id, r["rank"], r.path) for r in QUERIES["r11_mmr_topk"](spark, SF).collect()} == want
+
+
+def test_instruction_targets(spark):
+    f = spark.createDataFrame([("r", "GEMINI.md", None), ("r", "AGENTS.md", "path: src"), ("r", "docs/AGENTS.md", "x"), ("s", "README.md", "x"), ("t", "CLAUDE.md", "scope")], "root string, path string, content string")
+    docs = lint.target_documents(f)
+    assert {(r.root, r.doc_seq, r.file) for r in docs.collect()} == {("r", 2, "GEMINI.md"), ("r", 0, "AGENTS.md"), ("t", 1, "CLAUDE.md")}
+    assert [(r.root, r.rule, r.severity) for r in lint.sorted_findings(lint.findings(docs)).collect()] == [("r", "read_error", "LOW")]
+    assert {tuple(r) for r in lint.lint_summary(docs).collect()} == {("r", 1, 0, 0, 1), ("t", 1, 0, 0, 0)}
+
+
 def test_p95_and_ratio(spark):
     e = spark.createDataFrame([("latency", v, 0, 0, 0, 0, 0, 0) for v in (10, 30, 0)], "kind string, latency_ms long, token_estimate long, saved long, avoided long, sent long, adjusted long, ignored long")
     assert usage.p95_latency(e).first()[0] == 30
