@@ -62,16 +62,26 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.when(F.octet_length(raw) > R.LARGE_BYTES, F.substring(raw, -R.TAIL_BYTES, R.TAIL_BYTES)).otherwise(raw), F.unhex(F.lit("00")))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once per row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def snippet(text: Column, path: Column, terms: Column) -> Column:
     """90 characters before the first query term that occurs and 90 after; else the first 180."""
     flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), R.UNICODE_SPACE + "+", " "))
-    s = F.when(flat == "", path).otherwise(flat)
-    hits = F.filter(F.transform(terms, lambda t: F.instr(F.lower(s), t)), lambda i: i > 0)
-    at = F.get(hits, F.lit(0))
-    begin = F.greatest(at - 91, F.lit(0))
-    around = F.concat(F.when(begin > 0, "...").otherwise(""), s.substr(begin + 1, F.lit(180)), F.when(begin + 180 < F.length(s), "...").otherwise(""))
-    head = F.concat(s.substr(F.lit(1), F.lit(180)), F.when(F.length(s) > 180, "...").otherwise(""))
-    return F.when(at.isNotNull(), around).otherwise(head)
+
+    def first_hit(low: Column) -> Column:
+        return F.get(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda i: i > 0), F.lit(0))
+
+    def clipped(s: Column, at: Column) -> Column:
+        begin = F.greatest(at - 91, F.lit(0))
+        around = F.concat(F.when(begin > 0, "...").otherwise(""), s.substr(begin + 1, F.lit(180)), F.when(begin + 180 < F.length(s), "...").otherwise(""))
+        head = F.concat(s.substr(F.lit(1), F.lit(180)), F.when(F.length(s) > 180, "...").otherwise(""))
+        return F.when(at.isNotNull(), around).otherwise(head)
+
+    shown = once(flat, lambda f: F.when(f == "", path).otherwise(f))
+    return once(shown, lambda s: once(once(F.lower(s), first_hit), lambda at: clipped(s, at)))
 
 
 def detect_intent(query: Column, part: int) -> Column:

@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import cache, commands, index, lint, retrieval, scan, symbols, usage, zones
 from ..sources import adapters as A
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from ..sources.tree import read_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,7 +438,7 @@ def r9(spark, d):
 
 @query("r11_mmr_topk")
 def r11(spark, d):
-    return retrieval.mmr(_scored(spark, d))
+    return retrieval.mmr(written(_scored(spark, d)))
 
 
 _TOP_SQL = f"{_SCORE_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, path) AS rank FROM scored WHERE rel > 0)"
@@ -451,10 +451,12 @@ def r12_rel(spark, d):
 
 @query("r12_memory_query")
 def r12(spark, d):
-    s = scanned(spark, d)
+    """The index tables are written as a service would keep them, then the batch of queries reads them."""
+    s = written(scanned(spark, d))
     files = index.kept(s)
-    syms = symbols.dedupe_symbols(symbols.extract_symbols(files))
-    return retrieval.memory_query(A.queries(spark, d), index.build_keywords(s, symbols.symbol_terms(syms)), files, syms)
+    syms = written(symbols.dedupe_symbols(symbols.extract_symbols(files)))
+    keywords = written(index.build_keywords(s, symbols.symbol_terms(syms)))
+    return retrieval.memory_query(A.queries(spark, d), keywords, files.drop("content"), syms)
 
 
 @query("r13_retrieval_usage", f"""WITH {_TOP_SQL}, sent AS (SELECT query_id, sum({tokens_sql('sample')})::BIGINT AS sent FROM top WHERE rank <= 8 GROUP BY 1), tot AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS tokens FROM kept GROUP BY 1)

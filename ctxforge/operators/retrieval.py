@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..sources.scratch import written
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -145,13 +146,15 @@ def diverse(best: DataFrame) -> DataFrame:
 def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame) -> DataFrame:
     """query_id, rank, path, kind, weight, score, token_estimate, snippet.
 
-    Texts are read to score candidates and are dropped; only those of the shortlist are joined again.
+    Texts are read to score candidates and are dropped; those of the shortlist, and for snippets those of the results, are joined again.
+    Hits and scores are small rows that several steps read, so they are written once.
     """
     parsed = parse_queries(queries)
-    scored = score(parsed, recall_all(parsed, recall(parsed, keywords), summary), summary, symbols)
-    best = shortlist(scored.drop("sample", "terms", "role")).join(summary.select("root", "path", "sample"), ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
-    picked = diverse(best.withColumn("snippet", T.snippet(F.col("sample"), F.col("path"), F.col("terms"))))
-    return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", "snippet")
+    hits = written(recall(parsed, keywords))
+    scored = written(score(parsed, recall_all(parsed, hits, summary), summary, symbols).drop("sample", "terms", "role"))
+    texts = summary.select("root", "path", "sample")
+    picked = diverse(shortlist(scored).join(texts, ["root", "path"])).join(texts, ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
+    return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", T.snippet(F.col("sample"), F.col("path"), F.col("terms")).alias("snippet"))
 
 
 def retrieval_usage(results: DataFrame, queries: DataFrame, totals: DataFrame) -> DataFrame:
