@@ -32,6 +32,10 @@ def query(name: str, sql: str | None = None):
 # --- SQL that several statements share --------------------------------------------------------
 
 SPACE = R.UNICODE_SPACE
+_TAIL_HEX = f"right(hex(encode(content)), {2 * R.TAIL_BYTES})"
+_CUT = f"regexp_extract({_TAIL_HEX}, '^(?:[89AB][0-9A-F]){{0,3}}')"
+#: The last bytes of content as text; each byte left of a cut character becomes U+FFFD.
+TAIL = f"repeat(chr(65533), length({_CUT}) // 2) || decode(from_hex(substr({_TAIL_HEX}, length({_CUT}) + 1)))"
 NAMED = f"""{A.FILES_SQL},
 named AS (SELECT *, path AS p, lower(path) AS lp, lower(regexp_extract(path, '[^/]*$')) AS b, lower(regexp_extract(path, '\\.[^./]*$')) AS ext FROM files),
 kinds AS (SELECT *, {R.KIND_CASE} AS kind FROM named),
@@ -59,7 +63,7 @@ scanned AS (SELECT root, p AS path, mtime, kind, weight, role, strlen(content) A
   CASE WHEN starts_with(p, 'scratch/') THEN 'scratch' WHEN art <> '' THEN rtrim(art, '/') END AS pruned_folder,
   CASE WHEN starts_with(p, 'scratch/') THEN 'gitignore' WHEN art <> '' THEN 'build_artifact' END AS pruned_reason,
   CASE WHEN starts_with(p, 'scratch/') OR art <> '' THEN NULL WHEN ends_with(p, '.tmp') THEN 'gitignore' ELSE class_skip END AS skip_reason FROM cut),
-kept AS (SELECT *, CASE WHEN size_bytes > {R.LARGE_BYTES} THEN right(content, {R.TAIL_BYTES}) ELSE content END AS sample FROM scanned WHERE pruned_folder IS NULL AND skip_reason IS NULL)"""
+kept AS (SELECT *, CASE WHEN size_bytes > {R.LARGE_BYTES} THEN {TAIL} ELSE content END AS sample FROM scanned WHERE pruned_folder IS NULL AND skip_reason IS NULL)"""
 
 
 def scanned(spark, d):
@@ -79,7 +83,7 @@ def s1(spark, d):
     return tree.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("root")).agg(F.sum(lines).cast("long").alias("lines"))
 
 
-@query("s2_sample_text", f"WITH {A.FILES_SQL} SELECT root, path, CASE WHEN strlen(content) > {R.LARGE_BYTES} THEN right(content, {R.TAIL_BYTES}) ELSE content END AS sample FROM files")
+@query("s2_sample_text", f"WITH {A.FILES_SQL} SELECT root, path, CASE WHEN strlen(content) > {R.LARGE_BYTES} THEN {TAIL} ELSE content END AS sample FROM files")
 def s2(spark, d):
     return A.files(spark, d).select("root", "path", T.sample(F.col("content")).alias("sample"))
 
