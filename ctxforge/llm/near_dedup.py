@@ -1,4 +1,4 @@
-"""MinHash near-dedup by an LSH forest, with links confirmed on full shingle sets.
+"""MinHash near-dedup by an LSH forest, completed by an exact join; links are confirmed on full shingle sets.
 
 1. Texts with equal shingle sets form a class; one node stands for a class.
 2. A node's signature has ``TREES`` sequences of ``DEPTH`` minhashes. In each tree, nodes are
@@ -13,8 +13,13 @@
    other propose their ``CROSS`` most alike in each tree, round after round until a round adds no
    link: components that joined free the proposals for others. Copies are never expanded into
    all pairs.
+5. The forest joins most of what is alike, but proves nothing about the rest. An exact join ends
+   the job: shingles have one order, rare ones first; two sets of the wanted similarity share a
+   shingle among the first quarter of each. Nodes of different components that meet there, and
+   that lengths and places of the shingle allow, are all confirmed on the full sets.
 
-A pair of similarity 0.75 shares a region in some tree but for a chance of two in a million.
+The forest only spares the exact join the pairs within components, so no link depends on an
+estimate. The list of frequent shingles comes from a sample; it sets the order, not the result.
 
 Defined results: a null or blank text has no shingles, links with nothing and is its own
 component; fewer than five words form one shingle of the whole sequence; rows that repeat an
@@ -36,6 +41,8 @@ from .shared import materialize, table, text_of
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 TREES, DEPTH, FIRST = 16, 8, 2
 REACH, BEST, CROSS, LEAST_ALIKE = 256, 2, 3, 0.63
+#: Frequent shingles: at least this many of every SAMPLE-th text hold one; the list goes to the driver and is bounded.
+SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 200_000
 N_HASHES = TREES * DEPTH
 PAIRS_PER_TASK, PAIRS_PER_BUNDLE = 2000, 128
 _rng = np.random.default_rng(77)
@@ -200,6 +207,119 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     return p.groupBy("task").cogroup(texts.groupBy("for_task")).applyInPandas(check, "a long, b long")
 
 
+def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Shingles that many sampled texts hold, the most frequent last."""
+
+    def run(batches):
+        words = WordHashes()
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    t = text_of(text_col)
+    some = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long")
+    rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
+    return rows.toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set, rare ones first, that a set alike enough must meet; frequent is sorted, rank its order."""
+    n = len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1
+    if not len(frequent) or not len(s):
+        return s[:n]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
+    rare = s[~often]
+    return rare[:n] if len(rare) >= n else np.concatenate([rare, s[often][np.argsort(rank[at[often]], kind="stable")]])[:n]
+
+
+def _meetings(batches):
+    """Pairs of nodes of different components that share a prefix shingle; rows come by shingle and size."""
+
+    def pairs(n, pos, node, comp):
+        for hi in range(1, len(n)):
+            lo = np.searchsorted(n[:hi], -(-NUMERATOR * int(n[hi]) // DENOMINATOR))
+            x = slice(lo, hi)
+            most = np.minimum(n[x] - pos[x], n[hi] - pos[hi]).astype(np.int64)
+            ok = (comp[x] != comp[hi]) & (most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[x] + n[hi]))
+            if ok.any():
+                other = node[x][ok]
+                yield np.minimum(other, node[hi]), np.maximum(other, node[hi])
+
+    def met(rows):
+        key, n, pos, node, comp = rows
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        ends = np.concatenate([starts[1:], [len(key)]])
+        for k in np.flatnonzero(np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)):
+            g = slice(starts[k], ends[k])
+            yield from pairs(n[g], pos[g], node[g], comp[g])
+
+    def out(rows):
+        a, b, size = [], [], 0
+        for x, y in met(rows):
+            a.append(x)
+            b.append(y)
+            size += len(x)
+            if size > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    held: list = []  # batches that end in the group of one shingle
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+        key = held[-1][0]
+        if key[0] == key[-1] and held[0][0][-1] == key[0]:
+            continue
+        rows = [np.concatenate(v) for v in zip(*held, strict=True)]
+        cut = np.searchsorted(rows[0], rows[0][-1])
+        if cut:
+            yield from out([v[:cut] for v in rows])
+        held = [[v[cut:] for v in rows]]
+    if held:
+        yield from out([np.concatenate(v) for v in zip(*held, strict=True)])
+
+
+def exact_pairs(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """Pairs (a < b) of nodes of different components that may be alike enough: no pair that is is left out."""
+    spark = docs.sparkSession
+    often = frequent_shingles(docs, text_col)
+    order = np.argsort(often, kind="stable")
+    shared = spark.sparkContext.broadcast((often[order], order))
+
+    def heads(batches):
+        words = WordHashes()
+        for b in batches:
+            node, n, head = [], [], []
+            for text in b.column(0).to_pylist():
+                s = shingles(text, words)
+                if len(s):
+                    node.append(node_of(s))
+                    n.append(len(s))
+                    head.append(prefix(s, *shared.value).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.binary())], names=["node", "n", "head"])
+
+    def spread(batches):
+        for b in batches:
+            heads = b.column(3).to_pylist()
+            k = np.array([len(h) // 8 for h in heads], np.int64)
+            pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            node, n, comp = (np.repeat(b.column(i).to_numpy(), k) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(heads), np.int64)), pa.array(n), pa.array(pos.astype(np.int32)), pa.array(node), pa.array(comp)], names=["key", "n", "pos", "node", "comp"])
+
+    rows = docs.select(text_of(text_col).alias("t")).mapInArrow(heads, "node long, n int, head binary").join(labels, "node", "left")
+    rows = rows.select("node", "n", F.coalesce("comp", "node").alias("comp"), "head").mapInArrow(spread, "key long, n int, pos int, node long, comp long")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meetings, "a long, b long").distinct()
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return materialize(components(labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) for the nodes of the edges, by alternating stars.
 
@@ -235,7 +355,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         cross = materialize(confirmed(materialize(proposals(members, CROSS, labels)), classes, docs, text_col))
         if cross.isEmpty():
             break
-        labels = materialize(components(labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(cross)))
+        labels = joined(labels, cross)
+    rest = materialize(confirmed(materialize(exact_pairs(docs, labels, text_col)), classes, docs, text_col))
+    if not rest.isEmpty():
+        labels = joined(labels, rest)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")

@@ -95,6 +95,31 @@ def test_near_dedup(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id = 10").count() == 1
 
 
+def test_near_dedup_links_behind_rivals(spark):
+    """True links whose nodes both have many rivals just below the bound, which estimates may rank first."""
+    texts = []
+    for g in range(12):
+        r = random.Random(500 + g)
+
+        def changed(ws, n, mark, r=r):
+            at = set(r.sample(range(0, 400, 5), n))
+            return [f"{mark}i{i}" if i in at else w for i, w in enumerate(ws)]
+
+        x = [f"g{g}w{i}" for i in range(400)]
+        y = changed(x, 11, f"g{g}y")
+        texts += [" ".join(ws) for ws in [x, y, *(changed((x, y)[k % 2], 12, f"g{g}k{k}") for k in range(60))]]
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i // 62 * 62, i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i: min(k for k, g in enumerate(group) if g == group[i]) for i in range(len(texts))}
+    assert any(want[i] != i for i in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_signatures_estimate_likeness():
     w = near_dedup.WordHashes()
     a, b = near_dedup.shingles(prose(400, 1), w), near_dedup.shingles(prose(400, 1) + " " + prose(60, 2), w)
