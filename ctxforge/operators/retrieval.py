@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,26 +97,31 @@ def file_similarity(a: str, b: str) -> Column:
 
 
 def shortlist(scored: DataFrame) -> DataFrame:
-    """The best RECALL_FACTOR * top_k candidates of each query, with rel_norm over all of them.
+    """The best RECALL_FACTOR * top_k candidates of each query and the next one, with rel_norm over all of them.
 
-    Each task cuts its own rows to the fixed bound before the shuffle.
+    The next one bounds all that are left out. Each task cuts its own rows to the fixed bound before the shuffle.
     """
     w = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "path")
     i = F.col("i")
-    best = scored.withColumn("i", F.row_number().over(w)).where((i <= T.MAX_TOP_K * R.RECALL_FACTOR) & (i <= F.col("top_k") * R.RECALL_FACTOR))
+    best = scored.withColumn("i", F.row_number().over(w)).where((i <= T.MAX_TOP_K * R.RECALL_FACTOR + 1) & (i <= F.col("top_k") * R.RECALL_FACTOR + 1))
     return normalized(scored, best.drop("i"))
 
 
 def mmr(scored: DataFrame) -> DataFrame:
-    """A greedy pick of relevant and unlike files among the shortlist of scored candidates: query_id, path, rank."""
-    return diverse(shortlist(scored)).select("query_id", "path", "rank")
+    """A greedy pick of relevant and unlike files among all scored candidates: query_id, path, rank."""
+    return diverse(shortlist(scored), normalized(scored)).select("query_id", "path", "rank")
+
 
+def diverse(best: DataFrame, every: DataFrame) -> DataFrame:
+    """Rows that the greedy pick takes among every candidate, and their rank.
 
-def diverse(best: DataFrame) -> DataFrame:
-    """Shortlisted rows that the greedy pick takes, and their rank. A query's group is small by construction."""
-    best = best.withColumn("words", T.tokenize(F.concat_ws(" ", "path", "sample"))).drop("sample", "terms")
+    A pick from the shortlist is right if no file left out could gain more, even if like nothing
+    taken. Queries with another pick are answered by rounds over all of their candidates.
+    """
+    with_words = lambda df: df.withColumn("words", T.tokenize(F.concat_ws(" ", "path", "sample"))).drop("sample", "terms")
+    best = with_words(best)
     keep = [c for c in best.columns if c not in ("words", "rel_norm", "top_k")]
-    schema = ", ".join(f"{c} {best.schema[c].dataType.simpleString()}" for c in keep) + ", rank int"
+    schema = ", ".join(f"{c} {best.schema[c].dataType.simpleString()}" for c in keep) + ", rank int, proven boolean"
 
     def pick(pdf):
         import numpy as np
@@ -132,15 +139,40 @@ def diverse(best: DataFrame) -> DataFrame:
             return R.SIM_DIR * (run / most if most else 0.0) + R.SIM_KIND * (pdf["kind"][i] == pdf["kind"][j]) + R.SIM_TERMS * jac
 
         norm, near, free, out = pdf["rel_norm"].to_numpy(), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
+        bound, proven = R.MMR_LAMBDA * norm[-1] if len(pdf) > R.RECALL_FACTOR * int(pdf["top_k"][0]) else -np.inf, True
         while len(out) < min(int(pdf["top_k"][0]), len(pdf)):
             gain = np.where(free, R.MMR_LAMBDA * norm - (1 - R.MMR_LAMBDA) * near, -np.inf)
             i = int(gain.argmax())  # rows are sorted, so the first of equals is the one wanted
+            proven &= bool(gain[i] >= bound)
             free[i] = False
             out.append(i)
             near = np.maximum(near, [like(i, j) if free[j] else 0.0 for j in range(len(pdf))])
-        return pdf.loc[out, keep].assign(rank=range(1, len(out) + 1))
-
-    return best.groupBy("query_id").applyInPandas(pick, schema)
+        return pdf.loc[out, keep].assign(rank=range(1, len(out) + 1), proven=proven)
+
+    taken = written(best.groupBy("query_id").applyInPandas(pick, schema))
+    open_ones = taken.where("NOT proven").select("query_id").distinct()
+    taken = taken.where("proven").drop("proven")
+    if open_ones.isEmpty():
+        return taken
+    return taken.unionByName(picked_by_rounds(with_words(every.join(open_ones, "query_id", "left_semi"))).select(taken.columns))
+
+
+def picked_by_rounds(rows: DataFrame) -> DataFrame:
+    """The greedy pick by an aggregate over all candidates a round, so a query's candidates needn't meet in a task."""
+    columns, out, rank = rows.columns, [], 1
+    gain = R.MMR_LAMBDA * F.col("rel_norm") - (1 - R.MMR_LAMBDA) * F.col("near")
+    left = written(rows.withColumn("near", F.lit(0.0)))
+    while True:
+        first = F.min_by(F.struct(*columns), F.struct(-gain, -F.col("rel"), "path"))
+        best = written(left.where(F.col("top_k") >= rank).groupBy("query_id").agg(first.alias("x")).select("x.*"))
+        if best.isEmpty():
+            break
+        out.append(best.withColumn("rank", F.lit(rank)))
+        near = F.greatest("near", file_similarity("a", "b"))
+        pairs = left.alias("a").join(best.alias("b"), F.col("a.query_id") == F.col("b.query_id")).where(F.col("a.path") != F.col("b.path"))
+        left = written(pairs.select(*[F.col(f"a.{c}").alias(c) for c in columns], near.alias("near")))
+        rank += 1
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -153,7 +185,7 @@ def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, sy
     hits = written(recall(parsed, keywords))
     scored = written(score(parsed, recall_all(parsed, hits, summary), summary, symbols).drop("sample", "terms", "role"))
     texts = summary.select("root", "path", "sample")
-    picked = diverse(shortlist(scored).join(texts, ["root", "path"])).join(texts, ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
+    picked = diverse(shortlist(scored).join(texts, ["root", "path"]), normalized(scored).join(texts, ["root", "path"])).join(texts, ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
     return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", T.snippet(F.col("sample"), F.col("path"), F.col("terms")).alias("snippet"))
 
 

@@ -146,6 +146,23 @@ def test_diverse_results_by_brute_force(spark):
     assert {(r.query_id, r["rank"], r.path) for r in QUERIES["r11_mmr_topk"](spark, SF).collect()} == want
 
 
+def test_diverse_results_beyond_the_shortlist(spark):
+    """Unlike files behind more than RECALL_FACTOR * top_k alike ones; a query that the shortlist answers beside it."""
+    alike = [("q", f"a/b/c/p{i:02}.ts", "source", 100.0 - i / 10, 2, "one two three four") for i in range(40)]
+    rows = [*alike, ("q", "docs/x.md", "doc", 90.0, 2, "five six"), ("q", "low/y.md", "doc", 0.0, 2, "seven"), ("p", "a/1.ts", "source", 2.0, 2, "one"), ("p", "a/2.ts", "source", 1.0, 2, "two")]
+    s = spark.createDataFrame([(*r[:4], [], *r[4:]) for r in rows], "query_id string, path string, kind string, rel double, terms array<string>, top_k int, sample string")
+    got = {(r.query_id, r["rank"], r.path) for r in retrieval.mmr(s).collect()}
+    assert got == {("q", 1, "a/b/c/p00.ts"), ("q", 2, "docs/x.md"), ("p", 1, "a/1.ts"), ("p", 2, "a/2.ts")}
+
+
+def test_rounds_pick_as_the_shortlist(spark):
+    rows = [("q", f"{'abc'[i % 3]}/{i % 5}/p{i}.ts", ("source", "doc")[i % 2], float(100 - i), [], 6, f"word{i % 4} other{i % 7}") for i in range(30)]
+    s = spark.createDataFrame(rows, "query_id string, path string, kind string, rel double, terms array<string>, top_k int, sample string")
+    words = retrieval.normalized(s).withColumn("words", retrieval.T.tokenize(F.concat_ws(" ", "path", "sample"))).drop("sample", "terms")
+    by_rounds = {(r["rank"], r.path) for r in retrieval.picked_by_rounds(words).collect()}
+    assert len(by_rounds) == 6 and by_rounds == {(r["rank"], r.path) for r in retrieval.mmr(s).collect()}
+
+
 def test_instruction_targets(spark):
     f = spark.createDataFrame([("r", "GEMINI.md", None), ("r", "AGENTS.md", "path: src"), ("r", "docs/AGENTS.md", "x"), ("s", "README.md", "x"), ("t", "CLAUDE.md", "scope")], "root string, path string, content string")
     docs = lint.target_documents(f)
