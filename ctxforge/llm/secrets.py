@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, plus dictionary-primed zstandard novelty.
 
 Base spans are the leftmost non-overlapping matches of three patterns. The method adds
-strings that no pattern names: a long token with a digit, close behind a sensitive word, is
+strings that no pattern names: a string close behind a sensitive word, or one that continues
+such a string (lines of a key block, parts joined by dots), is
 compressed together with the code around it under a dictionary of code and identifiers; the
 bytes it adds to the compressed context are its novelty. Words and identifiers are found in
 the dictionary or the context and cost little; keys are incompressible and are reported.
@@ -13,6 +14,7 @@ ids and rows repeat their results; an empty table gives none. Whole texts are re
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -29,9 +31,14 @@ ASSIGN = re.compile(
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that make the strings after them sensitive.
-SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "authorization", "private_key", "access_key", "client_id", "signature", "connectionstring")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Words that make the strings after them sensitive; parts of one may be joined by a space, hyphen or underscore.
+SENSITIVE = re.compile(r"password|passwd|secret|token|api[ _-]?key|credential|bearer|authorization|private[ _-]?key|access[ _-]?key|client[ _-]?id|signature|connection[ _-]?string", re.IGNORECASE | re.ASCII)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{7,}={0,2}")
+#: Shorter strings need a digit and a letter, else any unseen word would do.
+LONG = 20
+#: What may lie between a sensitive string and the one that continues it (the next line of a block, a list).
+BETWEEN = re.compile(r"""[\s"'`,;:|\\()\[\]{}]{0,16}""")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END")
 NEAR, AROUND = 48, 200
 #: Compressed bytes a character that a candidate must add: random base64 adds 0.75 or more.
 MIN_NOVELTY = 0.72
@@ -73,20 +80,31 @@ class Novelty:
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case; offsets must not
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(w in low for w in SENSITIVE):
+    words = [m.end() for m in SENSITIVE.finditer(text)]
+    if not words:
         return []
-    out = []
+    free = lambda s, e: not any(a < e and s < b for a, b, _ in [*known, *out])
+    new = lambda s, e: novelty(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= MIN_NOVELTY
+    out: list[tuple[int, int, str]] = []
+    for m in PEM.finditer(text):
+        if free(*m.span(1)) and new(*m.span(1)):
+            out.append((*m.span(1), "novel"))
+    last = -1  # end of the sensitive string before
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        string = m[0]
-        if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)) or any(a < e and s < b for a, b, _ in known):
+        s, e = m.start(), m.start() + len(m[0].rstrip("."))
+        k = bisect.bisect_right(words, s) - 1
+        near = k >= 0 and words[k] > s - NEAR
+        if not near and not (last >= 0 and BETWEEN.fullmatch(text, last, s)):
             continue
-        if any(w in low[max(0, s - NEAR) : s] for w in SENSITIVE) and novelty(text[max(0, s - AROUND) : s], string, text[e : e + AROUND]) >= MIN_NOVELTY:
-            out.append((s, e, "novel"))
-    return out
+        last = e
+        # the whole string, or else its parts between dots
+        for x, y in [(s, e), *((s + p.start(), s + p.end()) for p in re.finditer(r"[^.]+", text[s:e]))] if "." in text[s:e] else [(s, e)]:
+            string = text[x:y]
+            if len(string) < 8 or (len(string) < LONG and not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string))):
+                continue
+            if free(x, y) and new(x, y):
+                out.append((x, y, "novel"))
+    return sorted(out)
 
 
 def spans_text(spans) -> str:
