@@ -1,30 +1,31 @@
 """MinHash near-dedup by an LSH forest, completed by an exact join; links are confirmed on full shingle sets.
 
-1. Texts with equal shingle sets form a class; one node stands for a class.
-2. A node's signature has ``TREES`` sequences of ``DEPTH`` minhashes. In each tree, nodes are
-   sorted by their sequence; nodes that share no prefix of ``FIRST`` values with another are
-   left out. The sorted order is range-partitioned by the sequence itself, so a dense region
+1. Texts are read once: a text's hashed shingle set is written beside its signature and its node,
+   a digest of the set. Texts with equal sets form a class; one node stands for a class.
+2. A node's signature has ``TREES`` sequences of ``DEPTH`` minhashes. In each tree nodes are sorted
+   by their sequence; the order is range-partitioned by the sequence itself, so a dense region
    spreads over tasks by ever deeper prefixes.
-3. A node is compared, by its whole signature, with the ``REACH`` nodes before it that share its
-   region. Sorted neighbours have the longest common prefixes, so in a dense region the window
-   holds only deep ones, in a sparse region all: the depth adapts.
-4. First each node proposes its ``BEST`` most alike neighbours; these links are confirmed on the
-   full sets and joined to components. Then nodes of different components within reach of each
-   other propose their ``CROSS`` most alike in each tree, round after round until a round adds no
-   link: components that joined free the proposals for others. Copies are never expanded into
-   all pairs.
-5. The forest joins most of what is alike, but proves nothing about the rest. An exact join ends
-   the job: shingles have one order, rare ones first; two sets of the wanted similarity share a
-   shingle among the first quarter of each. Nodes of different components that meet there, and
-   that lengths and places of the shingle allow, are all confirmed on the full sets.
+3. A node is compared, by its whole signature, with up to ``REACH`` nodes before it that share
+   ``FIRST`` values. Sorted neighbours have the longest common prefixes, so in a dense region the
+   window holds only deep ones, in a sparse region all: the depth adapts. It proposes its ``BEST``
+   most alike neighbours; proposals are confirmed on the full sets and joined to components. A
+   second pass proposes among nodes of different components only.
+4. The forest joins most of what is alike but proves nothing about the rest: windows restart at
+   the edges of partitions, and proposals rest on estimates. An exact join ends the job: shingles
+   have one order, rare ones first; two sets of the wanted similarity share a shingle among the
+   first quarter of each. Nodes of different components that meet there, and that lengths and
+   places of the shingle allow, are all confirmed on the full sets.
 
 The forest only spares the exact join the pairs within components, so no link depends on an
-estimate. The list of frequent shingles comes from a sample; it sets the order, not the result.
+estimate, a window or a number of proposals. The list of frequent shingles comes from a sample;
+it sets the order, not the result. Shingles are compared by 64-bit hashes; classes by 128 bits.
 
 Defined results: a null or blank text has no shingles, links with nothing and is its own
 component; fewer than five words form one shingle of the whole sequence; rows that repeat an
 id are judged by their own text; a null id never becomes a component's id while another is
-there; an empty table gives no rows.
+there; among equal texts the smallest id names the component (ties need no rule: ids are
+compared); very long texts are read whole, one at a time; an empty table gives no rows; columns
+other than doc_id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,19 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, text_of
+from .shared import discard, if_small, materialize, table, text_of, whole_row
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-TREES, DEPTH, FIRST = 16, 8, 2
-REACH, BEST, CROSS, LEAST_ALIKE = 256, 2, 3, 0.63
-#: Frequent shingles: at least this many of every SAMPLE-th text hold one; the list goes to the driver and is bounded.
+TREES, DEPTH, FIRST = 8, 8, 2
+REACH, BEST, LEAST_ALIKE = 256, 2, 0.55
+#: Frequent shingles: at least this many of every SAMPLE-th set hold one; the list goes to the driver and is bounded.
 SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 200_000
 N_HASHES = TREES * DEPTH
 PAIRS_PER_TASK, PAIRS_PER_BUNDLE = 2000, 128
+#: Rows of the exact join in a task, 32 bytes each; bytes of sets in an Arrow batch.
+TOKENS_PER_TASK, BATCH_BYTES = 2_000_000, 32 << 20
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
 _M = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TOKEN = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 class WordHashes(dict):
@@ -91,57 +95,70 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
+def nodes_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's node and the other half of its 128-bit digest."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles), sig (minhashes, big-endian) and low (a byte of each)."""
+    """doc_id, n_shingles, node and proof (both null without shingles), sig (minhashes, big-endian), low (a byte of each), shingles (sorted)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["n_shingles", "node", "proof", "sig", "low", "shingles"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         words = WordHashes()
         for b in batches:
-            n, node, sig, low = [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingles(text, words)
-                n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-                v = signature(s) if len(s) else None
-                sig.append(None if v is None else v.astype(">u4").tobytes())
-                low.append(None if v is None else (v & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "node", "sig", "low"])
-
-    return docs.select("doc_id", text_of(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sig binary, low binary")
-
+            rows, at, size = [], 0, 0
+            out = lambda lo, hi, rows, b=b: pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=["doc_id", *names])
+            for i, text in enumerate(b.column(1)):
+                s = shingles(text.as_py(), words)
+                if len(s):
+                    v = signature(s)
+                    rows.append((len(s), *nodes_of(s), v.astype(">u4").tobytes(), (v & np.uint32(255)).astype(np.uint8).tobytes(), s.astype("<u8").tobytes()))
+                else:
+                    rows.append((0, None, None, None, None, None))
+                size += 8 * len(s) + 400
+                if size > BATCH_BYTES:
+                    yield out(at, i + 1, rows)
+                    rows, at, size = [], i + 1, 0
+            if rows:
+                yield out(at, b.num_rows, rows)
 
-def forest_members(reps: DataFrame) -> DataFrame:
-    """key (tree and first values), part (the tree's sequence), node, low: nodes that meet another in a tree."""
+    return docs.select("doc_id", text_of(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, proof long, sig binary, low binary, shingles binary")
 
-    def rows():
-        at = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-        r = reps.select("node", "sig", at.alias("tree")).select("node", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("part"))
-        return r.withColumn("key", F.xxhash64("tree", F.expr(f"substring(part, 1, {4 * FIRST})")))
 
-    met = rows().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows().join(met, "key").select("key", "part", "node").join(reps.select("node", "low"), "node")
+def told_apart(sets: DataFrame) -> DataFrame:
+    """The sets with nodes that differ where only 64 bits of two digests agree (once among some 10**10 sets)."""
+    mixed = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi").select("node"))
+    if mixed.isEmpty():
+        return sets
+    again = sets.join(F.broadcast(mixed.withColumn("twice", F.lit(True))), "node", "left")
+    return materialize(again.withColumn("node", F.when(F.col("twice"), F.xxhash64("node", "proof")).otherwise(F.col("node"))).select(*sets.columns))
 
 
 def _proposals(best: int):
     """Streams the sorted order; keeps the last REACH rows of the current region, whatever its size."""
 
     def run(batches):
-        key, nodes, lows, comps = None, np.zeros(0, np.int64), np.zeros((0, N_HASHES), np.uint8), np.zeros(0, np.int64)
+        region, nodes, lows, comps = None, np.zeros(0, np.int64), np.zeros((0, N_HASHES), np.uint8), np.zeros(0, np.int64)
         for b in batches:
-            ks, ns, cs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            ls = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ks), N_HASHES)
+            if not b.num_rows:
+                continue
+            tree, ns, cs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4))
+            first = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(len(ns), -1)[:, : FIRST // 2]
+            ls = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(ns), N_HASHES)
             a_out, b_out = [], []
-            edges = np.concatenate([[0], np.flatnonzero(ks[1:] != ks[:-1]) + 1, [len(ks)]])
+            new = (tree[1:] != tree[:-1]) | (first[1:] != first[:-1]).any(axis=1)
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(ns)]])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi <= lo:
+                here = (tree[lo], *first[lo])
+                if here != region:
+                    region, nodes, lows, comps = here, nodes[:0], lows[:0], comps[:0]
+                if hi - lo == 1 and not len(nodes):
+                    nodes, lows, comps = ns[lo:hi], ls[lo:hi], cs[lo:hi]
                     continue
-                if ks[lo] != key:
-                    key, nodes, lows, comps = ks[lo], nodes[:0], lows[:0], comps[:0]
                 for s in range(lo, hi, 64):
                     e, old = min(s + 64, hi), len(nodes)
                     nodes, lows, comps = np.concatenate([nodes, ns[s:e]]), np.concatenate([lows, ls[s:e]]), np.concatenate([comps, cs[s:e]])
@@ -161,42 +178,42 @@ def _proposals(best: int):
     return run
 
 
-def proposals(members: DataFrame, best: int, labels: DataFrame | None = None) -> DataFrame:
+def proposals(classes: DataFrame, best: int, labels: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b) of neighbours in the sorted orders; with labels only of different components."""
-    if labels is not None:
-        members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        members = members.withColumn("comp", F.col("node"))
-    order = ["key", "part", "node"]
-    spread = members.repartitionByRange(*order).sortWithinPartitions(*order)
-    return spread.select("key", "node", "low", "comp").mapInArrow(_proposals(best), "a long, b long").distinct()
+    c = classes.select("node", "sig", "low")
+    c = c.withColumn("comp", F.col("node")) if labels is None else c.join(if_small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = c.select("node", "sig", "low", "comp", tree.alias("tree")).select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("part"), "node", "low", "comp")
+    order = ["tree", "part", "node"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_proposals(best), "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The pairs whose full sets are alike enough. Pairs around a common neighbour share a task, so a text travels about once."""
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are alike enough. Pairs around a common neighbour share a task, so a set travels about once.
+
+    Of the sets only those of the pairs move; a bundle of many pairs is split by its pairs' hashes.
+    """
     n = pairs.count()
     tasks = max(1, -(-n // PAIRS_PER_TASK))
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     near = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
     p = pairs.join(near.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(near.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
     p = materialize(p.select("a", "b", F.least("ma", "mb").alias("bundle")))
-    sizes = p.groupBy("bundle").agg(F.ceil(F.count("*") / PAIRS_PER_BUNDLE).alias("parts"))
-    p = p.join(sizes, "bundle").withColumn("task", F.pmod(F.xxhash64("bundle", F.pmod(F.xxhash64("a", "b"), F.col("parts"))), F.lit(tasks))).select("task", "a", "b")
-    p = materialize(p)
-    needed = p.select(F.col("task").alias("for_task"), F.col("a").alias("node")).union(p.select("task", "b")).distinct().join(classes, "node")
-    texts = docs.select("doc_id", text_of(text_col).alias("t")).join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("for_task", "t")
-
-    def check(pairs_pdf, texts_pdf):
+    large = p.groupBy("bundle").agg(F.ceil(F.count("*") / PAIRS_PER_BUNDLE).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
+    p = materialize(p.join(if_small(large), "bundle", "left").select(F.pmod(F.xxhash64("bundle", part), F.lit(tasks)).alias("task"), "a", "b"))
+    needed = p.select(F.col("task").alias("for_task"), F.col("a").alias("node")).union(p.select("task", "b")).distinct()
+    needed = materialize(needed.join(classes.select("node", "rep"), "node")).alias("w")
+    s = sets.select("doc_id", "node", "shingles").alias("s")
+    moved = s.join(if_small(needed), (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.rep"))).select("for_task", F.col("s.node").alias("node"), "shingles")
+
+    def check(pairs_pdf, sets_pdf):
         import pandas as pd
 
-        words, sets = WordHashes(), {}
-        for t in texts_pdf["t"]:
-            s = shingles(t, words)
-            if len(s):
-                sets[node_of(s)] = s
+        held = {n: np.frombuffer(s, "<u8") for n, s in zip(sets_pdf["node"], sets_pdf["shingles"], strict=True)}
         keep = []
         for a, b in zip(pairs_pdf["a"], pairs_pdf["b"], strict=True):
-            x, y = sets[a], sets[b]
+            x, y = held[a], held[b]
             if min(len(x), len(y)) * DENOMINATOR < NUMERATOR * max(len(x), len(y)):
                 continue
             both = len(np.intersect1d(x, y, assume_unique=True))
@@ -204,21 +221,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
                 keep.append((a, b))
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    return p.groupBy("task").cogroup(texts.groupBy("for_task")).applyInPandas(check, "a long, b long")
+    return p.groupBy("task").cogroup(moved.groupBy("for_task")).applyInPandas(check, "a long, b long")
 
 
-def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Shingles that many sampled texts hold, the most frequent last."""
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that many sampled sets hold, the most frequent last."""
 
     def run(batches):
-        words = WordHashes()
         for b in batches:
-            sets = [shingles(t, words) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+            h, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
-    t = text_of(text_col)
-    some = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long")
-    rows = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
+    some = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "h long, n long")
+    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
     return rows.toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
@@ -234,85 +249,88 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _meetings(batches):
-    """Pairs of nodes of different components that share a prefix shingle; rows come by shingle and size."""
+    """Pairs of nodes of different components that share a prefix shingle; a task holds all tokens of its shingles."""
 
-    def pairs(n, pos, node, comp):
+    def pairs(g):
+        n, pos, node, comp = g["n"].astype(np.int64), g["pos"], g["node"], g["comp"]
         for hi in range(1, len(n)):
-            lo = np.searchsorted(n[:hi], -(-NUMERATOR * int(n[hi]) // DENOMINATOR))
+            lo = np.searchsorted(n[:hi], -(-NUMERATOR * n[hi] // DENOMINATOR))
             x = slice(lo, hi)
-            most = np.minimum(n[x] - pos[x], n[hi] - pos[hi]).astype(np.int64)
+            most = np.minimum(n[x] - pos[x], n[hi] - pos[hi])
             ok = (comp[x] != comp[hi]) & (most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[x] + n[hi]))
             if ok.any():
                 other = node[x][ok]
                 yield np.minimum(other, node[hi]), np.maximum(other, node[hi])
 
-    def met(rows):
-        key, n, pos, node, comp = rows
-        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        ends = np.concatenate([starts[1:], [len(key)]])
-        for k in np.flatnonzero(np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)):
-            g = slice(starts[k], ends[k])
-            yield from pairs(n[g], pos[g], node[g], comp[g])
-
-    def out(rows):
-        a, b, size = [], [], 0
-        for x, y in met(rows):
+    blobs = [np.frombuffer(x, TOKEN) for b in batches for x in b.column(1).to_pylist()]
+    if not blobs:
+        return
+    rows = np.concatenate(blobs)
+    del blobs
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    starts = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
+    ends = np.concatenate([starts[1:], [len(rows)]])
+    several = np.flatnonzero(ends - starts > 1)
+    a, b, size = [], [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    for k in several:
+        g = rows[starts[k] : ends[k]]
+        if (g["comp"] == g["comp"][0]).all():
+            continue
+        for x, y in pairs(g[np.argsort(g["n"], kind="stable")]):
             a.append(x)
             b.append(y)
             size += len(x)
             if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield out()
                 a, b, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    if size:
+        yield out()
 
-    held: list = []  # batches that end in the group of one shingle
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-        key = held[-1][0]
-        if key[0] == key[-1] and held[0][0][-1] == key[0]:
-            continue
-        rows = [np.concatenate(v) for v in zip(*held, strict=True)]
-        cut = np.searchsorted(rows[0], rows[0][-1])
-        if cut:
-            yield from out([v[:cut] for v in rows])
-        held = [[v[cut:] for v in rows]]
-    if held:
-        yield from out([np.concatenate(v) for v in zip(*held, strict=True)])
-
-
-def exact_pairs(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pairs (a < b) of nodes of different components that may be alike enough: no pair that is is left out."""
-    spark = docs.sparkSession
-    often = frequent_shingles(docs, text_col)
+
+def exact_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes of different components that may be alike enough: no pair that is is left out.
+
+    Tokens (shingle, node, component, size, place) travel in blobs by ranges of hashed shingles.
+    """
+    spark = sets.sparkSession
+    some = sets.where("node IS NOT NULL")
+    often = frequent_shingles(some)
     order = np.argsort(often, kind="stable")
-    shared = spark.sparkContext.broadcast((often[order], order))
+    shared = spark.sparkContext.broadcast((often[order], order))  # MOST_FREQUENT at most
+    total = some.agg(F.sum((F.col("n_shingles") * (DENOMINATOR - NUMERATOR)) / DENOMINATOR + 1).alias("n")).first()["n"] or 0
+    tasks = max(1, -(-int(total) // TOKENS_PER_TASK))
 
     def heads(batches):
-        words = WordHashes()
         for b in batches:
-            node, n, head = [], [], []
-            for text in b.column(0).to_pylist():
-                s = shingles(text, words)
-                if len(s):
-                    node.append(node_of(s))
-                    n.append(len(s))
-                    head.append(prefix(s, *shared.value).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.binary())], names=["node", "n", "head"])
+            head = [prefix(np.frombuffer(x, "<u8"), *shared.value).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(head, pa.binary())], names=["node", "n", "head"])
 
-    def spread(batches):
+    def blobs(batches):
         for b in batches:
-            heads = b.column(3).to_pylist()
-            k = np.array([len(h) // 8 for h in heads], np.int64)
-            pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            node, n, comp = (np.repeat(b.column(i).to_numpy(), k) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(heads), np.int64)), pa.array(n), pa.array(pos.astype(np.int32)), pa.array(node), pa.array(comp)], names=["key", "n", "pos", "node", "comp"])
-
-    rows = docs.select(text_of(text_col).alias("t")).mapInArrow(heads, "node long, n int, head binary").join(labels, "node", "left")
-    rows = rows.select("node", "n", F.coalesce("comp", "node").alias("comp"), "head").mapInArrow(spread, "key long, n int, pos int, node long, comp long")
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meetings, "a long, b long").distinct()
+            node, n, comp = (b.column(i).to_numpy() for i in range(3))
+            heads, at = b.column(3), 0
+            while at < len(node):
+                part, size, lo = [], 0, at
+                while at < len(node) and size < BATCH_BYTES // 8:
+                    part.append(np.frombuffer(heads[at].as_py(), "<u8"))
+                    size += part[-1].nbytes
+                    at += 1
+                k = np.array([len(x) for x in part])
+                t = np.empty(k.sum(), TOKEN)
+                t["key"] = np.concatenate(part)
+                t["node"], t["comp"], t["n"] = (np.repeat(x[lo:at], k) for x in (node, comp, n))
+                t["pos"] = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                to = (t["key"] >> np.uint64(16)) % np.uint64(tasks)
+                by = np.argsort(to, kind="stable")
+                t, to = t[by], to[by]
+                cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].astype(np.int32)), pa.array([t[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["task", "blob"])
+
+    rows = some.select("node", F.col("n_shingles").cast("int").alias("n"), "shingles").mapInArrow(heads, "node long, n int, head binary")
+    rows = rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("head").alias("head")).join(if_small(labels), "node", "left")
+    tokens = rows.select("node", "n", F.coalesce("comp", "node").alias("comp"), "head").mapInArrow(blobs, "task int, blob binary")
+    return tokens.repartitionById(tasks, F.col("task")).mapInArrow(_meetings, "a long, b long").distinct()
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -342,38 +360,57 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of nodes of different components."""
+    l = labels.where("node <> comp")
+    p = pairs.join(if_small(l.select(F.col("node").alias("a"), F.col("comp").alias("ca"))), "a", "left").join(if_small(l.select(F.col("node").alias("b"), F.col("comp").alias("cb"))), "b", "left")
+    return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, comp: the components of all nodes that have a link."""
+    first = materialize(proposals(classes, BEST))
+    labels = materialize(components(materialize(confirmed(first, classes, sets))))
+    cross = materialize(confirmed(materialize(proposals(classes, BEST, labels)), classes, sets))
+    if not cross.isEmpty():
+        labels = joined(labels, cross)
+    rest = materialize(exact_pairs(sets, labels))
+    # A share of many pairs joins most of what is left to join; what it leaves apart is tested in whole.
+    for share in (64, 1) if rest.count() > 64 * PAIRS_PER_TASK else (1,):
+        some = between(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0), labels)
+        links = materialize(confirmed(materialize(some), classes, sets))
+        if not links.isEmpty():
+            labels = joined(labels, links)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    sets = materialize(shingle_sets(docs, text_col))
-    some = sets.where("node IS NOT NULL")
-    classes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"]).select("node", "sig", "low")
-    members = materialize(forest_members(reps))
-    first = materialize(confirmed(materialize(proposals(members, BEST)), classes, docs, text_col))
-    labels = materialize(components(first))
-    while True:
-        cross = materialize(confirmed(materialize(proposals(members, CROSS, labels)), classes, docs, text_col))
-        if cross.isEmpty():
-            break
-        labels = joined(labels, cross)
-    rest = materialize(confirmed(materialize(exact_pairs(docs, labels, text_col)), classes, docs, text_col))
-    if not rest.isEmpty():
-        labels = joined(labels, rest)
-    named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sets = told_apart(materialize(shingle_sets(docs, text_col)))
+    classes = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("low").alias("low")))
+    labels = linked(sets, classes)
+    named = classes.select("node", "rep").join(if_small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    out = materialize(sets.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(sets)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One document of each group, all columns kept. Of rows that repeat a kept id one row stays."""
-    keep = near_duplicates(docs, text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many"))
-    many = rows.join(again, F.col("doc_id").eqNullSafe(F.col("_many")), "left_semi").dropDuplicates(["doc_id"])
-    return rows.join(again, F.col("doc_id").eqNullSafe(F.col("_many")), "left_anti").unionByName(many)
+    """One document of each group, all columns kept. Of rows that repeat a kept id one row stays.
+
+    A row travels as one struct, so its columns may have any names.
+    """
+    keep = materialize(near_duplicates(docs, text_col).where("kept").select("doc_id").distinct()).alias("k")
+    rows = docs.select("doc_id", whole_row(docs).alias("row")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    kept = rows.join(keep, same, "left_semi")
+    many = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if many.isEmpty():
+        return kept.select("row.*")
+    again = many.alias("k")
+    return kept.alias("d").join(again, same, "left_anti").unionByName(kept.alias("d").join(again, same, "left_semi").dropDuplicates(["doc_id"])).select("row.*")
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discarded, written
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation.
 materialize = written
+#: Delete such a table once nothing reads it any more.
+discard = discarded
 
 
 def text_of(col: str = "text") -> Column:
@@ -44,3 +46,17 @@ def let(value: Column, body) -> Column:
 def held_out(col: str, folds: int, fold: int = 1) -> Column:
     """Whether the id's fold is the one kept away from training (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % folds == fold
+
+
+#: Rows of numbers that may be broadcast: some 10 MB.
+MOST_BROADCAST = 200_000
+
+
+def if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The table, to be broadcast if it is counted to hold no more than ``most`` rows; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it meet none of theirs."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
