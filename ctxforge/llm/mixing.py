@@ -8,15 +8,20 @@ sources sorted by ``cap / weight``.
 Schedule: a source needs as many slots as its target has blocks. Cumulative slot counts cut
 [0, 2**m) into intervals; the i-th slot of the schedule belongs to the source whose interval
 holds the i-th van der Corput point (i with its m bits reversed). The first 2**m points hit
-every integer once, so each source gets exactly its slots, evenly spread. A slot's rank
-within its source is counted in closed form (residue classes), with no sort of the slots.
+every integer once, so each source gets exactly its slots, evenly spread. The position of a
+source's r-th slot is found in closed form, bit by bit (``slot_position``), so no table of
+slots exists: every document finds its own places.
 
 Blocks: documents of a source, in hashed order, form one stream of words that is cut into
 blocks of ``block_words``; rank r takes block r, in a second epoch from the first block on.
-The last slot of a source is cut so that the source's words equal its rounded target.
-
-Defined results: a null or blank text has size 0 and takes 0; a source of size 0 has target
-0; rows that repeat an id are mixed as rows of their own; an empty table gives no rows.
+The last slot of a source is cut so that the source's words equal its rounded target. A
+document's place in the mix is the position of the slot that takes its first word.
+
+Defined results: a null or blank text has size 0, takes 0 and has no position; a source of
+size 0 has target 0; rows that repeat an id are mixed as rows of their own (of equal rows it
+doesn't matter which is which); equal weights and sizes are ordered by the source's name; very
+long texts span blocks, nothing is cut but at a source's target; an empty table gives no rows;
+columns other than doc_id, text, source and n_chars may have any names and types.
 """
 
 from __future__ import annotations
@@ -25,15 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, table, text_of, word_count
+from .shared import if_small, materialize, table, text_of, whole_row, word_count
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, BUCKET_DOCS, CHUNK = 1024, 4096, 1 << 16
+#: Words of a block; documents of a bucket on average; buckets of a group (as a power of two).
+BLOCK_WORDS, BUCKET_DOCS, GROUP_BITS = 1024, 256, 12
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """skey, source, source_size, target: one row per source. Windows here run over sources, not documents."""
-    by = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    by = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by = by.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1))
@@ -44,7 +50,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     by = by.withColumn("i", F.row_number().over(up)).withColumn("level", (F.col("total") - before) / rest)
     first = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("i", "level"))).over(everything)
     by = by.withColumn("level", first["level"])
-    return by.select("skey", "source", "source_size", "n_docs", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    return by.select("skey", "source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
 def plan_slots(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -60,62 +66,93 @@ def plan_slots(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return out.withColumn("bits", F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(total, F.lit(2)).cast("double"))).cast("int")))
 
 
-def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """position, skey, rank, epoch, block, lo, hi: every slot of the mix and the words of the stream it takes."""
-    chunks = plan.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition("skey", "chunk")
-    v = F.explode(F.sequence(F.col("start") + F.col("chunk") * CHUNK, F.col("start") + F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1))
-    slots = chunks.withColumn("v", v)
-    position = F.expr("aggregate(sequence(0, bits - 1), 0L, (a, j) -> a | shiftleft(shiftright(v, j) & 1L, bits - 1 - j))")
-    earlier = """aggregate(sequence(0, bits - 1), 0L, (a, j) -> a + IF((shiftright(v, j) & 1L) = 1L,
-        shiftright(start + slots - 1 - (v & (shiftleft(1L, j) - 1L)), j + 1) - shiftright(start - 1 - (v & (shiftleft(1L, j) - 1L)), j + 1), 0L))"""
-    slots = slots.withColumn("position", position).withColumn("rank", F.expr(earlier))
-    epoch = F.when(F.col("rank") < F.col("blocks"), F.lit(0)).otherwise(F.lit(1))
-    block = F.col("rank") - epoch * F.col("blocks")
-    end = F.when(epoch == 0, F.least("goal", "source_size")).otherwise(F.col("goal") - F.col("source_size"))
-    return slots.select("position", "skey", "rank", epoch.alias("epoch"), block.alias("block"), (block * block_words).alias("lo"), F.least((block + 1) * block_words, end).alias("hi"))
+def slot_position(rank: Column, start: Column, slots: Column, bits: Column) -> Column:
+    """Position in the schedule of the rank-th slot (from 0) of the interval [start, start + slots).
 
+    Position bits are the point's bits from the lowest up: at each bit the points of the
+    interval that agree so far and continue with 0 come first; their number is a difference of quotients.
+    """
+    of = F.struct(rank.cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("p"), start.alias("lo"), (start + slots).alias("hi"), bits.alias("m"))
 
-def stream_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
-    """Where each document starts in its source's shuffled stream: sums per hash bucket, then within buckets.
+    def step(s: Column, j: Column) -> Column:
+        below = lambda x: F.call_function("shiftright", x - 1 - s["c"], j + 1)
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        zeros = below(s["hi"]) - below(s["lo"])
+        one = s["r"] >= zeros
+        return F.struct(
+            F.when(one, s["r"] - zeros).otherwise(s["r"]).alias("r"), F.when(one, s["c"] + bit(j)).otherwise(s["c"]).alias("c"),
+            F.when(one, s["p"] + bit(s["m"] - 1 - j)).otherwise(s["p"]).alias("p"), s["lo"].alias("lo"), s["hi"].alias("hi"), s["m"].alias("m"),
+        )
 
-    Buckets are cut by the number of all documents, so rows need no join by source: a source with a
-    third of all rows spreads over as many tasks as its share of buckets.
-    """
-    total = F.broadcast(sized.agg(F.count("*").alias("n")))  # one row
-    hashed = sized.crossJoin(total).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    hashed = hashed.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET_DOCS))).cast("int")).withColumn("bucket", F.expr("IF(bits > 0, shiftrightunsigned(h, 64 - bits), 0L)"))
-    sums = hashed.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("skey", "bucket", "before"), ["skey", "bucket"])
-    return out.select("doc_id", "source", "skey", "size", (F.col("before") + F.col("inner")).cast("long").alias("offset"))
+    return F.aggregate(F.sequence(F.lit(0), bits - 1), of, step, lambda s: s["p"])
+
+
+def source_key() -> Column:
+    """A source's key, null included."""
+    return F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+
+
+def bucketed(rows: DataFrame, n: int) -> DataFrame:
+    """Adds a bucket by the hash h: buckets are cut by the number of all rows, so a hot source spreads over its share of them."""
+    bits = max(0, (max(n, 1) // BUCKET_DOCS).bit_length())
+    return rows.withColumn("bucket", F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits)) if bits else F.lit(0).cast("long"))
+
+
+def bucket_starts(rows: DataFrame, words: Column) -> DataFrame:
+    """skey, bucket, before: words of a source's stream before a bucket; sums in groups of buckets, then over the groups."""
+    sums = rows.groupBy("skey", "bucket").agg(F.sum(words).alias("s")).withColumn("grp", F.call_function("shiftright", F.col("bucket"), F.lit(GROUP_BITS)))
+    sums = materialize(sums)
+    upto = lambda by, order: F.coalesce(F.sum("s").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("skey", "grp").agg(F.sum("s").alias("s"))
+    groups = groups.select("skey", "grp", upto(["skey"], "grp").alias("g"))
+    inside = sums.select("skey", "grp", "bucket", upto(["skey", "grp"], "bucket").alias("b"))
+    return inside.join(groups, ["skey", "grp"]).select("skey", "bucket", (F.col("b") + F.col("g")).cast("long").alias("before"))
+
+
+def stream_offsets(rows: DataFrame, words: Column) -> DataFrame:
+    """Adds the offset at which a row starts in its source's stream: what lies before its bucket, then within the bucket by hash."""
+    inner = Window.partitionBy("skey", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucket_starts(rows, words)
+    return rows.withColumn("inner", F.coalesce(F.sum(words).over(inner), F.lit(0))).join(starts, ["skey", "bucket"]).withColumn("offset", (F.col("before") + F.col("inner")).cast("long")).drop("before", "inner", "bucket")
+
+
+def taken_parts(block_words: int = BLOCK_WORDS) -> Column:
+    """array<epoch, words, position>: what each epoch takes of a row with offset and size, of a source with its plan."""
+    first = F.least("goal", "source_size")
+    block = F.floor(F.col("offset") / block_words)
+
+    def part(epoch: int, end: Column, rank: Column) -> Column:
+        words = F.least(F.greatest(end - F.col("offset"), F.lit(0).cast("long")), F.col("size")).cast("long")
+        return F.when(words > 0, F.struct(F.lit(epoch).alias("epoch"), words.alias("words"), slot_position(rank, F.col("start"), F.col("slots"), F.col("bits")).alias("position")))
+
+    return F.array_compact(F.array(part(0, first, block), part(1, F.col("goal") - first, F.col("blocks") + block)))
 
 
 def sized_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, source, skey (a source's key, null included) and size in words."""
-    skey = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), word_count(text_of(text_col)).alias("size"))
+    """doc_id, source, skey and size in words."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), source_key().alias("skey"), word_count(text_of(text_col)).alias("size"))
 
 
-def taken_pieces(placed: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, skey, offset, size, epoch, words: what each epoch of the schedule takes of each document."""
-    b = block_words
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / b), F.floor((F.col("offset") + F.col("size") - 1) / b))))
-    joined = pieces.join(schedule(plan, b), ["skey", "block"])
-    words = F.greatest(F.lit(0).cast("long"), F.least("hi", F.col("offset") + F.col("size")) - F.greatest("lo", "offset"))
-    return joined.groupBy("doc_id", "skey", "offset", "size", "epoch").agg(F.sum(words).alias("words"))
+def planned(sized: DataFrame, block_words: int) -> DataFrame:
+    """The plan, a row per source: written, and broadcast only if its sources are counted to be few."""
+    return if_small(materialize(plan_slots(source_targets(sized), block_words).select("skey", "source_size", "target", "goal", "blocks", "slots", "start", "bits")))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
-    sized = materialize(sized_rows(docs, text_col))
-    plan = plan_slots(source_targets(sized), block_words)
-    placed = stream_offsets(sized)
-    taken = taken_pieces(placed, plan, block_words).groupBy("doc_id", "skey", "offset", "size").agg(F.sum("words").alias("taken"))
-    a, t = placed.where("size > 0"), taken.select(F.col("doc_id").alias("d"), F.col("skey").alias("k"), F.col("offset").alias("o"), "taken")
-    some = a.join(t, (F.col("skey") == F.col("k")) & (F.col("offset") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    cols = ["doc_id", "source", "skey", "size"]
-    every = some.select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(placed.where("size = 0").select(*cols, F.lit(0).cast("long").alias("taken")))
-    return every.join(plan.select("skey", "source_size", "target"), "skey").select("doc_id", "size", "source_size", "target", "taken", "source")
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text", seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, position, position_again: the places of both epochs, null where none is taken.
+
+    Rows that repeat id, source and size are one entry with copies until the end, so they needn't meet in a task.
+    """
+    sized = sized_rows(docs, text_col)
+    entries = materialize(sized.groupBy("doc_id", "source", "skey", "size").agg(F.count("*").alias("copies")))
+    rows = entries.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = stream_offsets(bucketed(rows, entries.count()), F.col("size") * F.col("copies"))
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("offset", F.col("offset") + F.col("k") * F.col("size"))
+    weighed = materialize(entries.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")))
+    out = each.join(planned(weighed, block_words), "skey").withColumn("parts", taken_parts(block_words))
+    at = lambda e: F.get(F.filter("parts", lambda p: p["epoch"] == e), F.lit(0))["position"]
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", at(0).alias("position"), at(1).alias("position_again"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -126,26 +163,27 @@ def first_words(text: Column, n: Column) -> Column:
     return F.concat(lead, F.array_join(F.slice(parts, 1, n.cast("int")), ""))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix as documents, all columns kept: a row per document and epoch, cut where the source's last slot ends.
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """The mix as documents in its order, all columns kept: a row per document and epoch, cut where the source's last slot ends.
 
     A stream is taken from its start, so per source and epoch one document at most is cut: it keeps
-    its first words, n_chars follows. Rows that repeat an id are told apart by their place in the stream.
+    its first words, n_chars follows. Rows are written in ranges of the schedule's positions. A row
+    travels as one struct, so its columns may have any names; rows are hashed by all they hold.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns])).withColumn("_skey", F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string"))))
-    w = Window.partitionBy("doc_id", "_row").orderBy("_skey")
-    keyed = keyed.withColumn("_twin", F.row_number().over(w))
-    ids = keyed.select(F.struct("doc_id", "_row", "_twin").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_skey").alias("skey"), word_count(text_of()).alias("size"))
-    sized = materialize(ids)
-    plan = plan_slots(source_targets(sized), block_words)
-    pieces = taken_pieces(stream_offsets(sized), plan, block_words).where("words > 0")
-    pieces = pieces.select(F.col("doc_id._row").alias("_row"), F.col("doc_id._twin").alias("_twin"), F.col("doc_id.doc_id").alias("_id"), F.col("size").alias("_size"), F.col("words").alias("_words"))
-    rows = keyed.join(pieces, (keyed["_row"] == pieces["_row"]) & (keyed["_twin"] == pieces["_twin"]) & keyed["doc_id"].eqNullSafe(pieces["_id"]))
-    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    rest = [c for c in docs.columns if c not in ("text", "doc_id")]
+    named = F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rest])) if rest else F.lit("")
+    rows = docs.select(whole_row(docs).alias("row"), source_key().alias("skey"), word_count(text_of()).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text", named).alias("h"))
+    rows = bucketed(rows, docs.count())
+    weighed = materialize(rows.groupBy("skey").agg(F.sum("size").alias("size"), F.first("row.source").cast("string").alias("source")))
+    parts = stream_offsets(rows.where("size > 0"), F.col("size")).join(planned(weighed, block_words), "skey").select("row", "size", "offset", F.explode(taken_parts(block_words)).alias("part"))
+    spread = parts.repartitionByRange("part.position", "offset").sortWithinPartitions("part.position", "offset")
+    cut = F.col("part.words") < F.col("size")
+    text = F.when(cut, first_words(F.col("row.text"), F.col("part.words"))).otherwise(F.col("row.text"))
+    out = spread.select("row", text.alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[keyed[c] if c not in ("text", "n_chars") else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -170,13 +170,69 @@ def test_mixing(docs, none):
     assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
-def test_schedule_is_even(spark):
-    t = spark.createDataFrame([("a", "a", 3000, 1, 3000.0), ("b", "b", 1000, 1, 1000.0)], "skey string, source string, source_size long, n_docs long, target double")
-    s = sorted((r.position, r.skey, r["rank"]) for r in mixing.schedule(mixing.plan_slots(t, 10), 10).collect())
-    for k, n in (("a", 300), ("b", 100)):
-        assert [r for _, q, r in s if q == k] == list(range(n))
-    first = [q for _, q, _ in s[:200]]
-    assert abs(first.count("a") - 150) <= 6
+def reversed_bits(i, m):
+    return int(f"{i:0{m}b}"[::-1], 2)
+
+
+def test_schedule_and_places_by_brute_force(spark, docs, monkeypatch):
+    """Every document's words and places against a schedule that is written out slot by slot."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 4)
+    monkeypatch.setattr(mixing, "GROUP_BITS", 2)
+    b = 16
+    got = mixing.mix(docs, block_words=b).collect()
+    plan = {(r.skey): r for r in mixing.plan_slots(mixing.source_targets(mixing.sized_rows(docs)), b).collect()}
+    m = next(iter(plan.values())).bits
+    slots = {k: [] for k in plan}
+    for i in range(1 << m):
+        v = reversed_bits(i, m)
+        for k, r in plan.items():
+            if r.start <= v < r.start + r.slots:
+                slots[k].append(i)
+    assert all(len(slots[k]) == r.slots for k, r in plan.items())
+    hashed = mixing.sized_rows(docs).withColumn("h", F.xxhash64(F.lit(7), "doc_id", "size")).collect()
+    want = []
+    for k, r in plan.items():
+        stream = sorted((x for x in hashed if x.skey == k), key=lambda x: x.h % (1 << 64) if len(hashed) > 4 else x.h)
+        at = 0
+        for x in stream:
+            ends = [min(r.goal, r.source_size), r.goal - min(r.goal, r.source_size)]
+            words_of = [sum(at <= w < min(end, at + x["size"]) for w in range(at, at + x["size"])) for end in ends]
+            place = [slots[k][at // b + e * r.blocks] if n else None for e, n in enumerate(words_of)]
+            want.append((str(x.doc_id), x["size"], sum(words_of), *map(str, place)))
+            at += x["size"]
+    assert sorted((str(r.doc_id), r["size"], r.taken, str(r.position), str(r.position_again)) for r in got) == sorted(want)
+    plain = {k: list(range(r.start, r.start + r.slots)) for k, r in plan.items()}
+    assert plain != slots  # a plain running number would be another schedule
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    """Prefixes of the mix hold the sources by their targets; clashing names and map columns survive."""
+    schema = "doc_id long, text string, source string, row string, h int, part map<string,int>, _keep int, _many int, _words int, _row int, _skey int, _twin int, offset int, position int"
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(20)), "abc"[min(2, i % 4)], "r", i, {"a": i}, 1, 2, 3, i, 5, 6, 7, 8) for i in range(400)]
+    d = spark.createDataFrame([*data, data[0], data[0]], schema)
+    out = mixing.mixed_documents(d, block_words=40)
+    assert out.columns == d.columns
+    rows_ = out.collect()
+    assert all(r._row == r.doc_id and r.part == {"a": r.doc_id} and r.h == r.doc_id for r in rows_)
+    taken = {}
+    for r in mixing.mix(d, block_words=40).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    seen = {}
+    for r in rows_:
+        seen[r.source] = seen.get(r.source, 0) + len(words(r.text))
+    assert seen == taken
+    half = {}
+    for r in rows_[: len(rows_) // 2]:
+        half[r.source] = half.get(r.source, 0) + len(words(r.text))
+    assert all(abs(half[s] - taken[s] / 2) < 0.05 * sum(taken.values()) for s in taken)
+    assert sorted(map(str, rows_)) == sorted(map(str, mixing.mixed_documents(d, block_words=40).collect()))
+
+
+def test_mix_broadcasts_only_few_sources(docs):
+    plan = mixing.mix(docs, block_words=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") <= 1
 
 
 def test_packing(docs, none):
