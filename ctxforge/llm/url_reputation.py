@@ -2,27 +2,35 @@
 
 Labelled page outcomes are counted per host. A beta-binomial prior is fitted by moments for
 each step of the hierarchy and counts are shrunk from suffix to registered domain to host:
-a level's posterior mean is the prior mean of the level below. A url is blocked when even
-the upper posterior bound of its host's share of good pages stays below ``min_good``; a host
-without outcomes takes its domain's posterior, then the suffix's, then the overall rate.
+a level's posterior mean is the prior mean of the level below. A host's share of good pages
+has a beta posterior; a url is blocked when that share lies, with probability ``CERTAIN``,
+below ``WORSE`` times the share of the whole corpus, that is when the upper posterior bound
+lies below it. A host without outcomes has its domain's, else its suffix's mean as the prior.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule
-and gets the overall rate's verdict; labels with a null id or a null quality are left out;
-several labels of one page all count; repeated pages give repeated rows.
+and is judged as any host; labels with a null id or a null quality are left out; several
+labels of one page, equal or contradictory, all count; repeated pages give repeated rows and
+count once each for their host; very long urls are read whole; without labels, or with labels
+of one kind only, nothing is blocked but by rules; an empty table gives no rows; columns other
+than page_id, url, doc_id and quality are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, table
+from .shared import LOWER, UPPER, if_small, materialize, table
 
 #: The rules of the query: verdict, host and its subdomains, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
-MIN_GOOD, Z = 0.5, 1.645
+WORSE, CERTAIN = 0.95, 0.95
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -60,33 +68,63 @@ def concentration(groups: DataFrame) -> DataFrame:
     return s.select((1 / rho - 1).alias("k"))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, upper: for every host of ``pages``, the upper posterior bound of its share of good pages."""
+def beta_below(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """P(share < x) of beta distributions, by the continued fraction of the incomplete beta function; 0 where one is degenerate."""
+    x, a, b = (np.asarray(v, np.float64) for v in np.broadcast_arrays(x, a, b))
+    good = (x > 0) & (x < 1) & (a > 0) & (b > 0)
+    x, a, b = (np.where(good, v, 0.5) for v in (x, a, b))
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, 100_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        last = h
+        for k in (even, odd):
+            d, c = 1 / safe(1 + k * d), safe(1 + k / c)
+            h = h * d * c
+        if (np.abs(h - last) <= 1e-13 * np.abs(h)).all():
+            break
+    log_gamma = np.vectorize(math.lgamma, otypes=[np.float64])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a if len(x) else x
+    return np.where(good, np.where(swap, 1 - front * h, front * h), 0.0)
+
+
+def host_reputation(pages: DataFrame, labels: DataFrame, worse: float = WORSE) -> DataFrame:
+    """host, mean, risk: for every host of ``pages`` its posterior mean, and the probability that its share of good pages lies below the bound."""
     host, _ = url_parts(F.col("url"))
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
     hosts = pages.select("page_id", host.alias("host")).join(good, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     domain, suffix = host_levels(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     seen = hosts.where("n > 0")
     total = seen.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1.0)).alias("m0"))  # one row
     by_suffix = seen.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     by_domain = seen.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     one = F.broadcast(total.crossJoin(concentration(by_suffix).select(F.col("k").alias("k_s"))).crossJoin(concentration(by_domain).select(F.col("k").alias("k_d"))).crossJoin(concentration(seen).select(F.col("k").alias("k_h"))))
-    out = hosts.join(by_suffix.select("suffix", F.col("n").alias("n_s"), F.col("good").alias("y_s")), "suffix", "left").join(by_domain.select("domain", F.col("n").alias("n_d"), F.col("good").alias("y_d")), "domain", "left").crossJoin(one)
+    out = hosts.join(if_small(by_suffix.select("suffix", F.col("n").alias("n_s"), F.col("good").alias("y_s"))), "suffix", "left").join(if_small(by_domain.select("domain", F.col("n").alias("n_d"), F.col("good").alias("y_d"))), "domain", "left").crossJoin(one)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = out.withColumn("m_s", (F.col("m0") * F.col("k_s") + zero("y_s")) / (F.col("k_s") + zero("n_s")))
     out = out.withColumn("m_d", (F.col("m_s") * F.col("k_d") + zero("y_d")) / (F.col("k_d") + zero("n_d")))
-    out = out.withColumn("m_h", (F.col("m_d") * F.col("k_h") + F.col("good")) / (F.col("k_h") + F.col("n")))
-    spread = F.sqrt(F.greatest(F.col("m_h") * (1 - F.col("m_h")), F.lit(0.0)) / (F.col("k_h") + F.col("n") + 1))
-    return out.select("host", (F.col("m_h") + Z * spread).alias("upper"))
+    out = out.select("host", (F.col("m_d") * F.col("k_h") + F.col("good")).alias("a"), ((1 - F.col("m_d")) * F.col("k_h") + F.col("n") - F.col("good")).alias("b"), (worse * F.col("m0")).alias("x"))
+
+    def risks(batches):
+        for r in batches:
+            a, b, x = (r.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([r.column(0), pa.array(a / np.maximum(a + b, 1e-300)), pa.array(beta_below(x, a, b))], names=["host", "mean", "risk"])
+
+    return out.mapInArrow(risks, "host string, mean double, risk double")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MIN_GOOD) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, worse: float = WORSE, certain: float = CERTAIN) -> DataFrame:
     host, path = url_parts(F.col("url"))
-    rep = host_reputation(pages, labels)
+    rep = if_small(materialize(host_reputation(pages, labels, worse).select("host", "risk")))
     out = pages.select("page_id", host.alias("host"), path.alias("path")).join(rep, "host", "left")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    by_host = F.when(F.col("upper") < min_good, F.lit("block")).otherwise(F.lit("allow"))
+    by_host = F.when(F.col("risk") >= certain, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
 
 
@@ -118,9 +156,11 @@ one AS (SELECT coalesce((SELECT sum(good) / sum(n)::DOUBLE FROM seen), 1.0) AS m
 a AS (SELECT hosts.*, m0, k_d, k_h, (m0 * k_s + coalesce(s.good, 0)) / (k_s + coalesce(s.n, 0)) AS m_s, coalesce(d.n, 0) AS n_d, coalesce(d.good, 0) AS y_d
       FROM hosts CROSS JOIN one LEFT JOIN s USING (suffix) LEFT JOIN d USING (domain)),
 b AS (SELECT *, (m_s * k_d + y_d) / (k_d + n_d) AS m_d FROM a),
-c AS (SELECT *, (m_d * k_h + good) / (k_h + n) AS m_h FROM b),
-rep AS (SELECT host, m_h + {Z} * sqrt(greatest(m_h * (1 - m_h), 0) / (k_h + n + 1)) AS upper FROM c)
+c AS (SELECT host, m_d * k_h + good AS a, (1 - m_d) * k_h + n - good AS b, {WORSE} * m0 AS x FROM b),
+-- the incomplete beta function as a power series, its terms by logarithms
+rep AS (SELECT host, CASE WHEN x > 0 AND x < 1 AND a > 0 AND b > 0 THEN exp(a * ln(x) + b * ln(1 - x) - ln(a) + lgamma(a + b) - lgamma(a) - lgamma(b))
+ * list_sum(list_transform(range(0, 20000), lambda i: exp(lgamma(a + b + i) - lgamma(a + b) - lgamma(a + 1 + i) + lgamma(a + 1) + i * ln(x)))) ELSE 0 END AS risk FROM c)
 SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for _, r, f in _FITS)} END AS rule,
-       CASE {' '.join(f"WHEN {f} THEN '{k}'" for k, _, f in _FITS)} WHEN upper < {MIN_GOOD} THEN 'block' ELSE 'allow' END AS verdict
+       CASE {' '.join(f"WHEN {f} THEN '{k}'" for k, _, f in _FITS)} WHEN risk >= {CERTAIN} THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN rep USING (host)
 """

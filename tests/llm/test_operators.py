@@ -360,6 +360,49 @@ def test_url_filter(spark):
     assert got[3][:3] == ("", "", None) and got[4][:3] == ("", "", None) and got[5][2:] == ("org/fr/", "allow") and got[6][2] is None
     assert got[7] == ("bad.test", "/1", None, "block") and got[205][3] == "allow" and got[8][2:] == ("example.com/de/", "block")
     assert url_reputation.url_filter(p.limit(0), lab).count() == 0 and url_reputation.url_filter(p, lab.limit(0)).count() == len(pages)
+    clash = p.selectExpr("*", "1 AS host", "2 AS risk", "3 AS n", "4 AS a").unionByName(spark.createDataFrame([(8, "http://x.example.com/de/1#a", 1, 2, 3, 4), (900, "http://" + "a" * 100_000 + ".org/fr/" + "p" * 1_000_000, 1, 2, 3, 4)], "page_id long, url string, host int, risk int, n int, a int"))
+    twice = url_reputation.url_filter(clash, lab.selectExpr("*", "5 AS host", "6 AS page_id")).collect()
+    assert len(twice) == len(pages) + 2 and sum(r.page_id == 8 for r in twice) == 2
+    assert next(r for r in twice if r.page_id == 900).rule == "org/fr/"
+
+
+def test_beta_below():
+    """Against sums of the binomial (whole parameters) and against a fine numeric integral."""
+    from math import comb
+
+    for a, b in ((1, 1), (3, 7), (40, 2), (200, 31)):
+        for x in (0.05, 0.5, 0.81, 0.99):
+            n = a + b - 1
+            want = sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+            assert abs(float(url_reputation.beta_below(np.array([x]), np.array([a]), np.array([b]))[0]) - want) < 1e-9
+    for a, b in ((2.5, 1.3), (860.2, 139.8), (86e4, 14e4)):
+        x = a / (a + b) * 0.999
+        t = np.linspace(max(1e-9, x - 60 * np.sqrt(a * b / (a + b) ** 3)), x, 400_001) if a > 100 else np.linspace(1e-12, x, 4_000_001)
+        mode = (a - 1) / (a + b - 2)
+        f = np.exp((a - 1) * np.log(t / mode) + (b - 1) * np.log((1 - t) / (1 - mode)))
+        lg = url_reputation.math.lgamma
+        area = np.sum((f[1:] + f[:-1]) / 2 * np.diff(t)) * np.exp((a - 1) * np.log(mode) + (b - 1) * np.log(1 - mode) + lg(a + b) - lg(a) - lg(b))
+        assert abs(float(url_reputation.beta_below(np.array([x]), np.array([a]), np.array([b]))[0]) - area) < 1e-4
+
+
+def test_reputation_shrinks_and_decides(spark):
+    """A bad host of many pages is blocked; one bad page of an unknown host isn't; a host of a bad domain is worse than one of a good domain."""
+    hosts = [("bad.spam.com", 200, 0.3), ("worse.spam.com", 200, 0.2), ("new.spam.com", 1, 0.0), ("one.fine.org", 1, 0.0), ("a.fine.org", 300, 0.95), ("b.other.org", 300, 0.9), ("none.fine.org", 0, 0)]
+    pages, lab, i = [], [], 0
+    for h, n, rate in hosts:
+        for k in range(max(1, n)):
+            pages.append((i, f"http://{h}/{k}"))
+            if n:
+                lab.append((i, int(k < rate * n)))
+            i += 1
+    p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(lab, "doc_id long, quality int")
+    rep = {r.host: r for r in url_reputation.host_reputation(p, q).collect()}
+    assert rep["none.fine.org"].mean > rep["one.fine.org"].mean > rep["new.spam.com"].mean and rep["bad.spam.com"].mean > rep["worse.spam.com"].mean
+    verdict = {r.host: r.verdict for r in url_reputation.url_filter(p, q, rules=()).collect()}
+    assert verdict["bad.spam.com"] == verdict["worse.spam.com"] == "block"
+    assert all(verdict[h] == "allow" for h in ("one.fine.org", "a.fine.org", "b.other.org", "none.fine.org"))
+    only = q.where("quality = 1")
+    assert {r.verdict for r in url_reputation.url_filter(p, only, rules=()).collect()} == {"allow"}
 
 
 def test_pitman_yor(spark, docs, none):
