@@ -1,7 +1,8 @@
 """MinHash near-dedup by an LSH forest, completed by an exact join; links are confirmed on full shingle sets.
 
-1. Texts are read once: a text's hashed shingle set is written beside its signature and its node,
-   a digest of the set. Texts with equal sets form a class; one node stands for a class.
+1. Texts are read once: of a text's hashed shingle set are written its size, its signature, its
+   node, which is a digest of the set, and its head, the quarter that step 4 needs. Texts with
+   equal sets form a class; one node stands for a class.
 2. A node's signature has ``TREES`` sequences of ``DEPTH`` minhashes. In each tree nodes are sorted
    by their sequence; the order is range-partitioned by the sequence itself, so a dense region
    spreads over tasks by ever deeper prefixes.
@@ -14,11 +15,12 @@
    the edges of partitions, and proposals rest on estimates. An exact join ends the job: shingles
    have one order, rare ones first; two sets of the wanted similarity share a shingle among the
    first quarter of each. Nodes of different components that meet there, and that lengths and
-   places of the shingle allow, are all confirmed on the full sets.
+   places of the shingle allow, are compared by their heads, which bound what the sets can share,
+   and the rest of them are all confirmed on the full sets.
 
 The forest only spares the exact join the pairs within components, so no link depends on an
 estimate, a window or a number of proposals. The list of frequent shingles comes from a sample;
-it sets the order, not the result. Shingles are compared by 64-bit hashes; classes by 128 bits.
+it sets the order, not the result. Shingles are compared by 63-bit hashes; classes by 128 bits.
 
 Defined results: a null or blank text has no shingles, links with nothing and is its own
 component; fewer than five words form one shingle of the whole sequence; rows that repeat an
@@ -42,17 +44,18 @@ from .shared import discard, if_small, materialize, table, text_of, whole_row
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 TREES, DEPTH, FIRST = 8, 8, 2
 REACH, BEST, LEAST_ALIKE = 256, 2, 0.55
-#: Frequent shingles: at least this many of every SAMPLE-th set hold one; the list goes to the driver and is bounded.
-SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 200_000
+#: Frequent shingles: at least this many of every SAMPLE-th text hold one; the list goes to the driver and is bounded.
+SAMPLE, OFTEN, MOST_FREQUENT = 16, 3, 200_000
 N_HASHES = TREES * DEPTH
 PAIRS_PER_TASK, PAIRS_PER_BUNDLE = 2000, 128
-#: Rows of the exact join in a task, 32 bytes each; bytes of sets in an Arrow batch.
+#: Shingles of the exact join in a task, 32 bytes each; bytes of heads in an Arrow batch.
 TOKENS_PER_TASK, BATCH_BYTES = 2_000_000, 32 << 20
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
 _M = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TOKEN = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+RUN = np.dtype([("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("k", "<i4")])
 
 
 class WordHashes(dict):
@@ -79,11 +82,11 @@ def shingles(text: str, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
         return w
     n = len(w) - size + 1
     if n < 1:
-        return _mixed(np.array([(w * _M[: len(w)]).sum() + np.uint64(len(w))], np.uint64))
+        return _mixed(np.array([(w * _M[: len(w)]).sum() + np.uint64(len(w))], np.uint64)) >> np.uint64(1)
     h = w[:n] * _M[0]
     for k in range(1, size):
         h += w[k : n + k] * _M[k]
-    return np.unique(_mixed(h))
+    return np.unique(_mixed(h) >> np.uint64(1))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -101,10 +104,52 @@ def nodes_of(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node and proof (both null without shingles), sig (minhashes, big-endian), low (a byte of each), shingles (sorted)."""
+def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sampled texts hold, sorted, and the rank of each by frequency: MOST_FREQUENT at most."""
+
+    def run(batches):
+        words = WordHashes()
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    t = text_of(text_col)
+    some = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
+    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
+    often = rows.toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    rank = np.argsort(often, kind="stable")
+    return often[rank], rank
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set, rare ones first, that a set alike enough must meet; frequent is sorted, rank its order."""
+    n = len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1
+    if not len(frequent) or not len(s):
+        return s[:n]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = frequent[at] == s
+    rare = s[~often]
+    return rare[:n] if len(rare) >= n else np.concatenate([rare, s[often][np.argsort(rank[at[often]], kind="stable")]])[:n]
+
+
+def places(head: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where the shingles of a head stand in the order of all shingles: rare ones by hash, below 2**63, then frequent ones by rank."""
+    if not len(frequent):
+        return head
+    at = np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)
+    return np.where(frequent[at] == head, rank[at].astype(np.uint64) + np.uint64(1 << 63), head)
+
+
+def needed_overlap(n, m):
+    """The fewest common shingles of sets of n and m that are alike enough."""
+    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
+
+
+def shingle_sets(docs: DataFrame, frequent, text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, node and proof (both null without shingles), sig (minhashes, big-endian), low (a byte of each), head."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_shingles", "node", "proof", "sig", "low", "shingles"]
+    names = ["n_shingles", "node", "proof", "sig", "low", "head"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
@@ -115,18 +160,19 @@ def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for i, text in enumerate(b.column(1)):
                 s = shingles(text.as_py(), words)
                 if len(s):
-                    v = signature(s)
-                    rows.append((len(s), *nodes_of(s), v.astype(">u4").tobytes(), (v & np.uint32(255)).astype(np.uint8).tobytes(), s.astype("<u8").tobytes()))
+                    v, head = signature(s), prefix(s, *frequent.value).astype("<u8").tobytes()
+                    rows.append((len(s), *nodes_of(s), v.astype(">u4").tobytes(), (v & np.uint32(255)).astype(np.uint8).tobytes(), head))
+                    size += len(head)
                 else:
                     rows.append((0, None, None, None, None, None))
-                size += 8 * len(s) + 400
+                size += 400
                 if size > BATCH_BYTES:
                     yield out(at, i + 1, rows)
                     rows, at, size = [], i + 1, 0
             if rows:
                 yield out(at, b.num_rows, rows)
 
-    return docs.select("doc_id", text_of(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, proof long, sig binary, low binary, shingles binary")
+    return docs.select("doc_id", text_of(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, proof long, sig binary, low binary, head binary")
 
 
 def told_apart(sets: DataFrame) -> DataFrame:
@@ -188,13 +234,9 @@ def proposals(classes: DataFrame, best: int, labels: DataFrame | None = None) ->
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_proposals(best), "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are alike enough. Pairs around a common neighbour share a task, so a set travels about once.
-
-    Of the sets only those of the pairs move; a bundle of many pairs is split by its pairs' hashes.
-    """
-    n = pairs.count()
-    tasks = max(1, -(-n // PAIRS_PER_TASK))
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs by task, and the nodes that each task needs. Pairs around a common neighbour share a task, so a node's data travel about once; a bundle of many pairs is split by their hashes."""
+    tasks = max(1, -(-pairs.count() // PAIRS_PER_TASK))
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     near = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
     p = pairs.join(near.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(near.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
@@ -202,50 +244,54 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     large = p.groupBy("bundle").agg(F.ceil(F.count("*") / PAIRS_PER_BUNDLE).alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
     p = materialize(p.join(if_small(large), "bundle", "left").select(F.pmod(F.xxhash64("bundle", part), F.lit(tasks)).alias("task"), "a", "b"))
-    needed = p.select(F.col("task").alias("for_task"), F.col("a").alias("node")).union(p.select("task", "b")).distinct()
-    needed = materialize(needed.join(classes.select("node", "rep"), "node")).alias("w")
-    s = sets.select("doc_id", "node", "shingles").alias("s")
-    moved = s.join(if_small(needed), (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.rep"))).select("for_task", F.col("s.node").alias("node"), "shingles")
+    return p, p.select(F.col("task").alias("for_task"), F.col("a").alias("node")).union(p.select("task", "b")).distinct()
+
 
-    def check(pairs_pdf, sets_pdf):
+def likely(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
+    """The pairs whose heads allow the wanted overlap: what stands, in the order of all shingles, before both heads' ends is known of both sets."""
+    p, needed = dealt(pairs)
+    moved = classes.select("node", "n", "head").join(if_small(materialize(needed)), "node").select("for_task", "node", "n", "head")
+
+    def check(pairs_pdf, heads_pdf):
         import pandas as pd
 
-        held = {n: np.frombuffer(s, "<u8") for n, s in zip(sets_pdf["node"], sets_pdf["shingles"], strict=True)}
+        held = {}
+        for node, n, h in zip(heads_pdf["node"], heads_pdf["n"], heads_pdf["head"], strict=True):
+            held[node] = n, places(np.frombuffer(h, "<u8"), *frequent.value)
         keep = []
         for a, b in zip(pairs_pdf["a"], pairs_pdf["b"], strict=True):
-            x, y = held[a], held[b]
-            if min(len(x), len(y)) * DENOMINATOR < NUMERATOR * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both):
+            (n, x), (m, y) = held[a], held[b]
+            end = min(x[-1], y[-1])
+            x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+            if len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y)) >= needed_overlap(n, m):
                 keep.append((a, b))
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
     return p.groupBy("task").cogroup(moved.groupBy("for_task")).applyInPandas(check, "a long, b long")
 
 
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles that many sampled sets hold, the most frequent last."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The pairs whose full sets are alike enough, from the texts that stand for their classes; no other text moves where these are few."""
+    p, needed = dealt(pairs)
+    needed = materialize(needed.join(classes.select("node", "rep"), "node").select("for_task", "rep"))
+    moved = docs.select("doc_id", text_of(text_col).alias("t")).join(if_small(needed), F.col("doc_id").eqNullSafe(F.col("rep"))).select("for_task", "t")
 
-    def run(batches):
-        for b in batches:
-            h, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-
-    some = sets.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "h long, n long")
-    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT)
-    return rows.toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    def check(pairs_pdf, texts_pdf):
+        import pandas as pd
 
+        words, held = WordHashes(), {}
+        for t in texts_pdf["t"]:
+            s = shingles(t, words)
+            if len(s):
+                held[nodes_of(s)[0]] = s
+        keep = []
+        for a, b in zip(pairs_pdf["a"], pairs_pdf["b"], strict=True):
+            x, y = held[a], held[b]
+            if min(len(x), len(y)) * DENOMINATOR >= NUMERATOR * max(len(x), len(y)) and len(np.intersect1d(x, y, assume_unique=True)) >= needed_overlap(len(x), len(y)):
+                keep.append((a, b))
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a set, rare ones first, that a set alike enough must meet; frequent is sorted, rank its order."""
-    n = len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1
-    if not len(frequent) or not len(s):
-        return s[:n]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[at] == s
-    rare = s[~often]
-    return rare[:n] if len(rare) >= n else np.concatenate([rare, s[often][np.argsort(rank[at[often]], kind="stable")]])[:n]
+    return p.groupBy("task").cogroup(moved.groupBy("for_task")).applyInPandas(check, "a long, b long")
 
 
 def _meetings(batches):
@@ -257,12 +303,20 @@ def _meetings(batches):
             lo = np.searchsorted(n[:hi], -(-NUMERATOR * n[hi] // DENOMINATOR))
             x = slice(lo, hi)
             most = np.minimum(n[x] - pos[x], n[hi] - pos[hi])
-            ok = (comp[x] != comp[hi]) & (most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n[x] + n[hi]))
+            ok = (comp[x] != comp[hi]) & (most >= needed_overlap(n[x], n[hi]))
             if ok.any():
                 other = node[x][ok]
                 yield np.minimum(other, node[hi]), np.maximum(other, node[hi])
 
-    blobs = [np.frombuffer(x, TOKEN) for b in batches for x in b.column(1).to_pylist()]
+    blobs = []
+    for b in batches:
+        for keys, pos, runs in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            runs = np.frombuffer(runs, RUN)
+            t = np.empty(len(keys) // 8, TOKEN)
+            t["key"], t["pos"] = np.frombuffer(keys, "<u8"), np.frombuffer(pos, "<i4")
+            for c in ("node", "comp", "n"):
+                t[c] = np.repeat(runs[c], runs["k"])
+            blobs.append(t)
     if not blobs:
         return
     rows = np.concatenate(blobs)
@@ -270,13 +324,19 @@ def _meetings(batches):
     rows = rows[np.argsort(rows["key"], kind="stable")]
     starts = np.concatenate([[0], np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1])
     ends = np.concatenate([starts[1:], [len(rows)]])
-    several = np.flatnonzero(ends - starts > 1)
+    mixed = np.minimum.reduceat(rows["comp"], starts) != np.maximum.reduceat(rows["comp"], starts)
     a, b, size = [], [], 0
     out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-    for k in several:
+    two = starts[mixed & (ends - starts == 2)]  # most groups, at once
+    x, y = rows[two], rows[two + 1]
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    ok = np.minimum(n - x["pos"], m - y["pos"]) >= needed_overlap(n, m)
+    if ok.any():
+        a.append(np.minimum(x["node"], y["node"])[ok])
+        b.append(np.maximum(x["node"], y["node"])[ok])
+        size = int(ok.sum())
+    for k in np.flatnonzero(mixed & (ends - starts > 2)):
         g = rows[starts[k] : ends[k]]
-        if (g["comp"] == g["comp"][0]).all():
-            continue
         for x, y in pairs(g[np.argsort(g["n"], kind="stable")]):
             a.append(x)
             b.append(y)
@@ -288,24 +348,14 @@ def _meetings(batches):
         yield out()
 
 
-def exact_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+def exact_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes of different components that may be alike enough: no pair that is is left out.
 
-    Tokens (shingle, node, component, size, place) travel in blobs by ranges of hashed shingles.
+    A task gets a range of hashed shingles, in blobs: shingles and their places, and runs of a node, its component and size.
     """
-    spark = sets.sparkSession
-    some = sets.where("node IS NOT NULL")
-    often = frequent_shingles(some)
-    order = np.argsort(often, kind="stable")
-    shared = spark.sparkContext.broadcast((often[order], order))  # MOST_FREQUENT at most
-    total = some.agg(F.sum((F.col("n_shingles") * (DENOMINATOR - NUMERATOR)) / DENOMINATOR + 1).alias("n")).first()["n"] or 0
+    total = classes.agg(F.sum(F.octet_length("head") / 8).alias("n")).first()["n"] or 0
     tasks = max(1, -(-int(total) // TOKENS_PER_TASK))
 
-    def heads(batches):
-        for b in batches:
-            head = [prefix(np.frombuffer(x, "<u8"), *shared.value).tobytes() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(head, pa.binary())], names=["node", "n", "head"])
-
     def blobs(batches):
         for b in batches:
             node, n, comp = (b.column(i).to_numpy() for i in range(3))
@@ -317,19 +367,25 @@ def exact_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
                     size += part[-1].nbytes
                     at += 1
                 k = np.array([len(x) for x in part])
-                t = np.empty(k.sum(), TOKEN)
-                t["key"] = np.concatenate(part)
-                t["node"], t["comp"], t["n"] = (np.repeat(x[lo:at], k) for x in (node, comp, n))
-                t["pos"] = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                to = (t["key"] >> np.uint64(16)) % np.uint64(tasks)
+                key = np.concatenate(part)
+                row, pos = np.repeat(np.arange(lo, at), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                to = (key >> np.uint64(16)) % np.uint64(tasks)
                 by = np.argsort(to, kind="stable")
-                t, to = t[by], to[by]
-                cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].astype(np.int32)), pa.array([t[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["task", "blob"])
-
-    rows = some.select("node", F.col("n_shingles").cast("int").alias("n"), "shingles").mapInArrow(heads, "node long, n int, head binary")
-    rows = rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("head").alias("head")).join(if_small(labels), "node", "left")
-    tokens = rows.select("node", "n", F.coalesce("comp", "node").alias("comp"), "head").mapInArrow(blobs, "task int, blob binary")
+                key, row, pos, to = key[by], row[by], pos[by].astype("<i4"), to[by]
+                ends = np.concatenate([np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+                out, x = [], 0
+                for y in ends:
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(row[x:y])) + 1])
+                    runs = np.empty(len(first), RUN)
+                    runs["node"], runs["comp"], runs["n"] = (v[row[x:y][first]] for v in (node, comp, n))
+                    runs["k"] = np.diff(np.concatenate([first, [y - x]]))
+                    out.append((int(to[x]), key[x:y].tobytes(), pos[x:y].tobytes(), runs.tobytes()))
+                    x = y
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["task", "keys", "pos", "runs"])
+
+    rows = classes.select("node", "n", "head").join(if_small(labels), "node", "left").select("node", F.col("n").cast("int").alias("n"), F.coalesce("comp", "node").alias("comp"), "head")
+    tokens = rows.mapInArrow(blobs, "task int, keys binary, pos binary, runs binary")
     return tokens.repartitionById(tasks, F.col("task")).mapInArrow(_meetings, "a long, b long").distinct()
 
 
@@ -367,18 +423,19 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
+def linked(classes: DataFrame, docs: DataFrame, frequent, text_col: str = "text") -> DataFrame:
     """node, comp: the components of all nodes that have a link."""
     first = materialize(proposals(classes, BEST))
-    labels = materialize(components(materialize(confirmed(first, classes, sets))))
-    cross = materialize(confirmed(materialize(proposals(classes, BEST, labels)), classes, sets))
+    labels = materialize(components(materialize(confirmed(first, classes, docs, text_col))))
+    cross = materialize(confirmed(materialize(proposals(classes, BEST, labels)), classes, docs, text_col))
     if not cross.isEmpty():
         labels = joined(labels, cross)
-    rest = materialize(exact_pairs(sets, labels))
+    rest = materialize(exact_pairs(classes, labels))
     # A share of many pairs joins most of what is left to join; what it leaves apart is tested in whole.
     for share in (64, 1) if rest.count() > 64 * PAIRS_PER_TASK else (1,):
-        some = between(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0), labels)
-        links = materialize(confirmed(materialize(some), classes, sets))
+        some = materialize(between(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0), labels))
+        some = materialize(likely(some, classes, frequent))
+        links = materialize(confirmed(some, classes, docs, text_col))
         if not links.isEmpty():
             labels = joined(labels, links)
     return labels
@@ -386,14 +443,17 @@ def linked(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    sets = told_apart(materialize(shingle_sets(docs, text_col)))
-    classes = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("low").alias("low")))
-    labels = linked(sets, classes)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col))  # MOST_FREQUENT at most
+    sets = told_apart(materialize(shingle_sets(docs, frequent, text_col)))
+    same = [F.any_value(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "sig", "low", "head")]
+    classes = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), *same))
+    labels = linked(classes, docs, frequent, text_col)
     named = classes.select("node", "rep").join(if_small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = materialize(sets.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
     discard(sets)
+    discard(classes)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
