@@ -1,22 +1,31 @@
 """Secret scan: fixed patterns, plus dictionary-primed zstandard novelty.
 
-Base spans are the leftmost non-overlapping matches of three patterns. The method adds
-strings that no pattern names: a string close behind a sensitive word, or one that continues
-such a string (lines of a key block, parts joined by dots), is
-compressed together with the code around it under a dictionary of code and identifiers; the
-bytes it adds to the compressed context are its novelty. Words and identifiers are found in
-the dictionary or the context and cost little; keys are incompressible and are reported.
+Base spans are the leftmost non-overlapping matches of three patterns. The method adds strings
+in a sensitive context, whether or not a pattern names them: a string close behind a sensitive
+word, or one that continues such a string (lines of a key block, parts joined by dots), is
+compressed together with the code around it under a dictionary. The bytes it adds are its
+novelty; it is reported if it adds nearly as many as random strings of its own alphabet and
+length would in its place. Words and identifiers are found in the dictionary or the context and
+cost little; keys of any alphabet (hex, base64, mixed case) are incompressible.
+
+The dictionary is what code and settings usually hold and the identifiers that the corpus itself
+has near sensitive words, counted over all documents: those of ``LEAST_TEXTS`` texts or more, the
+``MOST_IDENTIFIERS`` most frequent at most. It holds words of letters only, so no key gets in.
 
 Defined results: a null or empty text has no spans (and the hash of the empty string);
-offsets count code points, the end is exclusive; rows are answered one by one, so repeated
-ids and rows repeat their results; an empty table gives none. Whole texts are read.
+offsets count code points, the end is exclusive; a novel span may lie in a base span; spans that
+start together are ordered by kind; rows are answered one by one, so repeated ids and rows repeat
+their results; an empty table gives none. Whole texts are read, whatever their length. Other
+columns aren't looked at, whatever their names, and masking keeps them.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +49,12 @@ LONG = 20
 BETWEEN = re.compile(r"""[\s"'`,;:|\\()\[\]{}]{0,16}""")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END")
 NEAR, AROUND = 48, 200
-#: Compressed bytes a character that a candidate must add: random base64 adds 0.75 or more.
-MIN_NOVELTY = 0.72
+#: What a string must add, as a share of what random strings of its alphabet and length add on average; how many of these are tried.
+MIN_NOVELTY, CONTROLS = 0.85, 3
+#: Identifiers near sensitive words: words of letters, joined by a mark or a capital; none so long that it could be a key.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])(?:[A-Z]?[a-z]{2,14}|[A-Z]{2,14})(?:[_-](?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14})|[A-Z][a-z]{1,14}){0,5}(?![A-Za-z0-9_-])")
+LEAST_TEXTS, MOST_IDENTIFIERS = 3, 2000
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What code and settings usually hold; primes the compressor.
 DICTIONARY = (
     "import export default function return const let var class public private static void string int boolean null true false "
@@ -65,30 +78,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def alphabet(string: str) -> str:
+    """The characters that strings of this kind are made of."""
+    for few in (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF"):
+        if set(string) <= set(few):
+            return few
+    marks = "".join(sorted({c for c in string if not c.isalnum()}))
+    return "".join(x for x in (_DIGITS, _LOWER, _UPPER) if any(c in x for c in string)) + marks
+
+
 class Novelty:
-    """Marginal compressed size of a string, given the text around it and a dictionary."""
+    """Marginal compressed size of a string, given the text around it and a dictionary, as a share of that of random strings."""
 
-    def __init__(self, dictionary: str = DICTIONARY):
+    def __init__(self, identifiers=(), dictionary: str = DICTIONARY):
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = (" ".join(identifiers) + " " + dictionary).encode()
+        primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._size = lambda b, c=zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False): len(c.compress(b))
 
     def __call__(self, before: str, string: str, after: str) -> float:
-        around = (before + "\n" + after).encode()
-        return (self._size(around + b"\n" + string.encode()) - self._size(around)) / len(string)
+        around = (before.replace(string, "") + "\n" + after.replace(string, "") + "\n").encode("utf-8", "replace")  # a repeated key is no less a key
+        alone, letters, draw = self._size(around), alphabet(string), random.Random(string)
+        controls = ["".join(draw.choice(letters) for _ in string) for _ in range(CONTROLS)]
+        most = sum(self._size(around + c.encode()) - alone for c in controls)
+        return CONTROLS * (self._size(around + string.encode()) - alone) / max(most, 1)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, novelty: Novelty) -> list[tuple[int, int, str]]:
     words = [m.end() for m in SENSITIVE.finditer(text)]
     if not words:
         return []
-    free = lambda s, e: not any(a < e and s < b for a, b, _ in [*known, *out])
     new = lambda s, e: novelty(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND]) >= MIN_NOVELTY
-    out: list[tuple[int, int, str]] = []
-    for m in PEM.finditer(text):
-        if free(*m.span(1)) and new(*m.span(1)):
-            out.append((*m.span(1), "novel"))
+    blocks = [m.span(1) for m in PEM.finditer(text)]
+    blocks = [b for b in blocks if new(*b)]
+    ends = [e for _, e in blocks]
+    out: list[tuple[int, int, str]] = [(s, e, "novel") for s, e in blocks]
     last = -1  # end of the sensitive string before
     for m in CANDIDATE.finditer(text):
         s, e = m.start(), m.start() + len(m[0].rstrip("."))
@@ -97,16 +122,42 @@ def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty)
         if not near and not (last >= 0 and BETWEEN.fullmatch(text, last, s)):
             continue
         last = e
+        block = bisect.bisect_right(ends, s)
+        if block < len(blocks) and blocks[block][0] < e:  # part of a key block
+            continue
         # the whole string, or else its parts between dots
         for x, y in [(s, e), *((s + p.start(), s + p.end()) for p in re.finditer(r"[^.]+", text[s:e]))] if "." in text[s:e] else [(s, e)]:
             string = text[x:y]
             if len(string) < 8 or (len(string) < LONG and not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string))):
                 continue
-            if free(x, y) and new(x, y):
+            if new(x, y):
                 out.append((x, y, "novel"))
+                if (x, y) == (s, e):
+                    break
     return sorted(out)
 
 
+def identifiers(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The corpus's own identifiers near sensitive words, the most frequent last: MOST_IDENTIFIERS at most."""
+
+    def run(batches):
+        for b in batches:
+            seen: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                found, done = set(), 0
+                for m in SENSITIVE.finditer(text):
+                    lo, hi = max(done, m.start() - AROUND), m.end() + AROUND
+                    if hi > lo:
+                        found.update(x.group() for x in IDENTIFIER.finditer(text, lo, hi))
+                    done = max(done, hi)
+                seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    some = docs.select(text_of(text_col).alias("t")).where(F.col("t").rlike("(?i)" + SENSITIVE.pattern))
+    counts = some.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    return [r["word"] for r in reversed(counts.orderBy(F.col("n").desc(), "word").limit(MOST_IDENTIFIERS).collect())]
+
+
 def spans_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
@@ -125,13 +176,15 @@ def secret_scan(docs: DataFrame, text_col: str = "text", mask: str | None = None
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", masked_text string" if mask is not None else "")
 
+    names = identifiers(docs, text_col)
+
     def scan(batches):
-        novelty = Novelty()
+        novelty = Novelty(names)
         for b in batches:
             cols = [[] for _ in range(5 + (mask is not None))]
             for text in b.column(1).to_pylist():
                 base = base_spans(text)
-                every = base + novel_spans(text, base, novelty)
+                every = base + novel_spans(text, novelty)
                 kinds = [k for _, _, k in base]
                 row = [kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every)]
                 for c, v in zip(cols, row + ([_masked(text, every, mask)] if mask is not None else []), strict=True):
@@ -143,13 +196,14 @@ def secret_scan(docs: DataFrame, text_col: str = "text", mask: str | None = None
 
 def masked_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents, all columns kept, with every found span replaced; n_chars follows the text."""
+    names = identifiers(docs)
 
     def masked(batches):
-        novelty = Novelty()
+        novelty = Novelty(names)
         for b in batches:
             i = b.schema.get_field_index("text")
             texts = b.column(i).to_pylist()
-            done = [t if t is None else _masked(t, (base := base_spans(t)) + novel_spans(t, base, novelty), mark) for t in texts]
+            done = [t if t is None else _masked(t, base_spans(t) + novel_spans(t, novelty), mark) for t in texts]
             yield b.set_column(i, b.schema.field(i), pa.array(done, b.schema.field(i).type))
 
     out = docs.mapInArrow(masked, docs.schema)
