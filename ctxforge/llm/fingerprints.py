@@ -1,143 +1,160 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, with built-in functions only.
 
-A paragraph (a line, or a sentence of one) is hashed to a wide vector of 0/1 lanes and the
-document's fingerprint is the lane-wise sum modulo 2**20, plus the number of paragraphs.
-Sums commute, so the order of paragraphs doesn't matter and inserting or deleting a
-paragraph adds or subtracts its vector (``add_fingerprints``). Three lanes share a long,
-each followed by a guard bit that is cleared after every addition, so lanes wrap on their own.
-
-Lanes are fair coins, hence ``2 * sum - n`` estimates signed random projections and their
-inner product estimates how many paragraphs two documents share; ``likeness`` is that
-product over the larger squared length, cut to 0..1 and exactly 1 for equal fingerprints.
-
-Defined results: a null text counts as empty (no paragraphs, all lanes 0); rows that repeat
-an id are answered row by row; the next document of an id is the next smaller distinct id
-(null last) and, if several rows have it, the one with the smallest text; after the last
-comes the first. Other columns are ignored. An empty table gives an empty result.
+A paragraph (a line, or a sentence of one) is hashed to a wide vector: ``WIDE`` lanes of 32 random
+bits, and 64 counters, each two lanes of one random bit 32 bits apart. A document's vector is the
+sum over its paragraphs, plus their number. The sums of the wide lanes modulo 2**32 and the number
+are the fingerprint: sums commute, so the order of paragraphs doesn't matter, and inserting or
+deleting paragraphs adds or subtracts their vectors. Paragraphs are exploded and summed by ordinary
+aggregates, so vectors of very long texts are combined like any others, within 2**31 paragraphs.
+
+An edited text's vector is not hashed anew: the paragraphs from the cut on are deleted from the
+document's own vector and those that the edit brings are inserted; what lies before the cut isn't
+looked at again.
+
+One-bit lanes are fair coins, hence ``2 * sum - n`` are random projections and their inner product
+estimates how many paragraphs two documents share; ``likeness`` is that product over the larger
+squared length, cut to 0..1, and exactly 1 for equal fingerprints. Of 128 lanes its error is some 0.09.
+
+Defined results: a null text counts as empty (no paragraphs, all lanes 0); rows that repeat an id
+are answered row by row; the next document of an id is the next smaller distinct id of any type
+that can be ordered (null last) and, if several rows have it, the one with the smallest text; after
+the last comes the first, and a single document follows itself. Other columns are ignored, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import let, materialize, table, text_of
+from .shared import if_small, materialize, table, text_of
 
 PARAGRAPHS = r"\n+|(?<=[.!?])[\x20\t\r]+"
-LANE_BITS, GUARDED = 20, 21
-SEEDS = (1, 2)
-_LOW = sum(1 << (GUARDED * i) for i in range(3))
-_KEEP = sum(((1 << LANE_BITS) - 1) << (GUARDED * i) for i in range(3))
-LONGS = GUARDED * len(SEEDS)
-LANES = 3 * LONGS
+#: What ends the last whole paragraph of a text's beginning; the rest of it is cut from there on.
+LAST_END = r"(?s)^.*(?:\n|[.!?][\x20\t\r]+)"
+WIDE, COUNTERS = 8, 64
+LANES = tuple(f"w{i}" for i in range(WIDE)) + tuple(f"b{i}" for i in range(COUNTERS))
+_HALF, _PAIR = (1 << 32) - 1, (1 << 32) + 1
 
 
-def lane_sums(text: Column) -> Column:
-    """array<long>: the number of paragraphs, then the packed lanes."""
-    parts = F.filter(F.split(text, PARAGRAPHS, -1), lambda p: p != "")
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, PARAGRAPHS, -1), lambda p: p != "")
 
-    def sums(ps: Column) -> Column:
-        def one(hs: Column, shift: int) -> Column:
-            return F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_KEEP)))
 
-        digests = F.transform(ps, lambda p: F.sha2(p, 256))
+def lanes_of(digest: Column) -> list[Column]:
+    """The vector of one paragraph by its digest, in the order of LANES."""
+    wide = [F.xxhash64(F.lit(i), digest) for i in range(WIDE // 2)]
+    bits = [F.xxhash64(F.lit(100 + i), digest) for i in range(COUNTERS // 32)]
+    low = [h.bitwiseAND(F.lit(_HALF)) for h in wide] + [F.shiftrightunsigned(h, 32) for h in wide]
+    return low + [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR)) for h in bits for j in range(32)]
 
-        def seeded(ds: Column, seed: int) -> Column:
-            return F.transform(ds, lambda d: F.xxhash64(F.lit(seed), d))
 
-        packed = [let(seeded(digests, s), lambda hs: F.array(*[one(hs, k) for k in range(GUARDED)])) for s in SEEDS]
-        return F.concat(F.array((F.size(ps) % (1 << LANE_BITS)).cast("long")), *packed)
+def vectors(rows: DataFrame, key: list[str], added: str, removed: str | None = None) -> DataFrame:
+    """key, copies, n and LANES: the sum over the texts ``added`` minus that over ``removed``, a row for each distinct key.
 
-    return let(parts, sums)
-
-
-def add_fingerprints(a: Column, b: Column, sign: int = 1) -> Column:
-    """Lane sums of the union of two multisets, or of their difference (sign -1)."""
-    guards = sum(1 << (GUARDED * i + LANE_BITS) for i in range(3))
-
-    def lanes(x: Column, y: Column) -> Column:
-        return ((x.bitwiseOR(F.lit(guards)) - y) if sign < 0 else (x + y)).bitwiseAND(F.lit(_KEEP))
-
-    return F.zip_with(a, b, lanes)
+    Rows that repeat a key are equal, so their sum is that of one, times their number.
+    """
+    parts = F.transform(paragraphs(F.col(added)), lambda p: F.struct(F.sha2(p, 256).alias("d"), F.lit(1).alias("s")))
+    if removed:
+        parts = F.concat(parts, F.transform(paragraphs(F.col(removed)), lambda p: F.struct(F.sha2(p, 256).alias("d"), F.lit(-1).alias("s"))))
+    once = F.array(F.struct(F.lit(None).cast("string").alias("d"), F.lit(0).alias("s")))  # each row has one, also without paragraphs
+    each = rows.select(*key, F.explode(F.concat(once, parts)).alias("x")).select(*key, F.col("x.d").alias("d"), F.col("x.s").cast("long").alias("s"))
+    each = each.select(*key, "s", *[lane.alias(n) for n, lane in zip(LANES, lanes_of(F.col("d")), strict=True)])
+    copies = F.count_if(F.col("s") == 0)
+    total = each.groupBy(*key).agg(copies.alias("copies"), F.sum("s").alias("n"), *[F.sum(F.col(n) * F.col("s")).alias(n) for n in LANES])
+    return total.select(*key, "copies", *[F.expr(f"{n} div copies").alias(n) for n in ("n", *LANES)])
 
 
-def as_text(sums: Column) -> Column:
-    return F.array_join(F.transform(sums, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def add_vectors(a: str, b: str, sign: int = 1) -> list[Column]:
+    """n and LANES of the union of two multisets a and b (names of sides of a join), or of their difference."""
+    return [(F.col(f"{a}.{n}") + sign * F.col(f"{b}.{n}")).alias(n) for n in ("n", *LANES)]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common paragraphs, of the larger document."""
+def as_text(side: str) -> Column:
+    """The fingerprint: the number of paragraphs and the wide lanes modulo 2**32."""
+    lanes = [F.lpad(F.hex(F.col(f"{side}.{n}").bitwiseAND(F.lit(_HALF))), 8, "0") for n in LANES[:WIDE]]
+    return F.lower(F.concat(F.hex(F.col(f"{side}.n")), F.lit("-"), *lanes))
 
-    def signed(v: Column) -> Column:
-        lane = lambda x, i: F.shiftrightunsigned(x, GUARDED * i).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
-        body = F.slice(v, 2, LONGS)
-        return F.flatten(F.transform(body, lambda x: F.array(*[2 * lane(x, i) - F.get(v, F.lit(0)) for i in range(3)])))
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+def likeness(a: str, b: str) -> Column:
+    """Estimated share of common paragraphs, of the larger document of two sides of a join."""
 
-    def of(x: Column, y: Column) -> Column:
-        most = F.greatest(dot(x, x), dot(y, y))
-        return F.when(most > 0, F.greatest(F.least(dot(x, y) / most, F.lit(1.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    def bits(side: str) -> list[Column]:
+        cs = [F.col(f"{side}.{n}") for n in LANES[WIDE:]]
+        n = F.col(f"{side}.n")
+        return [(2 * x - n).cast("double") for c in cs for x in (c.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(c, 32))]
 
-    return F.when(a == b, F.lit(1.0)).otherwise(let(signed(a), lambda x: let(signed(b), lambda y: of(x, y))))
+    x, y = bits(a), bits(b)
+    dot = lambda p, q: reduce(add, [i * j for i, j in zip(p, q, strict=True)])
+    most = F.greatest(dot(x, x), dot(y, y))
+    same = reduce(lambda p, q: p & q, [F.col(f"{a}.{n}") == F.col(f"{b}.{n}") for n in ("n", *LANES)])
+    return F.when(same, 1.0).when(most > 0, F.greatest(F.least(dot(x, y) / most, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
 
 
 def next_ids(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
     """doc_id, next_id: successor of each distinct id in descending order, the last followed by the first.
 
-    Ids are cut into ranges at approximate quantiles; a window orders each range and the few
-    range ends are linked among themselves, so no task sees more than a range.
+    Ids are dealt by ranges; a window orders each range and the ends of the ranges are linked among
+    themselves, a row each, so no task sees more than a range or the ends.
     """
     ids = docs.select("doc_id").distinct()
-    n = ids.agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.max(F.col("doc_id").isNull().cast("int")).alias("nulls")).first()
-    if not n["n"]:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    cuts = max(1, min(4096, n["n"] // rows_per_range))
-    bounds = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 0.25 / cuts))) if cuts > 1 else []
-    rng = reduce(lambda c, b: c + (F.col("doc_id") >= int(b)).cast("int"), bounds[:64], F.lit(0)) if len(bounds) <= 64 else F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id")))
-    cut = ids.withColumn("rng", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(rng))
     down = F.col("doc_id").desc_nulls_last()
-    linked = cut.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("rng").orderBy(down))).withColumn("is_end", F.lead(F.lit(1)).over(Window.partitionBy("rng").orderBy(down)).isNull())
-    ends = cut.groupBy("rng").agg(F.max("doc_id").alias("head"))  # a row per range, 4097 at most
-    after = ends.select("rng", F.lead("head").over(Window.orderBy(F.col("rng").desc())).alias("after"), F.lead(F.lit(1)).over(Window.orderBy(F.col("rng").desc())).isNull().alias("is_last"))
-    out = linked.join(F.broadcast(after), "rng")
-    return out.select("doc_id", F.when(~F.col("is_end"), F.col("next_id")).when(F.col("is_last"), F.lit(n["top"]).cast(ids.schema["doc_id"].dataType)).otherwise(F.col("after")).alias("next_id"))
-
-
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id and the lane sums of each row."""
-    return docs.select("doc_id", lane_sums(text_of(text_col)).alias("sums"))
+    ranges = max(1, ids.count() // rows_per_range)
+    cut = materialize(ids.repartitionByRange(ranges, down).select("doc_id", F.spark_partition_id().alias("rng")))
+    within = Window.partitionBy("rng").orderBy(down)
+    linked = cut.select("doc_id", "rng", F.lead(F.struct("doc_id")).over(within).alias("next"))
+    first = cut.withColumn("i", F.row_number().over(within)).where("i = 1").select("rng", F.struct("doc_id").alias("head"))
+    over = Window.orderBy("rng")  # a row per range
+    after = F.coalesce(F.lead("head").over(over), F.first("head").over(over))
+    return linked.join(F.broadcast(first.select("rng", after.alias("after"))), "rng").select("doc_id", F.coalesce("next", "after")["doc_id"].alias("next_id"))
+
+
+def edited(rows: DataFrame) -> DataFrame:
+    """Adds e, the edited text of t by head, and what the edit deletes (gone) and inserts (come) from the last whole paragraph before the cut on."""
+    keep = F.length("t") - F.floor(F.length("t") / 2)
+    rows = rows.withColumn("start", F.substring(F.col("t"), F.lit(1), keep.cast("int"))).withColumn("new", F.substring(F.col("head"), F.lit(1), (F.length("t") - keep).cast("int")))
+    whole = F.regexp_extract("start", LAST_END, 0)
+    rest = F.substring(F.col("t"), F.length(whole) + 1, F.length("t"))
+    # blanks that go on where the whole part ends in a sentence's blanks end no paragraph of their own
+    clean = lambda x: F.when(whole.rlike(r"[.!?][\x20\t\r]+\z"), F.regexp_replace(x, r"^[\x20\t\r]+", "")).otherwise(x)
+    come = F.concat(F.substring(F.col("start"), F.length(whole) + 1, F.length("start")), F.col("new"))
+    return rows.select("*", F.concat("start", "new").alias("e"), clean(rest).alias("gone"), clean(come).alias("come"))
 
 
 def edited_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Each text, its edit by the next document's beginning, and how alike their fingerprints are.
 
     Texts are shuffled once by their own id; of the next document only the characters that the
-    edit takes travel, with its lane sums.
+    edit takes travel, and its vector, which is computed once for all.
     """
     base = docs.select("doc_id", text_of(text_col).alias("t"))
+    own = materialize(vectors(base.withColumn("digest", F.sha2("t", 256)), ["doc_id", "digest"], "t"))
     links = materialize(next_ids(base))
     need = base.groupBy("doc_id").agg(F.max(F.floor(F.length("t") / 2)).alias("need"))
-    asked = links.join(need, links["doc_id"].eqNullSafe(need["doc_id"])).select(links["doc_id"].alias("asker"), "next_id", "need")
-    firsts = Window.partitionBy("asker").orderBy("t")
-    found = base.join(asked, base["doc_id"].eqNullSafe(asked["next_id"]))
-    many = base.groupBy("doc_id").agg(F.count("*").alias("copies")).where("copies > 1")  # ids of several rows: rare, but any number
-    found = found.select("asker", "doc_id", F.expr("substring(t, 1, cast(need as int))").alias("head"), "t")
-    repeated = found.join(many.select(F.col("doc_id").alias("m")), F.col("doc_id").eqNullSafe(F.col("m")), "left_semi")
-    chosen = repeated.withColumn("i", F.row_number().over(firsts)).where("i = 1").select("asker", "head", lane_sums(F.col("t")).alias("next_sums"))
-    single = found.join(many.select(F.col("doc_id").alias("m")), F.col("doc_id").eqNullSafe(F.col("m")), "left_anti").select("asker", "head", lane_sums(F.col("t")).alias("next_sums"))
-    nexts = single.unionByName(chosen)
-    both = base.join(nexts, base["doc_id"].eqNullSafe(nexts["asker"]))
-    n = F.length("t")
-    half = F.floor(n / 2)
-    edited = F.concat(F.expr("substring(t, 1, cast(length(t) - floor(length(t) / 2) as int))"), F.expr("substring(head, 1, cast(floor(length(t) / 2) as int))"))
-    out = both.select("doc_id", n.cast("long").alias("n_chars"), half.alias("half"), "t", edited.alias("e"), "next_sums")
-    out = out.select("doc_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), lane_sums(F.col("t")).alias("a"), lane_sums(F.col("e")).alias("b"), "next_sums")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_sums")).alias("near_next"))
+    asked = materialize(links.join(need, links["doc_id"].eqNullSafe(need["doc_id"])).select(links["doc_id"].alias("asker"), "next_id", "need"))
+    found = base.join(asked, base["doc_id"].eqNullSafe(asked["next_id"])).select("asker", "doc_id", F.expr("substring(t, 1, cast(need as int))").alias("head"), "t")
+    many = materialize(base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("m")))
+    again = F.col("doc_id").eqNullSafe(F.col("m"))
+    nexts = found.join(if_small(many), again, "left_anti").select("asker", "head", F.sha2("t", 256).alias("next_digest"))
+    if not many.isEmpty():  # the smallest text of an id of several rows; combined before the shuffle
+        least = found.join(if_small(many), again, "left_semi").groupBy("asker").agg(F.min(F.struct("t", "head")).alias("x"))
+        nexts = nexts.unionByName(least.select("asker", F.col("x.head").alias("head"), F.sha2(F.col("x.t"), 256).alias("next_digest")))
+    both = edited(base.join(nexts, base["doc_id"].eqNullSafe(nexts["asker"])).select("doc_id", "t", "head", "next_digest"))
+    key = ["doc_id", "n_chars", "digest", "edited_sha256"]
+    change = vectors(both.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"), F.sha2("e", 256).alias("edited_sha256"), "gone", "come"), key, "come", "gone")
+    follows = materialize(nexts.select("asker", "next_digest")).join(links, F.col("asker").eqNullSafe(F.col("doc_id"))).select("asker", "next_id", "next_digest")
+    c, a, f, z = change.alias("c"), own.alias("a"), follows.alias("f"), own.alias("z")
+    rows = c.join(a, F.col("c.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("c.digest") == F.col("a.digest")))
+    rows = rows.select(F.struct("c.doc_id", "c.n_chars", "c.edited_sha256", "c.copies").alias("k"), F.struct(*[F.col(f"a.{n}") for n in ("n", *LANES)]).alias("a"), F.struct(*add_vectors("a", "c")).alias("b"))
+    rows = rows.join(f, F.col("k.doc_id").eqNullSafe(F.col("f.asker"))).join(z, F.col("f.next_id").eqNullSafe(F.col("z.doc_id")) & (F.col("f.next_digest") == F.col("z.digest")))
+    rows = rows.select("k", "a", "b", F.struct(*[F.col(f"z.{n}") for n in ("n", *LANES)]).alias("z"))
+    out = rows.select("k.*", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "z").alias("near_next"))
+    each = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

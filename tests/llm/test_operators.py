@@ -285,17 +285,64 @@ def test_fingerprints(spark, docs, none):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
-def test_fingerprint_algebra(spark):
+def brute_vector(spark, text):
+    """The sums of a text's paragraphs, added up here; only the hash of a paragraph is Spark's."""
+    from collections import Counter
+
+    parts = Counter(p for p in re.split(r"\n+|(?<=[.!?])[ \t\r]+", text) if p)
+    if not parts:
+        return 0, [0] * len(fingerprints.LANES)
     from pyspark.sql import functions as F
 
-    d = spark.createDataFrame([(1, "a one.\nb two.\nc three.", "c three.\na one.\nb two.", "a one.\nb two.", "c three.")], "i int, t string, p string, x string, y string")
-    s = lambda c: fingerprints.lane_sums(F.col(c))
-    m = lambda k: F.slice(k, 2, fingerprints.LONGS)
-    r = d.select(
-        (s("t") == s("p")).alias("order"), (m(fingerprints.add_fingerprints(s("x"), s("y"))) == m(s("t"))).alias("add"),
-        (m(fingerprints.add_fingerprints(s("t"), s("y"), -1)) == m(s("x"))).alias("sub"), (s("t") == s("x")).alias("differ"), fingerprints.likeness(s("t"), s("x")).alias("like"),
-    ).first()
-    assert r.order and r["add"] and r["sub"] and not r.differ and 0.3 < r.like < 0.95
+    d = spark.createDataFrame(list(parts.items()), "p string, k long").select("k", *[c.alias(n) for n, c in zip(fingerprints.LANES, fingerprints.lanes_of(F.sha2("p", 256)), strict=True)])
+    rows_ = d.collect()
+    return sum(parts.values()), [sum(r.k * r[n] for r in rows_) for n in fingerprints.LANES]
+
+
+def brute_text(v):
+    n, lanes = v
+    return f"{n:x}-" + "".join(f"{x % (1 << 32):08x}" for x in lanes[: fingerprints.WIDE])
+
+
+def brute_likeness(v, w):
+    if v == w:
+        return 1.0
+    bits = [[2 * x - n for c in lanes[fingerprints.WIDE :] for x in (c % (1 << 32), c >> 32)] for n, lanes in (v, w)]
+    dot = lambda p, q: sum(i * j for i, j in zip(p, q, strict=True))
+    most = max(dot(bits[0], bits[0]), dot(bits[1], bits[1]))
+    return max(0.0, min(1.0, dot(*bits) / most)) if most else 0.0
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Every value, against texts that are really edited and hashed anew; cuts fall into words, blanks, line ends and marks."""
+    texts = ["One. Two!  Three?\n\nFour", "a.  b.  c.  d.", "x.   \n  y. z", "", None, "no end at all", "One. Two!  Three?\n\nFour", "p.\t\r q.\n", "é. ü! " * 9, "A b. " * 12 + "\n" * 5, ".... . . ."]
+    texts += ["".join(random.Random(k).choice("ab. \n!\t") for _ in range(20 + k)) for k in range(24)]
+    ids = [*range(len(texts) - 2), 3, 3]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    data = [(i, t or "") for i, t in zip(ids, texts, strict=True)]
+    down = sorted(set(ids), reverse=True)
+    cache = {}
+    vector = lambda t: cache[t] if t in cache else cache.setdefault(t, brute_vector(spark, t))
+    want = []
+    for i, t in data:
+        after = down[(down.index(i) + 1) % len(down)]
+        other = min(u for k, u in data if k == after)
+        e = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        a, b, z = vector(t), vector(e), vector(other)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), brute_text(a), brute_text(b), round(brute_likeness(a, b), 9), round(brute_likeness(a, z), 9)))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.edited_fingerprints(d).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_fingerprint_of_string_ids_and_one_row(spark):
+    d = spark.createDataFrame([(f"id{k:03d}", f"Text {k}. Same. Same.") for k in range(50)], "doc_id string, text string")
+    got = {r.doc_id: r.next_id for r in fingerprints.next_ids(d, rows_per_range=7).collect()}
+    down = sorted(got, reverse=True)
+    assert len(got) == 50 and got == dict(zip(down, [*down[1:], down[0]], strict=True))
+    one = fingerprints.edited_fingerprints(d.limit(1)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    shuffled = d.limit(1).union(spark.createDataFrame([("z", "Same. Text 0. Same.")], d.schema))
+    assert len({r.fingerprint for r in fingerprints.edited_fingerprints(shuffled).collect()}) == 1
 
 
 def test_next_ids_in_ranges(spark):
