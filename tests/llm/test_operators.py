@@ -262,7 +262,33 @@ def test_packing(docs, none):
 def test_cuts():
     for n in range(1, 3000):
         p = packing.cuts(n)
-        assert sum(p) == n and all(1024 - (1024 // x) * x <= 16 or x == 1024 // (1024 // x) for x in p)
+        assert sum(p) == n and all(x >= 32 for x in p[n // 1024 :]) or n % 1024 < 32
+        assert all(1024 - (1024 // x) * x <= 16 or x == 1024 // (1024 // x) for x in packing.cuts(n, least=1))
+
+
+def test_libraries_agree_on_every_character():
+    """The two libraries split alike: every code point between letters, digits, blanks and itself."""
+    e = packing.Encoder(packing.default_tokenizer())
+    assert e.fast is not None
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for at in range(0, len(points), 4000):
+        texts.append("".join(f"x{chr(c)}y {chr(c)}{chr(c)}1{chr(c)} ~{chr(c)}  {chr(c)}\n" for c in points[at : at + 4000]))
+    slow = e.slow.encode_batch(texts, add_special_tokens=False)
+    assert all(e.fast.encode_ordinary(t) == s.ids for t, s in zip(texts, slow, strict=True))
+
+
+def test_ranks_are_proven():
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.same_by_ranks(spec)
+    swapped = {**spec, "model": {**spec["model"], "merges": [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]}}
+    assert not packing.same_by_ranks(swapped)
+    assert not packing.same_by_ranks({**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}})
+    assert not packing.same_by_ranks({**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}})
+    assert not packing.same_by_ranks({**spec, "model": {**spec["model"], "merges": spec["model"]["merges"][:-1]}})
 
 
 def test_special_strings():
