@@ -8,8 +8,8 @@ deleting paragraphs adds or subtracts their vectors. Paragraphs are exploded and
 aggregates, so vectors of very long texts are combined like any others, within 2**31 paragraphs.
 
 An edited text's vector is not hashed anew: the paragraphs from the cut on are deleted from the
-document's own vector and those that the edit brings are inserted; what lies before the cut isn't
-looked at again.
+document's own sum and those that the edit brings are inserted; what lies before the cut is hashed
+once for both.
 
 One-bit lanes are fair coins, hence ``2 * sum - n`` are random projections and their inner product
 estimates how many paragraphs two documents share; ``likeness`` is that product over the larger
@@ -53,25 +53,38 @@ def lanes_of(digest: Column) -> list[Column]:
     return low + [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR)) for h in bits for j in range(32)]
 
 
-def vectors(rows: DataFrame, key: list[str], added: str, removed: str | None = None) -> DataFrame:
-    """key, copies, n and LANES: the sum over the texts ``added`` minus that over ``removed``, a row for each distinct key.
+#: What a paragraph of a row is: before the cut, deleted or inserted by the edit; MARK counts the row itself.
+WHOLE, GONE, COME, MARK = 0, 1, 2, 3
 
-    Rows that repeat a key are equal, so their sum is that of one, times their number.
+
+def vectors(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, copies, and the vectors a (of the text) and b (of the edited text), each n and LANES, a row for each distinct key.
+
+    rows: key and the texts whole, gone and come. Own paragraphs are whole and gone ones; the edit
+    deletes these and inserts those that come. Rows that repeat a key are equal, so their sum is
+    that of one, times their number.
     """
-    parts = F.transform(paragraphs(F.col(added)), lambda p: F.struct(F.sha2(p, 256).alias("d"), F.lit(1).alias("s")))
-    if removed:
-        parts = F.concat(parts, F.transform(paragraphs(F.col(removed)), lambda p: F.struct(F.sha2(p, 256).alias("d"), F.lit(-1).alias("s"))))
-    once = F.array(F.struct(F.lit(None).cast("string").alias("d"), F.lit(0).alias("s")))  # each row has one, also without paragraphs
-    each = rows.select(*key, F.explode(F.concat(once, parts)).alias("x")).select(*key, F.col("x.d").alias("d"), F.col("x.s").cast("long").alias("s"))
-    each = each.select(*key, "s", *[lane.alias(n) for n, lane in zip(LANES, lanes_of(F.col("d")), strict=True)])
-    copies = F.count_if(F.col("s") == 0)
-    total = each.groupBy(*key).agg(copies.alias("copies"), F.sum("s").alias("n"), *[F.sum(F.col(n) * F.col("s")).alias(n) for n in LANES])
-    return total.select(*key, "copies", *[F.expr(f"{n} div copies").alias(n) for n in ("n", *LANES)])
+    part = lambda c, k: F.transform(paragraphs(F.col(c)), lambda p: F.struct(F.sha2(p, 256).alias("d"), F.lit(k).alias("part")))
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("d"), F.lit(MARK).alias("part")))
+    each = rows.select(*key, F.explode(F.concat(mark, part("whole", WHOLE), part("gone", GONE), part("come", COME))).alias("x")).select(*key, F.col("x.d").alias("d"), F.col("x.part").alias("part"))
+    each = each.select(*key, "part", *[lane.alias(n) for n, lane in zip(LANES, lanes_of(F.col("d")), strict=True)])
+    sums = each.groupBy(*key, "part").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in LANES])
+    pick = lambda n, *parts: F.coalesce(F.sum(F.when(F.col("part").isin(*parts), F.col(n))), F.lit(0))
+    both = sums.groupBy(*key).agg(pick("n", MARK).alias("copies"), *[pick(n, WHOLE, GONE).alias(f"a_{n}") for n in ("n", *LANES)], *[pick(n, WHOLE, COME).alias(f"b_{n}") for n in ("n", *LANES)])
+    vector = lambda v: F.struct(*[F.expr(f"{v}_{n} div copies").alias(n) for n in ("n", *LANES)]).alias(v)
+    return both.select(*key, "copies", vector("a"), vector("b"))
+
+
+def lane_sums(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, digest, copies and the vector a of each distinct pair of id and text."""
+    t = text_of(text_col)
+    rows = texts.select("doc_id", F.sha2(t, 256).alias("digest"), t.alias("whole"), F.lit("").alias("gone"), F.lit("").alias("come"))
+    return vectors(rows, ["doc_id", "digest"]).drop("b")
 
 
-def add_vectors(a: str, b: str, sign: int = 1) -> list[Column]:
-    """n and LANES of the union of two multisets a and b (names of sides of a join), or of their difference."""
-    return [(F.col(f"{a}.{n}") + sign * F.col(f"{b}.{n}")).alias(n) for n in ("n", *LANES)]
+def add_vectors(a: str, b: str, sign: int = 1) -> Column:
+    """The vector of the union of two multisets, or of their difference, from vectors in columns a and b."""
+    return F.struct(*[(F.col(f"{a}.{n}") + sign * F.col(f"{b}.{n}")).alias(n) for n in ("n", *LANES)])
 
 
 def as_text(side: str) -> Column:
@@ -81,7 +94,7 @@ def as_text(side: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated share of common paragraphs, of the larger document of two sides of a join."""
+    """Estimated share of common paragraphs, of the larger document, from the counters of vectors in columns a and b; callers set 1 for equal fingerprints."""
 
     def bits(side: str) -> list[Column]:
         cs = [F.col(f"{side}.{n}") for n in LANES[WIDE:]]
@@ -91,8 +104,11 @@ def likeness(a: str, b: str) -> Column:
     x, y = bits(a), bits(b)
     dot = lambda p, q: reduce(add, [i * j for i, j in zip(p, q, strict=True)])
     most = F.greatest(dot(x, x), dot(y, y))
-    same = reduce(lambda p, q: p & q, [F.col(f"{a}.{n}") == F.col(f"{b}.{n}") for n in ("n", *LANES)])
-    return F.when(same, 1.0).when(most > 0, F.greatest(F.least(dot(x, y) / most, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+    return F.when(most > 0, F.greatest(F.least(dot(x, y) / most, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+
+
+def same_text(a: str, b: str) -> Column:
+    return as_text(a) == as_text(b)
 
 
 def next_ids(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
@@ -114,10 +130,11 @@ def next_ids(docs: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
 
 
 def edited(rows: DataFrame) -> DataFrame:
-    """Adds e, the edited text of t by head, and what the edit deletes (gone) and inserts (come) from the last whole paragraph before the cut on."""
+    """Adds e, the edited text of t by head, whole (its whole paragraphs before the cut), and what the edit deletes (gone) and inserts (come) after them."""
     keep = F.length("t") - F.floor(F.length("t") / 2)
     rows = rows.withColumn("start", F.substring(F.col("t"), F.lit(1), keep.cast("int"))).withColumn("new", F.substring(F.col("head"), F.lit(1), (F.length("t") - keep).cast("int")))
-    whole = F.regexp_extract("start", LAST_END, 0)
+    rows = rows.withColumn("whole", F.regexp_extract("start", LAST_END, 0))
+    whole = F.col("whole")
     rest = F.substring(F.col("t"), F.length(whole) + 1, F.length("t"))
     # blanks that go on where the whole part ends in a sentence's blanks end no paragraph of their own
     clean = lambda x: F.when(whole.rlike(r"[.!?][\x20\t\r]+\z"), F.regexp_replace(x, r"^[\x20\t\r]+", "")).otherwise(x)
@@ -125,36 +142,42 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.concat("start", "new").alias("e"), clean(rest).alias("gone"), clean(come).alias("come"))
 
 
+def id_key() -> Column:
+    """The id as text that is never null, so joins by it keep their partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+
+
 def edited_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Each text, its edit by the next document's beginning, and how alike their fingerprints are.
 
     Texts are shuffled once by their own id; of the next document only the characters that the
-    edit takes travel, and its vector, which is computed once for all.
+    edit takes travel. Each text's paragraphs are hashed once, where text and edit are at hand; the
+    vectors are written, and the next document's is joined from there.
     """
-    base = docs.select("doc_id", text_of(text_col).alias("t"))
-    own = materialize(vectors(base.withColumn("digest", F.sha2("t", 256)), ["doc_id", "digest"], "t"))
-    links = materialize(next_ids(base))
-    need = base.groupBy("doc_id").agg(F.max(F.floor(F.length("t") / 2)).alias("need"))
-    asked = materialize(links.join(need, links["doc_id"].eqNullSafe(need["doc_id"])).select(links["doc_id"].alias("asker"), "next_id", "need"))
-    found = base.join(asked, base["doc_id"].eqNullSafe(asked["next_id"])).select("asker", "doc_id", F.expr("substring(t, 1, cast(need as int))").alias("head"), "t")
-    many = materialize(base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("m")))
-    again = F.col("doc_id").eqNullSafe(F.col("m"))
-    nexts = found.join(if_small(many), again, "left_anti").select("asker", "head", F.sha2("t", 256).alias("next_digest"))
-    if not many.isEmpty():  # the smallest text of an id of several rows; combined before the shuffle
-        least = found.join(if_small(many), again, "left_semi").groupBy("asker").agg(F.min(F.struct("t", "head")).alias("x"))
-        nexts = nexts.unionByName(least.select("asker", F.col("x.head").alias("head"), F.sha2(F.col("x.t"), 256).alias("next_digest")))
-    both = edited(base.join(nexts, base["doc_id"].eqNullSafe(nexts["asker"])).select("doc_id", "t", "head", "next_digest"))
-    key = ["doc_id", "n_chars", "digest", "edited_sha256"]
-    change = vectors(both.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"), F.sha2("e", 256).alias("edited_sha256"), "gone", "come"), key, "come", "gone")
-    follows = materialize(nexts.select("asker", "next_digest")).join(links, F.col("asker").eqNullSafe(F.col("doc_id"))).select("asker", "next_id", "next_digest")
-    c, a, f, z = change.alias("c"), own.alias("a"), follows.alias("f"), own.alias("z")
-    rows = c.join(a, F.col("c.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("c.digest") == F.col("a.digest")))
-    rows = rows.select(F.struct("c.doc_id", "c.n_chars", "c.edited_sha256", "c.copies").alias("k"), F.struct(*[F.col(f"a.{n}") for n in ("n", *LANES)]).alias("a"), F.struct(*add_vectors("a", "c")).alias("b"))
-    rows = rows.join(f, F.col("k.doc_id").eqNullSafe(F.col("f.asker"))).join(z, F.col("f.next_id").eqNullSafe(F.col("z.doc_id")) & (F.col("f.next_digest") == F.col("z.digest")))
-    rows = rows.select("k", "a", "b", F.struct(*[F.col(f"z.{n}") for n in ("n", *LANES)]).alias("z"))
-    out = rows.select("k.*", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "z").alias("near_next"))
-    each = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    base = docs.select("doc_id", id_key().alias("k"), text_of(text_col).alias("t"))
+    links = next_ids(base).select(id_key().alias("k"), F.coalesce(F.concat(F.lit("="), F.col("next_id").cast("string")), F.lit("")).alias("next_k"))
+    need = base.groupBy("k").agg(F.max(F.floor(F.length("t") / 2)).cast("int").alias("need"))
+    asked = materialize(links.join(need, "k").select(F.col("k").alias("asker"), F.col("next_k").alias("k"), "need"))
+    found = base.join(asked, "k").select("asker", "k", F.expr("substring(t, 1, need)").alias("head"), "t")
+    many = materialize(base.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k"))
+    if many.isEmpty():
+        nexts = found.select("asker", "head", F.sha2("t", 256).alias("next_digest"))
+    else:  # the smallest text of an id of several rows; combined before the shuffle
+        one = found.join(if_small(many), "k", "left_anti").select("asker", "head", F.sha2("t", 256).alias("next_digest"))
+        least = found.join(if_small(many), "k", "left_semi").groupBy("asker").agg(F.min(F.struct("t", "head")).alias("x"))
+        nexts = one.unionByName(least.select("asker", F.col("x.head").alias("head"), F.sha2(F.col("x.t"), 256).alias("next_digest")))
+    both = edited(base.join(nexts.withColumnRenamed("asker", "k"), "k"))
+    key = ["k", "doc_id", "n_chars", "digest", "edited_sha256", "next_digest"]
+    all_vectors = vectors(both.select("k", "doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"), F.sha2("e", 256).alias("edited_sha256"), "next_digest", "whole", "gone", "come"), key)
+    counters = F.struct(*[F.col(f"a.{n}") for n in ("n", *LANES[WIDE:])]).alias("a")
+    near = F.when(same_text("a", "b"), 1.0).otherwise(likeness("a", "b"))
+    own = materialize(all_vectors.select("doc_id", "n_chars", "digest", "edited_sha256", "next_digest", "copies", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"), near.alias("near_edited"), counters))
+    # a text's vector depends on the text alone, so one row of each digest will do
+    z = own.groupBy("digest").agg(*[F.max(F.struct("fingerprint", *[F.col(f"a.{n}") for n in ("n", *LANES[WIDE:])])).alias("z")]).withColumnRenamed("digest", "next_digest")
+    out = own.join(z, "next_digest")
+    near_next = F.when(F.col("fingerprint") == F.col("z.fingerprint"), 1.0).otherwise(likeness("a", "z"))
+    each = out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next.alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
+    return each.drop("i")
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

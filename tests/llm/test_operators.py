@@ -331,7 +331,7 @@ def brute_text(v):
 
 
 def brute_likeness(v, w):
-    if v == w:
+    if brute_text(v) == brute_text(w):
         return 1.0
     bits = [[2 * x - n for c in lanes[fingerprints.WIDE :] for x in (c % (1 << 32), c >> 32)] for n, lanes in (v, w)]
     dot = lambda p, q: sum(i * j for i, j in zip(p, q, strict=True))
@@ -360,6 +360,16 @@ def test_fingerprints_by_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_fingerprint_algebra(spark):
+    """Order doesn't matter; deletion and insertion of paragraphs are differences and sums; repeated rows are told by their number."""
+    d = spark.createDataFrame([(1, "a one.\nb two.\nc three."), (2, "c three.\na one.\nb two."), (3, "a one.\nb two."), (4, "c three."), (4, "c three.")], "doc_id long, text string")
+    v = {r.doc_id: r for r in fingerprints.lane_sums(d).collect()}
+    assert v[1].a == v[2].a != v[3].a and v[4].copies == 2
+    pair = fingerprints.lane_sums(d.where("doc_id = 3")).select(fingerprints.F.col("a").alias("x")).crossJoin(fingerprints.lane_sums(d.where("doc_id = 4")).select(fingerprints.F.col("a").alias("y")))
+    whole = pair.select("y", fingerprints.add_vectors("x", "y").alias("s"))
+    assert whole.first().s == v[1].a and whole.select(fingerprints.add_vectors("s", "y", -1).alias("d")).first().d == v[3].a
+
+
 def test_fingerprint_of_string_ids_and_one_row(spark):
     d = spark.createDataFrame([(f"id{k:03d}", f"Text {k}. Same. Same.") for k in range(50)], "doc_id string, text string")
     got = {r.doc_id: r.next_id for r in fingerprints.next_ids(d, rows_per_range=7).collect()}
