@@ -37,6 +37,15 @@ MMR_LAMBDA, SIM_DIR, SIM_KIND, SIM_TERMS, RECALL_FACTOR = 0.7, 0.5, 0.3, 0.2, 8
 
 # Severities of lint rules; budget of overhead.
 SEVERITIES = {"secret_pattern": "HIGH", "file_too_long": "MEDIUM", "missing_scope": "MEDIUM", "dynamic_info": "MEDIUM", "duplicate_paragraph": "LOW", "read_error": "LOW"}
+#: What a finding says, and what to do about it.
+MESSAGES = {
+    "secret_pattern": "line looks like it holds a credential", "file_too_long": "document has more than 300 lines or 24 KiB", "missing_scope": "document doesn't say where it applies",
+    "dynamic_info": "line holds a date, an id or a state that will change", "duplicate_paragraph": "paragraph stands in an earlier document too", "read_error": "document could not be read",
+}
+SUGGESTIONS = {
+    "secret_pattern": "remove the value and say where to get it", "file_too_long": "split it by folder or language and link long background", "missing_scope": "name the folders, languages or modules at the top",
+    "dynamic_info": "remove it or link to where it is kept up to date", "duplicate_paragraph": "keep it in one document and link to it", "read_error": "check path and rights, or take it off the list",
+}
 OVERHEAD_BUDGET = 0.05
 
 

@@ -21,6 +21,15 @@ def tokenize(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda t: F.length(t) > 1))
 
 
+# Accented Latin letters and what they are without accents.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def fold_accents(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def normalize_path(path: Column) -> Column:
     """Forward slashes, no leading ./, no empty, . or .. segments; nothing for the folder itself."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: ~s.isin("", "."))
@@ -107,9 +116,17 @@ def clamp_topk(k: Column) -> Column:
 
 def cache_key(tool: Column, args: Column, schema: Column) -> Column:
     """tool:sha256(args as JSON with sorted keys):schema; null if a part is empty or holds a colon."""
+    return _cache_key(tool, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(args)))), schema)
+
+
+def cache_key_json(tool: Column, args: Column, schema: Column) -> Column:
+    """The same for arguments of any shape as JSON text: keys are sorted at every depth, blanks dropped; null if the text is no JSON."""
+    return _cache_key(tool, F.to_json(F.try_parse_json(args)), schema)
+
+
+def _cache_key(tool: Column, body: Column, schema: Column) -> Column:
     version = F.coalesce(F.nullif(schema, F.lit("")), F.lit("v1"))
-    body = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(args))))
     for raw, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
         body = F.replace(body, F.lit(raw), F.lit(esc))
     good = (tool != "") & ~F.contains(tool, F.lit(":")) & ~F.contains(version, F.lit(":"))
-    return F.when(good, F.concat_ws(":", tool, F.sha2(body, 256), version))
+    return F.when(good & body.isNotNull(), F.concat_ws(":", tool, F.sha2(body, 256), version))

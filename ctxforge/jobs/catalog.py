@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
@@ -73,14 +74,14 @@ def scanned(spark, d):
 # --- sources and scan ---------------------------------------------------------------------------
 
 
-@query("s1_read_tree", r"SELECT source AS root, sum(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS lines FROM documents GROUP BY source")
+@query("s1_read_tree", r"SELECT source AS root, sum(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS lines, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 0::BIGINT AS errors FROM documents GROUP BY source")
 def s1(spark, d):
     """The documents written as files below a folder for each source, read back as a tree."""
     path = scratch_dir(spark)
     A.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1000).text(path)
     lines = F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
     tree = read_tree(spark, path, "corpus").where(F.col("path").startswith("source="))
-    return tree.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("root")).agg(F.sum(lines).cast("long").alias("lines"))
+    return tree.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("root")).agg(F.sum(lines).cast("long").alias("lines"), F.sum("size_bytes").alias("bytes"), F.count("error").alias("errors"))
 
 
 @query("s2_sample_text", f"WITH {A.FILES_SQL} SELECT root, path, CASE WHEN strlen(content) > {R.LARGE_BYTES} THEN {TAIL} ELSE content END AS sample FROM files")
@@ -184,6 +185,13 @@ def t7(spark, d):
     return A.table(spark, d, "events").select("event_id", T.cache_key(F.col("event_type"), args, F.lit("")).alias("key"))
 
 
+@query("t7_cache_key_nested", """SELECT event_id, event_type || ':' || sha256('{"a":{"p":[1,{"x":"\\u003c' || event_id || '","y":null}],"q":true},"z":' || user_id || '}') || ':v2' AS key FROM events""")
+def t7_nested(spark, d):
+    i, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    args = F.concat(F.lit('{"z": '), u, F.lit(', "a": {"q": true, "p": [1, {"y": null, "x": "<'), i, F.lit('"}]}}'))
+    return A.table(spark, d, "events").select("event_id", T.cache_key_json(F.col("event_type"), args, F.lit("v2")).alias("key"))
+
+
 @query("f1_project_roots", f"WITH {NAMED} SELECT DISTINCT root, '' AS dir FROM named WHERE b IN ('angular.json', 'package.json', 'pom.xml') OR b LIKE 'vite.config.%'")
 def f1(spark, d):
     n = scan.with_names(A.files(spark, d))
@@ -308,7 +316,8 @@ def _stored(current):
     return old.unionByName(gone)
 
 
-_DIFF_SQL = f"""{SCANNED}, cur AS (SELECT root, path, size_bytes, mtime, sha256(content) AS hash, {tokens_sql('sample')} AS token_estimate, mtime // 1000 AS i FROM kept),
+def _diff_ctes() -> str:
+    return f"""cur AS (SELECT root, path, size_bytes, mtime, sha256(content) AS hash, {tokens_sql('sample')} AS token_estimate, mtime // 1000 AS i FROM kept),
 old AS (SELECT root, path, CASE WHEN i % 7 = 0 AND i > 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN i % 5 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN i % 7 = 0 AND i > 0 THEN 'old' ELSE hash END AS hash FROM cur WHERE i % 11 <> 0 OR i = 0
  UNION ALL SELECT root, 'gone/' || i || '.ts', 1, 1, 'gone' FROM cur WHERE i % 13 = 0 AND i > 0),
 diff AS (SELECT coalesce(cur.root, old.root) AS root, coalesce(cur.path, old.path) AS path, CASE WHEN cur.path IS NULL THEN 'delete' WHEN old.path IS NULL THEN 'upsert'
@@ -316,6 +325,9 @@ diff AS (SELECT coalesce(cur.root, old.root) AS root, coalesce(cur.path, old.pat
  FROM cur FULL JOIN old ON cur.root = old.root AND cur.path = old.path)"""
 
 
+_DIFF_SQL = f"{SCANNED}, {_diff_ctes()}"
+
+
 @query("i2_sync_diff", f"WITH {_DIFF_SQL} SELECT root, path, action FROM diff")
 def i2(spark, d):
     c = _current(spark, d)
@@ -350,49 +362,59 @@ def i5(spark, d):
 def s3(spark, d):
     path = scratch_dir(spark)
     index.write_index(i1(spark, d), path)
-    return spark.read.parquet(path).drop("root_bucket")
+    return index.read_index(spark, path)
 
 
 # --- retrieval ----------------------------------------------------------------------------------
 
 
-def _terms_index(spark, d):
-    s = scanned(spark, d)
-    return index.base_terms(s).withColumn("from_symbol", F.lit(0)).withColumn("count", F.lit(1)), index.kept(s)
+def _index(spark, d):
+    """keywords, files, symbols: the index tables, written as a service would keep them."""
+    s = written(scanned(spark, d))
+    files = index.kept(s)
+    syms = written(symbols.dedupe_symbols(symbols.extract_symbols(files)))
+    return written(index.build_keywords(s, symbols.symbol_terms(syms))), files.drop("content"), syms
 
 
-_RECALL_SQL = f"""{SCANNED}, {A.QUERIES_SQL},
+_RECALL_SQL = f"""{_KEYWORDS}, {A.QUERIES_SQL},
 parsed AS (SELECT query_id, root, query, {ordered_terms_sql('query')} AS terms FROM queries),
 qt AS (SELECT query_id, root, unnest(terms) AS term FROM parsed),
-kw AS (SELECT root, path, unnest({terms_sql("path || ' ' || kind || ' ' || sample")}) AS term FROM kept),
-hits AS (SELECT query_id, root, path, count(*)::INT AS keyword_count FROM qt JOIN kw USING (root, term) GROUP BY ALL),
-cand AS (SELECT * FROM hits UNION ALL SELECT query_id, root, path, 0 FROM parsed JOIN (SELECT root, path FROM kept) USING (root) WHERE query_id NOT IN (SELECT query_id FROM hits))"""
+hits AS (SELECT query_id, root, path, sum(CASE WHEN from_symbol = 0 THEN count ELSE 0 END)::INT AS keyword_count FROM qt JOIN keywords USING (root, term) GROUP BY ALL),
+missed AS (SELECT query_id, root, path FROM parsed JOIN (SELECT root, path FROM kept) USING (root) WHERE query_id NOT IN (SELECT query_id FROM hits)),
+cand AS (SELECT * FROM hits UNION ALL SELECT *, 0 FROM missed)"""
+
+
+_FULLTEXT_SQL = f"""ftd AS (SELECT root, path, unnest({terms_sql("strip_accents(path || ' ' || sample)")}) AS term FROM kept UNION SELECT root, path, strip_accents(term) FROM sterms),
+fq AS (SELECT query_id, root, unnest({terms_sql('strip_accents(query)')}) AS term FROM parsed), fh AS (SELECT DISTINCT query_id, root, path FROM fq JOIN ftd USING (root, term)),
+fnum AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS i FROM fh), ft AS (SELECT query_id, root, path FROM fnum WHERE i <= 64)"""
+_BOTH_SQL = "both_ways AS (SELECT query_id, root, path, 0 AS keyword_count FROM ft UNION ALL SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM ft))"
 
 
 @query("r1_recall_keyword", f"WITH {_RECALL_SQL} SELECT query_id, root, path FROM hits")
 def r1(spark, d):
-    kw, _ = _terms_index(spark, d)
+    kw, _, _ = _index(spark, d)
     return retrieval.recall(retrieval.parse_queries(A.queries(spark, d)), kw).drop("keyword_count")
 
 
-@query("r2_recall_fallback", f"WITH {_RECALL_SQL} SELECT query_id, root, path FROM cand WHERE keyword_count = 0")
+@query("r2_recall_fallback", f"WITH {_RECALL_SQL} SELECT query_id, root, path FROM missed")
 def r2(spark, d):
-    kw, files = _terms_index(spark, d)
+    kw, files, _ = _index(spark, d)
     p = retrieval.parse_queries(A.queries(spark, d))
-    return retrieval.recall_all(p, retrieval.recall(p, kw), files).where("keyword_count = 0").drop("keyword_count")
+    hits = written(retrieval.recall(p, kw))
+    return retrieval.recall_all(p, hits, files).join(hits.select("query_id").distinct(), "query_id", "left_anti").drop("keyword_count")
 
 
 @query("r4_keyword_counts", f"WITH {_RECALL_SQL} SELECT query_id, root, path, keyword_count FROM hits")
 def r4(spark, d):
-    kw, _ = _terms_index(spark, d)
+    kw, _, _ = _index(spark, d)
     return retrieval.recall(retrieval.parse_queries(A.queries(spark, d)), kw)
 
 
-def _scored(spark, d, with_symbols=False):
-    kw, files = _terms_index(spark, d)
+def _scored(spark, d, with_symbols=False, parts=None):
+    kw, files, syms = parts or _index(spark, d)
     p = retrieval.parse_queries(A.queries(spark, d))
-    syms = symbols.dedupe_symbols(symbols.extract_symbols(files)) if with_symbols else spark.createDataFrame([], "root string, path string, name string, kind string, weight int")
-    return retrieval.score(p, retrieval.recall_all(p, retrieval.recall(p, kw), files), files, syms)
+    syms = syms if with_symbols else syms.limit(0)
+    return retrieval.score(p, retrieval.recall_all(p, written(retrieval.recall(p, kw)), files), files, syms)
 
 
 def _parts(i: int) -> str:
@@ -411,7 +433,7 @@ scored AS (SELECT *, CASE WHEN noisy THEN 0 ELSE greatest(lex + boost - size_pen
 
 @query("r5_lexical_score", f"WITH {_SCORE_SQL} SELECT query_id, root, path, round(lex - weight - 4.0 * keyword_count, 3) AS lexical FROM scored")
 def r5(spark, d):
-    kw, files = _terms_index(spark, d)
+    kw, files, _ = _index(spark, d)
     p = retrieval.parse_queries(A.queries(spark, d))
     c = retrieval.recall_all(p, retrieval.recall(p, kw), files).join(p, ["query_id", "root"]).join(files, ["root", "path"])
     return c.select("query_id", "root", "path", F.round(retrieval.lexical(F.col("terms"), F.col("path"), F.col("kind"), F.col("sample")), 3).alias("lexical"))
@@ -422,7 +444,7 @@ def r8(spark, d):
     return _scored(spark, d).select("query_id", "root", "path", F.round("rel", 3).alias("rel"))
 
 
-_SYMBOL_POINTS_SQL = f"""{_SCORE_SQL}, {_found_sql()},
+_SYMBOL_POINTS_SQL = f"""{_SCORE_SQL},
 each_sym AS (SELECT p.query_id, s.root, s.path, s.weight, list_contains({_parts(1)}, s.kind) AS wanted, coalesce(list_position(terms, lower(name)), 0) AS exact,
   coalesce(list_position(list_transform(terms, lambda t: contains(lower(name), t) AND t <> lower(name)), true), 0) AS part FROM cand p JOIN parsed USING (query_id, root) JOIN syms s ON s.root = p.root AND s.path = p.path),
 sym_points AS (SELECT query_id, path, least(sum(CASE WHEN exact > 0 THEN 30.0 ELSE 0 END + CASE WHEN part > 0 AND (exact = 0 OR part < exact) THEN 15.0 ELSE 0 END + CASE WHEN wanted THEN weight * 0.25 ELSE 0 END)::DOUBLE, 60) AS pts FROM each_sym GROUP BY ALL),
@@ -453,31 +475,83 @@ def r12_rel(spark, d):
     return retrieval.top_by_relevance(_scored(spark, d)).select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate")
 
 
+def _fulltext(files, syms):
+    return written(index.fulltext_terms(files, symbols.symbol_terms(syms)))
+
+
 @query("r12_memory_query")
 def r12(spark, d):
-    """The index tables are written as a service would keep them, then the batch of queries reads them."""
-    s = written(scanned(spark, d))
-    files = index.kept(s)
-    syms = written(symbols.dedupe_symbols(symbols.extract_symbols(files)))
-    keywords = written(index.build_keywords(s, symbols.symbol_terms(syms)))
-    return retrieval.memory_query(A.queries(spark, d), keywords, files.drop("content"), syms)
+    """Full-text recall first, keywords as the fallback, symbols in the score, a diverse top k."""
+    kw, files, syms = _index(spark, d)
+    return retrieval.memory_query(A.queries(spark, d), kw, files, syms, _fulltext(files, syms))
+
+
+@query("r12_fulltext_candidates", f"""WITH {_RECALL_SQL}, {_FULLTEXT_SQL}, {_BOTH_SQL} SELECT query_id, root, path, keyword_count FROM both_ways""")
+def r12_candidates(spark, d):
+    kw, files, syms = _index(spark, d)
+    return retrieval.candidates(retrieval.parse_queries(A.queries(spark, d)), _fulltext(files, syms), kw, files)
+
 
+_SENT_SQL = f"""sent AS (SELECT query_id, sum({tokens_sql('sample')})::BIGINT AS sent FROM top WHERE rank <= 8 GROUP BY 1), tot AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS tokens FROM kept GROUP BY 1),
+used AS (SELECT query_id, root, coalesce(sent, 0) AS sent, greatest(coalesce(tokens, 0) - coalesce(sent, 0), 0) AS ignored, coalesce(tokens, 0) AS total FROM queries LEFT JOIN sent USING (query_id) LEFT JOIN tot USING (root))"""
 
-@query("r13_retrieval_usage", f"""WITH {_TOP_SQL}, sent AS (SELECT query_id, sum({tokens_sql('sample')})::BIGINT AS sent FROM top WHERE rank <= 8 GROUP BY 1), tot AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS tokens FROM kept GROUP BY 1)
-SELECT query_id, root, coalesce(sent, 0) AS sent, greatest(coalesce(tokens, 0) - coalesce(sent, 0), 0) AS ignored FROM queries LEFT JOIN sent USING (query_id) LEFT JOIN tot USING (root)""")
+
+def _used(spark, d):
+    parts = _index(spark, d)
+    return retrieval.retrieval_usage(retrieval.top_by_relevance(_scored(spark, d, parts=parts)), A.queries(spark, d), index.root_stats(parts[1]))
+
+
+@query("r13_retrieval_usage", f"WITH {_TOP_SQL}, {_SENT_SQL} SELECT * FROM used")
 def r13(spark, d):
-    _, files = _terms_index(spark, d)
-    return retrieval.retrieval_usage(retrieval.top_by_relevance(_scored(spark, d)), A.queries(spark, d), index.root_stats(files))
+    return _used(spark, d)
+
+
+_EVENT_COLUMNS = ("token_estimate", "sent", "ignored", "saved", "avoided", "adjusted", "latency_ms")
 
 
-@query("r14_hit_rate", f"""WITH {_TOP_SQL}, best AS (SELECT query_id, min(path) AS path FROM kept JOIN queries USING (root) GROUP BY 1), e AS (SELECT query_id, root AS grp, path FROM best JOIN queries USING (query_id)),
-h AS (SELECT e.query_id, grp, min(rank) AS r FROM e LEFT JOIN (SELECT * FROM top WHERE rank <= 8) t ON t.query_id = e.query_id AND t.path = e.path GROUP BY 1, 2)
-SELECT grp, count(*) AS queries, avg((r IS NOT NULL)::INT::DOUBLE) AS hit_rate FROM h GROUP BY ROLLUP (grp)""")
+def _event_sql(kind: str, where: str = "true", **v: str) -> str:
+    return f"SELECT query_id, root, 'memory-query' AS tool, {kind} AS kind, " + ", ".join(f"({v.get(c, '0')})::BIGINT AS {c}" for c in _EVENT_COLUMNS) + f" FROM ev WHERE {where}"
+
+
+@query("r13_usage_events", f"""WITH {_TOP_SQL}, {_SENT_SQL}, {_diff_ctes()}, chg AS (SELECT root, bool_or(action IN ('upsert', 'delete')) AND substring(root, 4)::INT % 2 = 0 AS changed FROM diff GROUP BY root), ev AS (SELECT * FROM used LEFT JOIN chg USING (root))
+{_event_sql("'call'")} UNION ALL {_event_sql("'token_estimate'", token_estimate="sent", sent="sent", ignored="ignored")} UNION ALL {_event_sql("'latency'")}
+ UNION ALL {_event_sql("'cache_miss'", "changed")} UNION ALL {_event_sql("'cache_hit'", "NOT changed", saved="total", avoided="total", adjusted="ignored")}""")
+def r13_events(spark, d):
+    """Roots of even number are taken to have changed since they were indexed, as the stored snapshot says; odd ones not."""
+    c = written(_current(spark, d))
+    changed = index.sync_stats(index.sync_diff(c, _stored(c)), index.root_stats(c)).withColumn("changed", F.col("changed") & (F.substring("root", 4, 9).cast("int") % 2 == 0))
+    return retrieval.usage_events(_used(spark, d), changed)
+
+
+#: A query should find the files that hold most of its own words' occurrences: those of the most content points.
+_EXPECTED_SQL = """best AS (SELECT query_id, root AS grp, path, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, path) AS i
+ FROM (SELECT query_id, root, c.path, list_sum(list_transform(terms, lambda t: (length(low) - length(replace(low, t, ''))) // length(t))) AS hits FROM joined c)),
+e AS (SELECT query_id, grp, path FROM best WHERE i <= 2)"""
+
+
+def _expected(spark, d, parts):
+    """query_id, grp, path: the two candidates of each query that hold its words most often."""
+    kw, files, _ = parts
+    p = retrieval.parse_queries(A.queries(spark, d))
+    c = retrieval.recall_all(p, written(retrieval.recall(p, kw)), files).join(p, ["query_id", "root"]).join(files, ["root", "path"])
+    low = F.lower("sample")
+    hits = F.aggregate("terms", F.lit(0), lambda a, t: a + F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int"))
+    ranked = c.select("query_id", F.col("root").alias("grp"), "path", hits.alias("hits"))
+    w = Window.partitionBy("query_id").orderBy(F.col("hits").desc(), "path")
+    return ranked.withColumn("i", F.row_number().over(w)).where("i <= 2").select("query_id", "grp", "path")
+
+
+@query("r14_first_hits", f"""WITH {_TOP_SQL}, {_EXPECTED_SQL} SELECT e.query_id, grp, min(rank) AS first_rank FROM e LEFT JOIN (SELECT * FROM top WHERE rank <= 5) t ON t.query_id = e.query_id AND t.path = e.path GROUP BY 1, 2""")
+def r14_first(spark, d):
+    parts = _index(spark, d)
+    return retrieval.first_hits(retrieval.top_by_relevance(_scored(spark, d, parts=parts)).where("rank <= 5"), _expected(spark, d, parts))
+
+
+@query("r14_hit_rate", f"""WITH {_TOP_SQL}, {_EXPECTED_SQL}, h AS (SELECT e.query_id, grp, min(rank) AS r FROM e LEFT JOIN (SELECT * FROM top WHERE rank <= 5) t ON t.query_id = e.query_id AND t.path = e.path GROUP BY 1, 2)
+SELECT grp, count(*) AS queries, count(r) AS hits, avg((r IS NOT NULL)::INT::DOUBLE) AS hit_rate, avg((r IS NOT NULL)::INT::DOUBLE) >= {retrieval.HIT_RATE_GATE} AS passed FROM h GROUP BY ROLLUP (grp)""")
 def r14(spark, d):
-    _, files = _terms_index(spark, d)
-    q = A.queries(spark, d)
-    expected = q.join(files.groupBy("root").agg(F.min("path").alias("path")), "root").select("query_id", F.col("root").alias("grp"), "path")
-    return retrieval.hit_rate(retrieval.top_by_relevance(_scored(spark, d)), expected)
+    parts = _index(spark, d)
+    return retrieval.hit_rate(retrieval.top_by_relevance(_scored(spark, d, parts=parts)).where("rank <= 5"), _expected(spark, d, parts))
 
 
 # --- lint ---------------------------------------------------------------------------------------
@@ -533,18 +607,38 @@ def l4(spark, d):
     return lint.duplicate_paragraphs(_lint_docs(spark, d), "\n")
 
 
+_BLANK_LINT = "ld AS (SELECT source AS root, doc_id AS doc_seq, 'doc' || doc_id AS file, replace(coalesce(text, ''), chr(10), chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) END) AS text FROM documents)"
+_BLANK_DUPS = f"""paras AS (SELECT root, doc_seq, file, unnest(string_split(text, chr(10) || chr(10))) AS part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS j, string_split(text, chr(10) || chr(10)) AS ps FROM ld),
+placed AS (SELECT *, (1 + 2 * (j - 1) + length(array_to_string(ps[1:j - 1], '')) - length(replace(array_to_string(ps[1:j - 1], ''), chr(10), '')))::INT AS line FROM paras),
+norm AS (SELECT *, {_flat_sql('lower(part)')} AS n FROM placed), ranked AS (SELECT *, row_number() OVER w AS i, first_value(file) OVER w AS first_file FROM norm WHERE length(n) >= 100 WINDOW w AS (PARTITION BY root, n ORDER BY doc_seq, line))
+SELECT root, file, 'duplicate_paragraph' AS rule, line, {_excerpt_sql('part')} AS excerpt, first_file FROM ranked WHERE i > 1"""
+
+
+@query("l4_blank_line_paragraphs", f"WITH {_BLANK_LINT}, {_BLANK_DUPS}")
+def l4_blank(spark, d):
+    """Paragraphs between blank lines; in two documents of three every line is one."""
+    docs = _lint_docs(spark, d)
+    return lint.duplicate_paragraphs(docs.withColumn("text", F.replace("text", F.lit("\n"), F.when(F.col("doc_seq") % 3 == 0, F.lit("\n")).otherwise(F.lit("\n\n")))))
+
+
 @query("l5_lint_report", f"""WITH {_LINT}, {_LINES}, {_DUPS}, f AS (SELECT root, rule FROM bad WHERE rule IS NOT NULL UNION ALL SELECT root, rule FROM dups UNION ALL SELECT root, rule FROM ({_LONG}) UNION ALL SELECT root, rule FROM ({_SCOPE}))
 SELECT root, count(*) FILTER (WHERE rule = 'secret_pattern') AS high, count(*) FILTER (WHERE rule IN ('file_too_long', 'missing_scope', 'dynamic_info')) AS medium, count(*) FILTER (WHERE rule = 'duplicate_paragraph') AS low FROM f GROUP BY root""")
 def l5(spark, d):
     return lint.lint_report(lint.findings(_lint_docs(spark, d), "\n"))
 
 
+
+
+def _case(values: dict) -> str:
+    return "CASE rule " + " ".join("WHEN '{}' THEN '{}'".format(r, v.replace("'", "''")) for r, v in values.items()) + " END"
+
+
 _SEVERITY = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in R.SEVERITIES.items()) + " END"
 _FOUND = f"""{_LINES}, {_DUPS}, f AS (SELECT * FROM bad WHERE rule IS NOT NULL UNION ALL BY NAME SELECT * EXCLUDE (first_file) FROM dups UNION ALL BY NAME {_LONG} UNION ALL BY NAME {_SCOPE}
  UNION ALL BY NAME SELECT root, file, 'read_error' AS rule, 0 AS line, '' AS excerpt FROM targets WHERE text IS NULL)"""
 
 
-@query("l5_findings", f"WITH {A.INSTRUCTION_SQL}, {_FOUND} SELECT root, file, rule, line, excerpt, {_SEVERITY} AS severity FROM f")
+@query("l5_findings", f"WITH {A.INSTRUCTION_SQL}, {_FOUND} SELECT root, file, rule, line, excerpt, {_SEVERITY} AS severity, {_case(R.MESSAGES)} AS message, {_case(R.SUGGESTIONS)} AS suggestion FROM f")
 def l5_findings(spark, d):
     return lint.sorted_findings(lint.findings(lint.target_documents(A.instruction_files(spark, d)), "\n"))
 
@@ -688,19 +782,18 @@ def t8_errors(spark, d):
     return zones.zone_errors(_pages(spark, d), "<p>", "</p>")
 
 
-@query("r3_recall_fulltext", f"""WITH {_RECALL_SQL}, ft AS (SELECT root, path, unnest({terms_sql("strip_accents(path || ' ' || sample)")}) AS term FROM kept),
-fq AS (SELECT query_id, root, unnest({terms_sql('strip_accents(query)')}) AS term FROM parsed), fh AS (SELECT DISTINCT query_id, root, path FROM fq JOIN ft USING (root, term)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS i FROM fh) SELECT query_id, root, path FROM r WHERE i <= 64""")
+@query("r3_recall_fulltext", f"WITH {_RECALL_SQL}, {_FULLTEXT_SQL} SELECT query_id, root, path FROM ft")
 def r3(spark, d):
-    return retrieval.recall_fulltext(retrieval.parse_queries(A.queries(spark, d)), index.kept(scanned(spark, d)))
+    _, files, syms = _index(spark, d)
+    return retrieval.recall_fulltext(retrieval.parse_queries(A.queries(spark, d)), _fulltext(files, syms))
 
 
-@query("r10_file_similarity", f"""WITH {_TOP_SQL}, t AS (SELECT query_id, path, kind, {terms_sql("path || ' ' || sample")} AS w, string_split(regexp_replace(path, '/?[^/]*$', ''), '/') AS s, contains(path, '/') AS deep FROM top WHERE rank <= 3),
+@query("r10_file_similarity", f"""WITH {_TOP_SQL}, t AS (SELECT query_id, path, kind, {terms_sql("path || ' ' || sample")} AS w, string_split(regexp_replace(path, '/?[^/]*$', ''), '/') AS s, contains(path, '/') AS deep FROM top WHERE rank <= 8),
 p AS (SELECT a.query_id, a.path AS path_a, b.path AS path_b, (a.kind = b.kind)::INT AS k, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n, greatest(CASE WHEN a.deep THEN len(a.s) ELSE 0 END, CASE WHEN b.deep THEN len(b.s) ELSE 0 END) AS m,
  coalesce(list_max(list_filter(range(0, least(len(a.s), len(b.s)) + 1), lambda x: a.s[1:x] = b.s[1:x])), 0) AS c FROM t a JOIN t b ON a.query_id = b.query_id AND a.path < b.path)
 SELECT query_id, path_a, path_b, round(0.5 * CASE WHEN m = 0 THEN 0 ELSE c / m END + 0.3 * k + 0.2 * i / (n - i), 6) AS similarity FROM p""")
 def r10(spark, d):
-    return retrieval.similar_pairs(retrieval.top_by_relevance(_scored(spark, d)).where("rank <= 3"))
+    return retrieval.similar_pairs(retrieval.top_by_relevance(_scored(spark, d)))
 
 
 def _rows_sql(table: str, section: str, *metrics: str) -> str:
@@ -724,6 +817,46 @@ def u4(spark, d):
     return usage.weekly_report(a3(spark, d), i4(spark, d), i5(spark, d), usage.usage_report(events, "root"), usage.p95_latency(events, "root"), l5_summary(spark, d))
 
 
-@query("s5_json_report", f"WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='root,')} GROUP BY root) SELECT root, '{{\"calls\":' || calls || ',\"cache_hits\":' || cache_hits || ',\"saved\":' || saved || '}}' AS report FROM r")
+#: Names of a usage report's fields as JSON, with the column each comes from.
+_USAGE_FIELDS = (("total_calls", "calls"), ("cache_hits", "cache_hits"), ("cache_misses", "cache_misses"), ("estimated_tokens", "token_estimate"), ("estimated_saved_tokens", "saved"), ("cache_avoided_tokens", "avoided"), ("sent_context_tokens_estimate", "sent"), ("adjusted_saved_tokens", "adjusted"), ("ignored_tokens_estimate", "ignored"), ("p95_latency_ms", "p95_ms"))
+_P95_SQL = "v AS (SELECT root, latency_ms, row_number() OVER (PARTITION BY root ORDER BY latency_ms) AS i, count(*) OVER (PARTITION BY root) AS n FROM usage WHERE kind = 'latency' AND latency_ms > 0), p AS (SELECT root, min(latency_ms) AS p95 FROM v WHERE i >= ceil(0.95 * n) GROUP BY root)"
+
+
+@query("s5_json_report", f"WITH {A.USAGE_SQL}, {_P95_SQL}, r AS ({_REPORT.format(k='root,')} GROUP BY root), f AS (SELECT r.*, coalesce(p95, 0)::BIGINT AS p95_ms FROM r LEFT JOIN p USING (root)) SELECT root, to_json({{" + ", ".join(f"'{n}': {c}" for n, c in _USAGE_FIELDS) + "})::VARCHAR AS report FROM f")
 def s5(spark, d):
-    return usage.usage_report(A.usage_events(spark, d), "root").select("root", F.to_json(F.struct("calls", "cache_hits", "saved")).alias("report"))
+    e = A.usage_events(spark, d)
+    full = usage.usage_report(e, "root").join(usage.p95_latency(e, "root"), "root")
+    return full.select("root", F.to_json(F.struct(*[F.col(c).alias(n) for n, c in _USAGE_FIELDS])).alias("report"))
+
+
+@query("s5_scan_report", f"""WITH {SCANNED}, k AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS t FROM kept GROUP BY root),
+tot AS (SELECT root, count(*) FILTER (WHERE pruned_folder IS NULL) AS seen, count(*) FILTER (WHERE pruned_folder IS NULL AND skip_reason IS NULL) AS idx, count(*) FILTER (WHERE pruned_folder IS NULL AND skip_reason IS NOT NULL) AS skip, count(DISTINCT pruned_folder) AS dirs FROM scanned GROUP BY root),
+items AS (SELECT root, skip_reason AS reason, path AS item FROM scanned WHERE pruned_folder IS NULL AND skip_reason IS NOT NULL UNION ALL SELECT DISTINCT root, pruned_reason, pruned_folder FROM scanned WHERE pruned_folder IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY root, reason ORDER BY string_split(item, '/')) AS i, count(*) OVER (PARTITION BY root, reason) AS n FROM items),
+sk AS (SELECT root, reason, n, list(item ORDER BY i) AS ex FROM rk WHERE i <= 3 GROUP BY root, reason, n), sj AS (SELECT root, string_agg('"' || reason || '":{{"count":' || n || ',"representative_paths":' || to_json(ex)::VARCHAR || '}}', ',' ORDER BY reason) AS js FROM sk GROUP BY root)
+SELECT root, '{{"root":"' || root || '","totals":{{"files_seen":' || seen || ',"files_indexed":' || idx || ',"files_skipped":' || skip || ',"directories_skipped":' || dirs || ',"estimated_tokens":' || coalesce(t, 0) || '}},"skipped_summary":{{' || coalesce(js, '') || '}}}}' AS report FROM tot LEFT JOIN k USING (root) LEFT JOIN sj USING (root)""")
+def s5_scan(spark, d):
+    s = written(scanned(spark, d))
+    each = F.struct("reason", F.struct("count", F.split("examples", r"\|").alias("representative_paths")).alias("x"))
+    summary = scan.skipped_summary(s).groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(each))).alias("skipped_summary"))  # a row per reason
+    t = scan.scan_totals(s).join(summary, "root", "left")
+    totals = F.struct("files_seen", "files_indexed", "files_skipped", "directories_skipped", "estimated_tokens").alias("totals")
+    return t.select("root", F.to_json(F.struct("root", totals, F.coalesce("skipped_summary", F.create_map().cast("map<string,struct<count:bigint,representative_paths:array<string>>>")).alias("skipped_summary"))).alias("report"))
+
+
+@query("s5_scan_files", f"""WITH {SCANNED}, f AS (SELECT s.root, s.path, s.size_bytes, s.kind, s.weight, s.skip_reason, s.role, CASE WHEN s.skip_reason IS NULL THEN {tokens_sql("k.sample")} END AS tok FROM scanned s LEFT JOIN kept k ON k.root = s.root AND k.path = s.path WHERE s.pruned_folder IS NULL)
+SELECT root, path, '{{"path":"' || path || '","size_bytes":' || size_bytes || ',"kind":"' || CASE WHEN skip_reason = 'gitignore' THEN (SELECT any_value({R.TEXT_KIND_CASE}) FROM named n WHERE n.root = f.root AND n.p = f.path) ELSE kind END || '","weight":' || CASE WHEN skip_reason = 'gitignore' THEN 0 ELSE weight END || ',"token_estimate":' || coalesce(tok, 0)
+ || ',"skipped":' || (skip_reason IS NOT NULL) || coalesce(',"skip_reason":"' || skip_reason || '"', '') || CASE WHEN role <> '' THEN ',"role":"' || role || '"' ELSE '' END || '}}' AS entry FROM f""")
+def s5_files(spark, d):
+    s = scanned(spark, d).where("pruned_folder IS NULL")
+    skipped = F.col("skip_reason").isNotNull().alias("skipped")
+    entry = F.struct("path", "size_bytes", "kind", "weight", F.coalesce("token_estimate", F.lit(0)).alias("token_estimate"), skipped, "skip_reason", F.nullif("role", F.lit("")).alias("role"))
+    return s.select("root", "path", F.to_json(entry).alias("entry"))
+
+
+@query("s5_query_report")
+def s5_query(spark, d):
+    """What each query answers, as JSON: its results and the commands of its root, which the supplied manifests give to the repository of their number."""
+    m = _manifests(spark, d).withColumn("root", F.concat(F.lit("src"), F.expr("int(substring(root, 2)) % 20").cast("string")))
+    answers = retrieval.with_commands(r12(spark, d), A.queries(spark, d), commands.discover_commands(m.dropDuplicates(["root", "path"])))
+    return answers.select("query_id", F.to_json(F.struct("root", "query", "top_k", "results", "commands")).alias("report"))

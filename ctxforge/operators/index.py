@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import written
 
 
 def kept(scanned: DataFrame) -> DataFrame:
@@ -68,8 +69,30 @@ def recent_changes(events: DataFrame, limit: int = 10) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def write_index(table: DataFrame, path: str, buckets: int = 64) -> None:
-    """Idempotent: rewrites only the buckets of roots that the table holds."""
+#: Rows of a root in a file of the index.
+ROWS_PER_FILE = 1_000_000
+
+
+def write_index(table: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Idempotent: replaces the roots that the table holds and leaves every other root as it was.
+
+    A root is a folder, named by a digest so that any name will do; a large root is dealt by its
+    paths over as many files as its rows need.
+    """
     key = [c for c in ("root", "path", "term", "name", "kind") if c in table.columns]
-    out = table.dropDuplicates(key).withColumn("root_bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root_bucket").parquet(path)
+    rows = written(table.dropDuplicates(key))
+    parts = rows.groupBy(F.col("root").alias("of_root")).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("root_parts"))
+    out = rows.join(parts, F.col("root").eqNullSafe(F.col("of_root"))).withColumn("root_key", F.sha2(F.coalesce("root", F.lit("")), 256)).drop("of_root")
+    dealt = out.withColumn("root_part", F.pmod(F.xxhash64("path"), F.col("root_parts"))).repartition("root_key", "root_part").drop("root_parts", "root_part")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root_key").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("root_key")
+
+
+def fulltext_terms(files: DataFrame, terms_of_symbols: DataFrame) -> DataFrame:
+    """root, path, term of the full-text documents: path, sample and symbol terms, accents aside; the kind is no part of them."""
+    own = files.select("root", "path", F.explode(T.tokenize(T.fold_accents(F.concat_ws(" ", "path", "sample")))).alias("term"))
+    extra = terms_of_symbols.select("root", "path", F.explode(T.tokenize(T.fold_accents(F.col("term")))).alias("term"))
+    return own.unionByName(extra.join(own, ["root", "path", "term"], "left_anti").distinct())

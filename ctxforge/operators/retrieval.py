@@ -175,50 +175,84 @@ def picked_by_rounds(rows: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame) -> DataFrame:
+def candidates(parsed: DataFrame, fulltext: DataFrame, keywords: DataFrame, summary: DataFrame) -> DataFrame:
+    """query_id, root, path, keyword_count: full-text hits first (they count no keywords); queries without any fall back to keywords, those without these to all files of their root."""
+    first = written(recall_fulltext(parsed, fulltext))
+    open_ones = parsed.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    hits = written(recall(open_ones, keywords))
+    return first.select("query_id", "root", "path", F.lit(0).alias("keyword_count")).unionByName(recall_all(open_ones, hits, summary))
+
+
+def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame, fulltext: DataFrame) -> DataFrame:
     """query_id, rank, path, kind, weight, score, token_estimate, snippet.
 
     Texts are read to score candidates and are dropped; those of the shortlist, and for snippets those of the results, are joined again.
     Hits and scores are small rows that several steps read, so they are written once.
     """
     parsed = parse_queries(queries)
-    hits = written(recall(parsed, keywords))
-    scored = written(score(parsed, recall_all(parsed, hits, summary), summary, symbols).drop("sample", "terms", "role"))
+    scored = written(score(parsed, candidates(parsed, fulltext, keywords, summary), summary, symbols).drop("sample", "terms", "role"))
     texts = summary.select("root", "path", "sample")
     picked = diverse(shortlist(scored).join(texts, ["root", "path"]), normalized(scored).join(texts, ["root", "path"])).join(texts, ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
     return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", T.snippet(F.col("sample"), F.col("path"), F.col("terms")).alias("snippet"))
 
 
+def with_commands(results: DataFrame, queries: DataFrame, commands: DataFrame) -> DataFrame:
+    """query_id, root, query, top_k, results (20 at most) and the commands of the root: what a query answers."""
+    row = F.struct("rank", "path", "kind", "weight", "score", "token_estimate", "snippet")
+    found = results.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("results"))
+    known = commands.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "name", "category", "source", "invocation", "raw"))).alias("commands"))
+    out = queries.select("query_id", "root", "query", T.clamp_topk(F.col("top_k")).alias("top_k")).join(found, "query_id", "left").join(known, "root", "left")
+    bare = lambda c, first: F.transform(c, lambda x: x.dropFields(first))
+    empty = F.array()
+    return out.select("query_id", "root", "query", "top_k", F.coalesce(bare(F.col("results"), "rank"), empty).alias("results"), F.coalesce(bare(F.col("commands"), "place"), empty).alias("commands"))
+
+
 def retrieval_usage(results: DataFrame, queries: DataFrame, totals: DataFrame) -> DataFrame:
-    """query_id, sent, ignored: tokens that a query's results cost and those of its root that they spare."""
+    """query_id, root, sent, ignored, total: tokens that a query's results cost, those of its root that they spare, and all of its root."""
     sent = results.groupBy("query_id").agg(F.sum("token_estimate").alias("sent"))
     out = queries.select("query_id", "root").join(sent, "query_id", "left").join(totals, "root", "left")
     s, t = F.coalesce("sent", F.lit(0)), F.coalesce("tokens", F.lit(0))
-    return out.select("query_id", "root", s.cast("long").alias("sent"), F.greatest(t - s, F.lit(0)).cast("long").alias("ignored"))
+    return out.select("query_id", "root", s.cast("long").alias("sent"), F.greatest(t - s, F.lit(0)).cast("long").alias("ignored"), t.cast("long").alias("total"))
 
 
-def hit_rate(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """grp (null: all), queries, hit_rate: whether a query's results hold an expected path; expected: query_id, grp, path."""
-    hits = expected.join(results.select("query_id", "path", "rank"), ["query_id", "path"], "left").groupBy("query_id", "grp").agg(F.min("rank").alias("first_rank"))
-    return hits.rollup("grp").agg(F.count("*").alias("queries"), F.avg(F.col("first_rank").isNotNull().cast("double")).alias("hit_rate"))
+def usage_events(use: DataFrame, changed: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """The events of each query: call, token_estimate, latency, and cache_miss if its root changed since it was indexed, else cache_hit.
 
+    use: retrieval_usage; changed: root, changed; latency: query_id, latency_ms (0 without).
+    """
+    rows = use.join(changed.select("root", "changed"), "root", "left")
+    rows = rows.withColumn("latency_ms", F.lit(0)) if latency is None else rows.join(latency, "query_id", "left")
+    zero = {"token_estimate": F.lit(0), "sent": F.lit(0), "ignored": F.lit(0), "saved": F.lit(0), "avoided": F.lit(0), "adjusted": F.lit(0), "latency_ms": F.lit(0)}
+    event = lambda kind, **v: F.struct(F.lit(kind).alias("kind"), *[F.coalesce(v.get(k, z), z).cast("long").alias(k) for k, z in zero.items()])
+    c = F.col
+    seen = F.when(F.coalesce(c("changed"), F.lit(True)), event("cache_miss")).otherwise(event("cache_hit", saved=c("total"), avoided=c("total"), adjusted=c("ignored")))
+    each = F.array(event("call"), event("token_estimate", token_estimate=c("sent"), sent=c("sent"), ignored=c("ignored")), event("latency", latency_ms=c("latency_ms")), seen)
+    return rows.select("query_id", "root", F.lit("memory-query").alias("tool"), F.explode(each).alias("e")).select("query_id", "root", "tool", "e.*")
 
-# Accented Latin letters and what they are without accents.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
+#: Fixed value: the least share of queries whose results hold an expected file.
+HIT_RATE_GATE = 0.80
 
-def fold_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
 
+def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, grp, first_rank (null without a hit) of each query; expected: query_id, grp, path, one row or more a query."""
+    return expected.join(results.select("query_id", "path", "rank"), ["query_id", "path"], "left").groupBy("query_id", "grp").agg(F.min("rank").alias("first_rank"))
 
-def recall_fulltext(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """query_id, root, path: files whose path or sample has a term, accents aside; per query the first RECALL_FACTOR * top_k by path."""
-    words = files.select("root", "path", F.explode(T.tokenize(fold_accents(F.concat_ws(" ", "path", "sample")))).alias("term"))
-    asked = parsed.select("query_id", "root", "top_k", F.explode(T.tokenize(fold_accents(F.col("query")))).alias("term"))
-    hits = asked.join(words, ["root", "term"]).select("query_id", "root", "path", "top_k").distinct()
+
+def hit_rate(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """grp (null: all), queries, hits, hit_rate, passed: whether results hold an expected path, against the gate."""
+    hit = F.col("first_rank").isNotNull()
+    out = first_hits(results, expected).rollup("grp").agg(F.count("*").alias("queries"), F.count_if(hit).alias("hits"), F.avg(hit.cast("double")).alias("hit_rate"))
+    return out.withColumn("passed", F.col("hit_rate") >= HIT_RATE_GATE)
+
+
+def recall_fulltext(parsed: DataFrame, fulltext: DataFrame) -> DataFrame:
+    """query_id, root, path: files whose full-text document has a term, accents aside; per query the first RECALL_FACTOR * top_k by path."""
+    asked = parsed.select("query_id", "root", "top_k", F.explode(T.tokenize(T.fold_accents(F.col("query")))).alias("term"))
+    hits = asked.join(fulltext, ["root", "term"]).select("query_id", "root", "path", "top_k").distinct()
     w = Window.partitionBy("query_id").orderBy("path")
-    return hits.withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("top_k") * R.RECALL_FACTOR).select("query_id", "root", "path")
+    i = F.col("i")
+    return hits.withColumn("i", F.row_number().over(w)).where((i <= T.MAX_TOP_K * R.RECALL_FACTOR) & (i <= F.col("top_k") * R.RECALL_FACTOR)).select("query_id", "root", "path")
 
 
 def similar_pairs(top: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ def scan(files: DataFrame, include=(), exclude=()) -> DataFrame:
     ignore rules, its class, its content. The first three leave it its kind as text and no weight.
     """
     rules = ignore_rules(files).select("root", "seq", "source", rule_regex(F.col("pattern")).alias("regex")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "source", "regex"))).alias("rules"))
-    out = classify(files).join(rules, "root", "left")
+    sized = files if "size_bytes" in files.columns else files.withColumn("size_bytes", F.lit(None).cast("long"))
+    out = classify(sized).join(rules, "root", "left")
     none = F.array().cast("array<struct<seq:int,source:string,regex:string>>")
     first = lambda p: F.get(F.filter(F.coalesce("rules", none), lambda r: F.regexp_like(p, r["regex"])), F.lit(0))["source"]
     excluded = lambda p: F.when(any_glob(p, exclude), "user_exclude")
@@ -98,7 +99,7 @@ def scan(files: DataFrame, include=(), exclude=()) -> DataFrame:
     out = out.withColumn("sample", F.when(alive & F.col("skip_reason").isNull(), T.sample(F.col("content")))).withColumn("role", F.expr(R.ROLE_CASE))
     kind = F.when(F.col("early").isNotNull(), F.expr(R.TEXT_KIND_CASE)).when(F.col("skip_reason") == "binary", "binary").otherwise(F.col("kind"))
     weight = F.when(F.col("early").isNotNull() | F.col("skip_reason").isin("binary", "read_error"), 0).otherwise(F.col("weight"))
-    out = out.withColumn("token_estimate", T.token_estimate(F.col("sample"))).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    out = out.withColumn("token_estimate", T.token_estimate(F.col("sample"))).withColumn("size_bytes", F.coalesce("size_bytes", F.octet_length("content")).cast("long"))
     return out.select("root", p.alias("path"), "mtime", kind.alias("kind"), weight.alias("weight"), "role", "size_bytes", "token_estimate", "skip_reason", F.col("pruned.folder").alias("pruned_folder"), F.col("pruned.reason").alias("pruned_reason"), "sample", "content")
 
 

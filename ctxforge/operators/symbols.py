@@ -40,7 +40,7 @@ def _found(pattern: str, kind: str, text: str) -> Iterator[tuple[str, str, int]]
 def symbols_of(path: str, text: str) -> Iterator[tuple[str, str, int]]:
     """(name, kind, line) in order of emission, before deduplication."""
     low = path.lower().replace("\\", "/")
-    base, ext = re.sub(r"\.[^.]*$", "", low.rpartition("/")[2]), (re.search(r"\.[^./]*$", low) or [""])[0]
+    base, ext = re.sub(r"(?<=.)\.[^.]*$", "", low.rpartition("/")[2]), (re.search(r"\.[^./]*$", low) or [""])[0]
     if ext in JVM_EXT:
         kind = next((k for p, k in ANNOTATED if re.search(p, text, re.ASCII)), None)
         if kind:
@@ -73,9 +73,11 @@ def symbols_of(path: str, text: str) -> Iterator[tuple[str, str, int]]:
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """root, path, seq, name, kind, line from the first 16 KiB of (root, path, content); other extensions are filtered first."""
+    """root, path, seq, name, kind, line from the first 16 KiB of (root, path, content); other extensions are filtered first, and heads that hold a NUL have no symbols."""
     some = files.where(T.extension(F.col("path")).isin(".vue", *SCRIPT_EXT, *JSX_EXT, *JVM_EXT))
-    head = F.make_valid_utf8(F.substring(F.col("content").cast("binary"), 1, R.HEAD_BYTES).cast("string"))
+    raw = F.substring(F.col("content").cast("binary"), 1, R.HEAD_BYTES)
+    some = some.where(~F.contains(raw, F.unhex(F.lit("00"))))
+    head = F.make_valid_utf8(raw.cast("string"))
 
     def run(pdfs):
         import pandas as pd

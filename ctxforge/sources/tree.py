@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 def read_tree(spark: SparkSession, path: str, root: str) -> DataFrame:
     """root, path (below ``path``), size_bytes, mtime (ms), content, error of every file below a folder of any store that Spark reads.
 
-    Corrupt or vanished files are skipped by the reader; hand over a listing with null content for
-    files known to be unreadable, and the scan marks them read_error.
+    A file that is listed but can't be read has null content and the error read_error.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(path)
+    listed = found.select("path", "length", "modificationTime")  # opens no file
+    return with_contents(listed, found.select("path", "content"), path, root)
+
+
+def with_contents(listed: DataFrame, read: DataFrame, path: str, root: str) -> DataFrame:
+    """The listing with the contents of the files that were read."""
+    raw = listed.join(read, "path", "left")
     below = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:/*", "/")
     base = "/" + path.split(":", 1)[-1].strip("/") + "/"
-    return raw.select(F.lit(root).alias("root"), below.substr(len(base) + 1, 1 << 20).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime"), "content", F.lit(None).cast("string").alias("error"))
+    return raw.select(F.lit(root).alias("root"), below.substr(len(base) + 1, 1 << 20).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime"), "content", F.when(F.col("content").isNull(), "read_error").alias("error"))
