@@ -617,7 +617,96 @@ def test_model_sums_to_one(spark, docs):
     assert abs(sum(10.0**x for x in known) + 10 ** fit["unknown"] - 1) < 0.02
 
 
-def test_substring_dedup(docs, none):
+def brute_passages(data, min_words=substring_dedup.MIN_WORDS):
+    """Every chunk compared with every other document's, in plain sets; cuts by trying every window."""
+    import xxhash
+
+    def cuts(raw):
+        h = []
+        for i in range(len(raw)):
+            x = 0
+            for k in range(min(i + 1, substring_dedup.WINDOW)):
+                x += int(substring_dedup.GEAR[raw[i - k]]) << k
+            h.append(x % (1 << 32) * 2654435761 % (1 << 32))
+        fit = [i for i in range(len(raw)) if not (i + 1 < len(raw) and raw[i + 1] & 0xC0 == 0x80) and not (i and raw[i] == raw[i - 1] and h[i] == h[i - 1])]
+        out, span = set(), substring_dedup.SPAN
+        for s in range(max(1, len(raw) - span + 1)):
+            some = [i for i in fit if s <= i < s + span]
+            if some:
+                out.add(max(i for i in some if h[i] == min(h[j] for j in some)) + 1)
+        return sorted((out - {len(raw)}) | {len(raw)}) if raw else []
+
+    docs_ = {}
+    for d, t in data:
+        raw = (t or "").encode()
+        ends = cuts(raw)
+        docs_[d, xxhash.xxh64_intdigest(raw, 42)] = raw, [(s, e) for s, e in zip([0, *ends][: len(ends)], ends, strict=True)]
+    holders = {}
+    for key, (raw, chunks) in docs_.items():
+        for s, e in chunks:
+            holders.setdefault(raw[s:e], set()).add(key)
+    out = []
+    for (d, _), (raw, chunks) in docs_.items():
+        run = []
+        for s, e in [*chunks, (None, None)]:
+            if s is not None and len(holders[raw[s:e]]) > 1:
+                run.append((s, e))
+                continue
+            if run:
+                text = raw.decode()
+                a, z = len(raw[: run[0][0]].decode()), len(raw[: run[-1][1]].decode())
+                begun = lambda x: sum(not c.isspace() and (i == 0 or text[i - 1].isspace()) for i, c in enumerate(text[:x]))  # noqa: B023, E731
+                n = begun(z) - begun(a)
+                if n >= min_words:
+                    keys = [min(holders[raw[x:y]], key=lambda k: (k[0], k[1] - (k[1] >> 63 << 64))) for x, y in run]
+                    out.append((d, a, z, n, len(run), min(k[0] for k in keys), all(k[0] != d for k in keys)))
+            run = []
+    return out
+
+
+def test_passages_by_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    shared = [prose(n, 900 + n) for n in (20, 30, 51, 60, 90)] + ["é" * 40 + " ü über " + prose(40, 5)]
+    data = [(i, " ".join(r.choice(shared) if r.random() < 0.4 else prose(r.randint(3, 25), 5000 + 20 * i + k) for k in range(4))) for i in range(40)]
+    data += [(40, ""), (41, None), (42, "short"), (43, "a" * 300), (44, data[3][1])]
+    d = spark.createDataFrame([*data, data[0], data[44]], "doc_id long, text string")
+    want = sorted(brute_passages(data))
+    for often in (2, 1000):  # with and without frequent chunks
+        monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+        monkeypatch.setattr(substring_dedup, "OFTEN", often)
+        got = sorted((x.doc_id, x.start, x.end, x.n_words, x.n_chunks, x.first_doc, x.removable) for x in substring_dedup.repeated_passages(d).collect())
+        assert got == want and len(want) > 30
+    clean = substring_dedup.deduplicated(d).collect()
+    text = dict(data)
+    assert len(clean) == d.count()
+    for x in clean:
+        if x.doc_id == 44 or x.doc_id == 0:
+            assert len(x.text) <= len(text[x.doc_id])
+    assert next(x.text for x in clean if x.doc_id == 44).strip() == "" or len(next(x.text for x in clean if x.doc_id == 44)) < len(data[3][1]) / 2
+
+
+def test_every_passage_of_51_words_is_found():
+    """Of random words of any length, between random texts."""
+    r = random.Random(3)
+    lost = 0
+    for k in range(400):
+        size = r.choice((2, 3, 5, 8))
+        w = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, size))) for _ in range(n))  # noqa: B023, E731
+        p = w(51)
+        a, b = (substring_dedup.chunked(f"{w(30)} {p} {w(30)}") for _ in range(2))
+        hit = [x.tobytes() in {y.tobytes() for y in b[2]} for x in a[2]]
+        runs, at = [], 0
+        while at < len(hit):
+            z = at
+            while z < len(hit) and hit[z]:
+                z += 1
+            runs.append(a[1][z] - a[1][at] if z > at else 0)
+            at = z + 1
+        lost += max(runs) < substring_dedup.MIN_WORDS
+    assert lost <= 4, lost
+
+
+def test_substring_dedup(spark, docs, none):
     got = substring_dedup.repeated_passages(docs).collect()
     assert substring_dedup.repeated_passages(none).count() == 0
     at = {t: i for i, t in enumerate(TEXTS)}
@@ -627,12 +716,18 @@ def test_substring_dedup(docs, none):
     for r in got:
         if r.doc_id in (a, b):
             assert TEXTS[r.doc_id][r.start : r.end] in prose(70, 71) + " " and r.n_words > 40
+    out = substring_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    twice = spark.createDataFrame([("x", prose(60, 1) + " " + prose(9, 2) + " " + prose(60, 1))], "doc_id string, text string")
+    assert substring_dedup.repeated_passages(twice).count() == 0
+    inner = substring_dedup.repeated_passages(twice, within=True).collect()
+    assert len(inner) == 2 and sum(bool(r.spans) for r in inner) == 1
 
 
 def test_cuts_follow_content():
     t = prose(5000, 8).encode()
     one, two = substring_dedup.cut_points(np.frombuffer(t, np.uint8)), substring_dedup.cut_points(np.frombuffer(b"inserted words " + t, np.uint8)) - 15
-    assert len(set(one) - set(two)) <= 2 and 20 < len(t) / len(one) < 50
+    assert len(set(one) - set(two)) <= 4 and 15 < len(t) / len(one) < 40 and np.diff(one).max() <= substring_dedup.SPAN
     substring_dedup.BLOCK, old = 1000, substring_dedup.BLOCK
     try:
         assert (substring_dedup.cut_points(np.frombuffer(t, np.uint8)) == one).all()
