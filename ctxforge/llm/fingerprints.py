@@ -93,18 +93,31 @@ def as_text(side: str) -> Column:
     return F.lower(F.concat(F.hex(F.col(f"{side}.n")), F.lit("-"), *lanes))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated share of common paragraphs, of the larger document, from the counters of vectors in columns a and b; callers set 1 for equal fingerprints."""
+def _lanes(side: str) -> list[Column]:
+    """The one-bit lanes of a vector: low and high halves of its counters."""
+    return [x.cast("double") for n in LANES[WIDE:] for x in (F.col(f"{side}.{n}").bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(F.col(f"{side}.{n}"), 32))]
+
+
+def _dot(xy: Column, a: str, b: str) -> Column:
+    """The inner product of the signed lanes 2 * x - n, from that of the lanes themselves and their sums."""
+    n, m = F.col(f"{a}.n").cast("double"), F.col(f"{b}.n").cast("double")
+    return 4 * xy - 2 * m * F.col(f"{a}.sum") - 2 * n * F.col(f"{b}.sum") + 2 * COUNTERS * n * m
+
 
-    def bits(side: str) -> list[Column]:
-        cs = [F.col(f"{side}.{n}") for n in LANES[WIDE:]]
-        n = F.col(f"{side}.n")
-        return [(2 * x - n).cast("double") for c in cs for x in (c.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(c, 32))]
+def _products(a: str, b: str) -> Column:
+    return reduce(add, [x * y for x, y in zip(_lanes(a), _lanes(b), strict=True)])
 
-    x, y = bits(a), bits(b)
-    dot = lambda p, q: reduce(add, [i * j for i, j in zip(p, q, strict=True)])
-    most = F.greatest(dot(x, x), dot(y, y))
-    return F.when(most > 0, F.greatest(F.least(dot(x, y) / most, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+
+def measured(rows: DataFrame, v: str) -> DataFrame:
+    """Adds to the vector v the sum of its one-bit lanes and the squared length of its signed lanes, once for all comparisons."""
+    rows = rows.withColumn(v, F.col(v).withField("sum", reduce(add, _lanes(v))))
+    return rows.withColumn(v, F.col(v).withField("length", _dot(_products(v, v), v, v)))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Estimated share of common paragraphs, of the larger document, of measured vectors in columns a and b; callers set 1 for equal fingerprints."""
+    most = F.greatest(F.col(f"{a}.length"), F.col(f"{b}.length"))
+    return F.when(most > 0, F.greatest(F.least(_dot(_products(a, b), a, b) / most, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
 
 
 def same_text(a: str, b: str) -> Column:
@@ -142,9 +155,9 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.concat("start", "new").alias("e"), clean(rest).alias("gone"), clean(come).alias("come"))
 
 
-def id_key() -> Column:
+def id_key(col: str = "doc_id") -> Column:
     """The id as text that is never null, so joins by it keep their partitioning."""
-    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
 
 
 def edited_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,26 +168,28 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     vectors are written, and the next document's is joined from there.
     """
     base = docs.select("doc_id", id_key().alias("k"), text_of(text_col).alias("t"))
-    links = next_ids(base).select(id_key().alias("k"), F.coalesce(F.concat(F.lit("="), F.col("next_id").cast("string")), F.lit("")).alias("next_k"))
+    links = next_ids(base).select(id_key().alias("k"), id_key("next_id").alias("next_k"))
     need = base.groupBy("k").agg(F.max(F.floor(F.length("t") / 2)).cast("int").alias("need"))
     asked = materialize(links.join(need, "k").select(F.col("k").alias("asker"), F.col("next_k").alias("k"), "need"))
-    found = base.join(asked, "k").select("asker", "k", F.expr("substring(t, 1, need)").alias("head"), "t")
+    # the id is carried along so that both joins read the same columns of one shuffle of the texts
+    found = base.join(asked, "k").select("asker", "k", F.expr("substring(t, 1, need)").alias("head"), "t", F.col("doc_id").alias("next_id"))
     many = materialize(base.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k"))
     if many.isEmpty():
-        nexts = found.select("asker", "head", F.sha2("t", 256).alias("next_digest"))
+        nexts = found.select("asker", "head", F.sha2("t", 256).alias("next_digest"), "next_id")
     else:  # the smallest text of an id of several rows; combined before the shuffle
-        one = found.join(if_small(many), "k", "left_anti").select("asker", "head", F.sha2("t", 256).alias("next_digest"))
-        least = found.join(if_small(many), "k", "left_semi").groupBy("asker").agg(F.min(F.struct("t", "head")).alias("x"))
-        nexts = one.unionByName(least.select("asker", F.col("x.head").alias("head"), F.sha2(F.col("x.t"), 256).alias("next_digest")))
+        one = found.join(if_small(many), "k", "left_anti").select("asker", "head", F.sha2("t", 256).alias("next_digest"), "next_id")
+        least = found.join(if_small(many), "k", "left_semi").groupBy("asker").agg(F.min(F.struct("t", "head", "next_id")).alias("x"))
+        nexts = one.unionByName(least.select("asker", F.col("x.head").alias("head"), F.sha2(F.col("x.t"), 256).alias("next_digest"), F.col("x.next_id").alias("next_id")))
     both = edited(base.join(nexts.withColumnRenamed("asker", "k"), "k"))
-    key = ["k", "doc_id", "n_chars", "digest", "edited_sha256", "next_digest"]
-    all_vectors = vectors(both.select("k", "doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"), F.sha2("e", 256).alias("edited_sha256"), "next_digest", "whole", "gone", "come"), key)
-    counters = F.struct(*[F.col(f"a.{n}") for n in ("n", *LANES[WIDE:])]).alias("a")
+    key = ["k", "doc_id", "n_chars", "digest", "edited_sha256", "next_digest", "next_id"]
+    all_vectors = vectors(both.select("k", "doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"), F.sha2("e", 256).alias("edited_sha256"), "next_digest", "next_id", "whole", "gone", "come"), key)
+    all_vectors = measured(measured(all_vectors, "a"), "b")
+    kept = ("n", "sum", "length", *LANES[WIDE:])
+    counters = F.struct(*[F.col(f"a.{n}") for n in kept]).alias("a")
     near = F.when(same_text("a", "b"), 1.0).otherwise(likeness("a", "b"))
-    own = materialize(all_vectors.select("doc_id", "n_chars", "digest", "edited_sha256", "next_digest", "copies", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"), near.alias("near_edited"), counters))
-    # a text's vector depends on the text alone, so one row of each digest will do
-    z = own.groupBy("digest").agg(*[F.max(F.struct("fingerprint", *[F.col(f"a.{n}") for n in ("n", *LANES[WIDE:])])).alias("z")]).withColumnRenamed("digest", "next_digest")
-    out = own.join(z, "next_digest")
+    own = materialize(all_vectors.select("k", "doc_id", "next_id", "n_chars", "digest", "edited_sha256", "next_digest", "copies", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"), near.alias("near_edited"), counters))
+    z = own.select(F.col("k").alias("next_k"), F.col("digest").alias("next_digest"), F.struct("fingerprint", "a.*").alias("z"))
+    out = own.withColumn("next_k", id_key("next_id")).join(z, ["next_k", "next_digest"])  # one row each, no digest of many copies is a key alone
     near_next = F.when(F.col("fingerprint") == F.col("z.fingerprint"), 1.0).otherwise(likeness("a", "z"))
     each = out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next.alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i"))
     return each.drop("i")
