@@ -192,18 +192,20 @@ def t7_nested(spark, d):
     return A.table(spark, d, "events").select("event_id", T.cache_key_json(F.col("event_type"), args, F.lit("v2")).alias("key"))
 
 
-@query("f1_project_roots", f"WITH {NAMED} SELECT DISTINCT root, '' AS dir FROM named WHERE b IN ('angular.json', 'package.json', 'pom.xml') OR b LIKE 'vite.config.%'")
+_PROFILES = f"""{NAMED}, proots AS (SELECT DISTINCT root, regexp_replace(p, '/?[^/]*$', '') AS dir FROM named WHERE b IN ('angular.json', 'package.json', 'pom.xml', 'build.gradle', 'settings.gradle') OR b LIKE 'vite.config.%'),
+sig AS (SELECT r.root, r.dir, bool_or(b = 'angular.json') AS angular, bool_or(b = 'package.json') AS package, bool_or(b IN ('pom.xml', 'build.gradle', 'settings.gradle')) AS jvm_build,
+ bool_or(starts_with(b, 'vite.config.')) AS vite, bool_or(ext = '.vue') AS vue, bool_or(ext IN ('.tsx', '.jsx')) AS jsx, bool_or(ext IN ('.java', '.kt')) AS java, false AS spring
+ FROM proots r JOIN named n ON n.root = r.root AND (r.dir = '' OR starts_with(n.p, r.dir || '/')) GROUP BY r.root, r.dir),
+prof AS (SELECT * FROM (SELECT root, dir, {R.PROFILE_CASE} AS profile FROM sig) WHERE profile IS NOT NULL)"""
+
+
+@query("f1_project_roots", f"WITH {_PROFILES} SELECT root, dir FROM proots")
 def f1(spark, d):
     n = scan.with_names(A.files(spark, d))
     return n.where(F.col("b").isin("angular.json", "package.json", "pom.xml", "build.gradle", "settings.gradle") | F.col("b").startswith("vite.config.")).select("root", T.folder(F.col("p")).alias("dir")).distinct()
 
 
-_PROFILES = f"""{NAMED}, sig AS (SELECT root, bool_or(b = 'angular.json') AS angular, bool_or(b = 'package.json') AS package, bool_or(b IN ('pom.xml', 'build.gradle', 'settings.gradle')) AS jvm_build,
- bool_or(starts_with(b, 'vite.config.')) AS vite, bool_or(ext = '.vue') AS vue, bool_or(ext IN ('.tsx', '.jsx')) AS jsx, bool_or(ext IN ('.java', '.kt')) AS java, false AS spring FROM named GROUP BY root),
-prof AS (SELECT * FROM (SELECT root, '' AS dir, {R.PROFILE_CASE} AS profile FROM sig) WHERE profile IS NOT NULL)"""
-
-
-@query("f2_profile_signals", f"WITH {_PROFILES} SELECT root, '' AS dir, angular, package, jvm_build, vite, vue, jsx, java, spring FROM sig")
+@query("f2_profile_signals", f"WITH {_PROFILES} SELECT root, dir, angular, package, jvm_build, vite, vue, jsx, java, spring FROM sig")
 def f2(spark, d):
     return scan.profile_signals(A.files(spark, d))
 
@@ -213,7 +215,7 @@ def f3(spark, d):
     return scan.profiles(A.files(spark, d))
 
 
-@query("f4_profile_for_file", f"WITH {_PROFILES} SELECT root, path, profile FROM files LEFT JOIN prof USING (root)")
+@query("f4_profile_for_file", f"WITH {_PROFILES} SELECT f.root, f.path, arg_max(profile, length(dir)) AS profile FROM files f LEFT JOIN prof p ON p.root = f.root AND (dir = '' OR starts_with(f.path, dir || '/')) GROUP BY f.root, f.path")
 def f4(spark, d):
     f = A.files(spark, d)
     return scan.profile_of_files(f, scan.profiles(f))
@@ -705,29 +707,29 @@ SCRIPTS = (("dev", "vite"), ("build", "vite build"), ("test", "vitest run"), ("l
 
 
 def _manifests(spark, d):
-    """Repositories m0 to m49 with manifests, locks, wrappers and tests by residues of the parts' keys."""
-    p = A.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("n"), (F.col("p_partkey") % len(SCRIPTS)).alias("s"), "p_partkey")
+    """A repository for every four parts, with manifests, locks, wrappers and tests by residues of its number."""
+    p = A.table(spark, d, "part").select(F.expr("p_partkey div 4").alias("n"), (F.col("p_partkey") % len(SCRIPTS)).alias("s"), "p_partkey")
     names, bodies = (F.array(*[F.lit(x[i]) for x in SCRIPTS]) for i in (0, 1))
     scripts = p.groupBy("n").agg(F.array_sort(F.collect_set("s")).alias("s"))  # seven values at most
     entry = F.transform("s", lambda s: F.concat(F.lit('"'), F.get(names, s.cast("int")), F.lit('": "'), F.get(bodies, s.cast("int")), F.lit('"')))
     n = F.col("n")
-    pkg = F.when(n == 7, F.lit("{broken")).otherwise(F.concat(F.lit('{"packageManager": "'), F.when(n % 3 == 0, "yarn@4").otherwise(""), F.lit('", "scripts": {'), F.array_join(entry, ", "), F.lit("}}")))
-    pom = F.when(n == 8, F.lit("<project><build>")).otherwise(F.lit("<project xmlns=\"http://maven.apache.org/POM/4.0.0\"><build><plugins><plugin><artifactId>a</artifactId></plugin><plugin><artifactId>spring-boot-maven-plugin</artifactId></plugin></plugins></build></project>"))
+    pkg = F.when(n % 50 == 12, F.lit("{broken")).otherwise(F.concat(F.lit('{"packageManager": "'), F.when(n % 3 == 0, "yarn@4").otherwise(""), F.lit('", "scripts": {'), F.array_join(entry, ", "), F.lit("}}")))
+    pom = F.when(n % 50 == 8, F.lit("<project><build>")).otherwise(F.lit("<project xmlns=\"http://maven.apache.org/POM/4.0.0\"><build><plugins><plugin><artifactId>a</artifactId></plugin><plugin><artifactId>spring-boot-maven-plugin</artifactId></plugin></plugins></build></project>"))
     gradle = F.concat(F.lit("plugins { id 'java' }\n  task hello"), n.cast("string"), F.lit(" {}\ntasks.register(\"extra\") {}\n"), F.when(n % 2 == 0, "id 'org.springframework.boot'").otherwise(""))
     f = lambda on, path, text: F.when(on, F.struct(F.lit(path).alias("path"), text.alias("content")))
-    rows = F.array_compact(F.array(f(n % 2 == 0, "package.json", pkg), f(n % 5 == 0, "pnpm-lock.yaml", F.lit("")), f(n % 4 == 1, "pom.xml", pom), f(n == 8, "pom.xml", pom), f(n % 4 == 3, "build.gradle", gradle), f(n % 6 == 1, "src/test/A.java", F.lit("")), f(n % 10 == 1, "mvnw", F.lit("")), f(n % 10 == 3, "gradlew", F.lit(""))))
+    rows = F.array_compact(F.array(f(n % 2 == 0, "package.json", pkg), f(n % 5 == 0, "pnpm-lock.yaml", F.lit("")), f(n % 4 == 1, "pom.xml", pom), f(n % 50 == 8, "pom.xml", pom), f(n % 4 == 3, "build.gradle", gradle), f(n % 6 == 1, "src/test/A.java", F.lit("")), f(n % 10 == 1, "mvnw", F.lit("")), f(n % 10 == 3, "gradlew", F.lit(""))))
     return scripts.select(F.concat(F.lit("m"), n.cast("string")).alias("root"), F.explode(rows).alias("x")).select("root", "x.path", "x.content")
 
 
-_MAN = """b AS (SELECT n, 'm' || n AS root, CASE WHEN n % 5 = 0 THEN 'pnpm' WHEN n % 3 = 0 AND n % 2 = 0 THEN 'yarn' ELSE 'npm' END AS pm FROM (SELECT DISTINCT p_partkey % 50 AS n FROM part)),
+_MAN = """b AS (SELECT n, 'm' || n AS root, CASE WHEN n % 5 = 0 THEN 'pnpm' WHEN n % 3 = 0 AND n % 2 = 0 AND n % 50 <> 12 THEN 'yarn' ELSE 'npm' END AS pm FROM (SELECT DISTINCT (p_partkey // 4) AS n FROM part)),
 managers AS (SELECT root, pm FROM b WHERE n % 2 = 0 OR n % 5 = 0 OR n % 4 IN (1, 3) OR n % 6 = 1 OR n % 10 IN (1, 3)),
 names AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{n}', '{b}', '{c}')" for i, ((n, b), c) in enumerate(zip(SCRIPTS, ("dev", "build", "test", "lint", "type-check", "run", "run"), strict=True))) + """) t(s, name, raw, category)),
-scripts AS (SELECT DISTINCT 'm' || p_partkey % 50 AS root, name, category, 'package.json' AS source, CASE pm WHEN 'yarn' THEN 'yarn ' WHEN 'pnpm' THEN 'pnpm run ' ELSE 'npm run ' END || name AS invocation, raw
- FROM part JOIN names ON s = p_partkey % 7 JOIN b ON b.n = p_partkey % 50 WHERE p_partkey % 50 % 2 = 0 AND p_partkey % 50 <> 7),
-mv AS (SELECT n, root, CASE WHEN n % 10 = 1 THEN './mvnw' ELSE 'mvn' END AS t FROM b WHERE n % 4 = 1 OR n = 8),
+scripts AS (SELECT DISTINCT 'm' || (p_partkey // 4) AS root, name, category, 'package.json' AS source, CASE pm WHEN 'yarn' THEN 'yarn ' WHEN 'pnpm' THEN 'pnpm run ' ELSE 'npm run ' END || name AS invocation, raw
+ FROM part JOIN names ON s = p_partkey % 7 JOIN b ON b.n = (p_partkey // 4) WHERE (p_partkey // 4) % 2 = 0 AND (p_partkey // 4) % 50 <> 12),
+mv AS (SELECT n, root, CASE WHEN n % 10 = 1 THEN './mvnw' ELSE 'mvn' END AS t FROM b WHERE n % 4 = 1 OR n % 50 = 8),
 maven AS (SELECT root, 'package' AS name, 'build' AS category, 'pom.xml' AS source, t || ' -DskipTests package' AS invocation, 'mvn package' AS raw FROM mv
  UNION ALL SELECT root, 'test', 'test', 'pom.xml', t || ' test', 'mvn test' FROM mv WHERE n % 6 = 1
- UNION ALL SELECT root, 'spring-boot:run', 'dev', 'pom.xml', t || ' spring-boot:run', 'spring-boot-maven-plugin' FROM mv WHERE n <> 8),
+ UNION ALL SELECT root, 'spring-boot:run', 'dev', 'pom.xml', t || ' spring-boot:run', 'spring-boot-maven-plugin' FROM mv WHERE n % 50 <> 8),
 gr AS (SELECT n, root, CASE WHEN n % 10 = 3 THEN './gradlew' ELSE 'gradle' END AS t FROM b WHERE n % 4 = 3),
 gradle AS (SELECT root, 'build' AS name, 'build' AS category, 'build.gradle' AS source, t || ' build' AS invocation, 'gradle build' AS raw FROM gr
  UNION ALL SELECT root, 'test', 'test', 'build.gradle', t || ' test', 'gradle test' FROM gr WHERE n % 6 = 1

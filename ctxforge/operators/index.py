@@ -84,7 +84,7 @@ def write_index(table: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE)
     parts = rows.groupBy(F.col("root").alias("of_root")).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("root_parts"))
     out = rows.join(parts, F.col("root").eqNullSafe(F.col("of_root"))).withColumn("root_key", F.sha2(F.coalesce("root", F.lit("")), 256)).drop("of_root")
     dealt = out.withColumn("root_part", F.pmod(F.xxhash64("path"), F.col("root_parts"))).repartition("root_key", "root_part").drop("root_parts", "root_part")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root_key").parquet(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("root_key").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

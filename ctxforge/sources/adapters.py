@@ -30,7 +30,7 @@ def _pick(values, k) -> str:
     return "CASE " + k + " " + " ".join(f"WHEN {i} THEN " + ("'" + v.replace("{d}", "' || d || '") + "'") for i, v in enumerate(values)) + " END"
 
 
-PATH_CASE = "CASE WHEN k = 13 AND odd = 1 THEN 'notes/x' || d || '.tmp' ELSE " + _pick([p for p, _ in SHAPES], "k") + " END"
+PATH_CASE = "CASE WHEN k = 13 AND odd = 1 THEN 'notes/x' || d || '.tmp' WHEN k = 4 AND odd = 1 THEN 'packages/web/src/components/C' || d || '.vue' ELSE " + _pick([p for p, _ in SHAPES], "k") + " END"
 HEAD_CASE = _pick([h for _, h in SHAPES], "k")
 
 
@@ -48,7 +48,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = roots.select("root", F.expr(_pick([m for m, _ in MARKERS], "n")).alias("path"), F.lit(0).cast("long").alias("mtime"), F.expr(_pick([c for _, c in MARKERS], "n")).alias("content"))
     package = roots.where("n = 2").select("root", F.lit("package.json").alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit("{}").alias("content"))
     ignore = roots.select("root", F.lit(".gitignore").alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit(IGNORE_FILE).alias("content"))
-    return rows.unionByName(marks).unionByName(package).unionByName(ignore)
+    nested = roots.where("n <> 2").select("root", F.lit("packages/web/package.json").alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit("{}").alias("content"))
+    return rows.unionByName(marks).unionByName(package).unionByName(nested).unionByName(ignore)
 
 
 FILES_SQL = f"""fd AS (SELECT doc_id, coalesce(text, '') AS text, source AS root, (doc_id // 20) % 14 AS k, doc_id % 2 AS odd, doc_id::VARCHAR AS d FROM documents),
@@ -56,6 +57,7 @@ fr AS (SELECT DISTINCT root, substring(root, 4)::INT % 4 AS n FROM fd),
 files AS (SELECT root, {PATH_CASE} AS path, doc_id * 1000 AS mtime, {HEAD_CASE} || chr(10) || text || CASE WHEN doc_id % 50 = 0 THEN chr(10) || repeat('pad ', 17000) ELSE '' END AS content FROM fd
  UNION ALL SELECT root, {_pick([m for m, _ in MARKERS], "n")}, 0, {_pick([c for _, c in MARKERS], "n")} FROM fr
  UNION ALL SELECT root, 'package.json', 0, '{{}}' FROM fr WHERE n = 2
+ UNION ALL SELECT root, 'packages/web/package.json', 0, '{{}}' FROM fr WHERE n <> 2
  UNION ALL SELECT root, '.gitignore', 0, 'scratch/' || chr(10) || '*.tmp' || chr(10) || '# note' || chr(10) || '!keep.tmp' || chr(10) FROM fr)"""
 
 

@@ -242,3 +242,137 @@ def test_read_tree(spark, tmp_path):
     got = {r.path: r for r in scan.scan(read_tree(spark, f"file://{tmp_path}/t", "r")).collect()}
     assert set(got) == {"src/a.ts", "b.bin", "big.txt"} and got["src/a.ts"].skip_reason is None and got["b.bin"].skip_reason == "binary"
     assert len(got["big.txt"].sample.encode()) == 8192 and got["big.txt"].token_estimate == -(-(8192 - 30) // 4) + 15
+
+
+def test_write_index_keeps_other_roots(spark, tmp_path):
+    """Two hundred roots, then one of them again: all others stay; a large root lies in several files; any name of a root will do."""
+    import glob
+
+    path = f"{tmp_path}/index"
+    rows = [(f"r{i}", f"p{k}", "t") for i in range(200) for k in range(3)] + [("a/b=c %", f"p{k}", "t") for k in range(50)] + [(None, "p", "t")]
+    t = spark.createDataFrame(rows, "root string, path string, term string")
+    index.write_index(t, path, rows_per_file=10)
+    assert sorted(map(str, index.read_index(spark, path).collect())) == sorted(map(str, t.collect()))
+    one = spark.createDataFrame([("r7", "new", "u")], t.schema)
+    for _ in range(2):
+        index.write_index(one, path, rows_per_file=10)
+        got = {tuple(r) for r in index.read_index(spark, path).collect()}
+        assert got == {r for r in rows if r[0] != "r7"} | {("r7", "new", "u")}
+    assert max(len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path}/root_key=*")) > 1
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    from ctxforge.sources import tree
+
+    (tmp_path / "t").mkdir()
+    for n in ("a.ts", "b.ts"):
+        (tmp_path / "t" / n).write_text("export const x = 1")
+    base = f"file://{tmp_path}/t"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(base)
+    listed = spark.createDataFrame(found.select("path", "length", "modificationTime").collect(), "path string, length long, modificationTime timestamp")
+    (tmp_path / "t" / "b.ts").unlink()
+    got = {r.path: r for r in tree.with_contents(listed, found.select("path", "content"), base, "r").collect()}
+    assert got["a.ts"].error is None and got["b.ts"].error == "read_error" and got["b.ts"].size_bytes == 18 and got["b.ts"].content is None
+    s = {r.path: r for r in scan.scan(tree.with_contents(listed, found.select("path", F.col("content").cast("string").alias("content")), base, "r")).collect()}
+    assert s["b.ts"].skip_reason == "read_error" and s["b.ts"].size_bytes == 18 and s["a.ts"].skip_reason is None
+
+
+def test_symbols_of_odd_files(spark):
+    rows = [("r", "src/.vue", "<template>"), ("r", "x.ts", "\0export class X {} @Component("), ("r", "y.ts", "export class Y {} @Component(")]
+    got = {(r.path, r.name) for r in symbols.extract_symbols(spark.createDataFrame(rows, "root string, path string, content string")).collect()}
+    assert got == {("src/.vue", ".vue"), ("y.ts", "Y")}
+
+
+def test_nested_cache_keys(spark):
+    import hashlib
+
+    d = spark.createDataFrame([('{"b": [1, {"y": 2, "x": "&"}], "a": null}', "v1"), ('{ "a":null,"b":[1,{"x":"&","y":2}]}', ""), ("{broken", "v1"), ('{"a": 1}', "v:1")], "a string, v string")
+    keys = [r[0] for r in d.select(T.cache_key_json(F.lit("t"), F.col("a"), F.col("v"))).collect()]
+    want = "t:" + hashlib.sha256('{"a":null,"b":[1,{"x":"\\u0026","y":2}]}'.encode()).hexdigest() + ":v1"
+    assert keys == [want, want, None, None]
+
+
+def test_memory_query_by_brute_force(spark):
+    """Every value of the end-to-end query: recall, fallback, relevance, diverse pick and snippet, worked out row by row."""
+    import unicodedata
+
+    import regex
+
+    from ctxforge.functions import rules as R
+    from ctxforge.jobs import catalog
+    from ctxforge.operators import retrieval
+
+    _, files, syms = catalog._index(spark, SF)
+    queries = catalog.A.queries(spark, SF).collect()
+    files_, sym_of = {}, {}
+    for r in files.collect():
+        files_.setdefault(r.root, []).append(r)
+    for r in syms.collect():
+        sym_of.setdefault((r.root, r.path), []).append(r)
+    tok = lambda x: list(dict.fromkeys(t for t in regex.split(r"[^\p{L}\p{Nd}]+", x.lower()) if len(t) > 1))
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
+    space = re.compile(r"[\t\n\x0B\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    memo = {}
+
+    def words_of(f):
+        if (f.root, f.path) not in memo:
+            names = [t for s in sym_of.get((f.root, f.path), []) for t in tok(s.name)]
+            own = tok(f"{f.path} {f.sample}")
+            memo[f.root, f.path] = set(own), {plain(t) for t in own} | {plain(t) for t in names}, set(tok(f"{f.path} {f.kind} {f.sample}")), set(names)
+        return memo[f.root, f.path]
+
+    want = []
+    for q in queries:
+        terms, low = tok(q["query"]), q["query"].lower()
+        hit = [r for r in R.INTENTS if any(t in low for t in r[0])]
+        kinds, segs, roles = ({v for r in hit for v in r[i]} for i in (1, 2, 3))
+        every = files_.get(q.root, [])
+        cand = [(f, 0) for f in sorted(every, key=lambda f: f.path) if {plain(t) for t in terms} & words_of(f)[1]][: 8 * q.top_k]
+        if not cand:
+            cand = [(f, len(set(terms) & words_of(f)[2])) for f in every if set(terms) & (words_of(f)[2] | words_of(f)[3])] or [(f, 0) for f in every]
+        rows = []
+        for f, n in cand:
+            p, text = f.path.lower(), f.sample.lower()
+            rel = f.weight + 4.0 * n + sum(35.0 * (t in p) + 10.0 * (t in f.kind) + 12.0 * min(text.count(t), 5) for t in terms)
+            points = 0.0
+            for s in sym_of.get((f.root, f.path), []):
+                name, part = s.name.lower(), False
+                for t in terms:
+                    if name == t:
+                        points, part = points + 30, True
+                    elif not part and t in name:
+                        points, part = points + 15, True
+                points += s.weight * 0.25 * (s.kind in kinds)
+            rel += min(points, 60.0) + 20.0 * any(f"{s}/" in p or f"/{s}" in p for s in segs) + 25.0 * (f.role in roles)
+            rel -= min(f.size_bytes / 32768, 20.0) if f.size_bytes > 32768 else 0
+            rel = 0.0 if f.role == "generated-noisy" and not any(t in p for t in terms) else max(rel, 0.0)
+            if rel > 0:
+                rows.append((rel, f))
+        rows.sort(key=lambda x: (-x[0], x[1].path))
+        lo, hi = (rows[-1][0], rows[0][0]) if rows else (0, 0)
+        norm = [1.0 if hi <= lo else (rel - lo) / (hi - lo) for rel, _ in rows]
+        taken = []
+
+        def like(a, b):
+            x, y = a.path.split("/")[:-1], b.path.split("/")[:-1]
+            run = 0
+            while run < min(len(x), len(y)) and x[run] == y[run]:
+                run += 1
+            m, w, v = max(len(x), len(y)), words_of(a)[0], words_of(b)[0]
+            return 0.5 * (run / m if m else 0) + 0.3 * (a.kind == b.kind) + 0.2 * (len(w & v) / len(w | v) if w and v else 0)
+
+        while len(taken) < min(q.top_k, len(rows)):
+            free = [i for i in range(len(rows)) if i not in taken]
+            taken.append(max(free, key=lambda i: (round(0.7 * norm[i] - 0.3 * max((like(rows[i][1], rows[j][1]) for j in taken), default=0), 12), -i)))
+        for rank, i in enumerate(taken, 1):
+            rel, f = rows[i]
+            flat = space.sub(" ", f.sample).strip(" ") or f.path
+            at = next((flat.lower().find(t) + 1 for t in terms if t in flat.lower()), None)
+            begin = max(at - 91, 0) if at else 0
+            shown = ("..." if begin else "") + flat[begin : begin + 180] + ("..." if begin + 180 < len(flat) else "")
+            want.append((q.query_id, q.root, rank, f.path, f.kind, f.weight, round(rel, 2), f.token_estimate, shown))
+    roots = {q.query_id: q.root for q in queries}
+    got = [(r.query_id, roots[r.query_id], r["rank"], r.path, r.kind, r.weight, round(r.score, 2), r.token_estimate, r.snippet) for r in QUERIES["r12_memory_query"](spark, SF).collect()]
+    assert len({q.query_id for q in queries}) == len(queries)
+    assert sorted(got) == sorted(want)
+    assert isinstance(retrieval.HIT_RATE_GATE, float)
