@@ -610,11 +610,93 @@ def test_table_sampler():
     assert abs(big.mean() - near.mean()) < 0.15 * near.mean()
 
 
-def test_model_sums_to_one(spark, docs):
-    words = pitman_yor.count_words(docs).cache()
-    fit = pitman_yor.train(words)
-    known = [r.score for r in pitman_yor.word_scores(words, fit).collect() if r.c > 0]
-    assert abs(sum(10.0**x for x in known) + 10 ** fit["unknown"] - 1) < 0.02
+@pytest.fixture
+def small_pairs(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SAMPLE", 1)
+    monkeypatch.setattr(pitman_yor, "OFTEN", 2)
+
+
+def test_model_sums_to_one(spark, docs, small_pairs):
+    """Words, and words after each context, have probabilities that sum to 1 with the unknown word's."""
+    scored, fit, keys, gain = pitman_yor.model(docs)
+    known = [r for r in scored.collect() if r.c > 0]
+    assert len(keys) > 20
+    h = dict(zip([bytes(r.word) for r in known], pitman_yor.hashes([bytes(r.word) for r in known]), strict=True))
+    by_key = dict(zip(keys.tolist(), gain.tolist(), strict=True))
+    every = np.array(list(h.values()))
+    p = np.array([10.0 ** (r.score - r.back) for r in known])
+    assert abs(p.sum() + 10 ** fit["unknown"] - 1) < 0.02
+    contexts = [r for r in known if abs(r.back) > 0.05][:40]
+    assert len(contexts) > 5
+    for r in contexts:
+        u = np.full(len(every), h[bytes(r.word)])
+        g = np.array([by_key.get(k, 0.0) for k in pitman_yor.pair_keys(u, every).tolist()])
+        assert abs(10**r.back * ((p * 10**g).sum() + 10 ** fit["unknown"]) - 1) < 0.05, bytes(r.word)
+
+
+def test_pairs_are_counted_exactly(spark, docs, small_pairs):
+    u, w = pitman_yor.frequent_pairs(docs)
+    got = dict(zip(pitman_yor.pair_keys(u, w).tolist(), pitman_yor.count_pairs(docs, u, w).tolist(), strict=True))
+    want = {}
+    for d, t, *_ in rows():
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1:
+            ws = pitman_yor.words_with_end(t or "")
+            h = pitman_yor.hashes(ws)
+            for k in pitman_yor.pair_keys(pitman_yor.before(h, int(pitman_yor.hashes([pitman_yor.END])[0])), h).tolist():
+                want[k] = want.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_seating_against_a_restaurant(small_pairs):
+    """Expected tables of the pair restaurant against customers who are seated one by one, again and again."""
+    c, p, d, theta = np.array([6, 3, 9]), np.array([0.2, 0.05, 0.4]), pitman_yor.PAIR_DISCOUNT, pitman_yor.THETA
+    pairs = pitman_yor.Pairs(np.array([1, 1, 1]), np.array([10, 20, 30]), c)
+    drawn = np.array([t for t, _ in pairs.seat(p, np.array([float(c.sum())]), 6000, 5)[500:]]).mean(axis=0)
+    r, tables, total = random.Random(2), [[6], [3], [9]], np.zeros(3)
+    for sweep in range(3000):
+        for dish in range(3):
+            for _ in range(c[dish]):
+                k = r.choices(range(len(tables[dish])), weights=tables[dish])[0]
+                tables[dish][k] -= 1
+                if not tables[dish][k]:
+                    del tables[dish][k]
+                every = sum(map(len, tables))
+                weights = [n - d for n in tables[dish]] + [(theta + d * every) * p[dish]]
+                k = r.choices(range(len(weights)), weights=weights)[0]
+                if k == len(tables[dish]):
+                    tables[dish].append(1)
+                else:
+                    tables[dish][k] += 1
+        if sweep >= 500:
+            total += [len(t) for t in tables]
+    assert np.abs(drawn - total / 2500).max() < 0.25, (drawn, total / 2500)
+
+
+def test_large_restaurants_against_small_ones():
+    """The saddle point beyond EXACT customers against exact draws, from 101 to 400."""
+    for c in (101, 200, 400):
+        u, v = np.random.default_rng(c).random((2, 3000))
+        near = pitman_yor.sample_tables(np.full(3000, c), np.full(3000, 3.0), 0.6, u, v)
+        old, pitman_yor.EXACT = pitman_yor.EXACT, c
+        pitman_yor._log_stirling.cache_clear()
+        try:
+            exact = pitman_yor.sample_tables(np.full(3000, c), np.full(3000, 3.0), 0.6, u, v)
+        finally:
+            pitman_yor.EXACT = old
+            pitman_yor._log_stirling.cache_clear()
+        assert abs(near.mean() / exact.mean() - 1) < 0.06 and 0.6 < near.std() / exact.std() < 1.7, (c, near.mean(), exact.mean(), near.std(), exact.std())
+
+
+def test_scores_know_the_order_of_words(spark, small_pairs):
+    r = random.Random(1)
+    text = lambda: " ".join(r.choice(["red fox", "blue whale", "green tree", "old stone"]) for _ in range(40))
+    data = [(i, text()) for i in range(40)]
+    mixed = text().split()
+    r.shuffle(mixed)
+    got = {x.doc_id: x for x in pitman_yor.score_documents(spark.createDataFrame([*data, (1001, " ".join(mixed)), (1002, " ".join(mixed) + " " + "z" * 3000), (1003, " ".join(mixed) + " " + "z" * 4000)], "doc_id long, text string")).collect()}
+    plain = [x.score / x.n_tokens for i, x in got.items() if i < 40]
+    assert got[1001].score / got[1001].n_tokens < min(plain)
+    assert got[1003].open_score < got[1002].open_score < got[1001].open_score  # no floor for long words
 
 
 def brute_passages(data, min_words=substring_dedup.MIN_WORDS):
