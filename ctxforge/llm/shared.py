@@ -48,8 +48,8 @@ def held_out(col: str, folds: int, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % folds == fold
 
 
-#: Rows of numbers that may be broadcast: some 10 MB.
-MOST_BROADCAST = 200_000
+#: Rows of a few numbers that may be broadcast: some 20 MB.
+MOST_BROADCAST = 500_000
 
 
 def if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
