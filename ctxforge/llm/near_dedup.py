@@ -49,7 +49,7 @@ SAMPLE, OFTEN, MOST_FREQUENT = 16, 3, 200_000
 N_HASHES = TREES * DEPTH
 PAIRS_PER_TASK, PAIRS_PER_BUNDLE = 2000, 128
 #: Shingles of the exact join in a task, 32 bytes each; bytes of heads in an Arrow batch.
-TOKENS_PER_TASK, BATCH_BYTES = 2_000_000, 32 << 20
+TOKENS_PER_TASK, BATCH_BYTES = 1_000_000, 16 << 20
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
@@ -75,7 +75,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingles(text: str, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles; A-Z are lower-cased."""
     ws = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(words) > 1_000_000:
+    if len(words) > 300_000:
         words.clear()
     w = np.fromiter((words[x] for x in ws), np.uint64, len(ws))
     if not len(w):

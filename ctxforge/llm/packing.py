@@ -21,6 +21,7 @@ hold special tokens, by the file's own library.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 
@@ -80,29 +81,45 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Encoder:
-    """ids of texts by a tokenizers file."""
+@functools.lru_cache(maxsize=4)
+def proven(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        return same_by_ranks(json.load(f))
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.slow, self.fast = Tokenizer.from_file(path), None
+class Encoder:
+    """ids of texts by a tokenizers file; its own library is loaded when it is needed."""
+
+    def __init__(self, path: str, fast: bool | None = None):
+        self.path, self.fast = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec.get("added_tokens") or ())
-        if same_by_ranks(spec):
+        if proven(path) if fast is None else fast:
             import tiktoken
 
             byte = byte_characters()
             ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, fast: bool) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path, fast)
+
+
 def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK, least: int = LEAST) -> list[int]:
     """Lengths of the pieces of n ids."""
     out = [capacity] * (n // capacity)
@@ -120,11 +137,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slac
     """A row per piece, with its class, the worker that met it, its number k among the worker's pieces of the class and its place (inside) in the worker's bin."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "worker", "k", "inside"]
+    fast = proven(tokenizer)
 
     def run(batches):
         from pyspark import TaskContext
 
-        worker, encode, met, filled = TaskContext.get().partitionId(), Encoder(tokenizer), {}, {}
+        worker, encode, met, filled = TaskContext.get().partitionId(), encoder(tokenizer, fast), {}, {}
         for b in batches:
             at, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):

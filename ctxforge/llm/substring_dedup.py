@@ -37,7 +37,7 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BLOCK = 1 << 20
 #: Frequent chunks: OFTEN or more of every SAMPLE-th text; at most MOST_FREQUENT go to the driver and back.
 SAMPLE, OFTEN, MOST_FREQUENT = 32, 8, 100_000
-CHUNKS_PER_TASK, BATCH_BYTES = 2_000_000, 32 << 20
+CHUNKS_PER_TASK, BATCH_BYTES = 1_000_000, 16 << 20
 DIGEST = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 WHO = np.dtype([("o", "<i8"), ("row", "<i8")])
 SHARED = np.dtype([("ord", "<i4"), ("first", "<i8"), ("mine", "<i1")])
