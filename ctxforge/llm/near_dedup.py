@@ -448,9 +448,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     same = [F.any_value(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "sig", "low", "head")]
     classes = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), *same))
     labels = linked(classes, docs, frequent, text_col)
-    named = classes.select("node", "rep").join(if_small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
+    members = materialize(labels.join(classes.select("node", "rep"), "node"))
+    least = materialize(members.groupBy("comp").agg(F.min("rep").alias("component_id")))
+    named = classes.select("node", "rep").join(members.join(if_small(least), "comp").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = materialize(sets.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
     discard(sets)
     discard(classes)

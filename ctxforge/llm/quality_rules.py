@@ -5,8 +5,9 @@ a verdict never depends on floating point. The table is data; ``compile_rules``
 into one boolean column and ``rules_sql`` into the same condition for another engine.
 
 Defined results: a null or blank text has no words, fails the base rule and is not kept;
-repeated rows and repeated ids are judged row by row; columns of the input named like an
-output column are replaced; an empty table gives an empty result.
+repeated rows and repeated ids are judged row by row; very long texts are measured whole; a bound
+that is met exactly holds; columns of the input named like an output column are replaced in the
+report and kept by ``kept_documents``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, text_of, words_of
+from .shared import let, text_of, whole_row, words_of
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -104,8 +105,7 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text"
 
 def kept_documents(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
     """The rows that pass, all columns kept: the rules run on each row in place, without a join."""
-    rest = F.struct(*[F.col(c) for c in docs.columns])
-    judged = quality_rules(docs.select(F.col(text_col).alias("text"), rest.alias("doc_id")), thresholds)
+    judged = quality_rules(docs.select(F.col(text_col).alias("text"), whole_row(docs).alias("doc_id")), thresholds)
     return judged.where("kept").select("doc_id.*")
 
 

@@ -528,6 +528,42 @@ def test_quality_ranker(spark, docs, none):
     assert {r.score for r in quality_ranker.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()} == {0.5}
 
 
+def test_bradley_terry_fit_by_brute_force():
+    """The fitted weights are the least of the pairwise logistic loss, found again by plain gradient steps."""
+    r = np.random.default_rng(3)
+    good, bad = r.normal(0.4, 1, (60, 3)), r.normal(-0.2, 1.3, (40, 3))
+    model = quality_ranker.fit(good, bad, 0.4)
+    g, b = ((x - model["mean"]) / model["scale"] for x in (good, bad))
+    draw = np.random.default_rng(5)
+    n = 60 * quality_ranker.RIVALS
+    d = g[np.resize(draw.permutation(60), n)] - b[draw.integers(0, 40, n)]
+    w = np.zeros(3)
+    for _ in range(5000):
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + quality_ranker.RIDGE * w)
+    assert np.abs(w - model["w"]).max() < 1e-4
+    s = np.sort(np.concatenate([g @ w, b @ w]))
+    weight = np.concatenate([np.full(60, 0.6 / 60), np.full(40, 0.4 / 40)])[np.argsort(np.concatenate([g @ w, b @ w]))]
+    below = weight[s < model["bound"]].sum()
+    assert abs(below - 0.4) < 0.02  # the bound is the quantile of the bad share
+
+
+def test_ranker_with_odd_labels(spark):
+    """Repeated, contradictory, null and unknown labels; ties; clashing columns; scores follow from the formula."""
+    data = [(i, prose(40, i % 30), 1.0, 2, 3) for i in range(60)] + [(100 + i, "| # | " * (i % 7 + 3), 1.0, 2, 3) for i in range(60)]
+    d = spark.createDataFrame(data, "doc_id long, text string, score double, quality int, t int")
+    lab = [(i, int(i < 100)) for i, *_ in data] + [(0, 0), (0, 0), (3, 1), (5, None), (None, 1), (10**9, 0)]
+    labels = spark.createDataFrame(lab, "doc_id long, quality int").selectExpr("*", "'x' AS text", "7 AS score")
+    model = quality_ranker.train(d, labels)
+    got = {r.doc_id: r for r in quality_ranker.score_documents(d, model).collect()}
+    for i, t, *_ in data:
+        x = (quality_ranker.features(t) - model["mean"]) / model["scale"] @ model["w"] - model["bound"]
+        assert abs(got[i].score - 1 / (1 + np.exp(-x))) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert got[0].score == got[30].score and got[100].score == got[107].score
+    assert sum(got[i].predicted == int(i < 100) for i, *_ in data) > 110
+    assert quality_ranker.quality_scores(d.limit(0), labels).count() == 0
+
+
 def test_url_filter(spark):
     pages = [(1, "http://A.example.NET/en/x?q"), (2, "https://example.net/fr"), (3, None), (4, "no scheme"), (5, "http://b.org/fr/"), (6, "http://b.org"), (7, "http://bad.test/1"), (8, "http://x.example.com/de/1#a")]
     pages += [(100 + i, "http://bad.test/" + str(i)) for i in range(60)] + [(200 + i, "http://good.site/" + str(i)) for i in range(60)]
