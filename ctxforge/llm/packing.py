@@ -3,8 +3,8 @@
 A document's ids, closed by id 0, are cut into full sequences and a rest. A piece of length
 L belongs to class ``j = capacity // L``: its length lies in (capacity/(j+1), capacity/j]
 and j pieces fill a bin. A rest that would leave more than ``slack`` of its bin empty is cut
-at the top of the next class, so its second part shrinks quickly; a cut never leaves a part
-below ``least``. Workers fill the bins of each class independently, j pieces to a bin; what a
+at the top of the next class that leaves ``least`` ids or more, so its second part shrinks
+quickly and none is tiny. Workers fill the bins of each class independently, j pieces to a bin; what a
 worker leaves over (fewer than j pieces a class) is filled across workers by prefix sums, and
 what then remains (fewer than j pieces a class in the whole corpus, so a bounded number) goes
 to the fullest sequence with room.
@@ -125,9 +125,9 @@ def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK, least: int = LEAS
     out = [capacity] * (n // capacity)
     rest = n % capacity
     while rest:
-        j = capacity // rest
-        top = capacity // (j + 1)
-        piece = rest if capacity - j * rest <= slack or rest - top < least or top < least else top
+        j, piece = capacity // rest, rest
+        if capacity - j * rest > slack:  # the top of the next class that leaves a part long enough
+            piece = next((top for top in (capacity // k for k in range(j + 1, capacity // least + 1)) if rest - top >= least), rest)
         out.append(piece)
         rest -= piece
     return out
