@@ -376,3 +376,14 @@ def test_memory_query_by_brute_force(spark):
     assert len({q.query_id for q in queries}) == len(queries)
     assert sorted(got) == sorted(want)
     assert isinstance(retrieval.HIT_RATE_GATE, float)
+
+
+def test_query_answers(spark):
+    q = spark.createDataFrame([("q1", "r", "find it", 30), ("q2", "s", "none", None)], "query_id string, root string, query string, top_k int")
+    res = spark.createDataFrame([("q1", 2, "b", "source", 90, 1.5, 7, "y"), ("q1", 1, "a", "source", 90, 2.5, 8, "x")], "query_id string, rank int, path string, kind string, weight int, score double, token_estimate int, snippet string")
+    com = spark.createDataFrame([("r", 2, "test", "test", "pom.xml", "mvn test", "mvn test"), ("r", 1, "dev", "dev", "package.json", "npm run dev", "vite")], "root string, place int, name string, category string, source string, invocation string, raw string")
+    from ctxforge.operators import retrieval
+
+    got = {r.query_id: r for r in retrieval.with_commands(res, q, com).collect()}
+    assert [x.path for x in got["q1"].results] == ["a", "b"] and [x.name for x in got["q1"].commands] == ["dev", "test"] and got["q1"].top_k == 20
+    assert got["q2"].results == [] and got["q2"].commands == [] and got["q2"].top_k == 8
