@@ -220,7 +220,7 @@ def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
         d, ords, o, row = (np.concatenate(p) for p in parts)
         del parts
         hi, lo = d["hi"], d["lo"]
-        by = np.lexsort((row, o, lo, hi))
+        by = np.lexsort((ords, row, o, lo, hi))
         hi, lo, ords, o, row = hi[by], lo[by], ords[by], o[by], row[by]
         starts = np.concatenate([[0], np.flatnonzero((hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])) + 1])
         sizes = np.diff(np.concatenate([starts, [len(hi)]]))
@@ -234,6 +234,8 @@ def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
         if not len(o):
             return
         mine = (o == first_o) & (row == first_row)
+        if within:  # a chunk's first place stays, its others in the same document don't
+            mine &= np.concatenate([[True], group[1:] != group[:-1]])
         out = np.rec.fromarrays([ords, first_o, mine.astype(np.int8)], dtype=SHARED)
         by = np.lexsort((ords, row, o))
         o, row, out = o[by], row[by], out[by]
@@ -246,6 +248,34 @@ def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
     return tokens.repartitionById(tasks, F.col("task")).mapInArrow(answers, "o long, row long, shared binary")
 
 
+def shared_frequent(chunks: DataFrame, frequent, within: bool) -> DataFrame:
+    """The same for frequent chunks, from the bounded table of them."""
+
+    def answers(batches):
+        keys, first, several = frequent.value
+        for b in batches:
+            o, row, out, at = b.column(0).to_numpy(), b.column(1).to_numpy(), [], []
+            for i, x in enumerate(b.column(2).to_pylist()):
+                ok, k = _known(keys, np.frombuffer(x, DIGEST))
+                hit = np.flatnonzero(ok)
+                k = k[hit]
+                if within:
+                    twice = np.bincount(k, minlength=len(keys))[k] > 1 if len(k) else k > 0
+                    keep = several[k] | twice
+                else:
+                    keep = several[k]
+                hit, k = hit[keep], k[keep]
+                if len(hit):
+                    mine = (first["o"][k] == o[i]) & (first["row"][k] == row[i])
+                    if within:
+                        mine &= np.isin(np.arange(len(k)), np.unique(k, return_index=True)[1])
+                    out.append(np.rec.fromarrays([hit, first["o"][k], mine.astype(np.int8)], dtype=SHARED).tobytes())
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(o[at]), pa.array(row[at]), pa.array(out, pa.binary())], names=["o", "row", "shared"])
+
+    return chunks.select("o", "row", "digests").mapInArrow(answers, "o long, row long, shared binary")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", within: bool = False) -> DataFrame:
     """doc_id, row, start, end, n_words, n_chunks, first_doc, removable, spans: passages that other documents have too.
 
@@ -256,26 +286,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = materialize(chunk_table(docs, text_col))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_chunks(chunks))
-    found = shared_chunks(chunks, frequent, within).groupBy("o", "row").agg(F.collect_list("shared").alias("shared"))
-    one = chunks.dropDuplicates(["o", "row"]).join(found, ["o", "row"], "left").select("doc_id", "o", "row", "chars", "words", "digests", "shared")
+    found = shared_chunks(chunks, frequent, within)
+    if len(frequent.value[0]):
+        found = found.unionByName(shared_frequent(chunks, frequent, within).dropDuplicates(["o", "row"]))  # rows that repeat id and text
+    found = found.groupBy("o", "row").agg(F.collect_list("shared").alias("shared"))
+    borders = chunks.select("doc_id", "o", "row", "chars", "words").dropDuplicates(["o", "row"])
+    one = borders.join(found, ["o", "row"]).select("doc_id", "row", "chars", "words", "shared")
 
     def passages(batches):
-        keys, first, several = frequent.value
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                o, row = b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                chars, begins = (np.frombuffer(b.column(k)[i].as_py(), "<i4") for k in (3, 4))
-                ok, at = _known(keys, np.frombuffer(b.column(5)[i].as_py(), DIGEST))
-                hot = np.flatnonzero(ok & (several[at] if len(keys) else ok))
-                parts = [np.frombuffer(x, SHARED) for x in b.column(6)[i].as_py() or []]
-                f = first[at[hot]] if len(hot) else np.zeros(0, WHO)
-                hit = np.concatenate([*parts, np.rec.fromarrays([hot, f["o"], ((f["o"] == o) & (f["row"] == row)).astype(np.int8)], dtype=SHARED)])
-                hit = hit[np.argsort(hit["ord"], kind="stable")]
-                if within and len(hit):  # a chunk's first place in its own first document stays
-                    d = np.frombuffer(b.column(5)[i].as_py(), DIGEST)[hit["ord"]]
-                    hit["mine"] &= np.isin(np.arange(len(d)), np.unique(d, return_index=True)[1]).astype(np.int8)
-                for run in np.split(hit, np.flatnonzero(np.diff(hit["ord"]) > 1) + 1) if len(hit) else ():
+                row = b.column(1)[i].as_py()
+                chars, begins = (np.frombuffer(b.column(k)[i].as_py(), "<i4") for k in (2, 3))
+                hit = np.unique(np.concatenate([np.frombuffer(x, SHARED) for x in b.column(4)[i].as_py()]))
+                for run in np.split(hit, np.flatnonzero(np.diff(hit["ord"]) > 1) + 1):
                     a, z = int(run["ord"][0]), int(run["ord"][-1]) + 1
                     n = int(begins[z] - begins[a])
                     if n < min_words:
