@@ -243,7 +243,8 @@ def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = materialize(p.select("a", "b", F.least("ma", "mb").alias("bundle")))
     large = p.groupBy("bundle").agg(F.ceil(F.count("*") / PAIRS_PER_BUNDLE).alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
-    p = materialize(p.join(if_small(large), "bundle", "left").select(F.pmod(F.xxhash64("bundle", part), F.lit(tasks)).alias("task"), "a", "b"))
+    bundled, p = p, materialize(p.join(if_small(large), "bundle", "left").select(F.pmod(F.xxhash64("bundle", part), F.lit(tasks)).alias("task"), "a", "b"))
+    discard(bundled)
     return p, p.select(F.col("task").alias("for_task"), F.col("a").alias("node")).union(p.select("task", "b")).distinct()
 
 
@@ -408,7 +409,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small)
+        last, e = e, materialize(small)
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("s")).first()
         if now == before:
             break

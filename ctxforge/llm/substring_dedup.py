@@ -175,7 +175,7 @@ def frequent_chunks(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
-    """o, row, shared: the chunks of a document (number, first document, whether it is the first) that others have too; a row for each range of digests. Frequent chunks are left out."""
+    """o, row, shared: the chunks of a document (number, first document, whether it is the first) that others have too; a row for each document. Frequent chunks are left out."""
     total = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = max(1, -(-int(total) // CHUNKS_PER_TASK))
 
@@ -237,7 +237,20 @@ def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
         if within:  # a chunk's first place stays, its others in the same document don't
             mine &= np.concatenate([[True], group[1:] != group[:-1]])
         out = np.rec.fromarrays([ords, first_o, mine.astype(np.int8)], dtype=SHARED)
-        by = np.lexsort((ords, row, o))
+        to = ((row.view(np.uint64) >> np.uint64(8)) % np.uint64(tasks)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        o, row, out, to = o[by], row[by], out[by], to[by]
+        cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+        parts = [[v[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)] for v in (o, row, out)]
+        yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].astype(np.int32)), *[pa.array(v, pa.binary()) for v in parts]], names=["task", "os", "rows", "shared"])
+
+    def gathered(batches):
+        parts = [(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), np.frombuffer(z, SHARED)) for b in batches for x, y, z in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        if not parts:
+            return
+        o, row, out = (np.concatenate(v) for v in zip(*parts, strict=True))
+        del parts
+        by = np.lexsort((out["ord"], row, o))
         o, row, out = o[by], row[by], out[by]
         cut = np.concatenate([[0], np.flatnonzero((o[1:] != o[:-1]) | (row[1:] != row[:-1])) + 1, [len(o)]])
         for s in range(0, len(cut) - 1, 50_000):
@@ -245,7 +258,8 @@ def shared_chunks(chunks: DataFrame, frequent, within: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(o[c[:-1]]), pa.array(row[c[:-1]]), pa.array([out[x:y].tobytes() for x, y in zip(c[:-1], c[1:], strict=True)], pa.binary())], names=["o", "row", "shared"])
 
     tokens = chunks.select("o", "row", "digests").mapInArrow(blobs, "task int, d binary, ords binary, who binary, runs binary")
-    return tokens.repartitionById(tasks, F.col("task")).mapInArrow(answers, "o long, row long, shared binary")
+    found = tokens.repartitionById(tasks, F.col("task")).mapInArrow(answers, "task int, os binary, rows binary, shared binary")
+    return found.repartitionById(tasks, F.col("task")).mapInArrow(gathered, "o long, row long, shared binary")
 
 
 def shared_frequent(chunks: DataFrame, frequent, within: bool) -> DataFrame:
