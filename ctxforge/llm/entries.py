@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that states some of them."""
 
-from . import filter_audit, fingerprints, mixing, near_dedup, packing, pitman_yor, quality_ranker, quality_rules, secrets, substring_dedup, url_reputation
+from . import filter_audit, fingerprints, mixing, near_dedup, packing, piece_encoding, pitman_yor, quality_ranker, quality_rules, secrets, substring_dedup, url_reputation
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_url_reputation": url_reputation.op8_url_reputation,
     "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op10_secrets": secrets.op10_secrets,
+    "op11_piece_encoding": piece_encoding.op11_piece_encoding,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_url_reputation": url_reputation.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
