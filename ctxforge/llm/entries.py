@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that states some of them."""
 
-from . import filter_audit, fingerprints, mixing, near_dedup, packing, piece_encoding, pitman_yor, quality_ranker, quality_rules, secrets, substring_dedup, url_reputation
+from . import filter_audit, fingerprints, hard_negatives, mixing, near_dedup, packing, piece_encoding, pitman_yor, quality_ranker, quality_rules, secrets, substring_dedup, url_reputation
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op10_secrets": secrets.op10_secrets,
     "op11_piece_encoding": piece_encoding.op11_piece_encoding,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_url_reputation": url_reputation.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_url_reputation": url_reputation.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
