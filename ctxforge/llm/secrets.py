@@ -30,8 +30,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import table, text_of
+from .shared import table, text_of, whole_row
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -201,13 +202,16 @@ def masked_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     def masked(batches):
         novelty = Novelty(names)
         for b in batches:
-            i = b.schema.get_field_index("text")
-            texts = b.column(i).to_pylist()
-            done = [t if t is None else _masked(t, base_spans(t) + novel_spans(t, novelty), mark) for t in texts]
-            yield b.set_column(i, b.schema.field(i), pa.array(done, b.schema.field(i).type))
-
-    out = docs.mapInArrow(masked, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+            done = [t if t is None else _masked(t, base_spans(t) + novel_spans(t, novelty), mark) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], schema=pa.schema([b.schema.field(0), pa.field("masked", pa.string())]))
+
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("t"))
+    schema = StructType([rows.schema["row"], StructField("masked", StringType())])
+    text = F.col("masked").cast(docs.schema["text"].dataType)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("masked").cast(docs.schema["n_chars"].dataType))
+    return rows.mapInArrow(masked, schema).select(row.alias("row")).select("row.*")
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

@@ -30,9 +30,9 @@ def test_clashing_columns(spark, tmp_path):
     """Helper columns of any stage meet none of the input's, which may be maps or structs."""
     names = "_keep _many _words _row _skey _twin k row doc h size offset position part bucket before inner skey node comp rep head t e source_size target goal task digest"
     extra = ", ".join(f"{n} int" for n in names.split())
-    schema = "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, deep struct<text:string,doc_id:int>, " + extra
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, deep struct<text:string,doc_id:int>, `a.b` int, `x``y` string, " + extra
     base = [(r[0], r[1], r[2], r[3], r[4]) for r in rows()]
-    data = [(*r, {"a": 1}, ("x", 2), *range(len(names.split()))) for r in base]
+    data = [(*r, {"a": 1}, ("x", 2), 5, "z", *range(len(names.split()))) for r in base]
     docs = spark.createDataFrame(data, schema)
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
@@ -41,7 +41,7 @@ def test_clashing_columns(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/c{i}")
         docs = spark.read.parquet(f"{tmp_path}/c{i}")
         if name != "packing":
-            assert docs.where(f"tags['a'] <> 1 OR deep.doc_id <> 2 OR _many <> 1 OR digest <> {len(names.split()) - 1}").count() == 0
+            assert docs.where(f"tags['a'] <> 1 OR deep.doc_id <> 2 OR `a.b` <> 5 OR `x``y` <> 'z' OR _many <> 1 OR digest <> {len(names.split()) - 1}").count() == 0
     assert docs.count() > 0
 
 
