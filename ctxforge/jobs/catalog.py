@@ -80,7 +80,7 @@ def s1(spark, d):
     path = scratch_dir(spark)
     A.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1000).text(path)
     lines = F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
-    tree = read_tree(spark, path, "corpus").where(F.col("path").startswith("source="))
+    tree = read_tree(spark, path, "corpus").where(F.col("path").rlike("^source=[^/]*/[^._][^/]*$"))  # no checksums
     return tree.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("root")).agg(F.sum(lines).cast("long").alias("lines"), F.sum("size_bytes").alias("bytes"), F.count("error").alias("errors"))
 
 

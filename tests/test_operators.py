@@ -262,19 +262,49 @@ def test_write_index_keeps_other_roots(spark, tmp_path):
 
 
 def test_unreadable_files_are_rows(spark, tmp_path):
+    """A broken link, a link to a folder, and a file that goes between listing and reading are rows; all others are read."""
+    import os
+
     from ctxforge.sources import tree
 
-    (tmp_path / "t").mkdir()
-    for n in ("a.ts", "b.ts"):
+    (tmp_path / "t/src").mkdir(parents=True)
+    for n in ("a.ts", "b.ts", "src/c.ts", ".gitignore"):
         (tmp_path / "t" / n).write_text("export const x = 1")
+    os.symlink("missing", tmp_path / "t/broken.ts")
+    os.symlink(tmp_path / "t", tmp_path / "t/src/loop")
     base = f"file://{tmp_path}/t"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(base)
-    listed = spark.createDataFrame(found.select("path", "length", "modificationTime").collect(), "path string, length long, modificationTime timestamp")
+    listing = spark.createDataFrame(tree.list_tree(spark, base, "r").collect(), "root string, path string, size_bytes long, mtime long, error string")
     (tmp_path / "t" / "b.ts").unlink()
-    got = {r.path: r for r in tree.with_contents(listed, found.select("path", "content"), base, "r").collect()}
-    assert got["a.ts"].error is None and got["b.ts"].error == "read_error" and got["b.ts"].size_bytes == 18 and got["b.ts"].content is None
-    s = {r.path: r for r in scan.scan(tree.with_contents(listed, found.select("path", F.col("content").cast("string").alias("content")), base, "r")).collect()}
-    assert s["b.ts"].skip_reason == "read_error" and s["b.ts"].size_bytes == 18 and s["a.ts"].skip_reason is None
+    got = {r.path: r for r in tree.sampled(listing, base).collect()}
+    assert set(got) == {"a.ts", "b.ts", "src/c.ts", ".gitignore", "broken.ts", "src/loop"}
+    assert {p for p, r in got.items() if r.error == "read_error" and r.content is None} == {"b.ts", "broken.ts", "src/loop"} and got["b.ts"].size_bytes == 18
+    s = {r.path: r.skip_reason for r in scan.scan(tree.sampled(listing, base).drop("head")).collect()}
+    assert s["b.ts"] == s["broken.ts"] == "read_error" and s["a.ts"] is None and s["src/c.ts"] is None
+
+
+def test_ranged_reads(spark, tmp_path):
+    """A file of one GB (most of it a hole) costs its head and tail; no exchange holds contents; pruned folders aren't entered."""
+    from ctxforge.sources import tree
+
+    (tmp_path / "t/node_modules/x").mkdir(parents=True)
+    (tmp_path / "t/node_modules/x/y.js").write_text("x")
+    with open(tmp_path / "t/large.go", "wb") as f:
+        f.write(b"package main\n")
+        f.seek(1 << 30)
+        f.write(b"a" * 9000 + "\ntail 中文 sample\n".encode())
+    (tmp_path / "t/a.txt").write_bytes("é".encode() * 40_000)
+    base = f"file://{tmp_path}/t"
+    listing = tree.list_tree(spark, base, "r", pruned=scan.builtin_reason(F.col("path")).isNotNull())
+    opened = tree.sampled(listing, base)
+    got = {r.path: r for r in opened.collect()}
+    assert set(got) == {"large.go", "a.txt"} and got["large.go"].bytes_read < 100_000 and len(got["large.go"].content) == 8192 and len(got["large.go"].head) == 16384
+    assert bytes(got["large.go"].content).endswith("tail 中文 sample\n".encode()) and got["large.go"].size_bytes == (1 << 30) + 9020
+    assert "Exchange" not in opened._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in tree.read_tree(spark, base, "r")._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+
+    one = {r.path: r.hash for r in tree.sampled(listing.where("path = 'a.txt'"), base, hashed=True).collect()}
+    assert one == {"a.txt": hashlib.sha256("é".encode() * 40_000).hexdigest()}
 
 
 def test_symbols_of_odd_files(spark):
