@@ -59,11 +59,15 @@ def ancestors(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
 
 
-def sample(content: Column) -> Column:
-    """Text sample of a file's bytes: all up to 64 KiB, else the last 8 KiB."""
+def sample_bytes(content: Column) -> Column:
+    """What is sampled of a file's bytes: all up to 64 KiB, else the last 8 KiB."""
     raw = content.cast("binary")
-    cut = F.when(F.octet_length(raw) > R.LARGE_BYTES, F.substring(raw, -R.TAIL_BYTES, R.TAIL_BYTES)).otherwise(raw)
-    return F.make_valid_utf8(cut.cast("string"))
+    return F.when(F.octet_length(raw) > R.LARGE_BYTES, F.substring(raw, -R.TAIL_BYTES, R.TAIL_BYTES)).otherwise(raw)
+
+
+def sample(content: Column) -> Column:
+    """The sample as text."""
+    return F.make_valid_utf8(sample_bytes(content).cast("string"))
 
 
 def is_binary(content: Column) -> Column:

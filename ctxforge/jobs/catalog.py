@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import cache, commands, index, lint, retrieval, scan, symbols, usage, zones
+from ..operators import cache, commands, index, lint, retrieval, scan, store, symbols, usage, zones
 from ..sources import adapters as A
 from ..sources.scratch import scratch_dir, written
 from ..sources.tree import read_tree
@@ -494,6 +494,109 @@ def r12_candidates(spark, d):
     return retrieval.candidates(retrieval.parse_queries(A.queries(spark, d)), _fulltext(files, syms), kw, files)
 
 
+# --- the stored index -----------------------------------------------------------------------------
+
+
+def _before(files):
+    """The files as they were when the index was first built: some absent, some with other text, some with another time, some gone since."""
+    i = F.floor(F.col("mtime") / 1000)
+    text = F.when((i % 7 == 0) & (i > 0), F.concat(F.lit("old words "), "content")).otherwise(F.col("content"))
+    old = files.where((i % 11 != 0) | (i == 0)).select("root", "path", F.when(i % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"), text.alias("content"))
+    name = i.cast("string")
+    gone = files.where((i % 13 == 0) & (i > 0)).select("root", F.concat(F.lit("gone/"), name, F.lit(".ts")).alias("path"), "mtime", F.concat(F.lit("export const useGone"), name, F.lit(" = 1")).alias("content"))
+    return old.unionByName(gone)
+
+
+def _listed(files):
+    ignore = files.where(F.col("path") == ".gitignore").select("root", "path", "content")
+    return store.listed(files.withColumn("size_bytes", F.octet_length("content").cast("long")), ignore)
+
+
+def _opened(files):
+    """Contents of the files that a sync opens: they are semi-joined before anything is read of them but their names."""
+
+    def of(rows):
+        c = F.col("content")
+        return rows.join(files.select("root", "path", "content"), ["root", "path"]).withColumn("head", F.substring(c.cast("binary"), 1, R.HEAD_BYTES)).withColumn("hash", F.sha2(c.cast("binary"), 256)).withColumn("error", F.lit(None).cast("string")).withColumn("content", T.sample_bytes(c))
+
+    return of
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark, d):
+    """A stored index of the files as they were, brought up to date by one sync: its folder, built once a session and input."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT or len(store.versions(spark, _BUILT[key])) < 2:
+        path, files = scratch_dir(spark), A.files(spark, d)
+        before = _before(files)
+        store.sync(spark, path, _listed(before), _opened(before), 1)
+        store.sync(spark, path, _listed(files), _opened(files), 1)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def _sync_ctes() -> str:
+    return f"""cur AS (SELECT root, path, size_bytes, mtime, sha256(content) AS hash, mtime // 1000 AS i FROM kept),
+old AS (SELECT root, path, CASE WHEN i % 7 = 0 AND i > 0 THEN size_bytes + 10 ELSE size_bytes END AS size_bytes, CASE WHEN i % 5 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN i % 7 = 0 AND i > 0 THEN 'old' ELSE hash END AS hash FROM cur WHERE i % 11 <> 0 OR i = 0
+ UNION ALL SELECT root, 'gone/' || (mtime // 1000) || '.ts', 1, 1, 'gone' FROM files WHERE mtime // 1000 % 13 = 0 AND mtime >= 1000),
+diff AS (SELECT coalesce(cur.root, old.root) AS root, coalesce(cur.path, old.path) AS path, CASE WHEN cur.path IS NULL THEN 'delete' WHEN old.path IS NULL THEN 'upsert'
+ WHEN cur.size_bytes = old.size_bytes AND cur.mtime = old.mtime THEN 'unchanged' WHEN cur.size_bytes = old.size_bytes AND cur.hash = old.hash THEN 'touched' ELSE 'upsert' END AS action
+ FROM cur FULL JOIN old ON cur.root = old.root AND cur.path = old.path)"""
+
+
+@query("i2_lazy_diff", f"WITH {SCANNED}, {_sync_ctes()} SELECT root, path, action FROM diff")
+def i2_lazy(spark, d):
+    """Actions of a sync that opens no unchanged file."""
+    path, files = scratch_dir(spark), A.files(spark, d)
+    before = _before(files)
+    store.sync(spark, path, _listed(before), _opened(before), 1)
+    return store.sync(spark, path, _listed(files), _opened(files), 1)[1]
+
+
+@query("i3_incremental_files", f"WITH {SCANNED} SELECT root, path, kind, weight, role, size_bytes, {tokens_sql('sample')} AS token_estimate, mtime, sha256(content) AS hash FROM kept")
+def i3_files(spark, d):
+    return store.read(spark, _stored_index(spark, d), "files").drop("sample")
+
+
+@query("i3_incremental_keywords", f"WITH {_KEYWORDS} SELECT * FROM keywords")
+def i3_keywords(spark, d):
+    return store.read(spark, _stored_index(spark, d), "keywords")
+
+
+@query("i3_incremental_symbols", f"WITH {_SYMBOLS} SELECT * FROM syms")
+def i3_symbols(spark, d):
+    return store.read(spark, _stored_index(spark, d), "symbols")
+
+
+@query("i5_change_log", f"""WITH {SCANNED}, {_sync_ctes()}, e AS (SELECT root, path, 'upsert' AS change_type, 1 AS version FROM old UNION ALL SELECT root, path, action, 2 FROM diff WHERE action IN ('upsert', 'delete'))
+SELECT root, path, change_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY version DESC, change_type = 'delete' DESC, path DESC) AS rank FROM e) WHERE rank <= 10""")
+def i5_log(spark, d):
+    """The latest changes of two syncs at one time: insertion alone orders them."""
+    return store.latest_changes(store.read(spark, _stored_index(spark, d), "changes")).drop("changed_at")
+
+
+def _stored_parts(spark, d):
+    """keywords, files, symbols, fulltext of the roots that queries ask for, in a pinned version."""
+    path = _stored_index(spark, d)
+    at, asked = store.version(spark, path), A.queries(spark, d).select("root").distinct()
+    return tuple(store.read(spark, path, t, roots=asked, at=at) for t in ("keywords", "files", "symbols", "fulltext"))
+
+
+@query("r12_stored_candidates", f"WITH {_RECALL_SQL}, {_FULLTEXT_SQL}, {_BOTH_SQL} SELECT query_id, root, path, keyword_count FROM both_ways")
+def r12_stored_candidates(spark, d):
+    kw, files, _, full = _stored_parts(spark, d)
+    return retrieval.candidates(retrieval.parse_queries(A.queries(spark, d)), full, kw, files)
+
+
+@query("r12_stored_query")
+def r12_stored(spark, d):
+    """The same answers as r12_memory_query from the stored index: nothing is scanned or built for a query."""
+    kw, files, syms, full = _stored_parts(spark, d)
+    return retrieval.memory_query(A.queries(spark, d), kw, files, syms, full)
+
+
 _SENT_SQL = f"""sent AS (SELECT query_id, sum({tokens_sql('sample')})::BIGINT AS sent FROM top WHERE rank <= 8 GROUP BY 1), tot AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS tokens FROM kept GROUP BY 1),
 used AS (SELECT query_id, root, coalesce(sent, 0) AS sent, greatest(coalesce(tokens, 0) - coalesce(sent, 0), 0) AS ignored, coalesce(tokens, 0) AS total FROM queries LEFT JOIN sent USING (query_id) LEFT JOIN tot USING (root))"""
 
