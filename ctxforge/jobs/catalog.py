@@ -577,24 +577,23 @@ def i5_log(spark, d):
     return store.latest_changes(store.read(spark, _stored_index(spark, d), "changes")).drop("changed_at")
 
 
-def _stored_parts(spark, d):
-    """keywords, files, symbols, fulltext of the roots that queries ask for, in a pinned version."""
-    path = _stored_index(spark, d)
-    at, asked = store.version(spark, path), A.queries(spark, d).select("root").distinct()
-    return tuple(store.read(spark, path, t, roots=asked, at=at) for t in ("keywords", "files", "symbols", "fulltext"))
+@query("r1_stored_recall", f"WITH {_RECALL_SQL} SELECT query_id, root, path, keyword_count FROM hits")
+def r1_stored(spark, d):
+    """Keyword recall from stored postings."""
+    return retrieval.counted(store.hits(spark, _stored_index(spark, d), "keywords", retrieval.asked_terms(retrieval.parse_queries(A.queries(spark, d)))))
 
 
 @query("r12_stored_candidates", f"WITH {_RECALL_SQL}, {_FULLTEXT_SQL}, {_BOTH_SQL} SELECT query_id, root, path, keyword_count FROM both_ways")
 def r12_stored_candidates(spark, d):
-    kw, files, _, full = _stored_parts(spark, d)
-    return retrieval.candidates(retrieval.parse_queries(A.queries(spark, d)), full, kw, files)
+    path, q = _stored_index(spark, d), A.queries(spark, d)
+    at = store.version(spark, path)
+    return retrieval.stored_candidates(retrieval.parse_queries(q), path, at, store.read(spark, path, "files", roots=q.select("root"), at=at))
 
 
 @query("r12_stored_query")
 def r12_stored(spark, d):
     """The same answers as r12_memory_query from the stored index: nothing is scanned or built for a query."""
-    kw, files, syms, full = _stored_parts(spark, d)
-    return retrieval.memory_query(A.queries(spark, d), kw, files, syms, full)
+    return retrieval.stored_query(A.queries(spark, d), _stored_index(spark, d))
 
 
 _SENT_SQL = f"""sent AS (SELECT query_id, sum({tokens_sql('sample')})::BIGINT AS sent FROM top WHERE rank <= 8 GROUP BY 1), tot AS (SELECT root, sum({tokens_sql('sample')})::BIGINT AS tokens FROM kept GROUP BY 1),

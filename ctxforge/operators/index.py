@@ -69,6 +69,22 @@ def recent_changes(events: DataFrame, limit: int = 10) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+#: Files whose entries one row of a posting holds, about.
+POSTING_FILES = 2000
+
+
+def postings(terms: DataFrame, files: DataFrame, per_row: int = POSTING_FILES) -> DataFrame:
+    """root, term, part, entries: the files (and other columns) of each term by path, in rows of ``per_row`` files of a root, about.
+
+    Files are dealt over a root's parts by a hash of their paths, so a term that all files have is as many rows as the root has parts,
+    made by as many tasks, and none is longer than a part has files.
+    """
+    parts = files.groupBy(F.col("root").alias("of")).agg(F.ceil(F.count("*") / per_row).cast("int").alias("parts"))
+    entry = [c for c in terms.columns if c not in ("root", "term")]
+    dealt = terms.join(parts, F.col("root").eqNullSafe(F.col("of"))).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    return dealt.groupBy("root", "term", "part").agg(F.array_sort(F.collect_list(F.struct("path", *[c for c in entry if c != "path"]))).alias("entries"))
+
+
 #: Rows of a root in a file of the index.
 ROWS_PER_FILE = 1_000_000
 

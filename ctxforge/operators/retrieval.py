@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as T
 from ..sources.scratch import written
+from . import store
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -20,8 +21,15 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 
 def recall(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
     """query_id, root, path, keyword_count: files with a term, and how many of the base ones. One join serves both."""
-    terms = parsed.select("query_id", "root", F.explode("terms").alias("term"))
-    return terms.join(keywords, ["root", "term"]).groupBy("query_id", "root", "path").agg(F.sum(F.when(F.col("from_symbol") == 0, F.col("count")).otherwise(0)).cast("int").alias("keyword_count"))
+    return counted(asked_terms(parsed).join(keywords, ["root", "term"]))
+
+
+def asked_terms(parsed: DataFrame) -> DataFrame:
+    return parsed.select("query_id", "root", F.explode("terms").alias("term"))
+
+
+def counted(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "root", "path").agg(F.sum(F.when(F.col("from_symbol") == 0, F.col("count")).otherwise(0)).cast("int").alias("keyword_count"))
 
 
 def recall_all(parsed: DataFrame, hits: DataFrame, summary: DataFrame) -> DataFrame:
@@ -183,6 +191,26 @@ def candidates(parsed: DataFrame, fulltext: DataFrame, keywords: DataFrame, summ
     return first.select("query_id", "root", "path", F.lit(0).alias("keyword_count")).unionByName(recall_all(open_ones, hits, summary))
 
 
+def stored_candidates(parsed: DataFrame, index_path: str, at: dict, summary: DataFrame) -> DataFrame:
+    """The same as ``candidates`` from the postings of a stored index."""
+    spark = parsed.sparkSession
+    most = T.MAX_TOP_K * R.RECALL_FACTOR
+    first = written(first_by_path(store.hits(spark, index_path, "fulltext", asked_fulltext(parsed), most, at)))
+    open_ones = written(parsed.join(first.select("query_id").distinct(), "query_id", "left_anti"))
+    hits = written(counted(store.hits(spark, index_path, "keywords", asked_terms(open_ones), at=at)))
+    return first.select("query_id", "root", "path", F.lit(0).alias("keyword_count")).unionByName(recall_all(open_ones, hits, summary))
+
+
+def stored_query(queries: DataFrame, index_path: str, number: int | None = None) -> DataFrame:
+    """``memory_query`` over a stored index: only folders of the roots asked for are read, and of its postings only those of terms asked for."""
+    spark = queries.sparkSession
+    at = store.version(spark, index_path, number)
+    asked = queries.select("root").distinct()
+    summary, symbols = (store.read(spark, index_path, t, roots=asked, at=at) for t in ("files", "symbols"))
+    parsed = parse_queries(queries)
+    return answers(parsed, stored_candidates(parsed, index_path, at, summary), summary, symbols)
+
+
 def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame, fulltext: DataFrame) -> DataFrame:
     """query_id, rank, path, kind, weight, score, token_estimate, snippet.
 
@@ -190,7 +218,12 @@ def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, sy
     Hits and scores are small rows that several steps read, so they are written once.
     """
     parsed = parse_queries(queries)
-    scored = written(score(parsed, candidates(parsed, fulltext, keywords, summary), summary, symbols).drop("sample", "terms", "role"))
+    return answers(parsed, candidates(parsed, fulltext, keywords, summary), summary, symbols)
+
+
+def answers(parsed: DataFrame, found: DataFrame, summary: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Ranked results of parsed queries, of candidates found for them."""
+    scored = written(score(parsed, found, summary, symbols).drop("sample", "terms", "role"))
     texts = summary.select("root", "path", "sample")
     picked = diverse(shortlist(scored).join(texts, ["root", "path"]), normalized(scored).join(texts, ["root", "path"])).join(texts, ["root", "path"]).join(parsed.select("query_id", "terms"), "query_id")
     return picked.select("query_id", "rank", "path", "kind", "weight", F.round("rel", 2).alias("score"), "token_estimate", T.snippet(F.col("sample"), F.col("path"), F.col("terms")).alias("snippet"))
@@ -248,8 +281,15 @@ def hit_rate(results: DataFrame, expected: DataFrame) -> DataFrame:
 
 def recall_fulltext(parsed: DataFrame, fulltext: DataFrame) -> DataFrame:
     """query_id, root, path: files whose full-text document has a term, accents aside; per query the first RECALL_FACTOR * top_k by path."""
-    asked = parsed.select("query_id", "root", "top_k", F.explode(T.tokenize(T.fold_accents(F.col("query")))).alias("term"))
-    hits = asked.join(fulltext, ["root", "term"]).select("query_id", "root", "path", "top_k").distinct()
+    return first_by_path(asked_fulltext(parsed).join(fulltext, ["root", "term"]))
+
+
+def asked_fulltext(parsed: DataFrame) -> DataFrame:
+    return parsed.select("query_id", "root", "top_k", F.explode(T.tokenize(T.fold_accents(F.col("query")))).alias("term"))
+
+
+def first_by_path(hits: DataFrame) -> DataFrame:
+    hits = hits.select("query_id", "root", "path", "top_k").distinct()
     w = Window.partitionBy("query_id").orderBy("path")
     i = F.col("i")
     return hits.withColumn("i", F.row_number().over(w)).where((i <= T.MAX_TOP_K * R.RECALL_FACTOR) & (i <= F.col("top_k") * R.RECALL_FACTOR)).select("query_id", "root", "path")
