@@ -80,6 +80,17 @@ def once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def prefix_sums(values: Column, most: int = 30) -> Column:
+    """Sums of an array's first 1, 2, ... values: each pass adds the value twice as far back, so n values (2**most at most) cost n log n."""
+
+    def added(back: int):
+        return lambda a: F.when(F.size(a) > back, F.transform(a, lambda v, i: v + F.coalesce(F.get(a, i - back), F.lit(0)))).otherwise(a)
+
+    for k in range(most):
+        values = once(values, added(1 << k))
+    return values
+
+
 def snippet(text: Column, path: Column, terms: Column) -> Column:
     """90 characters before the first query term that occurs and 90 after; else the first 180."""
     flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), R.UNICODE_SPACE + "+", " "))

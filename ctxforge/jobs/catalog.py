@@ -234,7 +234,7 @@ def a1(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY root, reason ORDER BY string_split(item, '/')) AS i, count(*) OVER (PARTITION BY root, reason) AS n FROM items)
 SELECT root, reason, n AS count, string_agg(item, '|' ORDER BY i) AS examples FROM r WHERE i <= 3 GROUP BY root, reason, n""")
 def a2(spark, d):
-    return scan.skipped_summary(scanned(spark, d))
+    return scan.skipped_summary(scanned(spark, d)).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("a3_root_stats", f"WITH {SCANNED} SELECT root, count(*) AS files, coalesce(sum({tokens_sql('sample')}), 0)::BIGINT AS tokens FROM kept GROUP BY root")
@@ -941,7 +941,7 @@ sk AS (SELECT root, reason, n, list(item ORDER BY i) AS ex FROM rk WHERE i <= 3
 SELECT root, '{{"root":"' || root || '","totals":{{"files_seen":' || seen || ',"files_indexed":' || idx || ',"files_skipped":' || skip || ',"directories_skipped":' || dirs || ',"estimated_tokens":' || coalesce(t, 0) || '}},"skipped_summary":{{' || coalesce(js, '') || '}}}}' AS report FROM tot LEFT JOIN k USING (root) LEFT JOIN sj USING (root)""")
 def s5_scan(spark, d):
     s = written(scanned(spark, d))
-    each = F.struct("reason", F.struct("count", F.split("examples", r"\|").alias("representative_paths")).alias("x"))
+    each = F.struct("reason", F.struct("count", F.col("examples").alias("representative_paths")).alias("x"))
     summary = scan.skipped_summary(s).groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(each))).alias("skipped_summary"))  # a row per reason
     t = scan.scan_totals(s).join(summary, "root", "left")
     totals = F.struct("files_seen", "files_indexed", "files_skipped", "directories_skipped", "estimated_tokens").alias("totals")

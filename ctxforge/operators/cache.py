@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cache_replay(log: DataFrame) -> DataFrame:
-    """Reads with hit: the latest earlier write of the key is a set that hasn't expired (ttl 0: never)."""
-    w = Window.partitionBy("key").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    write = F.when(F.col("op") != "get", F.struct("op", (F.col("at_ms") + F.col("ttl_ms")).alias("expires"), "ttl_ms"))
-    last = F.last(write, ignorenulls=True).over(w)
-    out = log.withColumn("last", last).where("op = 'get'")
+#: Logs are replayed by ranges of so many milliseconds of each key.
+RANGE_MS = 3_600_000
+
+
+def cache_replay(log: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
+    """Reads with hit: the latest earlier write of the key is a set that hasn't expired (ttl 0: never).
+
+    A key's log is cut into ranges of time. The last write of each range is an aggregate; handed on from range to range (a row each) it
+    is what a range starts from, so the log itself is shuffled once, by key and range, and a hot key lies in as many tasks as it has ranges.
+    """
+    write = F.when(F.col("op") != "get", F.struct("at_ms", "seq", "op", (F.col("at_ms") + F.col("ttl_ms")).alias("expires"), "ttl_ms"))
+    cut = log.withColumn("range", F.floor(F.col("at_ms") / range_ms)).withColumn("write", write)
+    ends = cut.groupBy(F.col("key").alias("k"), F.col("range").alias("r")).agg(F.max("write").alias("end"))
+    w = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("start", F.last("end", ignorenulls=True).over(w)).drop("end")
+    rows = cut.join(starts, F.col("key").eqNullSafe(F.col("k")) & F.col("range").eqNullSafe(F.col("r")))
+    w = Window.partitionBy("key", "range").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("last", F.coalesce(F.last("write", ignorenulls=True).over(w), "start")).where("op = 'get'")
     hit = F.coalesce((F.col("last.op") == "set") & ((F.col("last.ttl_ms") <= 0) | (F.col("last.expires") > F.col("at_ms"))), F.lit(False))
     return out.select("key", "at_ms", "seq", hit.alias("hit"))
 

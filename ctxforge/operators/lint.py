@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 
 MAX_LINES, MAX_BYTES, MIN_PARAGRAPH, EXCERPT = 300, 24 * 1024, 100, 160
 # What a line must not hold. Look-arounds are ASCII word bounds.
@@ -78,7 +79,7 @@ def duplicate_paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
     breaks = separator.count("\n")
     parts = F.split("text", separator, -1)
     lines = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + breaks)
-    starts = F.transform(parts, lambda p, i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(1), lambda a, x: a + x)) if breaks > 1 else F.transform(parts, lambda p, i: i + 1)
+    starts = F.zip_with(T.prefix_sums(lines), lines, lambda end, n: end - n + 1) if breaks > 1 else F.transform(parts, lambda p, i: i + 1)
     each = docs.select("root", "doc_seq", "file", F.explode(F.arrays_zip(parts.alias("p"), starts.alias("s"))).alias("x")).select("root", "doc_seq", "file", F.col("x.p").alias("part"), F.col("x.s").alias("line"))
     norm = collapse(F.lower("part"))
     long = each.where(F.length(norm) >= MIN_PARAGRAPH).select("root", "doc_seq", "file", "line", F.sha2(norm, 256).alias("digest"), excerpt(F.col("part")).alias("excerpt"))

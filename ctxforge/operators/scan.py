@@ -118,7 +118,7 @@ def skipped_summary(scanned: DataFrame) -> DataFrame:
     items = one.unionByName(two).withColumn("order", F.split("item", "/"))
     counts = items.groupBy("root", "reason").agg(F.count("*").alias("count"))
     top = items.withColumn("i", F.row_number().over(Window.partitionBy("root", "reason").orderBy("order"))).where("i <= 3")
-    firsts = top.groupBy("root", "reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda x: x["item"]), "|").alias("examples"))
+    firsts = top.groupBy("root", "reason").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "item"))), lambda x: x["item"]).alias("examples"))
     return counts.join(firsts, ["root", "reason"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def _pattern(start: str, end: str) -> str:
     return f"(?s)\\Q{start}\\E(.*?)\\Q{end}\\E"
@@ -22,7 +24,9 @@ def extract_zones(docs: DataFrame, start: str, end: str) -> DataFrame:
     inner = F.regexp_extract_all("text", F.lit(_pattern(start, end)), F.lit(1))
     gaps = F.split("text", _pattern(start, end), -1)
     s, e = len(start.encode()), len(end.encode())
-    begins = F.transform(inner, lambda z, i: F.aggregate(F.slice(inner, F.lit(1), i), F.lit(0), lambda a, x: a + F.octet_length(x) + s + e) + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.octet_length(x)) + s)
+    # a zone ends where it, its marks and the gap before it are summed up
+    ends = T.prefix_sums(F.zip_with(inner, F.slice(gaps, F.lit(1), F.size(inner)), lambda z, g: F.octet_length(g) + F.octet_length(z) + s + e))
+    begins = F.zip_with(ends, inner, lambda x, z: x - e - F.octet_length(z))
     rows = good.select("doc_id", F.posexplode(F.arrays_zip(inner.alias("c"), begins.alias("b"))).alias("zone_no", "x"))
     return rows.select("doc_id", "zone_no", F.col("x.c").alias("content"), F.col("x.b").alias("content_start"), (F.col("x.b") + F.octet_length("x.c")).alias("content_end"))
 

@@ -196,6 +196,53 @@ def test_paragraph_lines(spark):
     assert {(r.file, r.line, r.first_file) for r in lint.duplicate_paragraphs(d).collect()} == {("a", 6, "a"), ("b", 1, "a")}
 
 
+def test_many_zones_and_paragraphs(spark):
+    """Documents of 200,000 zones and paragraphs in seconds; every offset is right."""
+    import time
+
+    began, n = time.time(), 200_000
+    d = spark.createDataFrame([(1, "".join(f"é{i}<a>z{i}</a>" for i in range(n)))], "doc_id long, text string")
+    raw = d.first().text.encode()
+    rows = zones.extract_zones(d, "<a>", "</a>").collect()
+    assert len(rows) == n and all(raw[r.content_start : r.content_end].decode() == r.content == f"z{r.zone_no}" for r in rows)
+    p = "word " * 30
+    text = "\n\n".join([p] + [f"a\nb{i}" for i in range(n)] + [p])
+    d = spark.createDataFrame([("r", 1, "a", text)], "root string, doc_seq long, file string, text string")
+    assert [r.line for r in lint.duplicate_paragraphs(d).collect()] == [text[: text.rindex(p)].count("\n") + 1]
+    assert time.time() - began < 120
+
+
+def test_examples_with_bars(spark):
+    rows = [("r", f"a|{i}.lock", "x", 0) for i in range(4)]
+    got = scan.skipped_summary(scan.scan(spark.createDataFrame(rows, "root string, path string, content string, mtime long"))).collect()
+    assert [list(r.examples) for r in got] == [["a|0.lock", "a|1.lock", "a|2.lock"]] and got[0]["count"] == 4
+
+
+def test_hot_key_replay(spark):
+    """One key with most of the log, null and tied times, ranges without writes: equal to a replay row by row, in many tasks."""
+    import random
+
+    r = random.Random(5)
+    ops = [("hot" if r.random() < 0.9 else r.choice(["k", None, "x"]), r.choice(["set", "get", "get", "get", "delete"]), r.choice([0, 50, 5000]), None if r.random() < 0.01 else r.randint(0, 40_000) // 7 * 7, i) for i in range(30_000)]
+    log = spark.createDataFrame(ops, "key string, op string, ttl_ms long, at_ms long, seq long")
+    state, want = {}, []
+    for k, op, ttl, at, seq in sorted(ops, key=lambda x: (-1 if x[3] is None else x[3], x[4])):
+        if op == "get":
+            last = state.get(k)
+            hit = bool(last and last[0] == "set" and (last[1] <= 0 or (last[2] is not None and at is not None and last[2] + last[1] > at)))
+            want.append((seq, hit))
+        else:
+            state[k] = (op, ttl, at)
+    for width in (100, 10_000, cache.RANGE_MS):
+        assert sorted((x.seq, x.hit) for x in cache.cache_replay(log, width).collect()) == sorted(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = cache.cache_replay(log, 100).where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert parts > 1
+
+
 def test_cache_ttl(spark):
     log = spark.createDataFrame([("k", "set", 10, 0, 1), ("k", "get", 0, 5, 2), ("k", "get", 0, 10, 3), ("k", "set", 0, 11, 4), ("k", "get", 0, 999, 5), ("k", "delete", 0, 1000, 6), ("k", "get", 0, 1001, 7)], "key string, op string, ttl_ms long, at_ms long, seq long")
     assert [r.hit for r in sorted(cache.cache_replay(log).collect(), key=lambda r: r.seq)] == [True, False, True, False]
