@@ -191,24 +191,25 @@ def candidates(parsed: DataFrame, fulltext: DataFrame, keywords: DataFrame, summ
     return first.select("query_id", "root", "path", F.lit(0).alias("keyword_count")).unionByName(recall_all(open_ones, hits, summary))
 
 
-def stored_candidates(parsed: DataFrame, index_path: str, at: dict, summary: DataFrame) -> DataFrame:
-    """The same as ``candidates`` from the postings of a stored index."""
+def stored_candidates(parsed: DataFrame, index_path: str, at: dict, summary: DataFrame, fulltext: bool = True) -> DataFrame:
+    """The same as ``candidates`` from the postings of a stored index; without ``fulltext`` keywords recall for all queries."""
     spark = parsed.sparkSession
     most = T.MAX_TOP_K * R.RECALL_FACTOR
-    first = written(first_by_path(store.hits(spark, index_path, "fulltext", asked_fulltext(parsed), most, at)))
+    asked = asked_fulltext(parsed) if fulltext else asked_fulltext(parsed).limit(0)
+    first = written(first_by_path(store.hits(spark, index_path, "fulltext", asked, most, at)))
     open_ones = written(parsed.join(first.select("query_id").distinct(), "query_id", "left_anti"))
     hits = written(counted(store.hits(spark, index_path, "keywords", asked_terms(open_ones), at=at)))
     return first.select("query_id", "root", "path", F.lit(0).alias("keyword_count")).unionByName(recall_all(open_ones, hits, summary))
 
 
-def stored_query(queries: DataFrame, index_path: str, number: int | None = None) -> DataFrame:
+def stored_query(queries: DataFrame, index_path: str, number: int | None = None, fulltext: bool = True) -> DataFrame:
     """``memory_query`` over a stored index: only folders of the roots asked for are read, and of its postings only those of terms asked for."""
     spark = queries.sparkSession
     at = store.version(spark, index_path, number)
     asked = queries.select("root").distinct()
     summary, symbols = (store.read(spark, index_path, t, roots=asked, at=at) for t in ("files", "symbols"))
     parsed = parse_queries(queries)
-    return answers(parsed, stored_candidates(parsed, index_path, at, summary), summary, symbols)
+    return answers(parsed, stored_candidates(parsed, index_path, at, summary, fulltext), summary, symbols)
 
 
 def memory_query(queries: DataFrame, keywords: DataFrame, summary: DataFrame, symbols: DataFrame, fulltext: DataFrame) -> DataFrame:
