@@ -774,6 +774,25 @@ def u2(spark, d):
     return usage.p95_latency(A.usage_events(spark, d), "root")
 
 
+def _states(spark, d):
+    """Daily states after two appends: the second update reads only the days that grew."""
+    events, path = A.usage_events(spark, d), scratch_dir(spark)
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        usage.append_usage(events.where(part), f"{path}/events")
+        usage.update_states(spark, f"{path}/events", f"{path}/states")
+    return usage.read_states(spark, f"{path}/events", f"{path}/states")
+
+
+@query("u1_report_from_states", ORACLES["u1_usage_report"])
+def u1_states(spark, d):
+    return usage.report_from_states(_states(spark, d), "root")
+
+
+@query("u2_p95_from_states", ORACLES["u2_p95_latency"])
+def u2_states(spark, d):
+    return usage.p95_from_states(_states(spark, d), "root")
+
+
 @query("u3_saved_vs_overhead", f"""WITH {A.USAGE_SQL}, r AS ({_REPORT.format(k='root,')} GROUP BY root) SELECT *, saved - sent AS net, saved + sent AS baseline, CASE WHEN saved + sent > 0 THEN saved / (saved + sent) ELSE 0 END AS reduction_ratio,
  CASE WHEN saved > 0 THEN sent / saved ELSE 0 END AS overhead_ratio, CASE WHEN saved > 0 THEN sent / saved <= 0.05 ELSE sent = 0 END AS within_budget FROM r""")
 def u3(spark, d):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as R
 
@@ -27,6 +28,68 @@ def usage_report(events: DataFrame, *by: str) -> DataFrame:
     return events.groupBy(*by).agg(n("call").alias("calls"), n("cache_hit").alias("cache_hits"), n("cache_miss").alias("cache_misses"), *sums)
 
 
+COUNTERS = {"calls": "call", "cache_hits": "cache_hit", "cache_misses": "cache_miss"}
+
+
+def daily_states(events: DataFrame) -> DataFrame:
+    """root, event_date, name, value, n: what a day adds to any report: its counts and sums (no value), and how often each latency was seen."""
+    counts = usage_report(events, "root", "event_date")
+    each = [F.struct(F.lit(c).alias("name"), F.lit(None).cast("long").alias("value"), F.col(c).alias("n")) for c in (*COUNTERS, *MEASURES)]
+    sums = counts.select("root", "event_date", F.explode(F.array(*each)).alias("x")).select("root", "event_date", "x.*")
+    seen = events.where("kind = 'latency' AND latency_ms > 0").groupBy("root", "event_date", F.col("latency_ms").cast("long").alias("value")).agg(F.count("*").alias("n"))
+    return sums.unionByName(seen.select("root", "event_date", F.lit("latency").alias("name"), "value", "n"))
+
+
+def day_marks(spark: SparkSession, path: str) -> dict[str, str]:
+    """What each day's folder of appended events holds: files and bytes, from listings alone. It changes with every append."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for s in store.listStatus(at) if store.exists(at) else []:
+        name, _, day = s.getPath().getName().partition("=")
+        if name == "event_date":
+            held = store.getContentSummary(s.getPath())
+            out[day] = f"{held.getFileCount()}-{held.getLength()}"
+    return out
+
+
+def update_states(spark: SparkSession, events_path: str, states_path: str) -> list[str]:
+    """Brings the daily states up to the appended events; gives the days that were read: those that are new or were appended to."""
+    marks = day_marks(spark, events_path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(states_path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [d for d, m in marks.items() if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{states_path}/event_date={d}/mark={m}"))]
+    if days:
+        known = F.create_map(*[F.lit(x) for d in days for x in (d, marks[d])])
+        events = spark.read.parquet(events_path)
+        events = events.where(F.col("event_date").cast("string").isin([None if d == "__HIVE_DEFAULT_PARTITION__" else d for d in days]) | (F.col("event_date").isNull() & F.lit("__HIVE_DEFAULT_PARTITION__" in days)))
+        rows = daily_states(events).withColumn("mark", F.element_at(known, F.coalesce(F.col("event_date").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))))
+        rows.repartition("event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "mark").parquet(states_path)
+    return days
+
+
+def read_states(spark: SparkSession, events_path: str, states_path: str) -> DataFrame:
+    """The states of the days as they stand; those that later appends have replaced aren't read."""
+    current = [f"{d}/{m}" for d, m in day_marks(spark, events_path).items()]
+    rows = spark.read.schema("root string, name string, value long, n long, event_date string, mark string").parquet(states_path)
+    return rows.where(F.concat_ws("/", F.coalesce("event_date", F.lit("__HIVE_DEFAULT_PARTITION__")), "mark").isin(current)).drop("mark")
+
+
+def report_from_states(states: DataFrame, *by: str) -> DataFrame:
+    """``usage_report`` from daily states."""
+    return states.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in (*COUNTERS, *MEASURES)])
+
+
+def p95_from_states(states: DataFrame, *by: str) -> DataFrame:
+    """``p95_latency`` from daily states: exact, as every latency's count is kept."""
+    seen = states.where("name = 'latency'").groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy(*by)  # a row per distinct latency
+    reached = seen.withColumn("upto", F.sum("n").over(every.orderBy("value"))).withColumn("all", F.sum("n").over(every)).where(100 * F.col("upto") >= 95 * F.col("all"))
+    best = reached.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("value").alias("p95"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)
+    return states.select(*by).distinct().join(best, on, "left").select(*by, F.coalesce("p95", F.lit(0)).cast("long").alias("p95_ms"))
+
+
 def p95_latency(events: DataFrame, *by: str) -> DataFrame:
     """Nearest-rank 95th percentile of positive latencies, 0 without any."""
     on = F.when((F.col("kind") == "latency") & (F.col("latency_ms") > 0), F.col("latency_ms"))

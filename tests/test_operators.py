@@ -184,6 +184,32 @@ def test_append_usage(spark, tmp_path):
     assert [(r.kind, r.tool) for r in spark.read.parquet(f"{tmp_path}/u").collect()] == [("call", "unknown")]
 
 
+def test_daily_states(spark, tmp_path):
+    """Reports from states equal those from events; an update reads new days and those appended to, no other; days without a date count."""
+    import datetime
+
+    day = lambda k: datetime.datetime(2024, 1, k + 1, 12) if k < 4 else None
+    row = lambda i, k: ("latency" if i % 2 else "call", None, ("r", "s", None)[i % 3], day(k), i, i, i, i, i, i, i * 7 % 50)
+    schema = "kind string, tool string, root string, created_at timestamp, token_estimate long, saved long, avoided long, sent long, adjusted long, ignored long, latency_ms long"
+    events, states = f"file://{tmp_path}/e", f"file://{tmp_path}/s"
+
+    def add(days, n):
+        usage.append_usage(spark.createDataFrame([row(i, k) for k in days for i in range(n)], schema), events)
+        return sorted(usage.update_states(spark, events, states))
+
+    def same():
+        rows, old = usage.read_states(spark, events, states), spark.read.parquet(events)
+        for by in (["root"], []):
+            assert sorted(map(str, usage.report_from_states(rows, *by).collect())) == sorted(map(str, usage.usage_report(old, *by).collect()))
+            assert sorted(map(str, usage.p95_from_states(rows, *by).collect())) == sorted(map(str, usage.p95_latency(old, *by).collect()))
+
+    assert add([0, 1, 4], 40) == ["2024-01-01", "2024-01-02", "__HIVE_DEFAULT_PARTITION__"]
+    same()
+    assert usage.update_states(spark, events, states) == []
+    assert add([1, 2], 25) == ["2024-01-02", "2024-01-03"]
+    same()
+
+
 def test_lint_lines(spark):
     text = "api_key = abcdefghijklmnop\nsee 2024-01-02 now\nid deadbeefdeadbeefdeadbeef\nsha256 deadbeefdeadbeefdeadbeef\nfine x2024-01-02\n-----BEGIN RSA PRIVATE KEY-----"
     d = spark.createDataFrame([("r", 1, "f", text)], "root string, doc_seq long, file string, text string")
