@@ -16,8 +16,8 @@ all copies of one. The sample decides the way, not the result.
 Defined results: null, empty and unrepeated texts have no rows; repeats within one document
 count only with ``within``; rows that repeat both id and text are one document; documents that
 share an id but not a text are told apart by their text; the first document of a chunk is the one
-of the smallest integer id (null last; ids of other types in the order of a hash), then of the
-smallest digest of its text; a text shorter than a chunk is one chunk; very long texts are read
+of the smallest integer id (null last; of ids of other types the one of the smallest hash), then of
+the smallest digest of its text; a text shorter than a chunk is one chunk; very long texts are read
 whole, in blocks; an empty table gives no rows; columns other than doc_id and text are not looked
 at, whatever their names, and are kept by ``deduplicated``.
 """
@@ -291,7 +291,7 @@ def shared_frequent(chunks: DataFrame, frequent, within: bool) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", within: bool = False) -> DataFrame:
-    """doc_id, row, start, end, n_words, n_chunks, first_doc, removable, spans: passages that other documents have too.
+    """doc_id, row, start, end, n_words, n_chunks, first_doc, removable, spans: passages whose every chunk other documents have too.
 
     first_doc is the smallest id that has one of the passage's chunks (its number for ids that are
     no integers); spans are the parts of the passage whose chunks occur elsewhere first, which may
@@ -327,9 +327,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), span]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int32())), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], names=["doc_id", "row", "start", "end", "n_words", "n_chunks", "first", "removable", "spans"])
 
-    out = materialize(one.mapInArrow(passages, f"doc_id {kind}, row long, start int, end int, n_words long, n_chunks long, first long, removable boolean, spans array<struct<start:int,end:int>>"))
+    out = one.mapInArrow(passages, f"doc_id {kind}, row long, start int, end int, n_words long, n_chunks long, first long, removable boolean, spans array<struct<start:int,end:int>>")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        out = out.withColumn("first_doc", F.when(F.col("first") != _LAST, F.col("first")))
+    else:  # the id of that hash
+        ids = chunks.where(F.col("o") != _LAST).groupBy(F.col("o").alias("first")).agg(F.min("doc_id").alias("first_doc"))
+        out = out.join(ids, "first", "left")
+    out = materialize(out.drop("first"))
     discard(chunks)
-    return out.withColumn("first_doc", F.when(F.col("first") != _LAST, F.col("first"))).drop("first")
+    return out
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:

@@ -842,6 +842,21 @@ def test_substring_dedup(spark, docs, none):
     assert len(inner) == 2 and sum(bool(r.spans) for r in inner) == 1
 
 
+def test_first_doc_of_string_ids_and_long_texts(spark):
+    """first_doc is an id of the table; a text above one block and a run of one character keep their places."""
+    long = " ".join(prose(9000, s) for s in (400, 401, 402, 403)) + " " + "z" * 5000 + " " + prose(200, 404)
+    assert len(long) > 150_000
+    data = [("a.b", long), ("c", "first " + long), ("d", prose(40, 405)), (None, "last " + prose(40, 405))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert {r.doc_id for r in got} == {"a.b", "c", "d", None}
+    text = dict(data)
+    for r in got:
+        other = {"a.b": "c", "c": "a.b", "d": None, None: "d"}[r.doc_id]
+        assert r.first_doc in ({"d"} if r.doc_id in ("d", None) else {"a.b", "c"})
+        assert text[r.doc_id][r.start : r.end].strip() in text[other] or r.n_words < 100
+    assert max(r.end - r.start for r in got) > len(long) - 200
+
+
 def test_cuts_follow_content():
     t = prose(5000, 8).encode()
     one, two = substring_dedup.cut_points(np.frombuffer(t, np.uint8)), substring_dedup.cut_points(np.frombuffer(b"inserted words " + t, np.uint8)) - 15
