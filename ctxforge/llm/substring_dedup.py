@@ -88,7 +88,19 @@ def chunked(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     begins = np.concatenate([[0], np.cumsum(~gap & np.concatenate([[True], gap[:-1]]))])[borders] if len(data) else np.zeros(1, np.int64)
     digests = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)])
     row = np.array([xxhash.xxh64_intdigest(raw, 42)], np.uint64).view(np.int64)[0]
-    return chars.astype("<i4"), begins.astype("<i4"), np.frombuffer(digests, DIGEST), int(row)
+    return chars, begins, np.frombuffer(digests, DIGEST), int(row)
+
+
+def steps(borders: np.ndarray) -> bytes:
+    """What borders that begin at 0 advance by, a byte each; four where a chunk is a longer run of one character."""
+    d = np.diff(borders)
+    return d.astype("<u1" if len(d) and d.max() < 256 else "<i4").tobytes()
+
+
+def borders_of(blob: bytes, n: int) -> np.ndarray:
+    """The n + 1 borders again."""
+    d = np.frombuffer(blob, "<u1" if len(blob) == n else "<i4")
+    return np.concatenate([[0], np.cumsum(d, dtype=np.int64)])
 
 
 def _order(ids: pa.Array) -> np.ndarray:
@@ -101,7 +113,7 @@ def _order(ids: pa.Array) -> np.ndarray:
 
 
 def chunk_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, o, row (which tell documents apart), n, and per chunk border chars and words, per chunk a digest."""
+    """doc_id, o, row (which tell documents apart), n, and per chunk its characters and begun words (as steps) and a digest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["doc_id", "o", "row", "n", "chars", "words", "digests"]
@@ -115,8 +127,8 @@ def chunk_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
             for i, text in enumerate(b.column(1)):
                 chars, begins, digests, row = chunked(text.as_py())
-                rows.append((int(order[i]), row, len(digests), chars.tobytes(), begins.tobytes(), digests.tobytes()))
-                size += 24 * len(digests) + 100
+                rows.append((int(order[i]), row, len(digests), steps(chars), steps(begins), digests.tobytes()))
+                size += 18 * len(digests) + 100
                 if size > BATCH_BYTES:
                     yield out(at, i + 1, rows)
                     rows, at, size = [], i + 1, 0
@@ -293,8 +305,8 @@ def shared_frequent(chunks: DataFrame, frequent, within: bool) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", within: bool = False) -> DataFrame:
     """doc_id, row, start, end, n_words, n_chunks, first_doc, removable, spans: passages whose every chunk other documents have too.
 
-    first_doc is the smallest id that has one of the passage's chunks (its number for ids that are
-    no integers); spans are the parts of the passage whose chunks occur elsewhere first, which may
+    Neighbouring chunks join whichever documents have them, so a passage may stand whole in no single
+    other one. first_doc is the first id that has one of its chunks; spans are the parts of the passage whose chunks occur elsewhere first, which may
     go; removable says that it is the whole passage.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -304,16 +316,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str
     if len(frequent.value[0]):
         found = found.unionByName(shared_frequent(chunks, frequent, within).dropDuplicates(["o", "row"]))  # rows that repeat id and text
     found = found.groupBy("o", "row").agg(F.collect_list("shared").alias("shared"))
-    borders = chunks.select("doc_id", "o", "row", "chars", "words").dropDuplicates(["o", "row"])
-    one = borders.join(found, ["o", "row"]).select("doc_id", "row", "chars", "words", "shared")
+    borders = chunks.select("doc_id", "o", "row", "n", "chars", "words").dropDuplicates(["o", "row"])
+    one = borders.join(found, ["o", "row"]).select("doc_id", "row", "n", "chars", "words", "shared")
 
     def passages(batches):
         for b in batches:
             rows = []
             for i in range(b.num_rows):
                 row = b.column(1)[i].as_py()
-                chars, begins = (np.frombuffer(b.column(k)[i].as_py(), "<i4") for k in (2, 3))
-                hit = np.unique(np.concatenate([np.frombuffer(x, SHARED) for x in b.column(4)[i].as_py()]))
+                chars, begins = (borders_of(b.column(k)[i].as_py(), b.column(2)[i].as_py()) for k in (3, 4))
+                hit = np.unique(np.concatenate([np.frombuffer(x, SHARED) for x in b.column(5)[i].as_py()]))
                 for run in np.split(hit, np.flatnonzero(np.diff(hit["ord"]) > 1) + 1):
                     a, z = int(run["ord"][0]), int(run["ord"][-1]) + 1
                     n = int(begins[z] - begins[a])
