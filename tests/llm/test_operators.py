@@ -646,13 +646,7 @@ def test_table_sampler():
     assert abs(big.mean() - near.mean()) < 0.15 * near.mean()
 
 
-@pytest.fixture
-def small_pairs(monkeypatch):
-    monkeypatch.setattr(pitman_yor, "SAMPLE", 1)
-    monkeypatch.setattr(pitman_yor, "OFTEN", 2)
-
-
-def test_model_sums_to_one(spark, docs, small_pairs):
+def test_model_sums_to_one(spark, docs):
     """Words, and words after each context, have probabilities that sum to 1 with the unknown word's."""
     scored, fit, keys, gain = pitman_yor.model(docs)
     known = [r for r in scored.collect() if r.c > 0]
@@ -670,9 +664,14 @@ def test_model_sums_to_one(spark, docs, small_pairs):
         assert abs(10**r.back * ((p * 10**g).sum() + 10 ** fit["unknown"]) - 1) < 0.05, bytes(r.word)
 
 
-def test_pairs_are_counted_exactly(spark, docs, small_pairs):
-    u, w = pitman_yor.frequent_pairs(docs)
-    got = dict(zip(pitman_yor.pair_keys(u, w).tolist(), pitman_yor.count_pairs(docs, u, w).tolist(), strict=True))
+@pytest.mark.parametrize("size, share", [(2_000_000, 0.0005), (500, 0.01), (500, 1.0)])
+def test_pairs_are_counted_exactly(spark, docs, monkeypatch, size, share):
+    """In one task and in many, with common contexts spread over them and without."""
+    monkeypatch.setattr(pitman_yor, "TOKENS_PER_TASK", size)
+    monkeypatch.setattr(pitman_yor, "SHARE", share)
+    counted = pitman_yor.count_words(docs).cache()
+    u, w, c = pitman_yor.frequent_pairs(docs, counted)
+    got = dict(zip(pitman_yor.pair_keys(u, w).tolist(), c.tolist(), strict=True))
     want = {}
     for d, t, *_ in rows():
         if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1:
@@ -681,9 +680,40 @@ def test_pairs_are_counted_exactly(spark, docs, small_pairs):
             for k in pitman_yor.pair_keys(pitman_yor.before(h, int(pitman_yor.hashes([pitman_yor.END])[0])), h).tolist():
                 want[k] = want.get(k, 0) + 1
     assert got == {k: n for k, n in want.items() if n >= 2}
+    few = pitman_yor.frequent_pairs(docs, counted, most=50)[2]  # a bound on the count, no cut among equals
+    assert 0 < len(few) <= 50 and sorted(few) == sorted(n for n in want.values() if n >= min(few))
+    assert len(pitman_yor.frequent_pairs(docs.where("false"), counted.where("false"))[0]) == 0
 
 
-def test_seating_against_a_restaurant(small_pairs):
+def test_scores_are_sums_over_words_and_pairs(spark, docs):
+    """Every document's score, added up word by word from the model's tables; gains by the restaurant's formula."""
+    scored, fit, keys, gain = pitman_yor.model(docs)
+    word = {bytes(r.word): r for r in scored.collect()}
+    more = dict(zip(keys.tolist(), gain.tolist(), strict=True))
+    end = int(pitman_yor.hashes([pitman_yor.END])[0])
+
+    def score(t):
+        ws = pitman_yor.words_with_end(t or "")
+        h = pitman_yor.hashes(ws)
+        pairs = pitman_yor.pair_keys(pitman_yor.before(h, end), h).tolist()
+        return tuple(round(sum(getattr(word[w], x) for w in ws) + sum(more.get(k, 0.0) for k in pairs), 5) for x in ("score", "open"))
+
+    want = sorted(score(t) for _, t, *_ in rows())
+    assert np.allclose(sorted((r.score, r.open_score) for r in pitman_yor.score_documents(docs).collect()), want, atol=1e-4)
+    pairs = pitman_yor.Pairs(np.array([1, 1, 2]), np.array([7, 8, 7]), np.array([4, 2, 3]))
+    p, sizes = np.array([0.25, 0.125]), np.array([9.0, 3.0])
+    sweeps = pairs.seat(p, sizes, 3, 0)
+    back, g = pairs.gains(p, sizes, sweeps)
+    for i, (u, w) in enumerate([(0, 0), (0, 1), (1, 0)]):
+        each = []
+        for t, _ in sweeps:
+            tables = sum(int(x) for x, k in zip(t, (0, 0, 1)) if k == u)
+            rest = sizes[u] - sum(c for c, k in zip((4, 2, 3), (0, 0, 1)) if k == u)
+            each.append((pairs.c[i] - 0.75 * t[i] + (1 + 0.75 * tables + rest) * p[w]) / (1 + sizes[u]))
+        assert abs(10 ** (back[u] + g[i]) * p[w] - np.mean(each)) < 1e-12
+
+
+def test_seating_against_a_restaurant():
     """Expected tables of the pair restaurant against customers who are seated one by one, again and again."""
     c, p, d, theta = np.array([6, 3, 9]), np.array([0.2, 0.05, 0.4]), pitman_yor.PAIR_DISCOUNT, pitman_yor.THETA
     pairs = pitman_yor.Pairs(np.array([1, 1, 1]), np.array([10, 20, 30]), c)
@@ -723,7 +753,7 @@ def test_large_restaurants_against_small_ones():
         assert abs(near.mean() / exact.mean() - 1) < 0.06 and 0.6 < near.std() / exact.std() < 1.7, (c, near.mean(), exact.mean(), near.std(), exact.std())
 
 
-def test_scores_know_the_order_of_words(spark, small_pairs):
+def test_scores_know_the_order_of_words(spark):
     r = random.Random(1)
     text = lambda: " ".join(r.choice(["red fox", "blue whale", "green tree", "old stone"]) for _ in range(40))
     data = [(i, text()) for i in range(40)]
