@@ -887,6 +887,19 @@ def test_first_doc_of_string_ids_and_long_texts(spark):
     assert max(r.end - r.start for r in got) > len(long) - 200
 
 
+def test_string_ids_and_dotted_columns(spark):
+    """Ids that are no integers come back as they are, whatever the other columns are called."""
+    data = [(f"id-{i}", t, i) for i, t in enumerate([None, "", "two words", prose(80, 3), prose(80, 3), prose(80, 6), "password = hunter2hunter2"])]
+    d = spark.createDataFrame(data, "doc_id string, text string, `a.b` int")
+    ids = sorted(i for i, *_ in data)
+    assert sorted(r.doc_id for r in pitman_yor.score_documents(d).collect()) == ids
+    masked = {r.doc_id: r for r in secrets.masked_documents(d).collect()}
+    assert sorted(masked) == ids and all(masked[i]["a.b"] == k for i, _, k in data) and "hunter2" not in masked["id-6"].text
+    kept = {r.doc_id: r["a.b"] for r in near_dedup.kept_documents(d).collect()}
+    assert len({"id-3", "id-4"} & set(kept)) == 1 and kept.items() <= {i: k for i, _, k in data}.items() and {"id-2", "id-5", "id-6"} <= set(kept)
+    assert {r.doc_id for r in substring_dedup.repeated_passages(d).collect()} == {"id-3", "id-4"}
+
+
 def test_cuts_follow_content():
     t = prose(5000, 8).encode()
     one, two = substring_dedup.cut_points(np.frombuffer(t, np.uint8)), substring_dedup.cut_points(np.frombuffer(b"inserted words " + t, np.uint8)) - 15
