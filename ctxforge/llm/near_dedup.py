@@ -47,7 +47,11 @@ REACH, BEST, LEAST_ALIKE = 256, 2, 0.55
 #: Frequent shingles: at least this many of every SAMPLE-th text hold one; the list goes to the driver and is bounded.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 3, 200_000
 N_HASHES = TREES * DEPTH
+#: A task of pairs holds some 2000 of them, and sets of some two million shingles (20 bytes each with their text).
 PAIRS_PER_TASK, PAIRS_PER_BUNDLE = 2000, 128
+SHINGLES_PER_TASK, SHINGLES_PER_BUNDLE = 2_000_000, 250_000
+#: A shingle that more nodes hold is compared by pairs of blocks of half as many, which are dealt over tasks of their own.
+HOT_GROUP, BLOCKS_PER_TASK = 4096, 64
 #: Shingles of the exact join in a task, 32 bytes each; bytes of heads in an Arrow batch.
 TOKENS_PER_TASK, BATCH_BYTES = 1_000_000, 16 << 20
 _rng = np.random.default_rng(77)
@@ -56,6 +60,7 @@ _B = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
 _M = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TOKEN = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 RUN = np.dtype([("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("k", "<i4")])
+HOLDER = np.dtype([("node", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 class WordHashes(dict):
@@ -234,14 +239,21 @@ def proposals(classes: DataFrame, best: int, labels: DataFrame | None = None) ->
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_proposals(best), "a long, b long").distinct()
 
 
-def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs by task, and the nodes that each task needs. Pairs around a common neighbour share a task, so a node's data travel about once; a bundle of many pairs is split by their hashes."""
-    tasks = max(1, -(-pairs.count() // PAIRS_PER_TASK))
+def dealt(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs by task, and the nodes that each task needs.
+
+    Pairs around a common neighbour share a task, so a node's data travel about once. A bundle of
+    many pairs, or of large sets, is split by their hashes, and there are so many tasks that one
+    holds a bounded number of pairs and of shingles (or a single bundle, at least a single pair).
+    """
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    near = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-    p = pairs.join(near.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(near.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
-    p = materialize(p.select("a", "b", F.least("ma", "mb").alias("bundle")))
-    large = p.groupBy("bundle").agg(F.ceil(F.count("*") / PAIRS_PER_BUNDLE).alias("parts")).where("parts > 1")
+    near = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")).join(classes.select(F.col("node").alias("x"), "n"), "x")
+    end = lambda c: near.select(F.col("x").alias(c), F.col("m").alias("m" + c), F.col("n").alias("n" + c))
+    p = materialize(pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.least("ma", "mb").alias("bundle"), (F.col("na") + F.col("nb")).alias("w")))
+    total = p.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    tasks = max(1, -(-total["pairs"] // PAIRS_PER_TASK), -(-total["w"] // SHINGLES_PER_TASK))
+    parts = F.greatest(F.ceil(F.count("*") / PAIRS_PER_BUNDLE), F.ceil(F.sum("w") / SHINGLES_PER_BUNDLE))
+    large = p.groupBy("bundle").agg(parts.alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
     bundled, p = p, materialize(p.join(if_small(large), "bundle", "left").select(F.pmod(F.xxhash64("bundle", part), F.lit(tasks)).alias("task"), "a", "b"))
     discard(bundled)
@@ -250,7 +262,7 @@ def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def likely(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
     """The pairs whose heads allow the wanted overlap: what stands, in the order of all shingles, before both heads' ends is known of both sets."""
-    p, needed = dealt(pairs)
+    p, needed = dealt(pairs, classes)
     moved = classes.select("node", "n", "head").join(if_small(materialize(needed)), "node").select("for_task", "node", "n", "head")
 
     def check(pairs_pdf, heads_pdf):
@@ -273,7 +285,7 @@ def likely(pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The pairs whose full sets are alike enough, from the texts that stand for their classes; no other text moves where these are few."""
-    p, needed = dealt(pairs)
+    p, needed = dealt(pairs, classes)
     needed = materialize(needed.join(classes.select("node", "rep"), "node").select("for_task", "rep"))
     moved = docs.select("doc_id", text_of(text_col).alias("t")).join(if_small(needed), F.col("doc_id").eqNullSafe(F.col("rep"))).select("for_task", "t")
 
@@ -295,20 +307,46 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     return p.groupBy("task").cogroup(moved.groupBy("for_task")).applyInPandas(check, "a long, b long")
 
 
-def _meetings(batches):
-    """Pairs of nodes of different components that share a prefix shingle; a task holds all tokens of its shingles."""
-
-    def pairs(g):
-        n, pos, node, comp = g["n"].astype(np.int64), g["pos"], g["node"], g["comp"]
-        for hi in range(1, len(n)):
-            lo = np.searchsorted(n[:hi], -(-NUMERATOR * n[hi] // DENOMINATOR))
-            x = slice(lo, hi)
-            most = np.minimum(n[x] - pos[x], n[hi] - pos[hi])
-            ok = (comp[x] != comp[hi]) & (most >= needed_overlap(n[x], n[hi]))
-            if ok.any():
-                other = node[x][ok]
-                yield np.minimum(other, node[hi]), np.maximum(other, node[hi])
+def _met(x: np.ndarray, y: np.ndarray, same: bool):
+    """Pairs of holders of a shingle that are of different components and may be alike enough; both are sorted by size, y's are the larger ones (or x, if same)."""
+    xn, yn = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    for k in range(len(y)):
+        to = slice(np.searchsorted(xn, -(-NUMERATOR * yn[k] // DENOMINATOR)), k if same else len(x))
+        most = np.minimum(xn[to] - x["pos"][to], yn[k] - y["pos"][k])
+        ok = (x["comp"][to] != y["comp"][k]) & (most >= needed_overlap(xn[to], yn[k]))
+        if ok.any():
+            other = x["node"][to][ok]
+            yield np.minimum(other, y["node"][k]), np.maximum(other, y["node"][k])
+
+
+def _blocks(group: np.ndarray):
+    """A large group, sorted by size, as the pairs of its blocks that may hold a link; right is null where a block meets itself."""
+    held = np.empty(len(group), HOLDER)
+    for c in HOLDER.names:
+        held[c] = group[c]
+    parts = [held[lo : lo + HOT_GROUP // 2] for lo in range(0, len(held), HOT_GROUP // 2)]
+    ends = [(int(x["comp"].min()), int(x["comp"].max())) for x in parts]
+    for j, y in enumerate(parts):
+        for i in range(j, -1, -1):
+            if DENOMINATOR * int(parts[i]["n"][-1]) < NUMERATOR * int(y["n"][0]):
+                break  # sizes only shrink from here
+            if len({*ends[i], *ends[j]}) > 1:
+                yield parts[i].tobytes(), None if i == j else y.tobytes()
+
+
+def _met_blocks(batches):
+    """The pairs within pairs of blocks."""
+    for batch in batches:
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(left, HOLDER)
+            found = list(_met(x, x if right is None else np.frombuffer(right, HOLDER), right is None))
+            if found:
+                a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+
+def _meetings(batches):
+    """Pairs of nodes of different components that share a prefix shingle, and of hot shingles the pairs of blocks; a task holds all tokens of its shingles."""
     blobs = []
     for b in batches:
         for keys, pos, runs in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -327,7 +365,12 @@ def _meetings(batches):
     ends = np.concatenate([starts[1:], [len(rows)]])
     mixed = np.minimum.reduceat(rows["comp"], starts) != np.maximum.reduceat(rows["comp"], starts)
     a, b, size = [], [], 0
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+
+    def out():
+        x, y = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
+        return pa.RecordBatch.from_arrays([x, y, pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.binary())], schema=schema)
+
     two = starts[mixed & (ends - starts == 2)]  # most groups, at once
     x, y = rows[two], rows[two + 1]
     n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
@@ -338,7 +381,12 @@ def _meetings(batches):
         size = int(ok.sum())
     for k in np.flatnonzero(mixed & (ends - starts > 2)):
         g = rows[starts[k] : ends[k]]
-        for x, y in pairs(g[np.argsort(g["n"], kind="stable")]):
+        g = g[np.argsort(g["n"], kind="stable")]
+        if len(g) > HOT_GROUP:
+            for x, y in _blocks(g):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], schema=schema)
+            continue
+        for x, y in _met(g, g, True):
             a.append(x)
             b.append(y)
             size += len(x)
@@ -350,9 +398,10 @@ def _meetings(batches):
 
 
 def exact_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes of different components that may be alike enough: no pair that is is left out.
+    """Pairs (a < b) of nodes of different components that may be alike enough, written: no pair that is is left out.
 
     A task gets a range of hashed shingles, in blobs: shingles and their places, and runs of a node, its component and size.
+    Groups of more than HOT_GROUP nodes leave it as pairs of blocks, which other tasks compare.
     """
     total = classes.agg(F.sum(F.octet_length("head") / 8).alias("n")).first()["n"] or 0
     tasks = max(1, -(-int(total) // TOKENS_PER_TASK))
@@ -387,7 +436,15 @@ def exact_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = classes.select("node", "n", "head").join(if_small(labels), "node", "left").select("node", F.col("n").cast("int").alias("n"), F.coalesce("comp", "node").alias("comp"), "head")
     tokens = rows.mapInArrow(blobs, "task int, keys binary, pos binary, runs binary")
-    return tokens.repartitionById(tasks, F.col("task")).mapInArrow(_meetings, "a long, b long").distinct()
+    met = materialize(tokens.repartitionById(tasks, F.col("task")).mapInArrow(_meetings, "a long, b long, left binary, right binary").distinct())
+    hot = met.where("left IS NOT NULL").select("left", "right")
+    n = hot.count()
+    if not n:
+        return met
+    more = hot.repartition(-(-n // BLOCKS_PER_TASK)).mapInArrow(_met_blocks, "a long, b long")
+    pairs = materialize(met.where("left IS NULL").select("a", "b").unionByName(more).distinct())
+    discard(met)
+    return pairs
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -426,20 +483,31 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(classes: DataFrame, docs: DataFrame, frequent, text_col: str = "text") -> DataFrame:
-    """node, comp: the components of all nodes that have a link."""
-    first = materialize(proposals(classes, BEST))
-    labels = materialize(components(materialize(confirmed(first, classes, docs, text_col))))
-    cross = materialize(confirmed(materialize(proposals(classes, BEST, labels)), classes, docs, text_col))
-    if not cross.isEmpty():
-        labels = joined(labels, cross)
-    rest = materialize(exact_pairs(classes, labels))
-    # A share of many pairs joins most of what is left to join; what it leaves apart is tested in whole.
-    for share in (64, 1) if rest.count() > 64 * PAIRS_PER_TASK else (1,):
-        some = materialize(between(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0), labels))
-        some = materialize(likely(some, classes, frequent))
-        links = materialize(confirmed(some, classes, docs, text_col))
+    """node, comp: the components of all nodes that have a link. Passes that have no pairs are skipped."""
+
+    def more(labels: DataFrame, pairs: DataFrame, by_heads: bool = False) -> DataFrame:
+        """The components after the links among the pairs, a table that goes when it is read."""
+        if pairs.isEmpty():
+            discard(pairs)
+            return labels
+        if by_heads:
+            all_pairs, pairs = pairs, materialize(likely(pairs, classes, frequent))
+            discard(all_pairs)
+        links = materialize(confirmed(pairs, classes, docs, text_col))
+        discard(pairs)
         if not links.isEmpty():
             labels = joined(labels, links)
+        discard(links)
+        return labels
+
+    none = docs.sparkSession.createDataFrame([], "node long, comp long")
+    labels = more(none, materialize(proposals(classes, BEST)))
+    labels = more(labels, materialize(proposals(classes, BEST, labels)))
+    rest = exact_pairs(classes, labels)
+    # A share of many pairs joins most of what is left to join; what it leaves apart is tested in whole.
+    for share in (64, 1) if rest.count() > 64 * PAIRS_PER_TASK else (1,):
+        labels = more(labels, materialize(between(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0), labels)), by_heads=True)
+    discard(rest)
     return labels
 
 
@@ -449,6 +517,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sets = told_apart(materialize(shingle_sets(docs, frequent, text_col)))
     same = [F.any_value(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "sig", "low", "head")]
     classes = materialize(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), *same))
+    if classes.isEmpty():
+        return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     labels = linked(classes, docs, frequent, text_col)
     members = materialize(labels.join(classes.select("node", "rep"), "node"))
     least = materialize(members.groupBy("comp").agg(F.min("rep").alias("component_id")))
