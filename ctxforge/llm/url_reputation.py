@@ -28,7 +28,7 @@ from .shared import LOWER, UPPER, if_small, materialize, table
 
 #: The rules of the query: verdict, host and its subdomains, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels; any other suffix is the last label.
+#: Suffixes of two labels that the query knows; any other suffix is the last label. A longer list is a parameter.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 WORSE, CERTAIN = 0.95, 0.95
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -48,11 +48,17 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def host_levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host."""
-    last2, last3 = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    two = last2.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(two, last3).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
+def host_levels(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host: the suffix is the longest of the list that the host ends with, else its last label; the domain has a label more."""
+    last = lambda k: F.substring_index(host, ".", -k)
+    domain, suffix = last(2), last(1)
+    by_labels: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_labels.setdefault(s.count(".") + 1, []).append(s)
+    for k in sorted(by_labels):
+        listed = last(k).isin(*by_labels[k])
+        domain, suffix = F.when(listed, last(k + 1)).otherwise(domain), F.when(listed, last(k)).otherwise(suffix)
+    return domain, suffix
 
 
 def concentration(groups: DataFrame) -> DataFrame:
@@ -93,12 +99,12 @@ def beta_below(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(good, np.where(swap, 1 - front * h, front * h), 0.0)
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, worse: float = WORSE) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, worse: float = WORSE, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, mean, risk: for every host of ``pages`` its posterior mean, and the probability that its share of good pages lies below the bound."""
     host, _ = url_parts(F.col("url"))
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"))
     hosts = pages.select("page_id", host.alias("host")).join(good, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    domain, suffix = host_levels(F.col("host"))
+    domain, suffix = host_levels(F.col("host"), suffixes)
     hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     seen = hosts.where("n > 0")
     total = seen.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1.0)).alias("m0"))  # one row
@@ -119,9 +125,10 @@ def host_reputation(pages: DataFrame, labels: DataFrame, worse: float = WORSE) -
     return out.mapInArrow(risks, "host string, mean double, risk double")
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, worse: float = WORSE, certain: float = CERTAIN) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, worse: float = WORSE, certain: float = CERTAIN, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict. ``suffixes`` are those of several labels, such as a public list's thousands, in lower case."""
     host, path = url_parts(F.col("url"))
-    rep = if_small(materialize(host_reputation(pages, labels, worse).select("host", "risk")))
+    rep = if_small(materialize(host_reputation(pages, labels, worse, suffixes).select("host", "risk")))
     out = pages.select("page_id", host.alias("host"), path.alias("path")).join(rep, "host", "left")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("risk") >= certain, F.lit("block")).otherwise(F.lit("allow"))
