@@ -685,6 +685,26 @@ def test_pairs_are_counted_exactly(spark, docs, monkeypatch, size, share):
     assert len(pitman_yor.frequent_pairs(docs.where("false"), counted.where("false"))[0]) == 0
 
 
+@pytest.mark.parametrize("share", [0.0005, 1.0])
+def test_every_repeated_pair_gives_context(spark, docs, monkeypatch, share):
+    """More pairs than any bound of the operator, few frequent words, small tasks: every repeated pair has its gain, every score its pairs' gains."""
+    for name, value in (("MOST_PAIRS", 50), ("HOT", 30), ("TOKENS_PER_TASK", 2000), ("RUN", 700), ("SHARE", share)):
+        monkeypatch.setattr(pitman_yor, name, value, raising=False)
+    scored, _, keys, gain = pitman_yor.model(docs)
+    more, word = dict(zip(keys.tolist(), gain.tolist(), strict=True)), {bytes(r.word): r for r in scored.collect()}
+    end, count, each = int(pitman_yor.hashes([pitman_yor.END])[0]), {}, []
+    for d, t, *_ in rows():
+        ws = pitman_yor.words_with_end(t or "")
+        h = pitman_yor.hashes(ws)
+        pairs = pitman_yor.pair_keys(pitman_yor.before(h, end), h).tolist()
+        each.append(tuple(sum(getattr(word[w], x) for w in ws) + sum(more.get(k, 0.0) for k in pairs) for x in ("score", "open")))
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1:
+            for k in pairs:
+                count[k] = count.get(k, 0) + 1
+    assert set(more) == {k for k, n in count.items() if n > 1} and len(more) > 500
+    assert np.allclose(sorted((r.score, r.open_score) for r in pitman_yor.score_documents(docs).collect()), sorted(each), atol=1e-4)
+
+
 def test_scores_are_sums_over_words_and_pairs(spark, docs):
     """Every document's score, added up word by word from the model's tables; gains by the restaurant's formula."""
     scored, fit, keys, gain = pitman_yor.model(docs)
