@@ -163,6 +163,47 @@ def test_rounds_pick_as_the_shortlist(spark):
     assert len(by_rounds) == 6 and by_rounds == {(r["rank"], r.path) for r in retrieval.mmr(s).collect()}
 
 
+def test_open_queries_need_no_rounds(spark, monkeypatch):
+    """Many equal candidates, where words alone decide: queries beyond the shortlist are picked in a task, and by rounds give the same; both as by definition."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(f"q{q}", "r", f"{'abc'[i % 3]}/p{i:03}.ts", ("source", "doc")[i % 2], float(90 - 10 * (i % 4 == 3)), 4, 5, " ".join(f"w{rnd.randrange(30)}" for _ in range(9))) for q in range(3) for i in range(120)]
+    s = spark.createDataFrame(rows, "query_id string, root string, path string, kind string, rel double, top_k int, token_estimate int, sample string")
+    texts = s.where("query_id = 'q0'").select("root", "path", "sample")
+    sample = {r.path: r["sample"] for r in texts.collect()}
+
+    def alike(x, y):
+        a, b = (set([*re.split(r"[/.]", z[2]), *sample[z[2]].split()]) for z in (x, y))
+        a, b = ({w for w in z if len(w) > 1} for z in (a, b))
+        return 0.5 * (x[2][0] == y[2][0]) + 0.3 * (x[3] == y[3]) + 0.2 * (len(a & b) / (len(a) + len(b) - len(a & b)))
+
+    want = set()
+    for q in ("q0", "q1", "q2"):
+        left, taken = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[4], r[2])), []
+        for k in range(4):
+            best = max(left, key=lambda r: 0.7 * (r[4] - 80) / 10 - (1 - 0.7) * max([alike(r, t) for t in taken], default=0))
+            left.remove(best)
+            taken.append(best)
+            want.add((q, k + 1, best[2]))
+    got = lambda: {(r.query_id, r["rank"], r.path) for r in retrieval.mmr(s.drop("sample"), texts).collect()}
+    real, rounds = retrieval.picked_by_rounds, []
+    monkeypatch.setattr(retrieval, "picked_by_rounds", lambda x: rounds.append(1) or real(x))
+    assert got() == want and not rounds
+    monkeypatch.setattr(retrieval, "MOST_TOKENS", 10)
+    assert got() == want and rounds
+
+
+def test_contents_stay_where_ignore_rules_meet_them(spark):
+    files = spark.createDataFrame([("r", ".gitignore", "x\n", 0), ("r", "a.ts", "y", 0)], "root string, path string, content string, mtime long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = scan.scan(files.repartition(4))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_instruction_targets(spark):
     f = spark.createDataFrame([("r", "GEMINI.md", None), ("r", "AGENTS.md", "path: src"), ("r", "docs/AGENTS.md", "x"), ("s", "README.md", "x"), ("t", "CLAUDE.md", "scope")], "root string, path string, content string")
     docs = lint.target_documents(f)
